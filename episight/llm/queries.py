@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, media, mixing, quality, sharding, simhash, token_counts, warc
+from . import bpe, license_scan, lm_score, media, mixing, quality, sharding, simhash, token_counts, warc
 from .common import read
 
 QUALITY_VOCABULARY = "piece_bpe_32k.model"
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(read(spark, sf_dir, "documents"), public_tokenizers.path(QUALITY_VOCABULARY))
     return out.select(
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, pipeline]
+    named = [op1_license_scan, op2_lm_score, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, pipeline]
     return {f.__name__: f for f in named}
 
 
