@@ -17,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 #: A table of sources is broadcast only up to this many rows, which are counted first.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -54,7 +56,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
     bytes wanted over bytes there are.  The bytes are summed before the shuffle.
     """
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1
-    stats = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size.cast("long")).alias("bytes"))
+    stats = cut_lineage(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size.cast("long")).alias("bytes")))
     if weights is None:
         want = F.pow(F.col("bytes").cast("double"), F.lit(float(temperature)))
     else:
@@ -62,9 +64,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
         for name, w in sorted(weights.items()):
             want = F.when(F.col("source") == name, F.lit(float(w))).otherwise(want)
     stats = stats.withColumn("want", want)
-    total = stats.agg(F.sum("want").alias("wants"), F.sum("bytes").alias("total"))
-    rate = F.col("want") / F.col("wants") * F.col("total") * F.lit(float(budget)) / F.col("bytes")
-    return stats.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.round(rate, 6), F.lit(0.0)).alias("rate"))
+    wants, total = stats.agg(F.sum("want"), F.sum("bytes")).first()  # two numbers
+    rate = F.col("want") / F.lit(wants) * F.lit(total) * F.lit(float(budget)) / F.col("bytes")
+    return stats.select("source", F.coalesce(F.round(rate, 6), F.lit(0.0)).alias("rate"))
 
 
 def mix(
@@ -86,7 +88,6 @@ def mix(
     its order there.  Own names win over clashing columns.  A null source is a source of its own, a
     null text has one byte, a null id hashes as "null"; rows with equal ids
     get equal numbers of copies; an empty table gives an empty result.
-
     """
     rates = source_rates(docs, weights, temperature, budget, source_col, text_col)
     few = rates.count() <= MAX_BROADCAST_SOURCES
