@@ -326,9 +326,9 @@ select {r('overlap')}, case when g.overlap >= 0.8 then 'COMPATIBLE' when g.overl
     "exact_leakage": """with t as (select text, min(doc_id) as doc_id from documents where source <> 'src0' group by text)
 select d.doc_id as held_id, t.doc_id from documents d join t using (text) where d.source = 'src0'""",
     "duplicate_episodes": """select doc_id, original from (select doc_id, min(doc_id) over (partition by text) as original from documents where text is not null) where doc_id <> original""",
-    "resampled_fingerprint": f"""with {EV}, n as (select ep, count(*) as n from ev group by ep), p as (select ep, n, i, i * (n - 1) / 31.0 as at from n, range(0, 32) r(i)),
-q as (select *, case when i = 31 then n - 1 else least(floor(at)::bigint, n - 1) end as lo from p)
-select q.ep, q.i::int as i, round(a.a0 + coalesce((b.a0 - a.a0) * (q.at - q.lo), 0), 5) + 0.0 as value from q join ev a on a.ep = q.ep and a.step = q.lo left join ev b on b.ep = q.ep and b.step = q.lo + 1""",
+    "resampled_fingerprint": f"""with {EV}, n as (select ep, count(*) as n from ev group by ep), p as (select ep, n, i, i * (n - 1) / 31.0 as place from n, range(0, 32) r(i)),
+q as (select *, case when i = 31 then n - 1 else least(floor(place)::bigint, n - 1) end as lo from p)
+select q.ep, q.i::int as i, round(a.a0 + coalesce((b.a0 - a.a0) * (q.place - q.lo), 0), 5) + 0.0 as value from q join ev a on a.ep = q.ep and a.step = q.lo left join ev b on b.ep = q.ep and b.step = q.lo + 1""",
     "sft_gate": f"with {PAIRS}, {fingerprint('pr')} select conv_id, turn, {r('repetition')}, {r('template')}, words, passed from ft",
     "document_fingerprint": f"with pr as (select doc_id as conv_id, text as output from documents), {fingerprint('pr')} select conv_id, {r('repetition')}, {r('template')}, words, passed from ft",
     "sft_outcome": f"with {PAIRS}, {fingerprint('pr')}, ag as (select avg(repetition) as repetition, avg(template) as template, avg(words) as words from ft), " + outcome("ag", {"repetition": (10.0, 20.0, 0.25, 0.40), "template": (8.0, 18.0, 0.10, 0.30), "words": (10.0, 20.0, 15.0, 5.0)}),
