@@ -65,7 +65,7 @@ def violations(figures: DataFrame, upper: dict[str, float], lower: dict[str, flo
 def quality_risk(figures: DataFrame) -> DataFrame:
     """(ep, quality_risk): weighted share of the limits that spikes,
     discontinuities, dropout and jerk use up; a null adds nothing."""
-    part = lambda c, top: F.coalesce(F.least(F.col(c) / top, F.lit(1.0)), F.lit(0.0))
+    part = lambda c, top: F.least(F.coalesce(F.col(c) / top, F.lit(0.0)), F.lit(1.0))
     jerk = F.coalesce(F.least(F.greatest((F.col("ldlj") + 3.0) / -27.0, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     risk = 0.35 * part("spike_rate", 0.10) + 0.35 * part("disc_rate", 0.25) + 0.20 * part("dropout", 0.10) + 0.10 * jerk
     return figures.select("ep", F.round(risk, 6).alias("quality_risk"))
