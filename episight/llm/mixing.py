@@ -91,19 +91,17 @@ def mix(
     """
     rates = source_rates(docs, weights, temperature, budget, source_col, text_col)
     few = rates.count() <= MAX_BROADCAST_SOURCES
-    rates = rates.select(F.col("source").alias("_source"), "rate", poisson_table(F.col("rate")).alias("_table"))
+    rates = rates.select("source", "rate", poisson_table(F.col("rate")).alias("table"))
     own = {"rate", "n_copies", "copy", "mix_key"}
-    base = docs.drop(*[c for c in docs.columns if c.lower() in own]) if extras else docs
-    on = F.col(source_col).eqNullSafe(F.col("_source"))
+    names = [c for c in docs.columns if not extras or c.lower() not in own]
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rows = base.join(F.broadcast(rates) if few else rates, on, "left")
-    rows = rows.withColumn("_u", uniform(F.lit(str(seed)), F.lit("count"), ident))
-    rows = rows.withColumn("_n", F.size(F.filter("_table", lambda c: c <= F.col("_u"))))
-    copies = rows.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    copies = copies.withColumn("_key", F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), ident, F.col("_copy").cast("string"))), 1, 16))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source_col).alias("from"), ident.alias("ident"))
+    rows = rows.join(F.broadcast(rates) if few else rates, F.col("from").eqNullSafe(F.col("source")), "left")
+    rows = rows.withColumn("u", uniform(F.lit(str(seed)), F.lit("count"), F.col("ident")))
+    rows = rows.withColumn("n_copies", F.size(F.filter("table", lambda c: c <= F.col("u"))))
+    copies = rows.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("ident"), F.col("copy").cast("string")))
+    copies = copies.select("row", "rate", "n_copies", "copy", F.substring(key, 1, 16).alias("mix_key"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = copies.repartition(n, "_key").sortWithinPartitions("_key")
-    names = [F.col(f"`{c}`") for c in base.columns]
-    if extras:
-        names += [F.col("rate"), F.col("_n").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_key").alias("mix_key")]
-    return dealt.select(*names)
+    dealt = copies.repartition(n, "mix_key").sortWithinPartitions("mix_key")
+    return dealt.select("row.*", "rate", "n_copies", "copy", "mix_key") if extras else dealt.select("row.*")

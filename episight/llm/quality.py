@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts
-
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
 WINDOW = 5
@@ -182,11 +181,9 @@ SCHEMA = (
 )
 
 
-def quality_figures(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The figures of every text; ``carry`` names string columns to keep."""
-    base = texts(docs, id_col, text_col)
-    if carry:  # the operator's own names win over columns that clash with them
-        base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
+def quality_figures(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """The figures of every text; ``carry`` has the names of string columns to keep, by the names that they get."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").cast("string").alias(name) for name, c in carry.items()])
 
     def run(batches):
         import pyarrow as pa
@@ -244,7 +241,7 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] =
     ignored.
     """
     lang = lang_col if lang_col in docs.columns else None
-    figs = quality_figures(docs.withColumnRenamed(lang, "doc_lang") if lang else docs, vocabulary, id_col, text_col, ("doc_lang",) if lang else ())
+    figs = quality_figures(docs, vocabulary, id_col, text_col, {"doc_lang": lang} if lang else {})
     return verdicts(figs, bands, "doc_lang" if lang else None)
 
 
