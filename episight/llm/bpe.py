@@ -59,7 +59,7 @@ def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
 class Codec:
     """Encodes texts to (number of ids, decimal ids joined by a space, decoded text)."""
 
-    def __init__(self, vocabulary: str, mean_chunk: int = 256, max_words: int = 600_000, max_chunk_bytes: int = 128 << 20):
+    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 600_000, max_chunk_bytes: int = 128 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,7 +129,7 @@ class Codec:
         return out
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, mean_chunk: int = 256) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, mean_chunk: int = 512) -> DataFrame:
     """Encode every text and decode it again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one
