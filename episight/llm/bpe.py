@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -59,7 +60,7 @@ def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
 class Codec:
     """Encodes texts to (number of ids, decimal ids joined by a space, decoded text)."""
 
-    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 600_000, max_chunk_bytes: int = 128 << 20):
+    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 300_000, max_chunk_bytes: int = 32 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,6 +72,7 @@ class Codec:
         if self.tok.decoder is not None:
             raise ValueError("decoding by parts needs a vocabulary without a decoder, whose tokens are joined by spaces")
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.decimal = [str(i) for i in range(len(self.names))]
         self.mean, self.max_words, self.max_bytes = mean_chunk, max_words, max_chunk_bytes
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple | None] = {}
@@ -80,18 +82,21 @@ class Codec:
         order = list(new)
         for w, e in zip(order, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)):
             ids = e.ids
-            self.words[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            self.words[w] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]))
 
     def _join(self, words: list[bytes]) -> tuple[int, str, str] | None:
         got = [x for x in map(self.words.__getitem__, words) if x[0]]
         return (sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])) if got else None
 
     def encode(self, batch: list[bytes]) -> list[tuple[int, str, str]]:
+        # the oldest go first; what is needed again is encoded again
         if len(self.words) > self.max_words:
-            self.words.clear()
+            for w in list(islice(self.words, len(self.words) - self.max_words * 3 // 4)):
+                del self.words[w]
         if self.held > self.max_bytes:
-            self.chunks.clear()
-            self.held = 0
+            for chunk in list(islice(self.chunks, len(self.chunks) // 2)):
+                del self.chunks[chunk]
+                self.held -= 4 * len(chunk) + 300
         plans, need, fresh = [], set(), {}
         for raw in batch:
             plan, rest = [], b""  # chunks and joins in order; rest: what stands since the last white space
@@ -156,4 +161,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
         return work
 
-    return per_batch(texts(docs, id_col, text_col), make, SCHEMA + ", ids array<int>, decoded string" * keep, rows=1000)
+    return per_batch(texts(docs, id_col, text_col), make, SCHEMA + ", ids array<int>, decoded string" * keep, rows=500)
