@@ -44,18 +44,18 @@ def greedy_cover(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
-def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep") -> DataFrame:
+def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_exact: int = MAX_EXACT) -> DataFrame:
     """(key, rank): ``k`` rows that cover the features.
 
-    Up to ``MAX_EXACT`` rows the choice is exact, on the driver; beyond, each of
+    Up to ``max_exact`` rows the choice is exact, on the driver; beyond, each of
     many hashed parts chooses its own candidates and the exact choice is made among
     those (a composed core-set: at most four times the optimal radius), part
     by part until they are few enough.
     """
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     n = df.count()
-    while n > MAX_EXACT and n > 2 * k:
-        parts = -(-n // 2000)
+    while n > max_exact and n > 2 * k:
+        parts = -(-n // min(2000, max_exact))
         each = k // parts + 16
 
         def candidates(pdf):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import out, upper_level
-from ..operators import compare, coverage, export, gates, motion, scoring, selection, sft, stats, tasks, timing
+from ..operators import compare, coverage, dynamics, export, gates, motion, scoring, selection, sft, stats, tasks, timing
 from ..sources.episodes import LINE_DIMS, LINE_PERIOD, event_steps, line_steps, order_lengths, table, turns
 from ..streaming import watch
 
@@ -451,3 +451,64 @@ def episode_offsets(spark, d):
 def watch_verdicts(spark, d):
     """The streaming plan's judgement, run over a batch."""
     return watch.verdicts(figures(spark, d).select("ep", "spike_rate", "disc_rate", "dropout", "ldlj")).select("ep", "verdict", "metric")
+
+
+@query
+def standalone_kinematics(spark, d):
+    return shown(dynamics.tracking_and_sigma_jerk(ev(spark, d)))
+
+
+@query
+def transition_dynamics(spark, d):
+    return shown(dynamics.transition_errors(ev(spark, d)), digits=4)
+
+
+@query
+def failure_diagnosis(spark, d):
+    f, cols = _features(spark, d)
+    return shown(dynamics.failure_diagnosis(f.where("ep <> 1"), f.where("ep = 1"), cols), digits=5)
+
+
+@query
+def similar_outcomes(spark, d):
+    return shown(dynamics.similar_outcomes(figures(spark, d), _summary(spark, d)), digits=5)
+
+
+@query
+def outlier_concentration(spark, d):
+    f = figures(spark, d)
+    return shown(dynamics.concentration(stats.mad_outliers(stats.long_metrics(f, METRICS), floor={"jitter_cv": 0.01}), f.count()))
+
+
+@query
+def cure_interpolate(spark, d):
+    return shown(dynamics.interpolate(ev(spark, d)), digits=3)
+
+
+@query
+def corrupt_drop(spark, d):
+    return dynamics.drop_steps(ev(spark, d), 0.2)
+
+
+@query
+def dataset_comparison(spark, d):
+    m = _long(spark, d)
+    return shown(dynamics.compare_datasets(m.where("ep % 2 = 0"), m.where("ep % 2 = 1"), METRICS))
+
+
+@query
+def approx_coreset(spark, d):
+    v, cols = _vectors(spark, d)
+    return selection.k_center(v, cols, 20, max_exact=200)
+
+
+def _knn(spark, d):
+    v, cols = _vectors(spark, d)
+    return coverage.nearest(v, v, cols, exclude_self=True)
+
+
+@query
+def embedding_outliers(spark, d):
+    """Vectors whose nearest neighbour is far, by the median and its deviation."""
+    m = _knn(spark, d).select("ep", F.lit("distance").alias("metric"), F.col("distance").alias("value"))
+    return shown(stats.mad_outliers(m), digits=4)

@@ -343,4 +343,23 @@ select old, row_number() over (order by old) - 1 as episode_index, length, (sum(
   when coalesce(spike_rate >= 0.02, false) or coalesce(disc_rate >= 0.02, false) or coalesce(dropout >= 0.01, false) then 'WARN' else 'PASS' end as verdict,
   coalesce(case when spike_rate >= 0.05 then 'spike_rate' end, case when disc_rate >= 0.05 then 'disc_rate' end, case when dropout >= 0.05 then 'dropout' end,
     case when spike_rate >= 0.02 then 'spike_rate' end, case when disc_rate >= 0.02 then 'disc_rate' end, case when dropout >= 0.01 then 'dropout' end) as metric from figures""",
+    "standalone_kinematics": f"""with {EV}, x1 as (select *, s0 - lag(s0) over w as d1 from ev window w as (partition by ep order by step)),
+x2 as (select *, d1 - lag(d1) over w as d2 from x1 window w as (partition by ep order by step)), x3 as (select *, abs(d2 - lag(d2) over w) as j from x2 window w as (partition by ep order by step)),
+x4 as (select *, avg(j) over (partition by ep) as jm, stddev_pop(j) over (partition by ep) as js from x3)
+select ep, round(avg((abs(a0 - s0) > 0.05)::int), 6) + 0.0 as tracking_gap, round(case when max(js) > 0 then avg(case when j is not null then (j > jm + 5 * js)::int end) else 0 end, 6) + 0.0 as jerk_spikes from x4 group by ep""",
+    "transition_dynamics": f"""with {EV}, x as (select *, lead(s0) over (partition by ep order by step) - s0 as ds from ev),
+s as (select sum(s0 * s0) + 1e-4 as ss, sum(s0 * a0) as sa, sum(a0 * a0) + 1e-4 as aa, sum(s0 * ds) as sd, sum(a0 * ds) as ad from x where ds is not null),
+f as (select (sd * aa - ad * sa) / (ss * aa - sa * sa) as ws, (ad * ss - sd * sa) / (ss * aa - sa * sa) as wa from s)
+select ep, round(coalesce(avg(abs(ds - ws * s0 - wa * a0)), 0), 4) + 0.0 as error from x, f group by ep""",
+    "failure_diagnosis": f"""with {LI}, ft as (select ep, {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}" for c in DIMS)} from li group by ep),
+sc as (select ep, {", ".join(f"case when max({c}) over () > min({c}) over () then ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) else 0.0 end as {c}" for k in DIMS for c in (f"m_{k}", f"d_{k}"))} from ft),
+ds as (select a.ep, sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for k in DIMS for c in (f"m_{k}", f"d_{k}"))}) as d from sc a, sc b where a.ep <> 1 and b.ep = 1),
+g as (select min(d) as d, arg_min(ep, d) as nearest, sum((d < 0.15)::int)::bigint as n_close, sum((d < 0.30)::int)::bigint as n_near from ds)
+select nearest, round(d, 5) + 0.0 as distance, n_close, n_near, case when n_close >= 3 then 'COVERED' when n_near >= 1 then 'PARTIAL' else 'MISSING' end as verdict,
+  (case when n_close >= 3 then 0 when n_near >= 1 then greatest(0, 5 - n_close) else 8 end)::bigint as to_collect from g""",
+    "cure_interpolate": f"""with {EV}, x as (select *, lead(t) over w as next_t, lead(a0) over w as nxt, first_value(t) over w as t0, t - lag(t) over w as dt from ev window w as (partition by ep order by step)),
+y as (select *, median(dt) over (partition by ep) as every from x), z as (select *, ceil((t - t0) / every)::bigint as lo, ceil((next_t - t0) / every)::bigint as hi from y where every > 0 and next_t > t),
+g as (select *, unnest(range(lo, hi)) as i from z) select ep, i, round(a0 + (nxt - a0) * (t0 + i * every - t) / (next_t - t), 3) + 0.0 as value from g""",
+    "corrupt_drop": f"""with {EV}, x as (select ep, step, row_number() over (partition by ep order by md5(ep || '|' || step || '|42'), step) as place, count(*) over (partition by ep) as n from ev)
+select ep, step from x where place <= greatest(2, floor(n * (1.0 - 0.2)))""",
 }

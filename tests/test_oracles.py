@@ -44,6 +44,6 @@ def test_query_equals_sql(spark, small, duck, name):
 
 def test_queries_without_sql_are_named():
     assert set(catalog.QUERIES) - set(oracles.SQL) <= {
-        "submovement_ldlj", "pca_top2", "kcenter_coreset", "nearest_embedding", "approx_coreset", "dataset_comparison", "near_leakage",
-        "transition_dynamics", "linear_surprise", "knn_density", "ssl_outliers", "cure_interpolate", "cure_smooth", "corrupt_drop", "bootstrap_ci", "two_modes", "coverage_gap", "latency",
+        "submovement_ldlj", "pca_top2", "kcenter_coreset", "nearest_embedding", "approx_coreset", "dataset_comparison",
+        "embedding_outliers", "similar_outcomes", "outlier_concentration",
     }
