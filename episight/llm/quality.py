@@ -30,28 +30,31 @@ WINDOW = 5
 class Band:
     """A text is kept if each figure lies in its band.
 
-    The entropy band grows with the text: ``entropy_share`` is a share of
-    log2(number of tokens), the most that so many tokens can have.
+    The entropy band grows with the text only as far as a language's own
+    entropy lets it: ``min_entropy_share`` is a share of log2(number of tokens),
+    the most that so many tokens can have, and of ``full_entropy`` bits at most.
     """
 
     min_chars: float = 1.2
     max_chars: float = 8.0
     max_fallback: float = 0.15
     min_entropy_share: float = 0.45
+    full_entropy: float = 12.0
     max_symbols: float = 0.25
 
 
 #: For Latin script in general, for languages with their own figures, and for
-#: scripts that the vocabulary covers by few pieces or by bytes only.
+#: scripts that the vocabulary covers by few pieces or by bytes only, whose
+#: tokens are letters or bytes and so have less entropy at any length.
 BANDS: Mapping[str, Band] = {
     "latin": Band(),
     "en": Band(min_chars=1.4),
     "de": Band(min_chars=1.3),
     "fr": Band(min_chars=1.2),
     "es": Band(min_chars=1.3),
-    "cyrillic": Band(min_chars=0.9, max_fallback=0.2),
-    "cjk": Band(min_chars=0.25, max_chars=3.0, max_fallback=0.95),
-    "other": Band(min_chars=0.2, max_fallback=0.98),
+    "cyrillic": Band(min_chars=0.9, max_fallback=0.2, full_entropy=8.0),
+    "cjk": Band(min_chars=0.25, max_chars=3.0, max_fallback=0.95, full_entropy=9.0),
+    "other": Band(min_chars=0.2, max_fallback=0.98, full_entropy=8.8),
 }
 
 
@@ -224,7 +227,7 @@ def verdicts(figs: DataFrame, bands: Mapping[str, Band] = BANDS, lang_col: str |
     tests = {
         "chars_per_token": (F.col("chars_per_token") < of("min_chars")) | (F.col("chars_per_token") > of("max_chars")),
         "byte_fallback": F.col("fallback_share") > of("max_fallback"),
-        "token_entropy": F.col("token_entropy") < of("min_entropy_share") * F.log2(n.cast("double")),
+        "token_entropy": F.col("token_entropy") < of("min_entropy_share") * F.least(F.log2(n.cast("double")), of("full_entropy")),
         "symbols": F.col("n_symbols") > of("max_symbols") * F.col("word_chars"),
     }
     df = df.withColumn("reasons", F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import public_tokenizers
@@ -73,3 +74,17 @@ def test_stage_keeps_whole_rows(documents, edge):
         assert kept.columns == docs.columns
         good = sorted(repr(r.doc_id) for r in Q.quality_rules(docs, VOCABULARY).collect() if r.kept)
         assert sorted(repr(r.doc_id) for r in kept.collect()) == good
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_length_alone_refuses_no_clean_text(spark, lang):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = [r.text for r in docs.join(Q.quality_rules(docs, VOCABULARY).where("kept").select("doc_id"), "doc_id").where(f"lang = '{lang}'").orderBy("doc_id").collect()]
+    words = [w for t in clean for w in WORD.findall(t)]
+    rng = random.Random(1)
+    long = " ".join(rng.choice(words) for _ in range(1_000_000))
+    few = " ".join(rng.choice(words[:8]) for _ in range(100_000))
+    rows = spark.createDataFrame([(1, long, lang), (2, few, lang)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.quality_rules(rows, VOCABULARY).collect()}
+    assert got[1].n_tokens >= 1_000_000 and got[1].kept and got[1].reasons == []
+    assert got[2].reasons == ["token_entropy"]
