@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Features are collected for the exact greedy choice only up to this many rows; beyond, the composed form runs.
+#: Features are collected for the greedy choice only up to this many rows.
 MAX_EXACT = 50_000
 
 
@@ -45,12 +45,12 @@ def greedy_cover(x: np.ndarray, k: int) -> list[int]:
 
 
 def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_exact: int = MAX_EXACT) -> DataFrame:
-    """(key, rank): ``k`` rows that cover the features.
+    """(key, rank): ``k`` rows that cover the features, approximately.
 
-    Up to ``max_exact`` rows the choice is exact, on the driver; beyond, each of
-    many hashed parts chooses its own candidates and the exact choice is made among
-    those (a composed core-set: at most four times the optimal radius), part
-    by part until they are few enough.
+    Up to ``max_exact`` rows the choice is that of ``k_center_exact``; beyond, each of
+    many hashed parts chooses its own candidates and the choice is made among
+    those, part by part until they are few enough.  A part gives fewer than
+    ``k`` candidates, so the radius has no proven bound.
     """
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     n = df.count()
@@ -73,6 +73,54 @@ def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_
     return features.sparkSession.createDataFrame(out, f"{key} long, rank int")
 
 
+def k_center_exact(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_exact: int = MAX_EXACT, cut: int = 8) -> DataFrame:
+    """(key, rank): ``k`` rows that cover the features, as ``greedy_cover``
+    chooses them at any size.
+
+    Up to ``max_exact`` rows they come to the driver; beyond, each pick is one
+    distributed argmax over a table of running distances, which is written
+    anew every ``cut`` picks.  Only the picked rows come to the driver.
+    """
+    from ..llm.common import cut_lineage  # here, as the subpackage can be left out
+
+    df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    n = df.count()
+    if n <= max_exact:
+        return k_center(features, cols, k, key, max_exact)
+    centre = np.array(df.agg(*[F.avg(F.col("x")[i]) for i in range(len(cols))]).first())
+    # the table holds each row's squared distance to the nearest pick; the first argmax is by the distance to the centroid
+    held = cut_lineage(df.select(F.monotonically_increasing_id().alias("id"), "k", "x", F.lit(float("inf")).alias("near")))
+
+    def moved(points: list[np.ndarray], ids: list[int]) -> DataFrame:
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                near = b.column(3).to_numpy().copy()
+                for p in points:
+                    near = np.minimum(near, ((x - p) ** 2).sum(1))
+                near[np.isin(b.column(0).to_numpy(), ids)] = -1.0
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near)], names=["id", "k", "x", "near"])
+
+        return held.mapInArrow(run, "id long, k long, x array<double>, near double")
+
+    picked: list[tuple[int, int]] = []
+    points: list[np.ndarray] = []
+    ids: list[int] = []
+    while len(picked) < min(k, n):
+        far = moved(points if picked else [centre], ids).orderBy(F.desc("near"), "k", "x", "id").first()
+        picked.append((far.k, len(picked)))
+        points.append(np.array(far.x))
+        ids.append(far.id)
+        if len(points) == cut:
+            held = cut_lineage(moved(points, ids))
+            points, ids = [], []
+    return features.sparkSession.createDataFrame(picked, f"{key} long, rank int")
+
+
 def distance_to(selected: DataFrame, rows: DataFrame, cols: list[str], key: str = "ep") -> DataFrame:
     """(key, distance): of each row to the nearest selected one; selections are
     broadcast, as their number was asked for."""

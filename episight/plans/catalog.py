@@ -223,7 +223,7 @@ def _vectors(spark, d):
 @query
 def kcenter_coreset(spark, d):
     v, cols = _vectors(spark, d)
-    return selection.k_center(v, cols, 50)
+    return selection.k_center_exact(v, cols, 50)
 
 
 @query

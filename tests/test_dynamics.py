@@ -60,3 +60,12 @@ def test_composed_core_set_covers_nearly_as_well(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "ep long, x double, y double")
     picked = [r.ep for r in selection.k_center(df, ["x", "y"], 4, max_exact=100).collect()]
     assert {p // 150 for p in picked} == {0, 1, 2, 3}
+
+
+def test_k_center_is_exact_beyond_the_driver(spark):
+    x = np.random.default_rng(5).normal(0, 1, (700, 3)).round(2)
+    x[[20, 21]] = x[19]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "ep long, x double, y double, z double").repartition(5)
+    got = [r.ep for r in selection.k_center_exact(df, ["x", "y", "z"], 45, max_exact=100).orderBy("rank").collect()]
+    assert got == selection.greedy_cover(x, 45)
+    assert [r.ep for r in selection.k_center(df, ["x", "y", "z"], 45, max_exact=100).orderBy("rank").collect()] != got
