@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+
 #: Features are collected for the greedy choice only up to this many rows.
 MAX_EXACT = 50_000
 
@@ -81,8 +83,6 @@ def k_center_exact(features: DataFrame, cols: list[str], k: int, key: str = "ep"
     distributed argmax over a table of running distances, which is written
     anew every ``cut`` picks.  Only the picked rows come to the driver.
     """
-    from ..llm.common import cut_lineage  # here, as the subpackage can be left out
-
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     n = df.count()
     if n <= max_exact:
