@@ -4,10 +4,10 @@ A rolling hash over the bytes decides where a text is cut, so passages that
 documents share fall into the same chunks wherever they start.  A chunk's
 inside (from its first to its last white space) is encoded once a task and
 kept.  What a cut splits, from the last white space before it to the first
-one after it, is put together again and re-encoded: there the left and right
-encodings agree with that of the whole text, as neither the normaliser nor the
-pre-tokenizer looks past ASCII white space.  A chunk without white space joins
-the piece on both sides, however long that grows.
+one after it, is put together again.  Each join is repaired by re-encoding: a
+window that reaches into the chunks on both sides is encoded and compared with
+what its parts give; where they differ the window grows, until both agree or
+it is the whole text, whose encoding then stands.
 
 The inside of a new chunk is encoded from a dictionary of its white-space
 separated words, so a word is given to the tokenizer once a task as well.
@@ -21,11 +21,13 @@ from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import beside, per_batch, texts
 
 WINDOW = 16
 SPACE = b" \t\n\r\x0b\x0c"
+BLANK = bytes.maketrans(SPACE, b" " * len(SPACE))
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: One pseudo-random number for each byte, from a fixed seed: any numbers do, they only place the cuts.
 GEAR = np.random.default_rng(1).integers(0, 2**32, 256, dtype=np.uint32)
@@ -69,26 +71,93 @@ class Codec:
         self.tok = Tokenizer.from_file(vocabulary)
         self.tok.no_truncation()
         self.tok.no_padding()
-        if self.tok.decoder is not None:
-            raise ValueError("decoding by parts needs a vocabulary without a decoder, whose tokens are joined by spaces")
+        self._check()
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.decimal = [str(i) for i in range(len(self.names))]
+        self.letter = byte_letters()
+        self.agreed: dict[bytes, None] = {}  # windows whose encoding is that of their parts
+        self.repaired = self.rejoined = 0  # windows that had to grow; texts that were encoded whole
         self.mean, self.max_words, self.max_bytes = mean_chunk, max_words, max_chunk_bytes
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple | None] = {}
         self.held = 0
 
+    def _check(self) -> None:
+        """Refuse vocabularies whose pieces reach across white space, or whose tokens aren't joined by spaces when decoded."""
+        if self.tok.decoder is not None:
+            raise ValueError("decoding by parts needs a vocabulary without a decoder, whose tokens are joined by spaces")
+        for t in self.tok.get_added_tokens_decoder().values():
+            if t.lstrip or t.rstrip or t.single_word or t.content.strip() != t.content or len(t.content.split()) > 1:
+                raise ValueError(f"the added token {t.content!r} looks at or across white space")
+        probes = ["a", "The", "it's", "don", "'t", "12", "3.5", "(x)", "é", "e\u0301", "漢字", "...", "_", "🙂", "<|endoftext|>", "ÀB"]
+        alone = {p: self._ids(p) for p in probes}
+        for p in probes:
+            for q in probes:
+                for space in (" ", "\n", "  ", "\t\r\n", " \x0b\x0c "):
+                    if self._ids(f"{space}{p}{space}{q}{space}") != alone[p] + alone[q]:
+                        raise ValueError("the vocabulary has pieces that reach across white space")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def _learn(self, new: set[bytes]) -> None:
-        order = list(new)
-        for w, e in zip(order, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)):
+        order = [w.decode("utf-8", "replace") for w in new]
+        normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
+        for raw, w, e in zip(new, order, self.tok.encode_batch_fast(order, add_special_tokens=False)):
             ids = e.ids
-            self.words[w] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+            back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
+            same = "".join(normal(w).split()).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
+            self.words[raw] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), same)
+
+    @property
+    def suffix(self) -> str:
+        return self.tok.model.end_of_word_suffix or "\0"
 
-    def _join(self, words: list[bytes]) -> tuple[int, str, str] | None:
-        got = [x for x in map(self.words.__getitem__, words) if x[0]]
-        return (sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])) if got else None
+    def _window(self, raw: bytes, start: int, end: int, reach: int) -> tuple[bytes, list[bytes]]:
+        """The bytes from some word before ``start`` to some word after
+        ``end``, with at most ``reach`` bytes on each side, and the words in it."""
+        left, right = raw[max(0, start - reach) : start], raw[end : end + reach]
+        if start > reach:  # from the first white space on
+            left = left[len(left) - len(left.translate(BLANK).partition(b" ")[1] + left.translate(BLANK).partition(b" ")[2]) :]
+        if end + reach < len(raw):
+            right = right[: len(right.translate(BLANK).rpartition(b" ")[0] + right.translate(BLANK).rpartition(b" ")[1])]
+        whole = left + raw[start:end] + right
+        return whole, whole.split()
+
+    def _repair(self, batch: list[bytes], joins: list[tuple[int, int, int]], reach: int = 24) -> set[int]:
+        """Re-encode around each join (text, start, end), wider and wider, until
+        it agrees with its parts; the texts where it never does."""
+        whole_texts: set[int] = set()
+        while joins:
+            windows = {}
+            for k, start, end in joins:
+                whole, parts = self._window(batch[k], start, end, reach)
+                if whole not in self.agreed:
+                    windows[whole] = parts
+            order = list(windows)
+            self._learn({w for parts in windows.values() for w in parts if w not in self.words})
+            bad = set()
+            for whole, e in zip(order, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)):
+                want = " ".join([x[1] for x in map(self.words.__getitem__, windows[whole]) if x[0]])
+                if " ".join([self.decimal[i] for i in e.ids]) == want:
+                    self.agreed[whole] = None
+                else:
+                    bad.add(whole)
+            if not bad:
+                break
+            joins = [j for j in joins if self._window(batch[j[0]], j[1], j[2], reach)[0] in bad]
+            whole_texts |= {k for k, start, end in joins if reach >= len(batch[k])}
+            joins = [j for j in joins if j[0] not in whole_texts]
+            self.repaired += len(joins)
+            reach *= 2
+        return whole_texts
 
-    def encode(self, batch: list[bytes]) -> list[tuple[int, str, str]]:
+    def _join(self, words: list[bytes]) -> tuple[int, str, str, bool]:
+        return joined(map(self.words.__getitem__, words))
+
+    def encode(self, batch: list[bytes]) -> list[tuple[int, str, str, bool]]:
+        """For each text its number of ids, the ids and the token names, both
+        joined by spaces, and whether the tokens spell the normalised text (but for white space)."""
         # the oldest go first; what is needed again is encoded again
         if len(self.words) > self.max_words:
             for w in list(islice(self.words, len(self.words) - self.max_words * 3 // 4)):
@@ -97,8 +166,11 @@ class Codec:
             for chunk in list(islice(self.chunks, len(self.chunks) // 2)):
                 del self.chunks[chunk]
                 self.held -= 4 * len(chunk) + 300
+        if len(self.agreed) > self.max_words:
+            self.agreed.clear()
+        joins: list[tuple[int, int, int]] = []
         plans, need, fresh = [], set(), {}
-        for raw in batch:
+        for k, raw in enumerate(batch):
             plan, rest = [], b""  # chunks and joins in order; rest: what stands since the last white space
             at = 0
             for end in [*cuts(raw, self.mean), len(raw)]:
@@ -114,11 +186,15 @@ class Codec:
                 if rest or parts[0]:
                     plan.append((rest + parts[0], None))
                     need.add(rest + parts[0])
+                if end > len(chunk):  # what the cut before this chunk has split, or the cut alone
+                    joins.append((k, end - len(chunk) - len(rest), end - len(chunk) + len(parts[0])))
                 plan.append((None, chunk))
                 rest = parts[2]
             if rest:
                 plan.append((rest, None))
                 need.add(rest)
+                if len(rest) < len(raw):
+                    joins.append((k, len(raw) - len(rest), len(raw)))
             plans.append(plan)
         for parts in fresh.values():
             if parts is not None:
@@ -127,13 +203,74 @@ class Codec:
         for chunk, parts in fresh.items():
             self.chunks[chunk] = None if parts is None else (parts[0], self._join(parts[1]), parts[2])
             self.held += 4 * len(chunk) + 300
-        out = []
-        for plan in plans:
-            got = [x for x in (self.words[w] if c is None else self.chunks[c][1] for w, c in plan) if x and x[0]]
-            out.append((sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
+        out = [joined(self.words[w] if c is None else self.chunks[c][1] for w, c in plan) for plan in plans]
+        for k in self._repair(batch, joins):
+            self.rejoined += 1
+            ids = self._ids(batch[k].decode("utf-8", "replace"))
+            out[k] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), False)
         return out
 
 
+def joined(parts) -> tuple[int, str, str, bool]:
+    """Encodings one after another; those without ids only count for the last figure."""
+    parts = list(parts)
+    got = [x for x in parts if x[0]]
+    return sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got]), all(x[3] for x in parts)
+
+
+def byte_letters() -> dict[str, bytes]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable
+    ones stand for themselves, the others for those from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): bytes([b]) for b in plain} | {chr(256 + k): bytes([b]) for k, b in enumerate(rest)}
+
+
+def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
+    """``df`` with a column ``decoded``: the tokens of ``ids_col`` (array of int)
+    as the tokenizers library decodes them, special ones included.
+
+    A null array gives a null, an empty one an empty text; an id that the
+    vocabulary doesn't have is left out; a column named decoded is replaced.
+    """
+
+    def make() -> Callable:
+        codec = Codec(vocabulary)
+        known = len(codec.names)
+
+        def work(ids) -> dict[str, list]:
+            return {"decoded": [None if x is None else " ".join([codec.names[i] for i in x if i is not None and 0 <= i < known and codec.names[i] is not None]) for x in ids.to_pylist()]}
+
+        return work
+
+    return beside(df, F.col(ids_col), make, "decoded string")
+
+
+def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean_chunk: int = 512) -> DataFrame:
+    """All columns of ``docs`` with n_tokens, ids (array of int), ids_sha256,
+    decoded_sha256 and round_trips (whether the tokens spell the normalised text,
+    white space apart).  Own names win over clashing columns; a null text counts as empty."""
+
+    def make() -> Callable:
+        codec = Codec(vocabulary, mean_chunk)
+
+        def work(column) -> dict[str, list]:
+            out = {"n_tokens": [], "ids_text": [], "ids_sha256": [], "decoded_sha256": [], "round_trips": []}
+            raw = column.to_pylist()
+            for at in range(0, len(raw), 250):
+                for row in codec.encode(raw[at : at + 250]):
+                    for values, x in zip(out.values(), (row[0], row[1], hashlib.sha256(row[1].encode()).hexdigest(), hashlib.sha256(row[2].encode()).hexdigest(), row[3])):
+                        values.append(x)
+            return out
+
+        return work
+
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    out = beside(docs, text, make, "n_tokens long, ids_text string, ids_sha256 string, decoded_sha256 string, round_trips boolean", hides=("ids",))
+    ids = F.when(F.col("n_tokens") > 0, F.split("ids_text", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    return out.withColumn("ids", ids).drop("ids_text")
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, mean_chunk: int = 512) -> DataFrame:
     """Encode every text and decode it again.
 
@@ -152,11 +289,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             got = codec.encode(raw)
             return {
                 "doc_id": ids,
-                "n_tokens": [n for n, _, _ in got],
-                "ids_sha256": [hashlib.sha256(i.encode()).hexdigest() for _, i, _ in got],
-                "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for _, _, d in got],
-                "ids": [[int(x) for x in i.split()] for _, i, _ in got] if keep else [],
-                "decoded": [d for _, _, d in got] if keep else [],
+                "n_tokens": [x[0] for x in got],
+                "ids_sha256": [hashlib.sha256(x[1].encode()).hexdigest() for x in got],
+                "decoded_sha256": [hashlib.sha256(x[2].encode()).hexdigest() for x in got],
+                "ids": [[int(i) for i in x[1].split()] for x in got] if keep else [],
+                "decoded": [x[2] for x in got] if keep else [],
             }
 
         return work

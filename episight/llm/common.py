@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage, shared_dir  # noqa: F401
+
 #: Keys with at least this share of all rows count as hot.  There can be at
 #: most ``HOT_PARTS`` of them, however large the input, so a table of the hot
 #: keys has a proven size and may be broadcast.
@@ -19,29 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local one made.
-    """
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at or at == "/tmp/checkpoints" and sc.master.startswith("local["):
-        at = getattr(sc, "_episight_dir", None)
-        if at is None:
-            at = sc._episight_dir = tempfile.mkdtemp(prefix="episight-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that a lost
-    executor costs a read and not the work behind it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are pruned."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -72,6 +51,28 @@ def per_batch(
     return df.mapInArrow(run, struct)
 
 
+def beside(df: DataFrame, value, make: Callable[[], Callable[[pa.Array], dict[str, list]]], schema: str, hides: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``df`` and those of ``schema``, which ``make()(values)``
+    gives for each batch of the column ``value``; new names, and those in
+    ``hides``, win over clashing columns."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = _parse_datatype_string(schema)
+    new = {f.name.lower() for f in struct} | set(hides)
+    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c.lower() not in new]).alias("row"), value.alias("value"))
+    whole = StructType([StructField("row", rows.schema["row"].dataType), *struct.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(whole)
+        work = make()
+        for b in batches:
+            got = work(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *[pa.array(got[f.name], f.type) for f in list(out)[1:]]], schema=out)
+
+    return rows.mapInArrow(run, whole).select("row.*", *struct.names).drop("_")
+
+
 def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, whose ``on`` is unique and whose column
     ``n`` says how many rows of ``left`` have that key (the rows of ``left``
@@ -80,8 +81,14 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
 
     The rows of hot keys meet a broadcast of at most ``HOT_PARTS`` rows and
     stay where they are; the rest is shuffled, and no key there has more than
-    a thousandth of the rows.
+    a thousandth of the rows.  Null keys match nothing; for a left join their
+    rows stay where they are.
     """
+    if how == "left":
+        none = right.drop("n", on).schema.fields
+        bare = left.where(F.col(on).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
+        return join_skewed(left.where(F.col(on).isNotNull()), right.where(F.col(on).isNotNull()), on, "keyed left").select(bare.columns).unionByName(bare)
+    how = how.removeprefix("keyed ")
     total = right.agg(F.sum("n")).first()[0] or 0
     hot = right.where((F.col("n") * HOT_PARTS >= total) & (F.col("n") > 1))
     keys = [r[0] for r in hot.select(on).collect()]
@@ -92,3 +99,61 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     some = left.where(is_hot).join(F.broadcast(hot.drop("n")), on, how)
     rest = left.where(~is_hot).join(right.where(~is_hot).drop("n"), on, how)
     return some.unionByName(rest)
+
+
+#: A pseudo-random number for each byte, from a fixed seed.
+BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values, from their bytes and places."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    width = np.diff(at)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(words) else np.zeros(0, np.uint8)
+    power = np.cumprod(np.full(int(width.max(initial=0)) + 1, 0x5851F42D4C957F2D, np.uint64), dtype=np.uint64)
+    place = np.arange(len(raw)) - np.repeat(at[:-1] - at[0] if len(words) else at[:0], width)
+    run = np.concatenate([[np.uint64(0)], np.cumsum((BYTE[raw] ^ power[place]) * power[place], dtype=np.uint64)])
+    x = (run[at[1:] - at[0]] - run[at[:-1] - at[0]] + width.astype(np.uint64)) * ODD if len(words) else np.zeros(0, np.uint64)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+class Words:
+    """Numbers for words, in the order in which they are met, and their hashes; number 0 is the empty word."""
+
+    def __init__(self):
+        self.all = pa.array([b""], pa.large_binary())
+        self.hash = hash_words(self.all)
+        self.known = 1
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Word numbers of the texts one after another, each with its end (the
+        empty word); how many each text has; and the words that are new.
+
+        Only A-Z change and only ASCII white space splits.
+        """
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        size = np.diff(parts.offsets.to_numpy())
+        coded = pc.dictionary_encode(parts.flatten())
+        words = coded.dictionary.cast(pa.large_binary())
+        own = pc.index_in(words, value_set=self.all)
+        new = words.filter(own.is_null())
+        number = own.fill_null(0).to_numpy().astype(np.int64)
+        number[own.is_null().to_numpy(zero_copy_only=False)] = self.known + np.arange(len(new))
+        flat = number[coded.indices.to_numpy()]
+        if len(new):
+            self.all = pa.concat_arrays([self.all, new])
+            self.hash = np.concatenate([self.hash, hash_words(new)])
+            self.known += len(new)
+        # white space at either side of a text, and a text without words, give empty words: all go, then one end a text
+        text = np.repeat(np.arange(len(size)), size)
+        real = flat != 0
+        size = np.bincount(text[real], minlength=len(size)) + 1
+        out = np.zeros(int(size.sum()), np.int64)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(size) - 1] = False
+        out[keep] = flat[real]
+        return out, size, new

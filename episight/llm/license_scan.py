@@ -131,12 +131,13 @@ class Scanner:
         self.auto = Automaton(coded)
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         self.unknown = k = len(self.vocab)
-        self.pair = np.zeros((k + 1, k + 1), np.uint8)  # 1: some template has the pair; 2: a phrase starts with it
-        for s in coded:
-            self.pair[s[:-1], s[1:]] |= 1
-        for s in coded[len(templates) :]:
-            self.pair[s[0], s[1]] |= 2
-        own = {self.auto.state(s): (len(s), label) for s, label in zip(coded[len(templates) :], phrases.values())}
+        # the pairs of words that templates or phrases have, as sorted numbers; whether a phrase starts with it
+        pairs = {x * (k + 1) + y for s in coded for x, y in zip(s, s[1:])}
+        starts = {s[0] * (k + 1) + s[1] for s in coded[len(templates) :] if len(s) > 1}
+        self.pairs = np.array(sorted(pairs) or [-1], np.int64)
+        self.opens = np.array([x in starts for x in self.pairs.tolist()])
+        self.single = {s[0]: label for s, label in zip(coded[len(templates) :], phrases.values()) if len(s) == 1}
+        own = {self.auto.state(s): (len(s), label) for s, label in zip(coded[len(templates) :], phrases.values()) if len(s) > 1}
         self.phrases: list[list[tuple[int, str]]] = []  # by state: the phrases that end there
         for v in range(len(self.auto.size)):
             at, found = v, []
@@ -145,27 +146,40 @@ class Scanner:
                     found.append(own[at])
                 at = self.auto.link[at]
             self.phrases.append(found)
+        # by state: for each template the longest run that ends there and that it has, as a state on the suffix path
+        self.reach: list[dict[int, int]] = []
+        for v in range(len(self.auto.size)):
+            at, found = v, {}
+            while at > 0 and self.auto.size[at] >= min_match:
+                for t, _ in self.auto.ends[at]:
+                    if t < len(self.labels):
+                        found.setdefault(t, at)
+                at = self.auto.link[at]
+            self.reach.append(found)
 
     def scan(self, raw: bytes) -> dict:
         words = words_of(raw)
         code = np.fromiter((self.vocab.get(w, self.unknown) for w in words), np.int64, len(words))
-        pair = self.pair[code[:-1], code[1:]]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], pair > 0, [0]]).astype(np.int8)))
-        places: list[tuple[int, str]] = []
-        matches: list[tuple[int, int, int]] = []  # end in the text, length, state
+        number = code[:-1] * (self.unknown + 1) + code[1:]
+        at = np.minimum(np.searchsorted(self.pairs, number), len(self.pairs) - 1)
+        known = self.pairs[at] == number
+        opens = known & self.opens[at]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], known, [0]]).astype(np.int8)))
+        places: list[tuple[int, str]] = [(int(i), label) for w, label in self.single.items() for i in np.flatnonzero(code == w)]
+        matches: list[tuple[int, int, int, int]] = []  # template, end in the text, length, state
+        size_of = self.auto.size
         for a, b in zip(edge[::2], edge[1::2]):
-            if b - a + 1 < self.min_match and not (pair[a:b] & 2).any():
+            if b - a + 1 < self.min_match and not opens[a:b].any():
                 continue
-            before = None
+            last: dict[int, tuple[int, int]] = {}  # by template: length and state of its own longest match so far
             for i, (v, n) in enumerate(self.auto.stream(code[a : b + 1].tolist())):
                 for size, label in self.phrases[v]:
                     if size <= n:
                         places.append((int(a) + i + 1 - size, label))
-                if before and n != before[1] + 1 and before[1] >= self.min_match:
-                    matches.append(before)
-                before = (int(a) + i + 1, n, v)
-            if before[1] >= self.min_match:
-                matches.append(before)
+                now = {t: (min(n, size_of[u]), u) for t, u in self.reach[v].items() if n >= self.min_match}
+                matches += [(t, int(a) + i, m, u) for t, (m, u) in last.items() if now.get(t, (0, 0))[0] != m + 1]
+                last = now
+            matches += [(t, int(b) + 1, m, u) for t, (m, u) in last.items()]
         spans = self.chain(matches)
         base = {x for _, x in places}
         return {
@@ -179,12 +193,12 @@ class Scanner:
             "spans": spans,
         }
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
+    def chain(self, matches: list[tuple[int, int, int, int]]) -> list[dict]:
         """Matches in order of both positions, with bounded gaps, as covered spans of templates."""
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for end, n, v in matches:
-            for k, at in self.auto.ends[v]:
-                if k < len(self.labels) and at >= n:
+        for k, end, n, v in matches:
+            for t, at in self.auto.ends[v]:
+                if t == k and at >= n:
                     by.setdefault(k, []).append((end - n, at - n, n))
         out = []
         for k, found in sorted(by.items()):

@@ -86,7 +86,7 @@ def mix(
     Returns all columns of ``docs`` and, with ``extras``, rate, n_copies, copy
     (from 0) and mix_key: rows are dealt to partitions by its hash and stand in
     its order there.  Own names win over clashing columns.  A null source is a source of its own, a
-    null text has one byte, a null id hashes as "null"; rows with equal ids
+    null text has one byte, a row without an id is hashed by its text; rows with equal ids
     get equal numbers of copies; an empty table gives an empty result.
     """
     rates = source_rates(docs, weights, temperature, budget, source_col, text_col)
@@ -94,7 +94,7 @@ def mix(
     rates = rates.select("source", "rate", poisson_table(F.col("rate")).alias("table"))
     own = {"rate", "n_copies", "copy", "mix_key"}
     names = [c for c in docs.columns if not extras or c.lower() not in own]
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source_col).alias("from"), ident.alias("ident"))
     rows = rows.join(F.broadcast(rates) if few else rates, F.col("from").eqNullSafe(F.col("source")), "left")
     rows = rows.withColumn("u", uniform(F.lit(str(seed)), F.lit("count"), F.col("ident")))

@@ -99,13 +99,13 @@ with stats as (
   select source, k, sum(p) over (partition by source order by k) as below from terms
 ), docs as (
   select d.*, r.rate,
-    (('0x' || substr(md5('17|count|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+    (('0x' || substr(md5('17|count|' || coalesce(doc_id::varchar, 'null|' || md5(coalesce(text, '')))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from documents d join rates r on d.source is not distinct from r.source
 ), counted as (
   select d.*, (select count(*) from cdf c where c.source is not distinct from d.source and c.below <= d.u) as n from docs d
 )
 select doc_id, text, lang, source, n_chars, rate, n::int as n_copies, i::int as copy,
-  substr(md5('17|order|' || coalesce(doc_id::varchar, 'null') || '|' || i), 1, 16) as mix_key
+  substr(md5('17|order|' || coalesce(doc_id::varchar, 'null|' || md5(coalesce(text, ''))) || '|' || i), 1, 16) as mix_key
 from counted, range(0, n) t(i)
 """
 

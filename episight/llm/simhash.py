@@ -15,7 +15,12 @@ after every few planes, and the bucket is abandoned once none is left.
 
 A bucket gives a spanning forest of its links, not all pairs; the components
 come from rounds of neighbour minima over these, which are far fewer than the
-documents.
+documents.  A bucket of many fingerprints is cut into blocks, and each pair of
+blocks is a task's work of its own.
+
+``keep_first`` groups documents by the similarity of their word shingles:
+buckets come from minima of shingle hashes, fingerprints rank a bucket's pairs
+by distance, and each pair that is to link is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,16 +28,22 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, join_skewed, texts
+from .common import Words, cut_lineage, join_skewed, texts
 
 BUCKET = 512
 #: Fingerprints compared with each other at once; larger buckets go in squares of this side.
 SIDE = 1024
+#: Members of a block; a bucket with more of them is compared by pairs of blocks.
+SQUARE = 8192
+#: Shingle minima that must agree for a bucket, and buckets of a document: at a
+#: similarity of 0.8 two documents miss each other once in 30,000 times, at 0.85 once in 500,000.
+MINIMA, BANDS = 3, 14
+#: Fingerprints of sets that are 0.8 alike differ in 10 of 64 bits on average, and hardly ever in more than this.
+WIDE = 24
 
 
 def fingerprint(raw: bytes, width: int = 3) -> int:
@@ -84,35 +95,45 @@ def buckets_for(n: int, radius: int, bits: int = 64) -> list[list[int]]:
     raise AssertionError
 
 
-def near_pairs(fp: np.ndarray, other: np.ndarray, radius: int = 3, check: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) with fp[i] and other[j] at most ``radius`` (1 to 3) bits apart."""
+def near_pairs(fp: np.ndarray, other: np.ndarray, radius: int = 3, check: int = 8, distances: bool = False) -> tuple[np.ndarray, ...]:
+    """Indexes (i, j) with fp[i] and other[j] at most ``radius`` (0 to 62) bits apart, and if asked how many.
+
+    The counters start so high that they overflow with one difference too many.
+    """
+    if not 0 <= radius <= 62:
+        raise ValueError("the radius must be 0 to 62")
+    n_bits = (radius + 1).bit_length() if radius else 1
+    n_bits -= (1 << (n_bits - 1)) == radius + 1 and n_bits > 1
+    bias = (1 << n_bits) - 1 - radius
     pad = -len(other) % 64
     bit = np.unpackbits(other.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     planes = np.packbits(np.ascontiguousarray(np.concatenate([bit, np.zeros((pad, 64), np.uint8)]).T), axis=1)
     planes = np.ascontiguousarray(planes).view(np.uint64)
     own = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     spare = np.packbits(np.concatenate([np.zeros(len(other), np.uint8), np.ones(pad, np.uint8)])).view(np.uint64)
-    query = np.where(own.T == 1, np.uint64(2**64 - 1), np.uint64(0))
+    full = np.uint64(2**64 - 1)
+    query = np.where(own.T == 1, full, np.uint64(0))
     row = np.arange(len(fp))
-    ones, twos = np.zeros((len(fp), planes.shape[1]), np.uint64), np.zeros((len(fp), planes.shape[1]), np.uint64)
-    far = np.repeat(spare[None, :], len(fp), 0)  # four or more differences, or no fingerprint
+    counters = [np.full((len(fp), planes.shape[1]), full if bias >> k & 1 else 0, np.uint64) for k in range(n_bits)]
+    far = np.repeat(spare[None, :], len(fp), 0)  # more differences than the radius, or no fingerprint
     for b in range(64):
-        x = planes[b][None, :] ^ query[b][row][:, None]
-        carry = ones & x
-        ones ^= x
-        far |= twos & carry
-        twos ^= carry
+        carry = planes[b][None, :] ^ query[b][row][:, None]
+        for c in counters:
+            over = c & carry
+            c ^= carry
+            carry = over
+        far |= carry
         if b % check == check - 1:
-            if radius < 3:
-                far |= twos & ones if radius == 2 else twos
-            live = ~(far == np.uint64(2**64 - 1)).all(1)
+            live = ~(far == full).all(1)
             if not live.all():
-                if not live.any():
-                    return np.empty(0, np.int64), np.empty(0, np.int64)
-                row, ones, twos, far = row[live], ones[live], twos[live], far[live]
-    hit = np.unpackbits((~far).view(np.uint8), axis=1)
-    i, j = np.nonzero(hit)
-    return row[i], j
+                row, far, counters = row[live], far[live], [c[live] for c in counters]
+                if not len(row):
+                    break
+    i, j = np.nonzero(np.unpackbits((~far).view(np.uint8), axis=1)) if len(row) else (np.empty(0, np.int64),) * 2
+    if not distances:
+        return row[i], j
+    at = [np.unpackbits(c.view(np.uint8), axis=1)[i, j].astype(np.int64) << k for k, c in enumerate(counters)]
+    return row[i], j, (sum(at) - bias if len(row) else np.empty(0, np.int64))
 
 
 def forest(fp: np.ndarray, radius: int) -> np.ndarray:
@@ -144,12 +165,46 @@ def forest(fp: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
+def squares(keyed: DataFrame, spread: str) -> DataFrame:
+    """``keyed`` (table, part, ...) with columns block, x and y, dealt out and
+    sorted by (table, part, x, y): a bucket of over ``SQUARE`` rows is cut into
+    blocks by the hash of ``spread``, and there is a group for each pair (x, y)
+    of blocks.  Only the large buckets' sizes are kept and joined."""
+    large = cut_lineage(keyed.groupBy("table", "part").agg(F.count("*").alias("n")).where(f"n > {SQUARE}").select("table", "part", F.ceil(F.col("n") / SQUARE).cast("int").alias("m")))
+    if few := large.count():
+        met = keyed.join(F.broadcast(large) if few <= 100_000 else large, ["table", "part"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    else:
+        met = keyed.withColumn("m", F.lit(1))
+    met = met.withColumn("block", F.pmod(F.xxhash64(spread), F.col("m")).cast("int"))
+    met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("x", F.least("block", "_o")).withColumn("y", F.greatest("block", "_o"))
+    return met.drop("m", "_o").repartition("table", "part", "x", "y").sortWithinPartitions("table", "part", "x", "y", spread)
+
+
+def by_group(batches, keys: int, work):
+    """``work(key, columns)`` for each run of equal values in the first ``keys`` columns of sorted batches."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        new = np.any([np.diff(c) != 0 for c in cols[:keys]], axis=0)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            key = tuple(int(c[s]) for c in cols[:keys])
+            if key != now:
+                if held:
+                    yield from work(now, [np.concatenate(c) for c in zip(*held)])
+                held, now = [], key
+            held.append([c[s:e] for c in cols[keys:]])
+    if held:
+        yield from work(now, [np.concatenate(c) for c in zip(*held)])
+
+
 def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     """(a, b): links between fingerprints of ``distinct`` (fp), enough to connect all that are within ``radius``.
 
     Fingerprints are unique there, so a bucket is large only if many different
-    ones agree on its bits; such a bucket is compared in squares of bounded
-    memory.
+    ones agree on its bits; such a bucket is compared by pairs of blocks.
     """
     import pyarrow as pa
 
@@ -159,32 +214,18 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
         masks.append(m - (1 << 64) if m >= 1 << 63 else m)
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)])).alias("k")).select("fp", "k.table", "k.part")
 
-    def compare(batches):
-        held, key = [], None
-
-        def done():
-            fp = np.concatenate(held)
-            if len(fp) > 1:
-                root = forest(fp.view(np.uint64), radius)
-                i = np.flatnonzero(root != np.arange(len(fp)))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], names=["a", "b"])
+    def forest_of(key, cols):
+        fp = cols[0]
+        if len(fp) > 1:
+            root = forest(fp.view(np.uint64), radius)
+            i = np.flatnonzero(root != np.arange(len(fp)))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], names=["a", "b"])
 
-        for b in batches:
-            table, part, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(fp):
-                continue
-            edge = np.flatnonzero((np.diff(table) != 0) | (np.diff(part) != 0)) + 1
-            for s, e in zip([0, *edge], [*edge, len(fp)]):
-                if (table[s], part[s]) != key:
-                    if held:
-                        yield from done()
-                    held, key = [], (table[s], part[s])
-                held.append(fp[s:e])
-        if held:
-            yield from done()
+    def compare(batches):
+        yield from by_group(batches, 4, forest_of)
 
-    return keyed.select("table", "part", "fp").repartition("table", "part").sortWithinPartitions("table", "part", "fp").mapInArrow(compare, "a long, b long")
+    return squares(keyed, "fp").select("table", "part", "x", "y", "fp").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,6 +264,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
     only if no row of the group has an id.  Repeated rows come out each, an empty
     table gives an empty result, other columns are ignored.
     """
+    if radius not in (1, 2, 3):
+        raise ValueError("buckets hold all links for a radius of 1 to 3")
     fp = cut_lineage(fingerprints(docs, width, id_col, text_col))
     out = join_skewed(fp, fingerprint_components(fp, radius), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id"))
@@ -243,24 +286,216 @@ def fingerprint_components(fp: DataFrame, radius: int) -> DataFrame:
     return cut_lineage(part.select("fp", F.col("rows").alias("n"), F.when(F.col("lead").isNull(), F.col("first")).otherwise(F.col("lead.first")).alias("component_id"), F.coalesce("lead.fp", "fp").alias("lead")))
 
 
-def keep_first(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates, with all columns: one with
-    the group's smallest doc_id (or of those without ids, if none has one).
+# --- similar documents --------------------------------------------------------
+
+
+def shingle_hashes(h: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts one after another, and how many each
+    text has, from the hashes of their words (``size`` a text).  Fewer than
+    ``width`` words give one shingle, none give none."""
+    many = np.where(size >= width, size - width + 1, np.minimum(size, 1))
+    start = np.repeat(np.cumsum(size) - size, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    left = np.repeat(np.cumsum(size), many) - start  # words from here to the text's end
+    out = np.zeros(len(start), np.uint64)
+    for k in range(width):
+        word = np.where(left > k, h[np.minimum(start + k, max(0, len(h) - 1))], np.uint64(0)) if len(h) else out
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out, many
+
+
+class Shingles:
+    """Shingle hashes of batches of texts."""
+
+    def __init__(self, width: int, max_words: int = 500_000):
+        self.width, self.max_words, self.words = width, max_words, Words()
+
+    def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        if self.words.known > self.max_words:
+            self.words = Words()
+        flat, size, _ = self.words.read(texts)
+        keep = np.ones(len(flat), bool)
+        keep[np.cumsum(size) - 1] = False  # the ends are no words
+        return shingle_hashes(self.words.hash[flat[keep]], size - 1, self.width)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, th, same, n, fp, bands) for each row: hashes of the text and of
+    its set of shingles, the size of the set, the fingerprint, and the keys of its buckets."""
+    import pyarrow as pa
 
-    Only ids and fingerprints are compared; the documents are then matched to
-    the (id, fingerprint) pairs that stay, with the fingerprint computed again
-    rather than written next to the text.
+    odd = np.random.default_rng(5).integers(0, 2**63, MINIMA * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        shingles = Shingles(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                h, many = shingles.read(b.column(2))
+                own = np.repeat(np.arange(len(many)), many)
+                top = np.zeros((len(many), 64), np.int64)
+                bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                some = np.flatnonzero(many)
+                first = (np.cumsum(many) - many)[some]
+                if len(some):
+                    top[some] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+                fp = np.packbits(2 * top > many[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                order = np.lexsort((h, own))
+                x, o = h[order], own[order]
+                new = np.concatenate([[True], (x[1:] != x[:-1]) | (o[1:] != o[:-1])])[: len(x)]
+                x, o = x[new], o[new]
+                n = np.bincount(o, minlength=len(many))
+                first = (np.cumsum(n) - n)[some]
+                same, bands = np.zeros(len(many), np.uint64), np.zeros((len(many), BANDS), np.uint64)
+                if len(some):
+                    mixed = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                    same[some] = np.add.reduceat(mixed ^ mixed >> np.uint64(32), first, dtype=np.uint64)
+                    for k, a in enumerate(odd):
+                        low = np.minimum.reduceat(x * a ^ (x * a >> np.uint64(31)), first)
+                        band = bands[some, k // MINIMA]
+                        bands[some, k // MINIMA] = (band ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k // MINIMA)
+                values = pa.array(bands.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * BANDS), values)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same.view(np.int64)), pa.array(n, pa.int64()), pa.array(fp), lists], names=["doc_id", "th", "same", "n", "fp", "bands"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, same long, n long, fp long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(same, shingles) for each row (same, text)."""
+    import pyarrow as pa
+
+    def run(batches):
+        shingles = Shingles(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                h, many = shingles.read(b.column(1))
+                sets = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(many)[:-1])]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
+
+    return docs.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
+
+
+def nearest_untested(buckets: DataFrame, most: int, tenths: int) -> DataFrame:
+    """(same, a bucket's key, other, rank) rows: for each member of a bucket (or
+    pair of blocks) the ``most`` nearest members of other components that come
+    after its ``tested`` rank; ranks order by distance, then by number.
+
+    Pairs whose sets differ so much in size that they can't be alike are no candidates.
     """
-    from pyspark.sql.functions import pandas_udf
+    import pyarrow as pa
 
-    @pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t.encode("utf-8", "replace"), width) for t in text], np.uint64).view(np.int64))
+    names = ["table", "part", "x", "y", "same", "other", "rank"]
+
+    def compare_one(key, cols):
+        block, same, n, fp, root, tested = cols
+        x, y = key[2:]
+        got = []
+        for s in range(0, len(fp), SIDE):
+            best = []
+            for t in range(0, len(fp), SIDE):
+                i, j, d = near_pairs(fp[s : s + SIDE].view(np.uint64), fp[t : t + SIDE].view(np.uint64), WIDE, distances=True)
+                i, j = i + s, j + t
+                rank = d << 40 | j
+                ok = (root[i] != root[j]) & (rank > tested[i]) & (10 * np.minimum(n[i], n[j]) >= tenths * np.maximum(n[i], n[j]))
+                if x != y:
+                    ok &= block[i] != block[j]
+                best.append(np.stack([i[ok], j[ok], rank[ok]]))
+                if sum(b.shape[1] for b in best) > 1 << 20:
+                    best = [first_of(np.concatenate(best, 1), most)]
+            got.append(first_of(np.concatenate(best, 1), most))
+        i, j, rank = np.concatenate(got, 1)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(i), k, np.int64)) for k in key), pa.array(same[i]), pa.array(same[j]), pa.array(rank)], names=names)
 
-    fp = cut_lineage(fingerprints(docs, width))
-    stays = fingerprint_components(fp, radius).where("fp = lead").select("fp", F.col("component_id").alias("_id")).withColumnRenamed("fp", "_fp")
+    def compare(batches):
+        yield from by_group(batches, 4, compare_one)
+
+    dealt = buckets.repartition("table", "part", "x", "y").sortWithinPartitions("table", "part", "x", "y", "same")
+    return dealt.select("table", "part", "x", "y", "block", "same", "n", "fp", "root", "tested").mapInArrow(compare, "table long, part long, x long, y long, same long, other long, rank long")
+
+
+def first_of(rows: np.ndarray, most: int) -> np.ndarray:
+    """Of (i, j, rank) columns the ``most`` of each i with the smallest ranks."""
+    rows = rows[:, np.lexsort((rows[2], rows[0]))]
+    if rows.shape[1]:
+        at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        nth = np.arange(rows.shape[1]) - np.repeat(at, np.diff(np.concatenate([at, [rows.shape[1]]])))
+        rows = rows[:, nth < most]
+    return rows
+
+
+def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(same, root): the sets that are linked to others, and the smallest of their component.
+
+    In each round every member of a bucket names its nearest candidates in
+    other components, the pairs are checked exactly, and components grow; a
+    round names twice as many as the one before, until every candidate is
+    tested or inside a component.  So a tight group of n sets costs some n checks, not n * n.
+    """
+    tenths = round(10 * similarity)
+    if not 5 <= tenths <= 10 or abs(tenths - 10 * similarity) > 1e-9:
+        raise ValueError("the similarity must be a multiple of 0.1, at least 0.5")
+    one = cut_lineage(sketch.groupBy("same").agg(F.min(F.struct("th", "n", "fp", "bands")).alias("s")).select("same", "s.*"))
+    keyed = one.where("n > 0").select("same", "n", "fp", F.posexplode("bands").alias("table", "part"))
+    full = keyed.join(keyed.groupBy("table", "part").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["table", "part"])
+    buckets = cut_lineage(squares(full.select(F.col("table").cast("long"), "part", "same", "n", "fp"), "same").select("table", "part", F.col("x").cast("long"), F.col("y").cast("long"), F.col("block").cast("long"), "same", "n", "fp", F.lit(-1).cast("long").alias("tested")))
+    active = buckets.select("same").distinct().join(one.select("same", "th"), "same")
+    rep = docs.select("text", F.xxhash64("text").alias("th")).join(active, "th")
+    sets = cut_lineage(shingle_sets(rep.groupBy("same").agg(F.min("text").alias("text")), width))
+    edges, roots, most = None, None, 1
+    while True:
+        if roots is None:
+            now = buckets.withColumn("root", F.col("same"))
+        else:
+            now = buckets.join(roots, F.col("same") == F.col("node"), "left").withColumn("root", F.coalesce("root", "same")).drop("node")
+        named = cut_lineage(nearest_untested(now, most, tenths))
+        pairs = named.select(F.least("same", "other").alias("a"), F.greatest("same", "other").alias("b")).distinct()
+        both = pairs.join(sets.select(F.col("same").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("shingles").alias("sb")), "b")
+        meet = F.size(F.array_intersect("sa", "sb"))
+        new = cut_lineage(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), meet.alias("m")).where(10 * F.col("m") >= tenths * (F.col("na") + F.col("nb") - F.col("m"))).select("a", "b"))
+        if named.isEmpty():
+            break
+        edges = new if edges is None else edges.unionByName(new)
+        roots = components(edges)
+        last = named.groupBy("table", "part", "x", "y", "same").agg(F.max("rank").alias("last"))
+        keys = ["table", "part", "x", "y", "same"]
+        buckets = cut_lineage(buckets.join(last, keys, "left").withColumn("tested", F.coalesce("last", F.lit(1 << 60))).drop("last"))
+        most *= 2
+    if roots is None:
+        return one.select("same", F.col("same").alias("root")).where("false")
+    return roots.select(F.col("node").alias("same"), "root")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: one with
+    the group's smallest doc_id (or one of those without ids, if none has one).
+
+    Texts link if the sets of their word shingles (``width`` words; lower-case
+    A-Z; fewer words: all of them) have a Jaccard similarity of at least
+    ``similarity``; null texts and texts without words are alike.  Groups are
+    what links reach.  Links are looked for in buckets that pairs of that similarity
+    miss once in 30,000 times; all else is exact.  Of repeated rows one stays;
+    an empty table gives an empty result; a column that is named as one of ours is kept apart.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fp_of(text).alias("_own"), F.col("doc_id").alias("_doc"))
-    met = rows.join(stays, (F.col("_own") == F.col("_fp")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    one = met.withColumn("_k", F.row_number().over(Window.partitionBy("_own").orderBy("_doc"))).where("_k = 1")
-    return one.select("row.*")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    sketch = cut_lineage(sketches(plain, width))
+    rows = cut_lineage(sketch.groupBy("same", "doc_id", "th").agg(F.count("*").alias("n")))
+    first = rows.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"), F.count("*").alias("n"))
+    groups = first.join(similar_sets(sketch, plain, width, similarity), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    lead = cut_lineage(groups.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th"))
+    # the rows that go, and those of which one stays
+    gone = cut_lineage(rows.join(lead, rows["doc_id"].eqNullSafe(lead["doc_id"]) & (rows["th"] == lead["th"]), "left_anti").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    again = cut_lineage(rows.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_own"))
+
+    def without(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        small = right.count() * 64 <= 64 << 20  # bytes that it may take as a broadcast
+        return left.join(F.broadcast(right) if small else right, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), how)
+
+    left = without(packed, gone, "left_anti")
+    single = without(left, again, "left_anti")
+    several = without(left, again, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_doc", "_own").orderBy(F.lit(1)))).where("_k = 1")
+    return single.select("row.*").unionByName(several.select("row.*"))

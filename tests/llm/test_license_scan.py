@@ -49,3 +49,17 @@ def test_templates_are_covered_with_gaps_and_plain_prose_is_not():
     span = next(x for x in got["spans"] if x["template"] == 0)
     assert span["first_word"] == 3 and span["end_word"] <= got["n_words"] - 2
     assert s.scan(b"permission to park here is granted to any person with a licence")["labels"] == ""
+
+
+def test_a_whole_short_template_counts_inside_a_longer_partial_match():
+    text = 'Licensed under the Apache License, Version 2.0 (the "License") and something else altogether'
+    got = L.Scanner().scan(text.encode())
+    assert got["labels"] == "apache" and got["score"] == 1.0
+    own = L.Scanner(templates=[("long", "a b c d e f g h i j k l"), ("short", "c d e f g"), ("tail", "g h i j")])
+    assert own.scan(b"a b c d e f g x")["labels"] == "long,short"
+    assert own.scan(b"x b c d e f g h i j x")["labels"] == "long,short,tail"
+
+
+def test_phrases_of_one_word(spark):
+    got = L.Scanner(phrases={"unlicense": "public"}).scan(b"The UNLICENSE and the unlicense")
+    assert (got["n_base"], got["first_word"], got["last_word"], got["labels"]) == (2, 1, 4, "public")

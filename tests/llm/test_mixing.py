@@ -27,7 +27,8 @@ def brute(rows, temperature=0.7):
     want = {s: b**temperature for s, b in size.items()}
     total, wants = sum(size.values()), sum(want.values())
     rate = {s: round(want[s] / wants * total / size[s], 6) for s in size}
-    return Counter({(d, i): n for d, s in {(d, s) for d, _, s in rows} for i in range(copies(rate[s], "null" if d is None else d)) for n in [sum(x[0] == d and x[2] == s for x in rows)]})
+    ident = lambda d, t: "null|" + hashlib.md5((t or "").encode()).hexdigest() if d is None else d
+    return Counter((d, i) for d, t, s in rows for i in range(copies(rate[s], ident(d, t))))
 
 
 @pytest.mark.parametrize("which", ["documents", "edge", "empty"])
@@ -64,3 +65,8 @@ def test_large_means_keep_their_mass(spark):
 
     t = spark.range(1).select(M.poisson_table(F.lit(900.0)).alias("t")).first().t
     assert t[-1] == pytest.approx(1, abs=1e-9) and t[900] == pytest.approx(0.5088, abs=1e-3)
+
+
+def test_rows_without_ids_are_kept_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(2000)], "doc_id long, text string, source string")
+    assert M.mix(docs).count() == pytest.approx(2000, rel=0.1)

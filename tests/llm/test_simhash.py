@@ -83,10 +83,98 @@ def test_a_large_tight_group(spark):
     assert {r.component_id for r in S.fingerprint_components(df, 3).collect()} == {0}
 
 
-def test_one_of_each_group_stays(documents, edge):
-    for docs in (documents, edge.where("text is null or length(text) < 20000")):
-        want = {r[2] for r in brute_components(rows_of(docs))}
-        kept = S.keep_first(docs)
-        assert kept.columns == docs.columns
-        got = [r.doc_id for r in kept.collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+def test_other_radii():
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    for radius in (0, 4, 7, 24, 31, 40):
+        i, j, d = S.near_pairs(fp, fp, radius, distances=True)
+        want = {(a, b): n for a in range(200) for b in range(200) if (n := bin(int(fp[a] ^ fp[b])).count("1")) <= radius}
+        assert {(a, b): n for a, b, n in zip(i.tolist(), j.tolist(), d.tolist())} == want
+    with pytest.raises(ValueError):
+        S.near_pairs(fp, fp, 63)
+
+
+def test_radii_without_buckets_are_refused(documents):
+    for radius in (0, 4):
+        with pytest.raises(ValueError):
+            S.near_duplicates(documents, radius)
+
+
+def shingles_of(text, width=5):
+    words = WORD.findall((text or "").translate(LOWER))
+    return frozenset(" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def brute_groups(rows, similarity=0.8):
+    """The smallest id of each row's group, in the order of the rows."""
+    sets = [shingles_of(t) for _, t in rows]
+    root, where = list(range(len(rows))), {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        where.setdefault(s, []).append(i)
+    some = list(where)
+    for group in where.values():
+        for i in group:
+            root[find(i)] = find(group[0])
+    by = {}
+    for k, s in enumerate(some):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    for a, s in enumerate(some):
+        shared = {}
+        for x in s:
+            for b in by[x]:
+                if b < a:
+                    shared[b] = shared.get(b, 0) + 1
+        for b, n in shared.items():
+            if n >= similarity * (len(s) + len(some[b]) - n) - 1e-9:
+                root[find(where[s][0])] = find(where[some[b]][0])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        g = find(i)
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    return [least.get(find(i), ("none", find(i))) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("square", [8192, 3])
+@pytest.mark.parametrize("which", ["documents", "edge", "empty"])
+def test_one_of_each_group_stays(request, monkeypatch, which, square):
+    monkeypatch.setattr(S, "SQUARE", square)
+    docs = request.getfixturevalue(which)
+    rows = rows_of(docs)
+    kept = S.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    want = set(brute_groups(rows))
+    assert {r.doc_id for r in got} - {None} == {w for w in want if not isinstance(w, tuple)}
+    assert len(got) == len(want)
+    have = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+    assert all((r.doc_id, r.text) in have for r in got)
+
+
+def test_near_copies_link_and_chains_are_whole(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    base = [word() for _ in range(200)]
+    texts = []
+    for k in range(60):  # each has one more word changed than the one before: neighbours link, far ones don't
+        base = base.copy()
+        base[(k * 3) % 200] = word()
+        texts.append(" ".join(base))
+    texts += [" ".join(word() for _ in range(100)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_groups(list(enumerate(texts))))
+    assert len(want) == 41
+    assert {r.doc_id for r in S.keep_first(docs).collect()} == want
+
+
+def test_similarities_that_cannot_be_counted_are_refused(documents):
+    for similarity in (0.4, 0.85):
+        with pytest.raises(ValueError):
+            S.keep_first(documents, similarity)

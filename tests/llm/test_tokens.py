@@ -42,7 +42,7 @@ def test_encoding_equals_the_library(request, which):
 @pytest.mark.parametrize("mean", [16, 64, 512])
 def test_odd_texts_at_any_chunk_size(mean):
     tok, codec = library(WORDS), bpe.Codec(WORDS, mean)
-    for n, ids, text in [(*x, t) for x, t in zip([(a, b) for a, b, _ in codec.encode([t.encode() for t in ODD])], ODD)]:
+    for n, ids, text in [(*x, t) for x, t in zip([(a, b) for a, b, _, _ in codec.encode([t.encode() for t in ODD])], ODD)]:
         want = tok.encode(text, add_special_tokens=False).ids
         assert (n, ids) == (len(want), " ".join(map(str, want))), text
 
@@ -53,9 +53,10 @@ def test_any_texts(texts):
     tok, codec, count = library(WORDS), bpe.Codec(WORDS, 16), token_counts.make_counter(BYTES)
     wide = library(BYTES)
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
-    for (n, ids, out), t in zip(codec.encode([t.encode() for t in texts]), texts):
+    for (n, ids, out, same), t in zip(codec.encode([t.encode() for t in texts]), texts):
         want = tok.encode(t, add_special_tokens=False).ids
         assert (n, ids, out) == (len(want), " ".join(map(str, want)), tok.decode(want, skip_special_tokens=False))
+        assert same or not tok.normalizer.normalize_str(t).isascii()
     assert count(texts) == [len(wide.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -82,3 +83,57 @@ def test_counts_equal_the_library(request, which):
 def test_counts_of_odd_texts():
     tok, count = library(BYTES), token_counts.make_counter(BYTES)
     assert count(ODD) == [len(tok.encode(t, add_special_tokens=False).ids) for t in ODD]
+
+
+def test_joins_agree_with_the_library_and_wrong_ones_are_encoded_whole():
+    codec, tok = bpe.Codec(WORDS, 16), library(WORDS)
+    text = " ".join(f"word{i} and\tmore" for i in range(300))
+    codec.encode([text.encode()])
+    assert codec.agreed and not codec.rejoined
+    # were a word's own encoding wrong, no window would agree, and the whole text's encoding would stand
+    odd = bpe.Codec(WORDS, 16)
+    learn = odd._learn
+
+    def wrong(new):
+        learn(new)
+        for w in new:
+            odd.words[w] = (1, "7", "x", True)
+
+    odd._learn = wrong
+    got = odd.encode([text.encode()])[0]
+    want = tok.encode(text, add_special_tokens=False).ids
+    assert odd.rejoined == 1 and odd.repaired > 0 and got[1] == " ".join(map(str, want))
+
+
+def test_vocabularies_that_reach_across_white_space_are_refused(tmp_path):
+    import json
+
+    plain = json.load(open(WORDS))
+    for change in ("added", "pieces"):
+        spec = json.loads(json.dumps(plain))
+        if change == "added":
+            spec["added_tokens"][0]["lstrip"] = True
+        else:
+            spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(spec))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(path))
+    with pytest.raises(ValueError):
+        bpe.Codec(BYTES)
+
+
+def test_ids_beside_all_columns_and_decoding(spark, edge, empty):
+    tok = library(WORDS)
+    docs = edge.withColumn("ids", edge.doc_id).withColumn("N_tokens", edge.doc_id)
+    got = bpe.encode_beside(docs, WORDS)
+    assert set(edge.columns) | {"n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trips"} == set(got.columns)
+    rows = bpe.decode_ids(got, WORDS).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), tok.decode(ids, skip_special_tokens=False))
+        assert r.round_trips and sha(r.decoded) == r.decoded_sha256
+    assert bpe.encode_beside(empty, WORDS).count() == 0
+    few = spark.createDataFrame([(None,), ([],), ([49407, -1, 10**6],)], "ids array<int>")
+    assert [r.decoded for r in bpe.decode_ids(few, WORDS).collect()] == [None, "", "<|endoftext|>"]
