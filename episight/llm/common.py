@@ -135,7 +135,7 @@ class Words:
         """
         import pyarrow.compute as pc
 
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(pa.array(np.arange(len(texts))))))  # a copy: slices keep an offset
         size = np.diff(parts.offsets.to_numpy())
         coded = pc.dictionary_encode(parts.flatten())
         words = coded.dictionary.cast(pa.large_binary())
