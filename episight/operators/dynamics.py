@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import in_order, median, share, whole
+from ..functions.exprs import in_order, norm, share, whole
 
 RIDGE = 1e-4
 CLOSE, NEAR = 0.15, 0.30
@@ -33,22 +33,22 @@ def tracking_and_sigma_jerk(steps: DataFrame, gap: float = 0.05, sigmas: float =
     return g.select("ep", "tracking_gap", F.when(F.col("js") > 0, F.col("spikes")).otherwise(F.lit(0.0)).alias("jerk_spikes"))
 
 
-def transition_errors(steps: DataFrame, ridge: float = RIDGE) -> DataFrame:
+def transition_errors(steps: DataFrame, states: tuple[str, ...] = ("s0",), actions: tuple[str, ...] = ("a0",), ridge: float = RIDGE) -> DataFrame:
     """(ep, error): mean distance of the next state from a linear forecast out of
     state and action that all episodes share; 0 below 2 steps.
 
-    The normal equations are six sums, added up before the shuffle.
+    The normal equations are sums, added up before the shuffle; a matrix of the
+    dimensions is solved on the driver.
     """
-    d = steps.withColumn("ds", F.lead("s0").over(in_order()) - F.col("s0"))
-    pairs = {"ss": ("s0", "s0"), "sa": ("s0", "a0"), "aa": ("a0", "a0"), "sd": ("s0", "ds"), "ad": ("a0", "ds")}
-    sums = d.where("ds is not null").agg(*[F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0.0)).alias(n) for n, (x, y) in pairs.items()])
-    det = (F.col("ss") + ridge) * (F.col("aa") + ridge) - F.col("sa") * F.col("sa")
-    fit = sums.select(
-        ((F.col("sd") * (F.col("aa") + ridge) - F.col("ad") * F.col("sa")) / det).alias("ws"),
-        ((F.col("ad") * (F.col("ss") + ridge) - F.col("sd") * F.col("sa")) / det).alias("wa"),
-    )
-    off = F.abs(F.col("ds") - F.col("ws") * F.col("s0") - F.col("wa") * F.col("a0"))
-    d = d.crossJoin(F.broadcast(fit))  # one row
+    import numpy as np
+
+    w, x = in_order(), (*states, *actions)
+    d = steps.withColumns({f"d_{c}": F.lead(c).over(w) - F.col(c) for c in states})
+    total = lambda a, b: F.coalesce(F.sum(F.when(F.col(f"d_{states[0]}").isNotNull(), F.col(a) * F.col(b))), F.lit(0.0))
+    row = d.agg(*[total(a, b).alias(f"{a}_{b}") for a in x for b in (*x, *[f"d_{c}" for c in states])]).first()
+    m = np.array(list(row), float).reshape(len(x), -1)
+    fit = np.linalg.solve(m[:, : len(x)] + ridge * np.eye(len(x)), m[:, len(x) :])
+    off = norm([F.col(f"d_{c}") - sum((F.col(a) * float(fit[i, j]) for i, a in enumerate(x)), F.lit(0.0)) for j, c in enumerate(states)])
     return d.groupBy("ep").agg(F.coalesce(F.avg(off), F.lit(0.0)).alias("error"))
 
 
@@ -96,17 +96,23 @@ def concentration(outliers: DataFrame, n_episodes: int) -> DataFrame:
     return one.select("n_episodes", "n_flags", (F.col("top") / F.col("n_flags")).alias("top5_share"), F.when(crowded("s"), "start").when(crowded("e"), "end").otherwise("spread").alias("position"))
 
 
-def interpolate(steps: DataFrame, column: str = "a0") -> DataFrame:
-    """(ep, i, value): the column at even times, one median interval apart, linear
+def interpolate(steps: DataFrame, column: str = "a0", target_hz: float | None = None) -> DataFrame:
+    """(ep, i, value): the column at even times from the first to the last one,
+    as many as ``target_hz`` (or one over the mean interval) gives, linear
     between steps.  Each step gives the points up to the next one, so nothing
-    is joined; episodes whose clock doesn't advance give none."""
+    is joined; of a clock that stands or goes back no points come, and episodes of fewer than two points give none."""
     w = in_order()
-    d = steps.withColumns({"next_t": F.lead("t").over(w), "next": F.lead(column).over(w), "t0": F.first("t").over(w), "dt": F.col("t") - F.lag("t").over(w)})
-    d = d.withColumn("every", median("dt").over(whole())).where((F.col("every") > 0) & (F.col("next_t") > F.col("t")))
+    d = steps.withColumns({"next_t": F.lead("t").over(w), "next": F.lead(column).over(w), "t0": F.min("t").over(whole()), "t1": F.max("t").over(whole()), "n": F.count("*").over(whole())})
+    hz = F.lit(float(target_hz)) if target_hz else 1.0 / F.greatest((F.col("t1") - F.col("t0")) / (F.col("n") - 1), F.lit(1e-5))
+    d = d.where("n >= 2").withColumn("m", F.bround((F.col("t1") - F.col("t0")) * hz).cast("long") + 1).where("m >= 2 and t1 > t0")
+    d = d.withColumn("every", (F.col("t1") - F.col("t0")) / (F.col("m") - 1))
+    last = F.col("next_t").isNull()
     lo, hi = F.ceil((F.col("t") - F.col("t0")) / F.col("every")), F.ceil((F.col("next_t") - F.col("t0")) / F.col("every")) - 1
-    d = d.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    d = d.withColumns({"lo": F.when(last, F.col("m") - 1).otherwise(lo), "hi": F.when(last, F.col("m") - 1).otherwise(F.least(hi, F.col("m") - 2))})
+    d = d.where("lo <= hi and (next_t is null or next_t > t)").withColumn("i", F.explode(F.sequence("lo", "hi")))
     at = F.col("t0") + F.col("i") * F.col("every")
-    return d.select("ep", "i", (F.col(column) + (F.col("next") - F.col(column)) * (at - F.col("t")) / (F.col("next_t") - F.col("t"))).alias("value"))
+    value = F.when(F.col("next_t").isNull(), F.col(column)).otherwise(F.col(column) + (F.col("next") - F.col(column)) * (at - F.col("t")) / (F.col("next_t") - F.col("t")))
+    return d.select("ep", "i", value.alias("value"))
 
 
 def drop_steps(steps: DataFrame, rate: float, seed: int = 42) -> DataFrame:
@@ -119,7 +125,7 @@ def drop_steps(steps: DataFrame, rate: float, seed: int = 42) -> DataFrame:
     return d.where(F.col("place") <= F.greatest(F.lit(2), F.floor(F.col("n") * (1.0 - rate)))).select("ep", "step")
 
 
-def bootstrap_means(m: DataFrame, draws: int = 200, level: float = 0.95) -> DataFrame:
+def bootstrap_means(m: DataFrame, draws: int = 1000, level: float = 0.95) -> DataFrame:
     """(metric, mean, low, high) of (ep, metric, value): percentiles of means
     over resampled episodes.
 
@@ -140,7 +146,29 @@ def bootstrap_means(m: DataFrame, draws: int = 200, level: float = 0.95) -> Data
     return m.groupBy("metric").agg(F.avg("value").alias("mean")).join(ci, "metric").select("metric", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def compare_datasets(a: DataFrame, b: DataFrame, lower_better: tuple[str, ...], draws: int = 200) -> DataFrame:
+def permutation_tests(a: DataFrame, b: DataFrame, permutations: int = 199, seed: int = 42, least: int = 4) -> DataFrame:
+    """(metric, delta, p_value): difference of the means of two sets of (ep,
+    metric, value), and the share of random splits of both together, of the same
+    sizes, with one as large; 1 if either has fewer than ``least`` values.
+
+    A split is the order of a hash of episode, set and number, so each is a
+    sort of its own, by metric and number.
+    """
+    both = a.where("value is not null").withColumn("side", F.lit("a")).unionByName(b.where("value is not null").withColumn("side", F.lit("b")))
+    is_a = F.col("side") == "a"
+    seen = both.groupBy("metric").agg(F.count(F.when(is_a, 1)).alias("na"), F.count(F.when(~is_a, 1)).alias("nb"), (F.avg(F.when(~is_a, F.col("value"))) - F.avg(F.when(is_a, F.col("value")))).alias("delta"))
+    d = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "side", F.col("ep").cast("string")))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("metric", "draw").orderBy(key, "ep")))
+    d = d.join(F.broadcast(seen), "metric")  # a row a metric
+    in_a = F.col("place") <= F.col("na")
+    null = d.groupBy("metric", "draw").agg((F.avg(F.when(~in_a, F.col("value"))) - F.avg(F.when(in_a, F.col("value")))).alias("x"))
+    p = null.join(F.broadcast(seen), "metric").groupBy("metric").agg(F.avg((F.abs("x") >= F.abs("delta") - 1e-12).cast("double")).alias("p"))  # a row a metric
+    enough = (F.col("na") >= least) & (F.col("nb") >= least)
+    return seen.join(p, "metric").select("metric", F.coalesce("delta", F.lit(0.0)).alias("delta"), F.when(enough, F.col("p")).otherwise(1.0).alias("p_value"))
+
+
+def compare_datasets(a: DataFrame, b: DataFrame, lower_better: tuple[str, ...], draws: int = 1000) -> DataFrame:
     """(metric, baseline, candidate, delta, significant, direction): means of two
     sets of (ep, metric, value); significant where the intervals are apart."""
     x, y = bootstrap_means(a, draws), bootstrap_means(b, draws)
@@ -149,3 +177,53 @@ def compare_datasets(a: DataFrame, b: DataFrame, lower_better: tuple[str, ...],
     better = F.when(F.col("metric").isin(*lower_better), delta < 0).otherwise(delta > 0)
     direction = F.when(F.abs(delta) < 1e-12, "unchanged").when(better, "improved").otherwise("degraded")
     return d.select("metric", "baseline", "candidate", delta.alias("delta"), ((F.col("ha") < F.col("lb")) | (F.col("hb") < F.col("la"))).alias("significant"), direction.alias("direction"))
+
+
+def standalone_figures(steps: DataFrame, dims: tuple[str, ...], bins: int = 50) -> DataFrame:
+    """(ep, ldlj, entropy, jitter_cv, dropout): the estimators that stand alone:
+    jerk over the whole trajectory with duration n * dt, mean bits a dimension in
+    ``bins`` of each episode's own range, and clock figures from two stamps on."""
+    w = in_order()
+    d = steps.withColumn("dt", F.col("t") - F.lag("t").over(w)).withColumn("every", F.percentile("dt", F.lit(0.5)).over(whole()))
+    for k, (old, new) in enumerate((("", "v_"), ("v_", "a_"), ("a_", "j_"))):
+        d = d.withColumns({f"{new}{c}": (F.col(f"{old}{c}") - F.lag(f"{old}{c}").over(w)) / F.col("every") for c in dims})
+    n = F.count("*")
+    g = d.groupBy("ep").agg(
+        n.alias("n"), F.max("every").alias("every"), F.max(norm([f"v_{c}" for c in dims])).alias("top"), F.sum(norm([f"j_{c}" for c in dims]) ** 2).alias("jj"),
+        (F.stddev_pop("dt") / F.avg("dt")).alias("cv"), share(F.col("dt") > 3.0 * F.col("every")).alias("drop"), F.avg("dt").alias("mean"),
+    )
+    inner = F.pow(F.col("n") * F.col("every"), F.lit(3.0)) / (F.col("top") * F.col("top")) * F.col("jj") * F.col("every")
+    ldlj = F.when((F.col("n") >= 5) & (F.col("every") > 0) & (F.col("top") > 1e-12) & (inner > 0), -F.log(inner))
+    long = steps.unpivot(["ep"], list(dims), "dim", "value")
+    own = Window.partitionBy("ep", "dim")
+    lo, hi = F.min("value").over(own), F.max("value").over(own)
+    cell = long.withColumn("bin", F.when(hi > lo, F.least(F.floor((F.col("value") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(0)).groupBy("ep", "dim", "bin").agg(F.count("*").alias("c"))
+    p = cell.withColumn("p", F.col("c") / F.sum("c").over(own))
+    bits = p.groupBy("ep", "dim").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits")).groupBy("ep").agg(F.avg("bits").alias("entropy"))
+    clock = F.col("n") >= 2
+    return g.join(bits, "ep").select("ep", ldlj.alias("ldlj"), "entropy", F.when(clock & (F.col("mean") > 0), F.col("cv")).alias("jitter_cv"), F.when(clock & (F.col("every") > 0), F.col("drop")).otherwise(0.0).alias("dropout"))
+
+
+def coherence(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with coherence, the cosine of two embedding columns (arrays); 0 where one has no length."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
+    return pairs.withColumn("coherence", F.when(size > 0, dot(left, right) / size).otherwise(0.0))
+
+
+def episode_digests(steps: DataFrame, columns: tuple[str, ...], digits: int = 6) -> DataFrame:
+    """(ep, digest): 16 hex digits of the columns' values in order of steps, written with so many digits."""
+    row = F.concat_ws(",", *[F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")), F.lit("null")) for c in columns])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", row.alias("r")))), lambda x: x["r"]), ";")
+    return steps.groupBy("ep").agg(F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
+
+
+def batch_fingerprint(digests: DataFrame, policy: str = "") -> DataFrame:
+    """One row: fingerprint (24 hex digits) of all episodes' digests and the policy.
+
+    Digests are hashed in ranges of episodes of a fixed size and the ranges' hashes
+    together, so no task holds all of them.
+    """
+    part = digests.groupBy(F.floor(F.col("ep") / 4096).alias("g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ep", "digest"))), lambda x: F.concat_ws(":", x["ep"].cast("string"), x["digest"])), ","), 256).alias("h"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ",")
+    return part.agg(F.substring(F.sha2(F.concat(text, F.lit("|" + policy)), 256), 1, 24).alias("fingerprint"))

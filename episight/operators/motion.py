@@ -87,9 +87,36 @@ def whole_ldlj(steps: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return g.select("ep", F.when(ok, -F.log(inner)).alias("ldlj"))
 
 
-def action_state_divergence(steps: DataFrame) -> DataFrame:
+def action_state_divergence(steps: DataFrame, actions: tuple[str, ...] = ("a0",), states: tuple[str, ...] = ("s0",)) -> DataFrame:
     """(ep, divergence): mean distance of action and state."""
-    return steps.groupBy("ep").agg(F.avg(F.abs(F.col("a0") - F.col("s0"))).alias("divergence"))
+    return steps.groupBy("ep").agg(F.avg(norm([F.col(a) - F.col(s) for a, s in zip(actions, states)])).alias("divergence"))
+
+
+def divergence_flag(steps: DataFrame, actions: tuple[str, ...] = ("a0",), states: tuple[str, ...] = ("s0",)) -> DataFrame:
+    """One row: divergence (the episodes' mean), low and high (2.5 and 97.5 %),
+    relative and level.  Where a state is beyond 2 pi anywhere its unit isn't the
+    radian: the level is INFO and relative has the share of the states' span."""
+    per = action_state_divergence(steps, actions, states).agg(F.avg("divergence").alias("divergence"), F.percentile("divergence", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    far = F.greatest(*[F.max(F.abs(c)) for c in states], F.lit(0.0))
+    span = F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in states), F.lit(0.0)))
+    d = per.crossJoin(steps.agg(far.alias("far"), span.alias("span")))  # one row each
+    other = F.col("far") > 2 * 3.141592653589793
+    level = F.when(other, "INFO").when(F.col("divergence") >= 0.35, "CRITICAL").when(F.col("divergence") >= 0.15, "WARNING").otherwise("OK")
+    return d.select("divergence", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.when(other & (F.col("span") > 0), F.col("divergence") / F.col("span")).alias("relative"), level.alias("level"))
+
+
+def velocity(steps: DataFrame, dims: tuple[str, ...], kind: str = "position") -> DataFrame:
+    """(ep, step, dims): velocities of actions that are positions (differences
+    over the median interval), velocities (as they are) or accelerations (summed up from the start, over time)."""
+    if kind not in ("position", "velocity", "acceleration"):
+        raise ValueError(f"actions are positions, velocities or accelerations, not {kind}")
+    if kind == "velocity":
+        return steps.select("ep", "step", *dims)
+    w = in_order()
+    d = steps.withColumn("dt", F.col("t") - F.lag("t").over(w)).withColumn("every", median("dt").over(whole()))
+    if kind == "position":
+        return d.select("ep", "step", *[((F.col(c) - F.lag(c).over(w)) / F.col("every")).alias(c) for c in dims]).where(F.col(dims[0]).isNotNull())
+    return d.select("ep", "step", *[(F.sum(c).over(w) * F.col("every")).alias(c) for c in dims])
 
 
 def submovement_ldlj(steps: DataFrame, dims: tuple[str, ...], min_len: int = 5, valley: float = 0.5, low_peak: float = 0.1) -> DataFrame:

@@ -115,9 +115,11 @@ def penalty(value: Column, at_warn: float, at_crit: float, warn: float, crit: fl
     return F.coalesce(F.when(x >= 1, at_crit).when(x >= 0, at_warn + (at_crit - at_warn) * x), F.lit(0.0))
 
 
-def outcome(figures: DataFrame, rules: dict[str, tuple[float, float, float, float]] = OUTCOME) -> DataFrame:
-    """One row: score (100 less penalties), tier, n_deductions, low and high."""
-    used = {k: penalty(F.col(k), *v) for k, v in rules.items() if k in figures.columns}
+def outcome(figures: DataFrame, rules: dict[str, tuple[float, float, float, float]] = OUTCOME, scripted: bool = False) -> DataFrame:
+    """One row: score (100 less penalties), tier, n_deductions, low and high.
+    Penalties of spikes, discontinuities and jerk count 0.4 for scripted motion."""
+    less = {k: 0.4 if scripted and k in ("ldlj", "spike_rate", "disc_rate") else 1.0 for k in rules}
+    used = {k: penalty(F.col(k), less[k] * v[0], less[k] * v[1], *v[2:]) for k, v in rules.items() if k in figures.columns}
     total, hits = F.lit(100.0), F.lit(0)
     for p in used.values():
         total, hits = total - p, hits + (p > 0).cast("int")

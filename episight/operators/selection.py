@@ -52,24 +52,29 @@ def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_
     Up to ``max_exact`` rows the choice is that of ``k_center_exact``; beyond, each of
     many hashed parts chooses its own candidates and the choice is made among
     those, part by part until they are few enough.  A part gives fewer than
-    ``k`` candidates, so the radius has no proven bound.
+    ``k`` candidates, so the radius has no proven bound.  Where ``k`` is so large that
+    candidates aren't fewer, each part chooses its share of the picks and ranks are places in a part.
     """
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     n = df.count()
-    while n > max_exact and n > 2 * k:
-        parts = -(-n // min(2000, max_exact))
-        each = k // parts + 16
 
-        def candidates(pdf):
+    def chosen(df: DataFrame, parts: int, each: int) -> DataFrame:
+        def pick(pdf):
             pdf = pdf.sort_values("k")
-            return pdf.iloc[greedy_cover(np.array(pdf["x"].tolist()), each)][["k", "x"]]
-
-        df = df.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts))).applyInPandas(candidates, "k long, x array<double>").persist()
-        less = df.count()
-        if less >= n:
-            break
-        n = less
-    rows = sorted(df.collect())
+            got = pdf.iloc[greedy_cover(np.array(pdf["x"].tolist()), each)][["k", "x"]]
+            return got.assign(rank=np.arange(len(got), dtype=np.int32))
+
+        return df.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts))).applyInPandas(pick, "k long, x array<double>, rank int")
+
+    while n > max_exact:
+        parts = -(-n // min(2000, max_exact))
+        each = k // parts + 16
+        if each * parts > n // 2:
+            own = cut_lineage(chosen(df, parts, -(-k // parts)))
+            return own.orderBy("rank", "k").limit(k).select(F.col("k").alias(key), "rank")
+        df = cut_lineage(chosen(df, parts, each).select("k", "x"))
+        n = df.count()
+    rows = sorted(df.collect())  # at most ``max_exact``
     got = greedy_cover(np.array([r.x for r in rows]), k) if rows else []
     out = [(rows[i].k, rank) for rank, i in enumerate(got)]
     return features.sparkSession.createDataFrame(out, f"{key} long, rank int")
@@ -122,11 +127,64 @@ def k_center_exact(features: DataFrame, cols: list[str], k: int, key: str = "ep"
 
 
 def distance_to(selected: DataFrame, rows: DataFrame, cols: list[str], key: str = "ep") -> DataFrame:
-    """(key, distance): of each row to the nearest selected one; selections are
-    broadcast, as their number was asked for."""
-    s = selected.select(*[F.col(c).alias(f"s_{c}") for c in cols])
-    total = sum(((F.col(c) - F.col(f"s_{c}")) ** 2 for c in cols), F.lit(0.0))
-    return rows.crossJoin(F.broadcast(s)).groupBy(key).agg(F.sqrt(F.min(total)).alias("distance"))
+    """(key, distance): of each row to the nearest selected one, by block products as in ``nearest``, whatever the selection's size."""
+    from .coverage import nearest
+
+    d = nearest(rows.select(key, *cols), selected.select(key, *cols), cols, key)
+    return d.select(key, (F.col("distance") * float(len(cols)) ** 0.5).alias("distance"))
+
+
+def weighted_features(features: DataFrame, action: list[str], quality: list[str], entropy: str | None = None, diversity_weight: float = 0.7, entropy_weight: float = 0.0) -> tuple[DataFrame, list[str]]:
+    """(features, columns): each column scaled to 0..1, then the action block times
+    its weight, the entropy times its own, and the quality block times what is left."""
+    from .coverage import scaled
+
+    cols = [*action, *quality, *([entropy] if entropy else [])]
+    d = scaled(features.select("ep", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), cols)
+    rest = max(0.0, 1.0 - diversity_weight - entropy_weight)
+    weight = {c: diversity_weight for c in action} | {c: rest for c in quality} | ({entropy: entropy_weight} if entropy else {})
+    return d.select("ep", *[(F.col(c) * weight[c]).alias(c) for c in cols]), cols
+
+
+def two_stage(gate: DataFrame, fraction: float, strategy: str = "diversity", features: DataFrame | None = None, cols: list[str] | None = None, scores: DataFrame | None = None, error: str | None = None, exact: bool = True) -> DataFrame:
+    """(ep, decision, reasons): keep, quality_fail or diversity_pruned for each
+    episode of ``gate`` (ep, reasons, status).
+
+    Those that the gate refuses go.  Of the others ``fraction`` of all episodes
+    stay (halves to even, at least one; all if there are no more), chosen by ``strategy``: "diversity" covers
+    ``features`` (ep, cols); any other name ("novelty", "influence", "world-model") takes the largest
+    ``scores`` (ep, score), missing ones as 0; "energy" does so after the worst tenth by ``error`` is left out.
+    """
+    passed = gate.where("status <> 'bad'").select("ep")
+    n, n_pass = gate.agg(F.count("*"), F.coalesce(F.sum((F.col("status") != "bad").cast("long")), F.lit(0))).first()
+    k = keep_count(n, fraction)
+    if k >= n_pass:
+        kept = passed
+    elif strategy == "diversity":
+        own = features.join(passed, "ep", "left_semi")
+        kept = (k_center_exact if exact else k_center)(own, cols, k).select("ep")
+    else:
+        own = passed.join(scores, "ep", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        kept = (calm_top_k(own, "score", error, k) if strategy == "energy" else top_k(own, "score", k)).select("ep")
+    d = gate.join(kept.withColumn("kept", F.lit(True)), "ep", "left")
+    decision = F.when(F.col("status") == "bad", "quality_fail").when(F.col("kept"), "keep").otherwise("diversity_pruned")
+    reasons = F.when(F.col("status") == "bad", F.col("reasons")).when(F.col("kept"), "").otherwise(f"not_selected_{strategy.replace('-', '_')}")
+    return d.select("ep", decision.alias("decision"), reasons.alias("reasons"))
+
+
+def entropy_ranking(entropy: DataFrame) -> DataFrame:
+    """(ep, entropy, rank) from (ep, entropy), the largest first."""
+    from .export import numbered
+
+    d = entropy.withColumn("_o", F.struct((-F.round("entropy", 9)).alias("e"), "ep"))
+    return numbered(d, "_o").select("ep", "entropy", F.col("place").alias("rank"))
+
+
+def select_pairs(fingerprint: DataFrame, embedding: DataFrame, cols: list[str], fraction: float = 0.5) -> DataFrame:
+    """(ep, decision) of instruction and response pairs: those that fail their
+    gate (ep, passed) go, and of the others so many stay as cover their embeddings (ep, cols)."""
+    gate = fingerprint.select("ep", F.lit("").alias("reasons"), F.when(F.col("passed"), "clean").otherwise("bad").alias("status"))
+    return two_stage(gate, fraction, "diversity", embedding, cols).select("ep", "decision")
 
 
 def influence(features: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import median
+from ..functions.lineage import cut_lineage
 
 OUTLIER_K = 3.0
 MAD_TO_SIGMA = 1.4826
@@ -20,11 +21,11 @@ def long_metrics(wide: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return wide.select("ep", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot("ep", list(metrics), "metric", "value")
 
 
-def centre_and_spread(m: DataFrame) -> DataFrame:
-    """(metric, n, mid, mad, dev): a row a metric."""
-    mid = m.groupBy("metric").agg(F.count("value").alias("n"), median("value").alias("mid"), F.stddev_pop("value").alias("dev"))
-    off = m.join(F.broadcast(mid), "metric").groupBy("metric").agg(median(F.abs(F.col("value") - F.col("mid"))).alias("mad"))  # a row a metric
-    return mid.join(off, "metric")
+def centre_and_spread(m: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """(by, n, mid, mad, dev): a row a metric (and group)."""
+    mid = m.groupBy(*by).agg(F.count("value").alias("n"), median("value").alias("mid"), F.stddev_pop("value").alias("dev"))
+    off = m.join(mid, [*by]).groupBy(*by).agg(median(F.abs(F.col("value") - F.col("mid"))).alias("mad"))
+    return mid.join(off, [*by])
 
 
 def mad_outliers(m: DataFrame, lower_worse: tuple[str, ...] = (), k: Mapping[str, float] | None = None, floor: Mapping[str, float] | None = None) -> DataFrame:
@@ -70,35 +71,43 @@ def consecutive_groups(outliers: DataFrame, chunk: int = 4096) -> DataFrame:
     return both.withColumn("size", F.col("last") - F.col("first") + 1)
 
 
-def percentile_ranks(m: DataFrame) -> DataFrame:
-    """(ep, metric, rank): share of the metric's values up to this one; null
-    below 2 values or if they agree."""
-    spread = m.groupBy("metric").agg(F.count("value").alias("n"), (F.max("value") - F.min("value")).alias("range"))
-    counts = m.where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn("upto", upto).join(F.broadcast(spread), "metric")  # a row a metric
-    ranks = ranks.where("n >= 2 and range >= 1e-9").select("metric", "value", (F.col("upto") / F.col("n")).alias("rank"))
-    return m.join(ranks, ["metric", "value"], "left").select("ep", "metric", "rank")
+def percentile_ranks(m: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """(ep, by, rank): share of the metric's (and group's) values up to this
+    one; null below 2 values or if they agree.
 
-
-def robust_z(m: DataFrame) -> DataFrame:
-    """(ep, metric, z): distance from the median over 1.4826 median deviations
+    Distinct values are counted first and dealt to ranges of their order; a
+    range's start comes from the counts of those before, so no metric is one task's work.
+    """
+    spread = m.groupBy(*by).agg(F.count("value").alias("n"), (F.max("value") - F.min("value")).alias("range"))
+    counts = cut_lineage(m.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("c")))
+    part = counts.repartitionByRange(*by, "value").withColumn("_p", F.spark_partition_id())
+    part = cut_lineage(part)
+    before = part.groupBy(*by, "_p").agg(F.sum("c").alias("s")).withColumn("start", F.sum("s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    upto = F.sum("c").over(Window.partitionBy(*by, "_p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("start", F.lit(0))
+    ranks = part.join(before.select(*by, "_p", "start"), [*by, "_p"]).withColumn("upto", upto).join(spread, [*by])
+    ranks = ranks.where("n >= 2 and range >= 1e-9").select(*by, "value", (F.col("upto") / F.col("n")).alias("rank"))
+    return m.join(ranks, [*by, "value"], "left").select("ep", *by, "rank")
+
+
+def robust_z(m: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """(ep, by, z): distance from the median over 1.4826 median deviations
     (or the deviation if that is 0); null below 3 values or without spread."""
-    s = centre_and_spread(m)
+    s = centre_and_spread(m, by)
     scale = F.when(F.col("mad") * MAD_TO_SIGMA < 1e-12, F.col("dev")).otherwise(F.col("mad") * MAD_TO_SIGMA)
-    d = m.join(F.broadcast(s), "metric").withColumn("scale", scale)
+    d = m.join(s, [*by]).withColumn("scale", scale)
     z = F.when((F.col("n") >= 3) & (F.col("scale") >= 1e-12), F.abs(F.col("value") - F.col("mid")) / F.col("scale"))
-    return d.select("ep", "metric", z.alias("z"))
+    return d.select("ep", *by, z.alias("z"))
 
 
-def assessments(m: DataFrame, risk: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+def assessments(m: DataFrame, risk: DataFrame, coverage: DataFrame | None = None, by: tuple[str, ...] = ("metric",)) -> DataFrame:
     """(ep, quality_risk, anomaly, n_reasons, top_reason, coverage_value).
 
     A reason is a metric with a rank of at most 0.1 or at least 0.9; the
     anomaly is the largest distance of such a rank from the middle, doubled,
-    among those with a robust z of at least 2.5.
+    among those with a robust z of at least 2.5.  ``by`` may add columns of ``m``, such
+    as the task, within whose groups values are then ranked.
     """
-    d = percentile_ranks(m).join(robust_z(m), ["ep", "metric"])
+    d = percentile_ranks(m, by).join(robust_z(m, by), ["ep", *by])
     tail = (F.col("rank") <= 0.1) | (F.col("rank") >= 0.9)
     far = F.abs(F.col("rank") - 0.5) * 2
     g = d.groupBy("ep").agg(
@@ -126,3 +135,20 @@ def wilson(k, n, z: float = 1.96):
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+
+
+def assessment_summary(assessed: DataFrame) -> DataFrame:
+    """One row: n, mean risk, anomaly and coverage value."""
+    return assessed.agg(F.count("*").alias("n"), F.avg("quality_risk").alias("quality_risk"), F.avg("anomaly").alias("anomaly"), F.avg("coverage_value").alias("coverage_value"))
+
+
+def evenly_spaced(rows: DataFrame, k: int, order: str = "ep") -> DataFrame:
+    """``k`` rows at even places of the order, the first and the last among them; all if there are no more."""
+    n = rows.count()
+    if n <= k:
+        return rows
+    places = [(round(i * (n - 1) / max(1, k - 1)) + 1,) for i in range(k)]
+    from .export import numbered
+
+    want = rows.sparkSession.createDataFrame(places, "place long").distinct()
+    return numbered(rows, order).join(F.broadcast(want), "place", "left_semi").drop("place")  # k rows

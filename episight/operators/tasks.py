@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import in_order, min_max, norm, share, whole
+from ..functions.exprs import in_order, median, min_max, norm, share, whole
 from ..sources.episodes import dimensions
 
 SLOW = 0.08
@@ -89,23 +89,80 @@ def phase_fractions(steps: DataFrame, gripper: str, active: tuple[str, ...], min
     )
 
 
-def hold_offsets(steps: DataFrame, vel_frac: float = 0.05, min_run: int = 2) -> DataFrame:
-    """(ep, n_hold, mean_offset, offset_std): action minus state over held
-    steps, those in a run of ``min_run`` or more that are reached by a small change of state."""
+def hold_steps(steps: DataFrame, actions: tuple[str, ...], states: tuple[str, ...], vel_frac: float = 0.05, min_run: int = 5) -> DataFrame:
+    """The steps, with an offset (action less state) a dimension, in a run of
+    ``min_run`` or more that are reached by a change of state below ``vel_frac`` of
+    the episode's mean deviation (1 if that is 0) times sqrt(dimensions)."""
     w = in_order()
-    d = steps.withColumns({"ds": F.abs(F.col("s0") - F.lag("s0").over(w)), "dev": F.stddev_pop("s0").over(whole())})
-    unit = F.when(F.col("dev") == 0, 1.0).otherwise(F.col("dev"))
-    d = d.withColumn("still", F.coalesce(F.col("ds") < vel_frac * unit, F.lit(False)))
+    moved = norm([F.col(c) - F.lag(c).over(w) for c in states])
+    dev = sum((F.stddev_pop(c).over(whole()) for c in states), F.lit(0.0)) / len(states)
+    d = steps.withColumns({"ds": moved, "dev": dev})
+    limit = vel_frac * F.when(F.col("dev") == 0, 1.0).otherwise(F.col("dev")) * len(states) ** 0.5
+    d = d.withColumn("still", F.coalesce(F.col("ds") < limit, F.lit(False)))
     d = d.withColumn("island", F.when(F.col("still"), F.col("step") - F.sum(F.col("still").cast("int")).over(w)))
     d = d.withColumn("run", F.count("*").over(Window.partitionBy("ep", "island")))
-    held = d.where((F.col("still")) & (F.col("run") >= min_run)).withColumn("off", F.col("a0") - F.col("s0"))
-    return held.groupBy("ep").agg(F.count("*").alias("n_hold"), F.avg("off").alias("mean_offset"), F.stddev_pop("off").alias("offset_std"))
-
-
-def trim_dead_time(steps: DataFrame, threshold: float = 5e-4) -> DataFrame:
-    """(ep, start, end): the range of steps left when stillness at both ends is
-    cut, with 2 steps kept before and 3 after; whole if under 5 steps or if hardly any would be left."""
-    d = steps.withColumn("speed", F.abs(F.col("a0") - F.lag("a0").over(in_order())))
+    held = d.where(F.col("still") & (F.col("run") >= min_run))
+    return held.select("ep", "step", *[(F.col(a) - F.col(s)).alias(f"off_{a}") for a, s in zip(actions, states)])
+
+
+def hold_offsets(steps: DataFrame, actions: tuple[str, ...] = ("a0",), states: tuple[str, ...] = ("s0",), vel_frac: float = 0.05, min_run: int = 5) -> DataFrame:
+    """(ep, dim, n_hold, mean_offset, offset_std): action minus state over held steps."""
+    held = hold_steps(steps, actions, states, vel_frac, min_run)
+    rows = held.unpivot(["ep", "step"], [f"off_{a}" for a in actions], "dim", "off")
+    return rows.groupBy("ep", F.substring("dim", 5, 100).alias("dim")).agg(F.count("*").alias("n_hold"), F.avg("off").alias("mean_offset"), F.stddev_pop("off").alias("offset_std"))
+
+
+def calibration_drift(steps: DataFrame, actions: tuple[str, ...], states: tuple[str, ...], min_frames: int = 20, consistent: float = 2.0, warning: float = 0.03) -> DataFrame:
+    """(dim, n_stable, mean_offset, fraction, systematic, level): offsets over all
+    held steps; systematic if the mean is twice the deviation, a warning if it is then 3 %
+    of the range of the state (of the episodes with holds).  INFO below ``min_frames`` held steps."""
+    held = hold_steps(steps, actions, states)
+    off = held.agg(F.count("*").alias("n_stable"), *[f(f"off_{a}").alias(f"{k}_{a}") for a in actions for k, f in (("mean", F.avg), ("dev", F.stddev_pop))])
+    span = steps.join(held.select("ep").distinct(), "ep", "left_semi").agg(*[(F.max(c) - F.min(c)).alias(f"range_{a}") for a, c in zip(actions, states)])
+    one = off.crossJoin(span)  # one row each
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("dim"), F.col(f"mean_{a}").alias("mean"), F.col(f"dev_{a}").alias("dev"), F.col(f"range_{a}").alias("range")) for a in actions])).alias("r")
+    d = one.select("n_stable", rows).select("n_stable", "r.*")
+    size = F.abs("mean")
+    fraction = size / F.when(F.col("range") < 1e-9, 1.0).otherwise(F.col("range"))
+    systematic = size / F.greatest("dev", F.lit(1e-9)) >= consistent
+    level = F.when(F.col("n_stable") < min_frames, "INFO").when(systematic & (fraction >= warning), "WARNING").otherwise("OK")
+    return d.select("dim", "n_stable", F.col("mean").alias("mean_offset"), fraction.alias("fraction"), systematic.alias("systematic"), level.alias("level"))
+
+
+def force_contact(steps: DataFrame, force: tuple[str, ...], contact: str | None = None, touching: float = 0.5) -> DataFrame:
+    """(ep, spike_rate, contact_rate): share of changes of the force's size that
+    are over 5 * 1.4826 median deviations (at least 1e-4) from the median one,
+    and share of steps whose contact is over ``touching``."""
+    d = steps.withColumn("size", norm(force)).withColumn("shock", F.abs(F.col("size") - F.lag("size").over(in_order())))
+    d = d.withColumn("mid", median("shock").over(whole())).withColumn("mad", median(F.abs(F.col("shock") - F.col("mid"))).over(whole()))
+    spike = F.col("shock") > F.col("mid") + 5.0 * 1.4826 * F.greatest("mad", F.lit(1e-4))
+    rate = F.avg((F.col(contact) > touching).cast("double")) if contact else F.lit(None).cast("double")
+    return d.groupBy("ep").agg(F.coalesce(share(spike), F.lit(0.0)).alias("spike_rate"), rate.alias("contact_rate"), F.count("shock").alias("n_shocks"), F.count("*").alias("n_steps"))
+
+
+def force_flags(episodes: DataFrame) -> DataFrame:
+    """(metric, value, level): spikes over all changes, a warning over 1 %, and contacts over all steps, critical below 1 %."""
+    g = episodes.agg((F.sum(F.col("spike_rate") * F.col("n_shocks")) / F.sum("n_shocks")).alias("s"), (F.sum(F.col("contact_rate") * F.col("n_steps")) / F.sum("n_steps")).alias("c"))
+    spike = F.struct(F.lit("force_spike_rate").alias("metric"), F.col("s").alias("value"), F.when(F.col("s") > 0.01, "WARNING").otherwise("OK").alias("level"))
+    drop = F.struct(F.lit("contact_dropout").alias("metric"), F.col("c").alias("value"), F.when(F.col("c") < 0.01, "CRITICAL").otherwise("OK").alias("level"))
+    return g.select(F.explode(F.array(spike, drop)).alias("r")).select("r.*").where("value is not null")
+
+
+def grasp_summary(grasps: DataFrame) -> DataFrame:
+    """One row: n_episodes, mean_grasps, zero_share, level of (ep, grasps): a warning if over half have none."""
+    g = grasps.where("grasps is not null").agg(F.count("*").alias("n_episodes"), F.avg("grasps").alias("mean_grasps"), F.avg((F.col("grasps") == 0).cast("double")).alias("zero_share"))
+    level = F.when(F.col("n_episodes") == 0, "INFO").when(F.col("zero_share") > 0.5, "WARNING").otherwise("OK")
+    return g.select("n_episodes", "mean_grasps", "zero_share", level.alias("level"))
+
+
+def trim_dead_time(steps: DataFrame, threshold: float = 5e-4, columns: tuple[str, ...] = ("a0",)) -> DataFrame:
+    """(ep, n, start, end): the range of steps left when stillness at both ends is
+    cut, with 2 steps kept before and 3 after; whole if under 5 steps or if hardly any would be left.
+
+    A step moves if the mean rate of change of its columns is over ``threshold``."""
+    w = in_order()
+    dt = F.greatest(F.col("t") - F.lag("t").over(w), F.lit(1e-5))
+    d = steps.withColumn("speed", sum((F.abs(F.col(c) - F.lag(c).over(w)) / dt for c in columns), F.lit(0.0)) / len(columns))
     moving = F.col("speed") > threshold
     g = d.groupBy("ep").agg(F.count("*").alias("n"), F.min(F.when(moving, F.col("step") - 1)).alias("lo"), F.max(F.when(moving, F.col("step") - 1)).alias("hi"))
     start, end = F.greatest(F.col("lo") - 2, F.lit(0)), F.least(F.col("hi") + 3, F.col("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import in_order, median, share, whole
+from ..functions.exprs import in_order, median, norm, share, whole
 
 DROPOUT_FACTOR = 3.0
 GRID_TOLERANCE = 1e-3
@@ -87,19 +87,22 @@ def clock_lag(steps: DataFrame, other: str = "action_t") -> DataFrame:
     )
 
 
-def action_dropout(steps: DataFrame) -> DataFrame:
-    """(ep, action_dropout): share of transitions with a near-zero action
-    while the state moves; episodes of 2 or more steps.
+def action_dropout(steps: DataFrame, actions: tuple[str, ...] = ("a0",), states: tuple[str, ...] = ("s0",)) -> DataFrame:
+    """(ep, action_dropout): share of transitions with a near-zero action while
+    the state moves (without states: of steps with a near-zero action); episodes of 2 or more steps.
 
-    Near zero is against the deviation over all episodes, moving against the
-    episode's own; a deviation of 0 counts as 1.
+    Near zero is against the mean deviation over all episodes, moving against
+    the episode's own, times sqrt(dimensions); a deviation of 0 counts as 1.
     """
-    scale = steps.agg(F.stddev_pop("a0").alias("all_dev"))
+    mean = lambda parts: sum(parts, F.lit(0.0)) / len(parts)
+    scale = steps.agg(mean([F.stddev_pop(c) for c in actions]).alias("all_dev"))
     d = steps.crossJoin(F.broadcast(scale))  # one row
-    d = d.withColumns({"ds": F.abs(F.lead("s0").over(in_order()) - F.col("s0")), "own": F.stddev_pop("s0").over(whole())})
     unit = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
-    hit = (F.abs("a0") < ZERO_FACTOR * unit("all_dev")) & (F.col("ds") > ZERO_FACTOR * unit("own"))
-    return d.groupBy("ep").agg(F.count("*").alias("n"), share(F.when(F.col("ds").isNotNull(), hit)).alias("action_dropout")).where("n >= 2").drop("n")
+    hit = norm(actions) < ZERO_FACTOR * unit("all_dev") * len(actions) ** 0.5
+    if states:
+        d = d.withColumns({"ds": norm([F.lead(c).over(in_order()) - F.col(c) for c in states]), "own": mean([F.stddev_pop(c).over(whole()) for c in states])})
+        hit = F.when(F.col("ds").isNotNull(), hit & (F.col("ds") > ZERO_FACTOR * unit("own") * len(states) ** 0.5))
+    return d.groupBy("ep").agg(F.count("*").alias("n"), share(hit).alias("action_dropout")).where("n >= 2").drop("n")
 
 
 def all_synthetic(grid: DataFrame) -> DataFrame:
@@ -107,3 +110,9 @@ def all_synthetic(grid: DataFrame) -> DataFrame:
     return grid.agg(F.coalesce(F.bool_and("on_grid"), F.lit(False)).alias("synthetic"))
 
 
+
+
+def not_evaluable(flags: DataFrame, synthetic: DataFrame, metrics: tuple[str, ...] = ("jitter_cv", "dropout")) -> DataFrame:
+    """(metric, value, level): flags of clock figures are only INFO if all clocks are synthetic (one row)."""
+    d = flags.crossJoin(F.broadcast(synthetic))  # one row
+    return d.select("metric", "value", F.when(F.col("synthetic") & F.col("metric").isin(*metrics), "INFO").otherwise(F.col("level")).alias("level"))

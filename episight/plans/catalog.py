@@ -44,7 +44,7 @@ def li(spark: SparkSession, d: str) -> DataFrame:
 def figures(spark: SparkSession, d: str) -> DataFrame:
     """(ep, n_steps, jitter_cv, dropout, spike_rate, disc_rate, ldlj) of the events' episodes."""
     steps = ev(spark, d)
-    return timing.timing_metrics(steps).join(motion.motion_metrics(steps).drop("n_steps"), "ep").withColumn("ldlj", F.lit(None).cast("double"))
+    return timing.timing_metrics(steps).join(motion.motion_metrics(steps).drop("n_steps"), "ep").join(motion.whole_ldlj(steps, ("a0",)), "ep")
 
 
 @query
@@ -136,12 +136,14 @@ def sustained_runs(spark, d):
 
 @query
 def hold_offsets(spark, d):
-    return shown(tasks.hold_offsets(ev(spark, d)))
+    from .analysis import holding
+
+    return shown(tasks.hold_offsets(holding(spark, d), ("a0", "a1"), ("s0", "s1")), digits=9)
 
 
 @query
 def cure_trim(spark, d):
-    return tasks.trim_dead_time(ev(spark, d), 20.0)
+    return tasks.trim_dead_time(ev(spark, d), 0.02, ("a0", "s0"))
 
 
 @query
@@ -325,7 +327,13 @@ def _summary(spark, d):
     one = f
     for part in (drop, bits, cv, short):
         one = one.crossJoin(part)  # one row each
-    return one.withColumn("separation", F.lit(None).cast("double"))
+    # how well the episodes' means fall into those above and below their median
+    means = steps.groupBy("ep").agg(F.avg("a0").alias("x"))
+    halves = means.crossJoin(F.broadcast(means.agg(F.percentile("x", F.lit(0.5)).alias("mid"))))  # one row
+    squares = F.var_pop("x") * F.count("x")
+    within = halves.groupBy((F.col("x") > F.col("mid")).alias("high")).agg(squares.alias("v")).agg(F.sum("v").alias("within"))
+    split = within.crossJoin(means.agg(squares.alias("all")))  # one row each
+    return one.crossJoin(split.select((1.0 - F.col("within") / F.col("all")).alias("separation")))
 
 
 @query
@@ -512,3 +520,6 @@ def embedding_outliers(spark, d):
     """Vectors whose nearest neighbour is far, by the median and its deviation."""
     m = _knn(spark, d).select("ep", F.lit("distance").alias("metric"), F.col("distance").alias("value"))
     return shown(stats.mad_outliers(m), digits=4)
+
+
+from . import analysis  # noqa: E402, F401  (it registers its queries and builds on the ones above)

@@ -49,8 +49,12 @@ m5 as (select *, median(j) over (partition by ep) as jm, max(v) over (partition
 
 
 DIMS = ("a0", "a1", "a2", "a3")
-FIGURES = f"""{EV}, {TIMING}, {motion('ev', ('a0',))}, figures as (
-  select t.ep, t.n_steps, jitter_cv, dropout, spike_rate, disc_rate, null::double as ldlj from timing t join motion using (ep)
+FIGURES = f"""{EV}, {TIMING}, {motion('ev', ('a0',))}, ejerk as (
+  select ep, count(*) as n, median(mdt) as dt, max_by(t, step) - min_by(t, step) as dur, max(v) as v, sum(j * j) as jj from m4 group by ep
+), figures as (
+  select t.ep, t.n_steps, jitter_cv, dropout, spike_rate, disc_rate,
+    case when n >= 5 and dt > 0 and dur > 0 and v / dt > 1e-12 and jj > 0 then -ln(pow(dur, 3) / pow(v / dt, 2) * (jj / pow(dt, 6)) * dt) end as ldlj
+  from timing t join motion using (ep) join ejerk using (ep)
 )"""
 METRICS = f"""{FIGURES}, m as (
   select ep, 'jitter_cv' as metric, jitter_cv as value from figures union all select ep, 'dropout', dropout from figures
@@ -75,13 +79,14 @@ RANKS = f"""{METRICS}, ranks as (
     select *, case when mad * 1.4826 < 1e-12 then dev else mad * 1.4826 end as s from m join spread2 using (metric))
 )"""
 RISK = """risk as (
-  select ep, round(0.35 * coalesce(least(spike_rate / 0.10, 1), 0) + 0.35 * coalesce(least(disc_rate / 0.25, 1), 0) + 0.20 * coalesce(least(dropout / 0.10, 1), 0), 6) as quality_risk from figures
+  select ep, round(0.35 * coalesce(least(spike_rate / 0.10, 1), 0) + 0.35 * coalesce(least(disc_rate / 0.25, 1), 0) + 0.20 * coalesce(least(dropout / 0.10, 1), 0)
+    + 0.10 * coalesce(least(greatest((ldlj + 3) / -27, 0), 1), 0), 6) as quality_risk from figures
 )"""
 GATE = """lim as (
   select 0.25 * (1 + 2 * least(greatest((coalesce(avg(disc_rate), 0) / greatest(coalesce(avg(spike_rate), 0), 0.001) - 3) / 17, 0), 1)) as l from figures
 ), gate0 as (
   select ep, case when n_steps < 10 then 'length' else concat_ws(',', case when spike_rate > 0.10 then 'spike_rate' end, case when disc_rate > l then 'disc_rate' end,
-    case when dropout > 0.10 then 'dropout' end) end as reasons, coalesce(spike_rate, disc_rate, dropout) is not null as seen from figures, lim
+    case when dropout > 0.10 then 'dropout' end, case when ldlj < -30 then 'ldlj' end) end as reasons, coalesce(spike_rate, disc_rate, dropout, ldlj) is not null as seen from figures, lim
 ), gate as (
   select ep, reasons, case when reasons <> '' then 'bad' when seen then 'clean' else 'not_evaluated' end as status from gate0
 )"""
@@ -147,8 +152,10 @@ lc as (select case when avg(n_steps) > 0 then stddev_pop(n_steps) / avg(n_steps)
 sf as (
   select avg((n_steps < fence)::int) as short_fraction from el, (
     select quantile_cont(n_steps, 0.25) - 1.5 * greatest(quantile_cont(n_steps, 0.75) - quantile_cont(n_steps, 0.25), 0.25 * median(n_steps)) as fence from el)
-), summary as (
-  select f1.*, (select avg(action_dropout) from ad) as action_dropout, entropy, length_cv, short_fraction from f1, ent, lc, sf
+), em as (select ep, avg(a0) as x from ev group by ep), eh as (select x, x > (select median(x) from em) as high from em),
+sp as (select 1 - (select sum(v) from (select var_pop(x) * count(*) as v from eh group by high)) / (select var_pop(x) * count(*) from eh) as separation),
+summary as (
+  select f1.*, (select avg(action_dropout) from ad) as action_dropout, entropy, length_cv, short_fraction, separation from f1, ent, lc, sf, sp
 )"""
 FLAGS = f"""{SUMMARY}, fl as (
   select metric, value, case when value >= crit then 'CRITICAL' when value >= warn then 'WARNING' else 'OK' end as level from (
@@ -248,11 +255,14 @@ select ep, round(case when f is null or n < 2 then 1.0 else f / n end, 6) as app
     "sustained_runs": f"""with {EV}, i as (select ep, step, step - row_number() over (partition by ep order by step) as g from ev where a0 > 20),
 ru as (select ep, min(step) as f, max(step) as l, count(*) as k from i group by ep, g)
 select e.ep, coalesce(max(k), 0) as longest, min(case when k >= 3 then f end) as first_run, max(case when k >= 3 then l end) as last_run from (select distinct ep from ev) e left join ru using (ep) group by e.ep""",
-    "hold_offsets": f"""with {EV}, h as (
-  select ep, step, a0 - s0 as off, coalesce(abs(s0 - lag(s0) over (partition by ep order by step)) < 0.05 * case when stddev_pop(s0) over (partition by ep) = 0 then 1 else stddev_pop(s0) over (partition by ep) end, false) as still from ev
-), i as (select *, step - row_number() over (partition by ep order by step) as g from h where still), k as (select *, count(*) over (partition by ep, g) as run from i)
-select ep, count(*) as n_hold, round(avg(off), 6) + 0.0 as mean_offset, round(stddev_pop(off), 6) + 0.0 as offset_std from k where run >= 2 group by ep""",
-    "cure_trim": f"""with {EV}, s as (select ep, step, abs(a0 - lag(a0) over (partition by ep order by step)) > 20 as mv from ev),
+    "hold_offsets": f"""with {LI}, ho as (select ep, step, t, floor(a1 / 60000) + a2 as a0, 2 * floor(a1 / 60000) + a3 as a1, floor(a1 / 60000) as s0, 2 * floor(a1 / 60000) as s1 from li),
+hs as (
+  select *, coalesce(sqrt(pow(s0 - lag(s0) over w, 2) + pow(s1 - lag(s1) over w, 2)) < 0.05 * sqrt(2) * case when dev = 0 then 1 else dev end, false) as still from (
+    select *, (stddev_pop(s0) over (partition by ep) + stddev_pop(s1) over (partition by ep)) / 2 as dev from ho) window w as (partition by ep order by step)
+), hi as (select *, step - row_number() over (partition by ep order by step) as g from hs where still), hk as (select *, count(*) over (partition by ep, g) as run from hi)
+select ep, 'a0' as dim, count(*) as n_hold, round(avg(a0 - s0), 9) + 0.0 as mean_offset, round(stddev_pop(a0 - s0), 9) + 0.0 as offset_std from hk where run >= 5 group by ep
+union all select ep, 'a1', count(*), round(avg(a1 - s1), 9) + 0.0, round(stddev_pop(a1 - s1), 9) + 0.0 from hk where run >= 5 group by ep""",
+    "cure_trim": f"""with {EV}, s as (select ep, step, (abs(a0 - lag(a0) over w) / greatest(t - lag(t) over w, 1e-5) + abs(s0 - lag(s0) over w) / greatest(t - lag(t) over w, 1e-5)) / 2 > 0.02 as mv from ev window w as (partition by ep order by step)),
 g as (select ep, count(*) as n, min(case when mv then step - 1 end) as lo, max(case when mv then step - 1 end) as hi from s group by ep),
 w as (select *, n < 5 or lo is null or least(hi + 3, n) - greatest(lo - 2, 0) <= 2 as whole from g)
 select ep, n, (case when whole then 0 else greatest(lo - 2, 0) end)::bigint as start, (case when whole then n else least(hi + 3, n) end)::bigint as "end" from w""",
@@ -302,7 +312,7 @@ select disposition, count(*) as n from x group by 1""",
   select 25 - 8.5 * {ramp('jitter_cv', 0.05, 0.20)} - 8.5 * {ramp('dropout', 0.01, 0.05)} - 8.0 * {ramp('action_dropout', 0.05, 0.15)} as temporal,
     20 - 10 * {ramp('spike_rate', 0.02, 0.05)} - 10 * {ramp('disc_rate', 0.02, 0.05)} as smoothness,
     greatest(25 - coalesce(case when entropy <= 1.5 then 20 when entropy <= 2.5 then 20 * (2.5 - entropy) when entropy <= 4 then 10 * (4 - entropy) / 1.5 else 0 end, 0) - 5 * {ramp('length_cv', 0.2, 0.5)}, 0) as coverage,
-    greatest(15 - case when short_fraction > 0.05 then 5 * least(short_fraction / 0.2, 1) else 0 end, 0) as structure from summary
+    greatest(15 - 10 * greatest(1 - separation / 0.4, 0) - case when short_fraction > 0.05 then 5 * least(short_fraction / 0.2, 1) else 0 end, 0) as structure from summary
 ), g as (select *, (temporal / 25 + smoothness / 20) / 2 as gate from s), h as (select *, round((temporal + smoothness + (coverage + structure) * gate) / 85 * 100, 1) as total from g)
 select {r('temporal', 4)}, {r('smoothness', 4)}, {r('coverage', 4)}, {r('structure', 4)}, {r('gate', 4)}, total, case when total >= 90 then 'Excellent' when total >= 75 then 'Good' when total >= 60 then 'Fair' when total >= 40 then 'Poor' else 'Critical' end as category from h""",
     "metric_flags": f"with {FLAGS} select metric, {r('value')}, level from fl",
@@ -339,10 +349,10 @@ select source, n, k, round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z
 select round(sum(case when fires and bad then w else 0 end) / sum(case when fires then w else 0 end), 6) + 0.0 as precision, round(sum(case when fires and bad then w else 0 end) / sum(case when bad then w else 0 end), 6) + 0.0 as recall from x""",
     "episode_offsets": """with n as (select l_suppkey as old, count(*) as length from lineitem where l_suppkey % 3 <> 0 group by 1)
 select old, row_number() over (order by old) - 1 as episode_index, length, (sum(length) over (order by old) - length)::bigint as first, (sum(length) over (order by old))::bigint as "end" from n""",
-    "watch_verdicts": f"""with {FIGURES} select ep, case when coalesce(spike_rate >= 0.05, false) or coalesce(disc_rate >= 0.05, false) or coalesce(dropout >= 0.05, false) then 'FAIL'
-  when coalesce(spike_rate >= 0.02, false) or coalesce(disc_rate >= 0.02, false) or coalesce(dropout >= 0.01, false) then 'WARN' else 'PASS' end as verdict,
-  coalesce(case when spike_rate >= 0.05 then 'spike_rate' end, case when disc_rate >= 0.05 then 'disc_rate' end, case when dropout >= 0.05 then 'dropout' end,
-    case when spike_rate >= 0.02 then 'spike_rate' end, case when disc_rate >= 0.02 then 'disc_rate' end, case when dropout >= 0.01 then 'dropout' end) as metric from figures""",
+    "watch_verdicts": f"""with {FIGURES} select ep, case when coalesce(spike_rate >= 0.05, false) or coalesce(disc_rate >= 0.05, false) or coalesce(dropout >= 0.05, false) or coalesce(ldlj <= -15, false) then 'FAIL'
+  when coalesce(spike_rate >= 0.02, false) or coalesce(disc_rate >= 0.02, false) or coalesce(dropout >= 0.01, false) or coalesce(ldlj <= -10, false) then 'WARN' else 'PASS' end as verdict,
+  coalesce(case when spike_rate >= 0.05 then 'spike_rate' end, case when disc_rate >= 0.05 then 'disc_rate' end, case when dropout >= 0.05 then 'dropout' end, case when ldlj <= -15 then 'ldlj' end,
+    case when spike_rate >= 0.02 then 'spike_rate' end, case when disc_rate >= 0.02 then 'disc_rate' end, case when dropout >= 0.01 then 'dropout' end, case when ldlj <= -10 then 'ldlj' end) as metric from figures""",
     "standalone_kinematics": f"""with {EV}, x1 as (select *, s0 - lag(s0) over w as d1 from ev window w as (partition by ep order by step)),
 x2 as (select *, d1 - lag(d1) over w as d2 from x1 window w as (partition by ep order by step)), x3 as (select *, abs(d2 - lag(d2) over w) as j from x2 window w as (partition by ep order by step)),
 x4 as (select *, avg(j) over (partition by ep) as jm, stddev_pop(j) over (partition by ep) as js from x3)
@@ -357,9 +367,14 @@ ds as (select a.ep, sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for k
 g as (select min(d) as d, arg_min(ep, d) as nearest, sum((d < 0.15)::int)::bigint as n_close, sum((d < 0.30)::int)::bigint as n_near from ds)
 select nearest, round(d, 5) + 0.0 as distance, n_close, n_near, case when n_close >= 3 then 'COVERED' when n_near >= 1 then 'PARTIAL' else 'MISSING' end as verdict,
   (case when n_close >= 3 then 0 when n_near >= 1 then greatest(0, 5 - n_close) else 8 end)::bigint as to_collect from g""",
-    "cure_interpolate": f"""with {EV}, x as (select *, lead(t) over w as next_t, lead(a0) over w as nxt, first_value(t) over w as t0, t - lag(t) over w as dt from ev window w as (partition by ep order by step)),
-y as (select *, median(dt) over (partition by ep) as every from x), z as (select *, ceil((t - t0) / every)::bigint as lo, ceil((next_t - t0) / every)::bigint as hi from y where every > 0 and next_t > t),
-g as (select *, unnest(range(lo, hi)) as i from z) select ep, i, round(a0 + (nxt - a0) * (t0 + i * every - t) / (next_t - t), 3) + 0.0 as value from g""",
+    "cure_interpolate": f"""with {EV}, x as (select *, lead(t) over w as next_t, lead(a0) over w as nxt, min(t) over e as t0, max(t) over e as t1, count(*) over e as n from ev window w as (partition by ep order by step), e as (partition by ep)),
+y as (select *, round_even((t1 - t0) * (1.0 / greatest((t1 - t0) / (n - 1), 1e-5)), 0)::bigint + 1 as m from x where n >= 2), z as (select *, (t1 - t0) / (m - 1) as every from y where m >= 2 and t1 > t0),
+g as (select *, unnest(case when next_t is null then [m - 1] else range(ceil((t - t0) / every)::bigint, least(ceil((next_t - t0) / every)::bigint, m - 1)) end) as i from z where next_t is null or next_t > t)
+select ep, i, round(case when next_t is null then a0 else a0 + (nxt - a0) * (t0 + i * every - t) / (next_t - t) end, 3) + 0.0 as value from g""",
     "corrupt_drop": f"""with {EV}, x as (select ep, step, row_number() over (partition by ep order by md5(ep || '|' || step || '|42'), step) as place, count(*) over (partition by ep) as n from ev)
 select ep, step from x where place <= greatest(2, floor(n * (1.0 - 0.2)))""",
 }
+
+from .analysis_sql import SQL as _MORE  # noqa: E402  (it is built from the parts above)
+
+SQL |= _MORE

@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, small, duck, name):
 
 
 def test_queries_without_sql_are_named():
-    assert set(catalog.QUERIES) - set(oracles.SQL) <= {
-        "submovement_ldlj", "pca_top2", "kcenter_coreset", "nearest_embedding", "approx_coreset", "dataset_comparison",
-        "embedding_outliers", "similar_outcomes", "outlier_concentration",
+    assert set(catalog.QUERIES) - set(oracles.SQL) == {
+        "submovement_ldlj", "pca_top2", "kcenter_coreset", "approx_coreset", "dataset_comparison", "coreset_diversity", "coverage_gaps",
+        "cure_episodes", "latent_projection", "trajectory_diversity", "vector_transitions",
     }

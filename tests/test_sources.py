@@ -23,7 +23,7 @@ def test_lerobot_round_trip(spark, tmp_path):
 
 def test_observation_names():
     assert lerobot.canonical("proprio") == "state"
-    assert lerobot.canonical("camera_wrist") == "image_wrist"
+    assert lerobot.canonical("images.wrist") == "camera_wrist" and lerobot.canonical("camera_wrist") == "camera_wrist"
     assert lerobot.canonical("force") == "force"
 
 
