@@ -13,18 +13,24 @@ BOILERPLATE = (
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """The words of a text; white space at its ends is cut off first, so that no word is empty."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def repetition(text: Column) -> Column:
-    """1 - distinct over all lower-cased word pairs; 0 below 4 words."""
-    w = words(F.lower(text))
+def repetition_of(w: Column) -> Column:
+    """1 - distinct over all pairs of a word array; 0 below 4 words.  ``w`` is read several times and should be a column of its own."""
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(w) < 4, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(pairs)) / F.size(pairs))
+    return F.when(F.size(w) < 4, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(pairs)) / (F.size(w) - 1))
+
+
+def repetition(text: Column) -> Column:
+    """``repetition_of`` the lower-cased words."""
+    return repetition_of(words(F.lower(text)))
 
 
 def template_share(text: Column) -> Column:

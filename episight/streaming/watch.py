@@ -38,3 +38,46 @@ def watch(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
 def counts(watched: DataFrame) -> DataFrame:
     """Verdicts so far; for output mode complete."""
     return watched.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+STEPS = "ep long, step long, t double, a0 double, s0 double"
+
+
+def report_verdict(flags: DataFrame) -> DataFrame:
+    """One row: verdict (FAIL, WARN or PASS, as the worst level of (metric, level) is) and the metric that has it, the first by name."""
+    rank = F.when(F.col("level") == "CRITICAL", 2).when(F.col("level") == "WARNING", 1).otherwise(0)
+    worst = flags.agg(F.min(F.struct((-rank).alias("r"), "metric")).alias("w"))
+    r = F.coalesce(F.col("w.r"), F.lit(0))
+    return worst.select(F.when(r == -2, "FAIL").when(r == -1, "WARN").otherwise("PASS").alias("verdict"), F.when(r < 0, F.col("w.metric")).alias("metric"))
+
+
+def episode_verdicts(steps: DataFrame) -> DataFrame:
+    """(ep, figures, verdict, metric) of whole episodes."""
+    from ..operators import motion, timing
+
+    figures = timing.timing_metrics(steps).join(motion.motion_metrics(steps).drop("n_steps"), "ep").join(motion.whole_ldlj(steps, ("a0",)), "ep")
+    return verdicts(figures)
+
+
+def watch_steps(spark: SparkSession, path: str, out: str, min_episodes: int = 5, retrain_every: int = 5):
+    """A stream writer that analyses the episodes arriving in ``path`` (Parquet
+    of STEPS, each episode whole in one file) and judges them.
+
+    Each micro-batch writes its verdicts to ``out``/verdicts and its steps to
+    ``out``/steps, in a folder named by the batch, which a retry overwrites.  Once there are
+    ``min_episodes``, and after every ``retrain_every`` more, the forecast of the dynamics is fitted
+    anew to all steps so far and the scores go to ``out``/surprise.
+    """
+    from ..operators.surprise import surprise
+
+    def process(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/steps/batch={number}")
+        steps = spark.read.schema(STEPS).parquet(f"{out}/steps/batch={number}")
+        episode_verdicts(steps).write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+        known = spark.read.parquet(f"{out}/steps").select("ep", "batch").distinct().groupBy("batch").agg(F.count("*").alias("n")).collect()  # a row a batch
+        n = sum(r.n for r in known)
+        before = sum(r.n for r in known if r.batch != number)
+        if n >= min_episodes and (before < min_episodes or n // retrain_every > before // retrain_every):
+            surprise(spark.read.parquet(f"{out}/steps").drop("batch"), ("s0",), ("a0",)).write.mode("overwrite").parquet(f"{out}/surprise/batch={number}")
+
+    return spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(process).option("checkpointLocation", f"{out}/checkpoint")
