@@ -64,43 +64,42 @@ def splitters(keys: DataFrame, shards: int, ranges: int, tolerance: float, fine_
     share of a shard's bytes), the others to ``fine_tolerance`` (a share of a
     range's).  A shard's boundary is moved to the edge of a group of equal
     texts if that keeps it within its tolerance.
+
+    All probes counted so far stand in order with their exact bytes and rows
+    below; boundaries are looked up there by binary search, and the gaps in which
+    some are still too far off get new probes, ``fan`` a gap or sixteen a boundary.
     """
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    n = shards * ranges - 1
+    total, count = keys.agg(F.sum("size"), F.count("*")).first()
+    n, top, mask = shards * ranges - 1, (1 << KEY_BITS) - 1, (1 << ID_BITS) - 1
+    if not total:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     goal = np.array([total * (i + 1) / (n + 1) for i in range(n)])
-    main = np.array([(i + 1) % ranges == 0 for i in range(n)])
+    main = np.arange(1, n + 1) % ranges == 0
     allowed = np.where(main, tolerance * total / shards, fine_tolerance * total / (n + 1))
-    low, high = np.zeros(n, np.int64), np.full(n, (1 << KEY_BITS) - 1, np.int64)
-    best, off = low.copy(), np.full(n, np.inf)
-    below, rows_below = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    probes, size, rows = np.array([0, top]), np.array([0, total]), np.array([0, count])
     rounds = 0
-    while total and rounds < KEY_BITS:
-        open_ = (off > allowed) & (high - low > 1)
-        if not open_.any():
-            break
-        lo, hi = np.unique(np.stack([low[open_], high[open_]], 1), axis=0).T
-        each = max(fan, fan * n // len(lo))  # intervals that are still shared get more probes
+    while True:
+        high = np.searchsorted(size, goal)
+        low = high - 1
+        nearest = np.where((size[high] - goal < goal - size[low]) & (high < len(probes) - 1), high, low)
+        edge = np.flatnonzero((probes & mask == 0) & (probes < top))
+        at = np.clip(np.searchsorted(size[edge], goal), 1, max(1, len(edge) - 1))
+        left, right = edge[at - 1], edge[np.minimum(at, len(edge) - 1)]
+        kept = np.where(np.abs(size[right] - goal) < np.abs(size[left] - goal), right, left)
+        pick = np.where(main & (np.abs(size[kept] - goal) <= allowed), kept, nearest)
+        open_ = (np.abs(size[pick] - goal) > allowed) & (probes[high] - probes[low] > 1)
+        if rounds == KEY_BITS or not open_.any():
+            return probes[pick], size[pick], rows[pick], rounds
+        lo, hi = np.unique(np.stack([probes[low[open_]], probes[high[open_]]], 1), axis=0).T
+        each = max(fan, 16 * n // len(lo))  # gaps that boundaries share get more probes
         step = np.maximum((hi - lo) // (each + 1), 1)
         even = lo[:, None] + step[:, None] * np.arange(1, each + 1)
-        probes = np.unique(np.concatenate([even[even < hi[:, None]], (lo >> ID_BITS) + 1 << ID_BITS, hi >> ID_BITS << ID_BITS]))
-        probes = probes[(probes > 0) & (probes < (1 << KEY_BITS) - 1)]
-        size, rows = count_below(keys, probes)
-        for i in np.flatnonzero(open_):
-            miss = np.abs(size - goal[i])
-            k = int(miss.argmin())
-            edge = np.flatnonzero((probes & ((1 << ID_BITS) - 1) == 0) & (miss <= allowed[i]))
-            if main[i] and len(edge):
-                k = int(edge[miss[edge].argmin()])
-            if miss[k] < off[i]:
-                best[i], off[i], below[i], rows_below[i] = probes[k], miss[k], size[k], rows[k]
-            under = np.flatnonzero(size <= goal[i])
-            over = np.flatnonzero(size > goal[i])
-            if len(under):
-                low[i] = max(low[i], probes[under[-1]])
-            if len(over):
-                high[i] = min(high[i], probes[over[0]])
+        new = np.unique(np.concatenate([even[even < hi[:, None]], (lo >> ID_BITS) + 1 << ID_BITS, hi >> ID_BITS << ID_BITS]))
+        new = np.setdiff1d(new[(new > 0) & (new < top)], probes)
+        below, rows_below = count_below(keys, new)
+        order = np.argsort(np.concatenate([probes, new]), kind="stable")
+        probes, size, rows = (np.concatenate(x)[order] for x in ((probes, new), (size, below), (rows, rows_below)))
         rounds += 1
-    return best, below, rows_below, rounds
 
 
 def histogram_shards(

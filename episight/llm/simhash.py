@@ -177,7 +177,14 @@ def squares(keyed: DataFrame, spread: str) -> DataFrame:
         met = keyed.withColumn("m", F.lit(1))
     met = met.withColumn("block", F.pmod(F.xxhash64(spread), F.col("m")).cast("int"))
     met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("x", F.least("block", "_o")).withColumn("y", F.greatest("block", "_o"))
-    return met.drop("m", "_o").repartition("table", "part", "x", "y").sortWithinPartitions("table", "part", "x", "y", spread)
+    return dealt(met.drop("m", "_o"), spread)
+
+
+def dealt(groups: DataFrame, order: str) -> DataFrame:
+    """Rows by (table, part, x, y), in order inside.  The number of parts is
+    given, as the work goes with pairs and not with the bytes by which Spark would join small parts."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "table", "part", "x", "y").sortWithinPartitions("table", "part", "x", "y", order)
 
 
 def by_group(batches, keys: int, work):
@@ -391,6 +398,8 @@ def nearest_untested(buckets: DataFrame, most: int, tenths: int) -> DataFrame:
     def compare_one(key, cols):
         block, same, n, fp, root, tested = cols
         x, y = key[2:]
+        if (root == root[0]).all():
+            return
         got = []
         for s in range(0, len(fp), SIDE):
             best = []
@@ -412,8 +421,7 @@ def nearest_untested(buckets: DataFrame, most: int, tenths: int) -> DataFrame:
     def compare(batches):
         yield from by_group(batches, 4, compare_one)
 
-    dealt = buckets.repartition("table", "part", "x", "y").sortWithinPartitions("table", "part", "x", "y", "same")
-    return dealt.select("table", "part", "x", "y", "block", "same", "n", "fp", "root", "tested").mapInArrow(compare, "table long, part long, x long, y long, same long, other long, rank long")
+    return dealt(buckets, "same").select("table", "part", "x", "y", "block", "same", "n", "fp", "root", "tested").mapInArrow(compare, "table long, part long, x long, y long, same long, other long, rank long")
 
 
 def first_of(rows: np.ndarray, most: int) -> np.ndarray:
@@ -431,7 +439,7 @@ def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: flo
 
     In each round every member of a bucket names its nearest candidates in
     other components, the pairs are checked exactly, and components grow; a
-    round names twice as many as the one before, until every candidate is
+    round names four times as many as the one before, until every candidate is
     tested or inside a component.  So a tight group of n sets costs some n checks, not n * n.
     """
     tenths = round(10 * similarity)
@@ -444,7 +452,7 @@ def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: flo
     active = buckets.select("same").distinct().join(one.select("same", "th"), "same")
     rep = docs.select("text", F.xxhash64("text").alias("th")).join(active, "th")
     sets = cut_lineage(shingle_sets(rep.groupBy("same").agg(F.min("text").alias("text")), width))
-    edges, roots, most = None, None, 1
+    roots, most = None, 4
     while True:
         if roots is None:
             now = buckets.withColumn("root", F.col("same"))
@@ -457,12 +465,13 @@ def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: flo
         new = cut_lineage(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), meet.alias("m")).where(10 * F.col("m") >= tenths * (F.col("na") + F.col("nb") - F.col("m"))).select("a", "b"))
         if named.isEmpty():
             break
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges)
+        # the components so far stand for their links
+        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         last = named.groupBy("table", "part", "x", "y", "same").agg(F.max("rank").alias("last"))
         keys = ["table", "part", "x", "y", "same"]
-        buckets = cut_lineage(buckets.join(last, keys, "left").withColumn("tested", F.coalesce("last", F.lit(1 << 60))).drop("last"))
-        most *= 2
+        # a member that has named nobody has no candidate left, and nobody needs to name it
+        buckets = cut_lineage(buckets.join(last, keys).withColumn("tested", F.col("last")).drop("last"))
+        most *= 4
     if roots is None:
         return one.select("same", F.col("same").alias("root")).where("false")
     return roots.select(F.col("node").alias("same"), "root")

@@ -174,19 +174,24 @@ def write_bundles(records: DataFrame, path: str, bundle_bytes: int = 4 << 20, fr
         def done():
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{k:06d}"]), pa.array([len(held)], pa.int64()), pa.array([bundle(held, frame_bytes)], pa.binary())], names=["bundle", "n_records", "content"])
 
-        nth = 0
+        nth, names = 0, set()
         for b in batches:
-            for row in b.to_pylist():
-                target = row["response_id"]
-                rid = record_id(row["page_id"], f"{part}.{nth}")
-                nth += 1
-                refers = None if target is None else record_id(target, "response")
-                raw = record(rid, "response" if target is None else "revisit", row["url"], row["digest"], bytes(row["payload"]), row["size"], refers)
-                held.append((rid, raw))
-                size += len(raw)
-                if size >= bundle_bytes:
-                    yield done()
-                    k, held, size = k + 1, [], 0
+            for at in range(0, b.num_rows, 100):
+                for row in b.slice(at, 100).to_pylist():
+                    target = row["response_id"]
+                    # the name that revisits refer to; a repeated row's second record gets another
+                    rid = record_id(row["page_id"], "response" if target is None else f"{part}.{nth}")
+                    if rid in names or row["page_id"] is None:
+                        rid = record_id(row["page_id"], f"{part}.{nth}")
+                    names.add(rid)
+                    nth += 1
+                    refers = None if target is None else record_id(target, "response")
+                    raw = record(rid, "response" if target is None else "revisit", row["url"], row["digest"], bytes(row["payload"]), row["size"], refers)
+                    held.append((rid, raw))
+                    size += len(raw)
+                    if size >= bundle_bytes:
+                        yield done()
+                        k, held, size, names = k + 1, [], 0, set()
         if held:
             yield done()
 

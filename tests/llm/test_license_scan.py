@@ -56,10 +56,58 @@ def test_a_whole_short_template_counts_inside_a_longer_partial_match():
     got = L.Scanner().scan(text.encode())
     assert got["labels"] == "apache" and got["score"] == 1.0
     own = L.Scanner(templates=[("long", "a b c d e f g h i j k l"), ("short", "c d e f g"), ("tail", "g h i j")])
-    assert own.scan(b"a b c d e f g x")["labels"] == "long,short"
+    assert own.scan(b"a b c d e f g h x")["labels"] == "long,short"
     assert own.scan(b"x b c d e f g h i j x")["labels"] == "long,short,tail"
 
 
 def test_phrases_of_one_word(spark):
     got = L.Scanner(phrases={"unlicense": "public"}).scan(b"The UNLICENSE and the unlicense")
     assert (got["n_base"], got["first_word"], got["last_word"], got["labels"]) == (2, 1, 4, "public")
+
+
+@pytest.mark.parametrize("which", ["documents", "edge"])
+def test_labels_and_scores_equal_chained_brute_force_matches(request, which):
+    """Each template's own longest matches, found word by word, chained as the operator chains them."""
+    docs = request.getfixturevalue(which)
+    s = L.Scanner()
+    templates = [L.words_of(t.encode()) for _, t in L.TEMPLATES]
+    got = {(r.doc_id, r.n_words): (r.labels, r.score) for r in L.license_scan(docs).collect()}
+    for i, text in rows_of(docs):
+        words = L.words_of(text.encode())
+        if len(words) > 3000:
+            continue
+        by = {}
+        for k, t in enumerate(templates):
+            where = {}
+            for j, w in enumerate(t):
+                where.setdefault(w, []).append(j)
+            runs, matches = {}, []  # template place: length of the run that ends there
+            for end, w in enumerate([*words, None]):
+                now = {j: runs.get(j - 1, 0) + 1 for j in where.get(w, [])}
+                best, best_now = max(runs.values(), default=0), max(now.values(), default=0)
+                if best >= s.min_match and best_now != best + 1:
+                    matches += [(end - best, j + 1 - best, best) for j, n in runs.items() if n == best]
+                runs = now
+            by[k] = matches
+        spans = chain(s, by)
+        labels = {x for _, x in spans} | set(filter(None, brute(text)[4].split(",")))
+        assert got[i, len(words)] == (",".join(sorted(labels)), pytest.approx(max([c for c, _ in spans], default=0.0))), i
+
+
+def chain(s, by):
+    out = []
+    for k, found in by.items():
+        open_ = []
+        for start, at, n in sorted(found):
+            best = None
+            for c in open_:
+                shared = max(0, c[1] - start, c[2] - at)
+                if shared < n and start - c[1] <= s.max_gap and at - c[2] <= s.max_gap and start + n > c[1] and at + n > c[2] and (best is None or c[3] > best[0][3]):
+                    best = (c, n - shared)
+            if best:
+                c, more = best
+                c[1], c[2], c[3] = start + n, at + n, c[3] + more
+            else:
+                open_.append([start, start + n, at + n, n])
+        out += [(min(1.0, c[3] / s.lengths[k]), s.labels[k]) for c in open_ if c[3] / s.lengths[k] >= s.min_cover]
+    return out

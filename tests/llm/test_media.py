@@ -25,8 +25,10 @@ def test_round_trip_equals_brute_force(request, which):
         want.append(repr((i, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), M.feature(p))))
     assert sorted(repr((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature)) for r in got) == sorted(want)
     by = {}
+    stored = {hashlib.sha256(M.encode_png(padded(t))).hexdigest() for _, t in rows_of(docs)}
     for r in got:
         by.setdefault(r.payload_sha256, set()).add((r.media_bytes, r.media_sha256, r.feature))
+        assert r.media_sha256 in stored
         assert r.caption == f"document {'null' if r.doc_id is None else r.doc_id}"
     assert all(len(x) == 1 for x in by.values())
 
@@ -56,3 +58,11 @@ def test_elements_without_payload_stay(spark):
     facts = spark.createDataFrame([("aa", 64)], "digest string, payload_bytes long")
     got = {(r.pos, r.payload_bytes) for r in M.resolve(seqs, facts).collect()}
     assert got == {(0, 64), (2, None)}
+
+
+def test_many_elements_without_a_digest_are_not_gathered(spark):
+    pages = spark.createDataFrame([(i, f'<img src="http://x/{i}.png">' if i % 3 else '<img src="sha256:aa">') for i in range(3000)], "page_id long, html string")
+    facts = spark.createDataFrame([("aa", 64)], "digest string, payload_bytes long")
+    out = M.resolve(M.interleaved_sequences(pages), facts)
+    got = out.groupBy("payload_bytes").count().collect()
+    assert {(r.payload_bytes, r["count"]) for r in got} == {(64, 1000), (None, 2000)}

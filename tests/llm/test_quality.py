@@ -88,3 +88,28 @@ def test_length_alone_refuses_no_clean_text(spark, lang):
     got = {r.doc_id: r for r in Q.quality_rules(rows, VOCABULARY).collect()}
     assert got[1].n_tokens >= 1_000_000 and got[1].kept and got[1].reasons == []
     assert got[2].reasons == ["token_entropy"]
+
+
+@pytest.mark.parametrize("which", ["documents", "edge"])
+def test_verdicts_equal_a_slow_version(request, which):
+    import math
+    from collections import Counter
+
+    import sentencepiece
+
+    docs = request.getfixturevalue(which)
+    sp = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    want = []
+    for i, text, lang in rows:
+        n = brute(text)
+        ids = [x for w in WORD.findall(text) for x in sp.encode(w)]
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values()) if ids else 0.0
+        name = Q.script(len(text), len(text.encode()), text)
+        name = lang if name == "latin" and lang in Q.BANDS else name
+        b, chars, fallback = Q.BANDS[name], n[1] / max(1, len(ids)), sum(sp.is_byte(x) for x in ids) / max(1, len(ids))
+        good = b.min_chars <= chars <= b.max_chars and fallback <= b.max_fallback and n[2] <= b.max_symbols * n[1]
+        good = good and entropy >= b.min_entropy_share * min(math.log2(max(1, len(ids))), b.full_entropy) - 1e-9
+        want.append((i, name, round(entropy, 6), good and not (n[0] < 10 or 100 * n[4] > 20 * n[0])))
+    got = [(r.doc_id, r.band, round(r.token_entropy, 6) + 0.0, r.kept) for r in Q.quality_rules(docs, VOCABULARY).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -43,3 +43,23 @@ def test_other_columns_and_other_counts(edge):
     out = S.histogram_shards(edge, shards=3, keep=True)
     assert {"lang", "source", "row"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
     assert {r.shard for r in out.collect()} <= {0, 1, 2} and out.count() == edge.count()
+
+
+def test_splitters_count_exactly_and_keep_their_tolerance(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rows = [(i, "hot text " * 9 if i % 3 == 0 else f"text {i} " * (1 + i % 30)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = df.select(S.sort_key(F.col("text"), F.col("doc_id")).alias("key"), (F.octet_length("text") + 1).cast("long").alias("size")).cache()
+    cut, below, rows_below, _ = S.splitters(keys, 8, 50, 0.002, 0.5)
+    key, size = (np.array(x) for x in zip(*[(r.key, r.size) for r in keys.collect()]))
+    total = size.sum()
+    assert len(cut) == 399 and (np.diff(cut) >= 0).all()
+    for i in range(0, 399, 7):
+        assert below[i] == size[key < cut[i]].sum() and rows_below[i] == (key < cut[i]).sum()
+    goal = total * np.arange(1, 400) / 400
+    main = np.arange(1, 400) % 50 == 0
+    assert (np.abs(below - goal)[main] <= 0.002 * total / 8 + size.max()).all()
+    assert (np.abs(below - goal) <= 0.5 * total / 400 + size.max()).all()
+    keys.unpersist()
