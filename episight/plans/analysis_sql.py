@@ -198,7 +198,11 @@ select 'force_spike_rate' as metric, round(s, 6) + 0.0 as value, case when s > 0
     "grasp_summary": f"""with {LI}, {CONTACT}, g as (select ep, closed and not lag(closed) over (partition by ep order by step) as turn from c3), n as (select ep, case when count(*) >= 3 then sum(coalesce(turn, false)::int) end as k from g group by ep),
 s as (select count(k) as n_episodes, avg(k) as mean_grasps, avg((k = 0)::int) as zero_share from n)
 select n_episodes, {r('mean_grasps')}, {r('zero_share')}, case when n_episodes = 0 then 'INFO' when s.zero_share > 0.5 then 'WARNING' else 'OK' end as level from s""",
-    "synthetic_clock_flags": """select 'jitter_cv' as metric, 0.0 as value, 'INFO' as level union all select 'dropout', 0.0, 'INFO'""",
+    "synthetic_clock_flags": f"""with {LI}, ev as (select * from li), {TIMING}, g as (
+  select ep, count(*) as n, max(abs(t - (t0 + step * mid))) as off, any_value(mid) as mid from (select *, first_value(t) over (partition by ep order by step) as t0 from dm) group by ep
+), sy as (select coalesce(bool_and(case when n >= 3 then off <= 1e-3 * mid end), false) as s from g), m as (select avg(jitter_cv) as jc, avg(dropout) as dr from timing)
+select 'jitter_cv' as metric, round(jc, 6) + 0.0 as value, case when s then 'INFO' when jc >= 0.30 then 'CRITICAL' when jc >= 0.15 then 'WARNING' else 'OK' end as level from m, sy
+union all select 'dropout', round(dr, 6) + 0.0, case when s then 'INFO' when dr >= 0.05 then 'CRITICAL' when dr >= 0.01 then 'WARNING' else 'OK' end from m, sy""",
     "policy_compatibility": f'with {checks()} select policy, "check", round(value, 4) + 0.0 as value, level from ck',
     "policy_hints": f"""with {checks()} select policy, case when bool_or(level = 'CRITICAL') then 'not_recommended' when bool_or(level = 'WARNING') then 'review' else 'recommended' end as hint from ck group by policy""",
     "near_leakage": f"with {near()} select held, train, kind, {r('distance', 5)}, {r('percentile', 5)} from pairs",
