@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import in_order
-from ..operators import clusters, compare, coverage, cure, dynamics, evidence, export, frames, gates, leakage, limits, motion, policies, scoring, selection, stats, surprise, tasks, timing
+from ..operators import clusters, compare, coverage, cure, dynamics, evidence, export, frames, gates, leakage, limits, motion, policies, report, scoring, selection, stats, surprise, tasks, timing
 from ..sources import lerobot
 from ..sources.episodes import LINE_DIMS, table
 from .catalog import ACTIVE, GRIPPER, METRICS, _assessed, _features, _influence, _long, _outliers, _summary, _vectors, ev, figures, li, query, shown
@@ -575,3 +575,69 @@ def dataset_gap(spark, d):
     kl = compare.kl_marginals(*_halves(spark, d), LINE_DIMS).agg(F.avg("kl").alias("kl"))
     both = kl.crossJoin(compare.coverage_overlap(*_halves(spark, d), LINE_DIMS).agg(F.avg("overlap").alias("overlap")))  # one row each
     return shown(compare.alignment(both))
+
+
+def _report(spark, d):
+    return report.flags(ev(spark, d), ("a0",), ("s0",))
+
+
+@query
+def full_report(spark, d):
+    return shown(_report(spark, d), digits=5)
+
+
+@query
+def findings(spark, d):
+    return shown(report.findings(_report(spark, d)), digits=5)
+
+
+@query
+def headline_metrics(spark, d):
+    return shown(report.headline(_report(spark, d)), digits=5)
+
+
+@query
+def detector_spread(spark, d):
+    return report.detector_spread(_outliers(spark, d), ev(spark, d).select("ep").distinct().count())
+
+
+@query
+def outlier_labels(spark, d):
+    o = _outliers(spark, d)
+    return report.group_labels(stats.consecutive_groups(o), o, ev(spark, d).select("ep").distinct().count())
+
+
+@query
+def most_isolated(spark, d):
+    f, cols = _features(spark, d)
+    return shown(report.most_isolated(coverage.nearest(f, f, cols, exclude_self=True)), digits=5)
+
+
+@query
+def drift_thresholds(spark, d):
+    return report.drift_thresholds(frames.correlation_lags(frames.motion_pairs(camera(spark, d), ("a0",)), "motion", "activity"))
+
+
+@query
+def leaderboard(spark, d):
+    r = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("dataset"), (F.col("o_totalprice") / 10000).alias("score"), (F.col("o_orderstatus") == "F").alias("failed"))
+    return shown(report.leaderboard(r))
+
+
+@query
+def not_audited(spark, d):
+    o = table(spark, d, "orders")
+    return report.not_audited(o.select((F.col("o_custkey") % 50).alias("dataset"), (F.col("o_orderkey") % 5).alias("revision")).distinct(), o.where("o_orderkey % 61 = 0 and o_custkey % 4 <> 0").select((F.col("o_custkey") % 50).alias("dataset"), (F.col("o_orderkey") % 5).alias("revision")))
+
+
+@query
+def audit_snapshot(spark, d):
+    return shown(report.snapshot("events", "r1", _assessed(spark, d), _outliers(spark, d)))
+
+
+@query
+def what_if(spark, d):
+    m = figures(spark, d)
+    chosen = gates.quality_gate(m).where("status <> 'bad'").select("ep")
+    predict = lambda side: scoring.outcome(m.join(side, "ep", "left_semi").agg(*[F.avg(c).alias(c) for c in (*METRICS, "ldlj")]))
+    return shown(report.what_if(m, chosen, predict, 12.0), digits=4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ASSESSED, CONTACT, DIMS, EV, FIGURES, FLAGS, GATE, HALVES, INFL, LI, LONG, METRICS, OUTLIERS, RISK, SUMMARY, TENT, TIMING, binned, motion, outcome, r
+from .oracles import ASSESSED, CONTACT, DIMS, EV, FIGURES, FLAGS, GATE, HALVES, INFL, LI, LONG, METRICS, NEAR, OUTLIERS, RISK, SUMMARY, TENT, TIMING, binned, motion, outcome, penalty, r
 
 FOLLOW = f"""{LI}, fo as (select *, {", ".join(f"coalesce(lag(a{k}) over (partition by ep order by step), a{k}) as s{k}" for k in range(4))} from li)"""
 HOLD = f"""{LI}, ho as (select ep, step, t, floor(a1 / 60000) + a2 as a0, 2 * floor(a1 / 60000) + a3 as a1, floor(a1 / 60000) as s0, 2 * floor(a1 / 60000) as s1 from li),
@@ -155,6 +155,25 @@ _UNIT = {"spike_rate": 0.20, "disc_rate": 0.40, "dropout": 0.20, "jitter_cv": 0.
 SIMILAR = f"""{SUMMARY}, dq as (select ep, sqrt({" + ".join(f"pow(coalesce(least(greatest(figures.{c} / {x}, 0), 1), 0.5) - coalesce(least(greatest(summary.{c} / {x}, 0), 1), 0.5), 2)" for c, x in _UNIT.items())}) as d from figures, summary),
 sim as (select ep, d from dq where d <= 0.4 order by round(d, 9), ep limit 5)"""
 
+FIRED = """fired_ as (select ep from (select ep, metric, value, (value - mid) / (case when mad < 1e-12 then dev else mad end) as dv from m join spread2 using (metric) where value is not null and n >= 5 and (case when mad < 1e-12 then dev else mad end) >= 1e-12) where dv > 3 and (metric <> 'jitter_cv' or value >= 0.01))"""
+WHAT = "avg(spike_rate) as spike_rate, avg(disc_rate) as disc_rate, avg(dropout) as dropout, avg(jitter_cv) as jitter_cv, avg(ldlj) as ldlj"
+REPORT = f"""{SUMMARY}, rg as (select ep, count(*) as n, max(abs(t - (t0 + step * mid))) as off, any_value(mid) as mid from (select *, first_value(t) over (partition by ep order by step) as t0 from dm) group by ep),
+rs as (select coalesce(bool_and(case when n >= 3 then off <= 1e-3 * mid end), false) as syn from rg), rn as (select bool_or(non_monotonic) as nm from timing), rl as (select avg(ldlj) as l from figures),
+rd as (select avg(v) as v from (select ep, avg(abs(a0 - s0)) as v from ev group by ep)), rf as (select max(abs(s0)) as far from ev),
+rb as (select count(*) >= 6 and stddev_pop(n_steps) / avg(n_steps) >= 0.3 and (select avg((abs(n_steps - q.m) < 0.5 * q.s)::int) from el, (select avg(n_steps) as m, stddev_pop(n_steps) as s from el) q) < 0.15 as bi from el),
+rep as (select * from (
+  select 'timestamp_jitter_cv' as metric, jitter_cv as value, case when syn then 'INFO' when jitter_cv >= 0.30 then 'CRITICAL' when jitter_cv >= 0.15 then 'WARNING' else 'OK' end as level from summary, rs
+  union all select 'timestamp_dropout_rate', dropout, case when syn then 'INFO' when dropout >= 0.05 then 'CRITICAL' when dropout >= 0.01 then 'WARNING' else 'OK' end from summary, rs
+  union all select 'timestamp_non_monotonic', nm::int, case when nm then 'CRITICAL' else 'OK' end from rn
+  union all select 'action_dropout_rate', action_dropout, case when action_dropout >= 0.15 then 'CRITICAL' when action_dropout >= 0.05 then 'WARNING' else 'OK' end from summary
+  union all select 'jerk_spike_rate', spike_rate, case when spike_rate >= 0.05 then 'CRITICAL' when spike_rate >= 0.02 then 'WARNING' else 'OK' end from summary
+  union all select 'velocity_discontinuity_rate', disc_rate, case when disc_rate >= 0.05 then 'CRITICAL' when disc_rate >= 0.02 then 'WARNING' else 'OK' end from summary
+  union all select 'ldlj', l, case when l <= -15 then 'CRITICAL' when l <= -10 then 'WARNING' else 'OK' end from rl
+  union all select 'action_state_divergence', v, case when far > 2 * pi() then 'INFO' when v >= 0.35 then 'CRITICAL' when v >= 0.15 then 'WARNING' else 'OK' end from rd, rf
+  union all select 'action_entropy', entropy, case when entropy <= 1.5 then 'CRITICAL' when entropy <= 2.5 then 'WARNING' else 'OK' end from summary
+  union all select 'short_episode_fraction', short_fraction, case when short_fraction >= 0.15 then 'CRITICAL' when short_fraction >= 0.05 then 'WARNING' else 'OK' end from summary
+  union all select 'episode_length_distribution', length_cv, case when bi then 'WARNING' else 'OK' end from summary, rb) where value is not null)"""
+
 SQL: dict[str, str] = {
     "nearest_embedding": f"with {NEAREST} select ep, neighbour, round(distance, 4) + 0.0 as distance from ne",
     "embedding_outliers": f"""with {NEAREST}, q as (select median(distance) as mid, stddev_pop(distance) as dev, count(*) as n from ne), w as (select any_value(mid) as mid, any_value(dev) as dev, any_value(n) as n, median(abs(distance - mid)) as mad from ne, q),
@@ -345,4 +364,22 @@ select ep, count(*) as n, max(event_id - lo) as last, round(sum(value), 3) as to
     "dataset_gap": f"""with {HALVES}, {binned(50)}, p as (select dim, na / sum(na) over (partition by dim) + 1e-10 as p, nb / sum(nb) over (partition by dim) + 1e-10 as q from hb), k as (select avg(kl) as kl from (select dim, sum(p * ln(p / q)) as kl from p group by dim)),
 ob as (select dim, case when hi > lo then least(floor((value - lo) / ((hi - lo) / 20)), 19) else 0 end as bin, sum(a::int) as na, sum((not a)::int) as nb from hr group by all), o as (select avg(o) as overlap from (select dim, avg((na > 0)::int) as o from ob where nb > 0 group by dim)),
 g as (select kl, overlap, 50 * exp(-kl) + 50 * overlap as index from k, o) select round(kl, 6) + 0.0 as kl, round(overlap, 6) + 0.0 as overlap, round(index, 6) + 0.0 as index, case when index >= 80 then 'ALIGNED' when index >= 50 then 'PARTIAL' else 'APART' end as level from g""",
+    "full_report": f"with {REPORT} select metric, round(value, 5) + 0.0 as value, level from rep",
+    "findings": f"""with {REPORT} select metric, round(value, 5) + 0.0 as value, level, case when metric like 'timestamp%' or metric like '%dropout%' then 'temporal_integrity' when metric in ('ldlj', 'jerk_spike_rate', 'velocity_discontinuity_rate', 'action_state_divergence') then 'motion_quality' when metric = 'action_entropy' then 'behavioral_coverage' else 'task_integrity' end as dimension,
+  metric not in ('ldlj', 'action_state_divergence', 'action_entropy', 'episode_length_distribution') as integrity, case when level = 'WARNING' then 'inspect' when metric in ('jerk_spike_rate', 'velocity_discontinuity_rate') then 'inspect' else 'block' end as action from rep where level <> 'OK'""",
+    "headline_metrics": f"with {REPORT} select " + ", ".join(f"round(max(case when metric = '{n}' then value end), 5) + 0.0 as {n}" for n in ("ldlj", "action_entropy", "timestamp_jitter_cv", "timestamp_dropout_rate", "jerk_spike_rate", "velocity_discontinuity_rate")) + " from rep",
+    "detector_spread": f"""with {OUTLIERS}, n as (select count(*) as n from figures), g as (select metric, count(distinct ep) as n_fired, min(ep) as lo, max(ep) as hi from fired group by metric)
+select metric, n_fired, case when n_fired = 1 then 'spread' when hi - lo <= greatest(3, floor(n * 0.1)) then 'clustered' when hi >= floor(n * 0.85) then 'endpoint' else 'spread' end as concentration from g, n""",
+    "outlier_labels": f"""with {OUTLIERS}, n as (select count(*) as n from figures), e as (select distinct ep from fired), g as (select ep, ep - row_number() over (order by ep) as g from e), r as (select min(ep) as first, max(ep) as last, count(*) as size from g group by g),
+c as (select first, last, size, coalesce(bool_or(metric = 'jitter_cv'), false) as j, coalesce(bool_or(metric = 'dropout'), false) as d from r left join fired on ep between first and last group by 1, 2, 3)
+select first, last, size, case when size >= 3 and (j or d) then 'sync_loss_or_interruption' when size >= 3 then 'fatigue_or_artifact' when last >= floor(n * 0.9) then 'end_of_dataset' when first <= floor(n * 0.05) then 'start_of_dataset' when j then 'sync_loss' when d then 'frame_drop' else 'investigate' end as label from c, n""",
+    "most_isolated": f"with {LI}, {NEAR} select ep, round(distance, 5) + 0.0 as distance from (select ep, round(distance, 9) as distance from nn order by 2, 1 limit 1)",
+    "drift_thresholds": f"with {transit(2.0, 5e-4)}, {LAGS} select greatest(ceil(quantile_cont(abs(lag), 0.9)), 1)::bigint as warning, greatest(ceil(quantile_cont(abs(lag), 0.99)), 2)::bigint as critical from lg where lag is not null",
+    "leaderboard": "with b as (select o_custkey % 50 as dataset, max(o_totalprice / 10000) as score from orders where o_orderstatus <> 'F' group by 1) select row_number() over (order by b.score desc, dataset) as rank, dataset, round(b.score, 6) + 0.0 as score from b",
+    "not_audited": "select distinct o_custkey % 50 as dataset, o_orderkey % 5 as revision from orders except select o_custkey % 50, o_orderkey % 5 from orders where o_orderkey % 61 = 0 and o_custkey % 4 <> 0",
+    "audit_snapshot": f"with {ASSESSED}, {FIRED} select 'events' as dataset, 'r1' as revision, a.ep, f.ep is not null as flagged, round(0.5 * quality_risk + 0.5 * anomaly, 6) + 0.0 as priority from assessed a join risk using (ep) left join (select distinct ep from fired_) f on f.ep = a.ep",
+    "what_if": f"""with {FIGURES}, {GATE}, ch as (select ep from gate where status <> 'bad'), k as (select count(*) as k from ch), n as (select count(*) as n from figures), ra as (select ep from figures order by md5('42|' || ep), ep limit (select k from k)),
+mm as (select 'full' as condition, n as n_episodes, {WHAT} from figures, n group by n union all select 'selected', k, {WHAT} from figures, k where ep in (select ep from ch) group by k union all select 'random', k, {WHAT} from figures, k where ep in (select ep from ra) group by k),
+sc as (select *, round(greatest(100 - ({" + ".join(penalty(*x) for x in (("spike_rate", 8.0, 20.0, 0.02, 0.05), ("disc_rate", 8.0, 20.0, 0.02, 0.05), ("dropout", 7.0, 18.0, 0.01, 0.05), ("jitter_cv", 5.0, 12.0, 0.05, 0.20), ("ldlj", 10.0, 25.0, -10.0, -15.0)))}), 0), 1) as s from mm)
+select condition, n_episodes, round(12.0 * n_episodes / n, 4) + 0.0 as hours, s + 0.0 as success, false as measured from sc, n""",
 }
