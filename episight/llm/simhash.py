@@ -37,8 +37,8 @@ from .common import Words, cut_lineage, join_skewed, texts
 BUCKET = 512
 #: Fingerprints compared with each other at once; larger buckets go in squares of this side.
 SIDE = 1024
-#: Members of a block; a bucket with more of them is compared by pairs of blocks.
-SQUARE = 8192
+#: Members of a block; a bucket with more of them is compared by pairs of blocks.  The second is for buckets that hold whole sets of shingles.
+SQUARE, SET_SQUARE = 8192, 1024
 #: Shingle minima that must agree for a bucket, and buckets of a document: at a
 #: similarity of 0.8 two documents miss each other once in 30,000 times, at 0.85 once in 500,000.
 MINIMA, BANDS = 3, 14
@@ -165,12 +165,13 @@ def forest(fp: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def squares(keyed: DataFrame, spread: str) -> DataFrame:
+def squares(keyed: DataFrame, spread: str, side: int | None = None) -> DataFrame:
     """``keyed`` (table, part, ...) with columns block, x and y, dealt out and
-    sorted by (table, part, x, y): a bucket of over ``SQUARE`` rows is cut into
+    sorted by (table, part, x, y): a bucket of over ``side`` rows (``SQUARE``) is cut into
     blocks by the hash of ``spread``, and there is a group for each pair (x, y)
     of blocks.  Only the large buckets' sizes are kept and joined."""
-    large = cut_lineage(keyed.groupBy("table", "part").agg(F.count("*").alias("n")).where(f"n > {SQUARE}").select("table", "part", F.ceil(F.col("n") / SQUARE).cast("int").alias("m")))
+    side = side or SQUARE
+    large = cut_lineage(keyed.groupBy("table", "part").agg(F.count("*").alias("n")).where(f"n > {side}").select("table", "part", F.ceil(F.col("n") / side).cast("int").alias("m")))
     if few := large.count():
         met = keyed.join(F.broadcast(large) if few <= 100_000 else large, ["table", "part"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     else:
@@ -384,97 +385,73 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
 
 
-def nearest_untested(buckets: DataFrame, most: int, tenths: int) -> DataFrame:
-    """(same, a bucket's key, other, rank) rows: for each member of a bucket (or
-    pair of blocks) the ``most`` nearest members of other components that come
-    after its ``tested`` rank; ranks order by distance, then by number.
+def alike(groups: DataFrame, tenths: int) -> DataFrame:
+    """(a, b): links between sets of ``groups`` (table, part, x, y, block, same, n,
+    fp, shingles) that are alike, enough to connect all that are in one group.
 
-    Pairs whose sets differ so much in size that they can't be alike are no candidates.
+    The counters give the pairs of fingerprints within ``WIDE`` bits; the
+    nearest are checked first, each on both whole sets, unless earlier links
+    connect them already.  So a tight group of n sets costs some n checks, not n * n.
     """
     import pyarrow as pa
 
-    names = ["table", "part", "x", "y", "same", "other", "rank"]
+    def connect(key, cols):
+        block, same, n, fp, sets = cols
+        root = np.arange(len(fp))
 
-    def compare_one(key, cols):
-        block, same, n, fp, root, tested = cols
-        x, y = key[2:]
-        if (root == root[0]).all():
-            return
-        got = []
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        a, b = [], []
         for s in range(0, len(fp), SIDE):
-            best = []
-            for t in range(0, len(fp), SIDE):
+            for t in range(s, len(fp), SIDE):
                 i, j, d = near_pairs(fp[s : s + SIDE].view(np.uint64), fp[t : t + SIDE].view(np.uint64), WIDE, distances=True)
                 i, j = i + s, j + t
-                rank = d << 40 | j
-                ok = (root[i] != root[j]) & (rank > tested[i]) & (10 * np.minimum(n[i], n[j]) >= tenths * np.maximum(n[i], n[j]))
-                if x != y:
+                ok = (i < j) & (10 * np.minimum(n[i], n[j]) >= tenths * np.maximum(n[i], n[j]))
+                if key[2] != key[3]:
                     ok &= block[i] != block[j]
-                best.append(np.stack([i[ok], j[ok], rank[ok]]))
-                if sum(b.shape[1] for b in best) > 1 << 20:
-                    best = [first_of(np.concatenate(best, 1), most)]
-            got.append(first_of(np.concatenate(best, 1), most))
-        i, j, rank = np.concatenate(got, 1)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(i), k, np.int64)) for k in key), pa.array(same[i]), pa.array(same[j]), pa.array(rank)], names=names)
-
-    def compare(batches):
-        yield from by_group(batches, 4, compare_one)
-
-    return dealt(buckets, "same").select("table", "part", "x", "y", "block", "same", "n", "fp", "root", "tested").mapInArrow(compare, "table long, part long, x long, y long, same long, other long, rank long")
+                order = np.argsort(d[ok], kind="stable")
+                i, j = i[ok][order], j[ok][order]
+                for at in range(0, len(i), 4096):
+                    p, q = i[at : at + 4096], j[at : at + 4096]
+                    open_ = root[p] != root[q]
+                    for k, m in zip(p[open_].tolist(), q[open_].tolist()):
+                        u, v = find(k), find(m)
+                        if u == v:
+                            continue
+                        both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                        if 10 * both >= tenths * (n[k] + n[m] - both):
+                            root[max(u, v)] = min(u, v)
+                            a.append(same[k])
+                            b.append(same[m])
+                    while not np.array_equal(up := root[root], root):
+                        root = up
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def run(batches):
+        yield from by_group(batches, 4, connect)
 
-def first_of(rows: np.ndarray, most: int) -> np.ndarray:
-    """Of (i, j, rank) columns the ``most`` of each i with the smallest ranks."""
-    rows = rows[:, np.lexsort((rows[2], rows[0]))]
-    if rows.shape[1]:
-        at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-        nth = np.arange(rows.shape[1]) - np.repeat(at, np.diff(np.concatenate([at, [rows.shape[1]]])))
-        rows = rows[:, nth < most]
-    return rows
+    return dealt(groups, "same").select("table", "part", "x", "y", "block", "same", "n", "fp", "shingles").mapInArrow(run, "a long, b long")
 
 
 def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(same, root): the sets that are linked to others, and the smallest of their component.
-
-    In each round every member of a bucket names its nearest candidates in
-    other components, the pairs are checked exactly, and components grow; a
-    round names four times as many as the one before, until every candidate is
-    tested or inside a component.  So a tight group of n sets costs some n checks, not n * n.
-    """
+    """(same, root): the sets that are linked to others, and the smallest of their
+    component.  Only sets that share a bucket with another one are made and shuffled."""
     tenths = round(10 * similarity)
     if not 5 <= tenths <= 10 or abs(tenths - 10 * similarity) > 1e-9:
         raise ValueError("the similarity must be a multiple of 0.1, at least 0.5")
     one = cut_lineage(sketch.groupBy("same").agg(F.min(F.struct("th", "n", "fp", "bands")).alias("s")).select("same", "s.*"))
     keyed = one.where("n > 0").select("same", "n", "fp", F.posexplode("bands").alias("table", "part"))
     full = keyed.join(keyed.groupBy("table", "part").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["table", "part"])
-    buckets = cut_lineage(squares(full.select(F.col("table").cast("long"), "part", "same", "n", "fp"), "same").select("table", "part", F.col("x").cast("long"), F.col("y").cast("long"), F.col("block").cast("long"), "same", "n", "fp", F.lit(-1).cast("long").alias("tested")))
-    active = buckets.select("same").distinct().join(one.select("same", "th"), "same")
-    rep = docs.select("text", F.xxhash64("text").alias("th")).join(active, "th")
+    buckets = cut_lineage(squares(full.select(F.col("table").cast("long"), "part", "same", "n", "fp"), "same", SET_SQUARE).select("table", "part", F.col("x").cast("long"), F.col("y").cast("long"), F.col("block").cast("long"), "same", "n", "fp"))
+    active = cut_lineage(buckets.select("same").distinct().join(one.select("same", "th"), "same"))
+    small = active.count() * 64 <= 64 << 20  # bytes that it may take as a broadcast
+    rep = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(active) if small else active, "th")
     sets = cut_lineage(shingle_sets(rep.groupBy("same").agg(F.min("text").alias("text")), width))
-    roots, most = None, 4
-    while True:
-        if roots is None:
-            now = buckets.withColumn("root", F.col("same"))
-        else:
-            now = buckets.join(roots, F.col("same") == F.col("node"), "left").withColumn("root", F.coalesce("root", "same")).drop("node")
-        named = cut_lineage(nearest_untested(now, most, tenths))
-        pairs = named.select(F.least("same", "other").alias("a"), F.greatest("same", "other").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("same").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("same").alias("b"), F.col("shingles").alias("sb")), "b")
-        meet = F.size(F.array_intersect("sa", "sb"))
-        new = cut_lineage(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), meet.alias("m")).where(10 * F.col("m") >= tenths * (F.col("na") + F.col("nb") - F.col("m"))).select("a", "b"))
-        if named.isEmpty():
-            break
-        # the components so far stand for their links
-        roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        last = named.groupBy("table", "part", "x", "y", "same").agg(F.max("rank").alias("last"))
-        keys = ["table", "part", "x", "y", "same"]
-        # a member that has named nobody has no candidate left, and nobody needs to name it
-        buckets = cut_lineage(buckets.join(last, keys).withColumn("tested", F.col("last")).drop("last"))
-        most *= 4
-    if roots is None:
-        return one.select("same", F.col("same").alias("root")).where("false")
-    return roots.select(F.col("node").alias("same"), "root")
+    return components(alike(buckets.join(sets, "same"), tenths)).select(F.col("node").alias("same"), "root")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
