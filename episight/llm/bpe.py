@@ -62,7 +62,7 @@ def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
 class Codec:
     """Encodes texts to (number of ids, decimal ids joined by a space, decoded text)."""
 
-    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 300_000, max_chunk_bytes: int = 32 << 20):
+    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 300_000, max_chunk_bytes: int = 32 << 20, spelled: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,7 +74,7 @@ class Codec:
         self._check()
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.decimal = [str(i) for i in range(len(self.names))]
-        self.letter = byte_letters()
+        self.letter, self.spelled = byte_letters(), spelled
         self.agreed: dict[bytes, None] = {}  # windows whose encoding is that of their parts
         self.repaired = self.rejoined = 0  # windows that had to grow; texts that were encoded whole
         self.mean, self.max_words, self.max_bytes = mean_chunk, max_words, max_chunk_bytes
@@ -103,50 +103,47 @@ class Codec:
     def _learn(self, new: set[bytes]) -> None:
         order = [w.decode("utf-8", "replace") for w in new]
         normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
+        same = True
         for raw, w, e in zip(new, order, self.tok.encode_batch_fast(order, add_special_tokens=False)):
             ids = e.ids
-            back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
-            same = "".join(normal(w).split()).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
+            if self.spelled:
+                back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
+                same = "".join(normal(w).split()).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
             self.words[raw] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), same)
 
     @property
     def suffix(self) -> str:
         return self.tok.model.end_of_word_suffix or "\0"
 
-    def _window(self, raw: bytes, start: int, end: int, reach: int) -> tuple[bytes, list[bytes]]:
-        """The bytes from some word before ``start`` to some word after
-        ``end``, with at most ``reach`` bytes on each side, and the words in it."""
-        left, right = raw[max(0, start - reach) : start], raw[end : end + reach]
-        if start > reach:  # from the first white space on
-            left = left[len(left) - len(left.translate(BLANK).partition(b" ")[1] + left.translate(BLANK).partition(b" ")[2]) :]
-        if end + reach < len(raw):
-            right = right[: len(right.translate(BLANK).rpartition(b" ")[0] + right.translate(BLANK).rpartition(b" ")[1])]
-        whole = left + raw[start:end] + right
-        return whole, whole.split()
-
-    def _repair(self, batch: list[bytes], joins: list[tuple[int, int, int]], reach: int = 24) -> set[int]:
+    def _window(self, raw: bytes, start: int, end: int, reach: int) -> bytes:
+        """The bytes from some word before ``start`` to some word after ``end``, with at most ``reach`` bytes on each side."""
+        left, right = raw[max(0, start - reach) : start].translate(BLANK), raw[end : end + reach].translate(BLANK)
+        first, last = start - len(left), end + len(right)
+        if first:  # from the first white space on
+            at = left.find(b" ")
+            first = start if at < 0 else first + at
+        if last < len(raw):
+            last = end + right.rfind(b" ") + 1
+        return raw[first:last]
+
+    def _repair(self, batch: list[bytes], joins: list[tuple[int, int, int]], reach: int = 14) -> set[int]:
         """Re-encode around each join (text, start, end), wider and wider, until
         it agrees with its parts; the texts where it never does."""
         whole_texts: set[int] = set()
         while joins:
-            windows = {}
-            for k, start, end in joins:
-                whole, parts = self._window(batch[k], start, end, reach)
-                if whole not in self.agreed:
-                    windows[whole] = parts
-            order = list(windows)
-            self._learn({w for parts in windows.values() for w in parts if w not in self.words})
+            windows = [self._window(batch[k], start, end, reach) for k, start, end in joins]
+            parts = {w: w.split() for w in windows if w not in self.agreed}
+            self._learn({x for ws in parts.values() for x in ws if x not in self.words})
             bad = set()
-            for whole, e in zip(order, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)):
-                want = " ".join([x[1] for x in map(self.words.__getitem__, windows[whole]) if x[0]])
-                if " ".join([self.decimal[i] for i in e.ids]) == want:
+            for (whole, ws), e in zip(parts.items(), self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in parts], add_special_tokens=False)):
+                if " ".join([self.decimal[i] for i in e.ids]) == " ".join([x[1] for x in map(self.words.__getitem__, ws) if x[0]]):
                     self.agreed[whole] = None
                 else:
                     bad.add(whole)
             if not bad:
                 break
-            joins = [j for j in joins if self._window(batch[j[0]], j[1], j[2], reach)[0] in bad]
-            whole_texts |= {k for k, start, end in joins if reach >= len(batch[k])}
+            joins = [j for j, w in zip(joins, windows) if w in bad]
+            whole_texts |= {k for k, _, _ in joins if reach >= len(batch[k])}
             joins = [j for j in joins if j[0] not in whole_texts]
             self.repaired += len(joins)
             reach *= 2
@@ -157,7 +154,7 @@ class Codec:
 
     def encode(self, batch: list[bytes]) -> list[tuple[int, str, str, bool]]:
         """For each text its number of ids, the ids and the token names, both
-        joined by spaces, and whether the tokens spell the normalised text (but for white space)."""
+        joined by spaces, and if asked whether the tokens spell the normalised text (but for white space)."""
         # the oldest go first; what is needed again is encoded again
         if len(self.words) > self.max_words:
             for w in list(islice(self.words, len(self.words) - self.max_words * 3 // 4)):
@@ -252,7 +249,7 @@ def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean
     white space apart).  Own names win over clashing columns; a null text counts as empty."""
 
     def make() -> Callable:
-        codec = Codec(vocabulary, mean_chunk)
+        codec = Codec(vocabulary, mean_chunk, spelled=True)
 
         def work(column) -> dict[str, list]:
             out = {"n_tokens": [], "ids_text": [], "ids_sha256": [], "decoded_sha256": [], "round_trips": []}
