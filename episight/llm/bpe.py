@@ -62,7 +62,7 @@ def split_chunk(chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
 class Codec:
     """Encodes texts to (number of ids, decimal ids joined by a space, decoded text)."""
 
-    def __init__(self, vocabulary: str, mean_chunk: int = 512, max_words: int = 300_000, max_chunk_bytes: int = 32 << 20, spelled: bool = False):
+    def __init__(self, vocabulary: str, mean_chunk: int = 1024, max_words: int = 300_000, max_chunk_bytes: int = 32 << 20, spelled: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -243,7 +243,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFram
     return beside(df, F.col(ids_col), make, "decoded string")
 
 
-def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean_chunk: int = 512) -> DataFrame:
+def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean_chunk: int = 1024) -> DataFrame:
     """All columns of ``docs`` with n_tokens, ids (array of int), ids_sha256,
     decoded_sha256 and round_trips (whether the tokens spell the normalised text,
     white space apart).  Own names win over clashing columns; a null text counts as empty."""
@@ -268,7 +268,7 @@ def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean
     return out.withColumn("ids", ids).drop("ids_text")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, mean_chunk: int = 512) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, mean_chunk: int = 1024) -> DataFrame:
     """Encode every text and decode it again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one
