@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, lm_score, media, mixing, quality, sharding, simhash, token_counts, warc
+from . import bpe, fim, license_scan, lm_score, media, mixing, quality, sharding, simhash, token_counts, warc
 from .common import read
 
 QUALITY_VOCABULARY = "piece_bpe_32k.model"
@@ -62,6 +62,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restore(fim.transform(read(spark, sf_dir, "documents")))
+    sha = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sha)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op2_lm_score, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, pipeline]
+    named = [op1_license_scan, op2_lm_score, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, op11_fill_in_middle, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -110,5 +116,25 @@ from counted, range(0, n) t(i)
 """
 
 
+OP11_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, 'null')) as h from documents
+), cut as (
+  select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+      when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from d
+), parts as (
+  select doc_id, n, form, t, least(a, b) as x, greatest(a, b) as y, substr(t, 1, least(a, b)) as pre,
+    substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as mid, substr(t, greatest(a, b) + 1) as suf
+  from cut
+)
+select doc_id, n, form, case when form <> 'plain' then x end as prefix_chars, case when form <> 'plain' then y - x end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_bundles": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op4_warc_bundles": OP4_SQL, "op8_mixing": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
