@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, license_scan, lm_score, media, mixing, quality, sharding, simhash, spelling, token_counts, warc
+from . import ann, bpe, fim, license_scan, lm_score, media, mixing, quality, sharding, simhash, spelling, token_counts, warc
 from .common import read
 
 QUALITY_VOCABULARY = "piece_bpe_32k.model"
@@ -72,6 +72,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op2_lm_score, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, op11_fill_in_middle, op12_spelling_variants, pipeline]
+    named = [op1_license_scan, op2_lm_score, op3_quality_rules, op4_warc_bundles, op5_simhash, op6_bpe_round_trip, op7_token_counts, op8_mixing, op9_media_columns, op10_sharding, op11_fill_in_middle, op12_spelling_variants, op13_nearest_neighbours, pipeline]
     return {f.__name__: f for f in named}
 
 
