@@ -18,9 +18,10 @@ come from rounds of neighbour minima over these, which are far fewer than the
 documents.  A bucket of many fingerprints is cut into blocks, and each pair of
 blocks is a task's work of its own.
 
-``keep_first`` groups documents by the similarity of their word shingles:
-buckets come from minima of shingle hashes, fingerprints rank a bucket's pairs
-by distance, and each pair that is to link is checked on the whole sets.
+``keep_first`` groups documents by the similarity of their sets of word
+shingles: buckets come from minima of shingle hashes, and each pair of a bucket
+that isn't connected already is checked on the whole sets.  Bit planes of the
+sets' fingerprints only say which pairs are checked first, as near ones connect most of a bucket.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ from .common import Words, cut_lineage, join_skewed, texts
 BUCKET = 512
 #: Fingerprints compared with each other at once; larger buckets go in squares of this side.
 SIDE = 1024
-#: Members of a block; a bucket with more of them is compared by pairs of blocks.  The second is for buckets that hold whole sets of shingles.
-SQUARE, SET_SQUARE = 8192, 1024
+#: Members of a block; a bucket with more of them is compared by pairs of blocks.  The second is for buckets that hold
+#: whole sets of shingles: all their blocks are compared with the bucket's first ``LEADERS`` members, then with what these don't reach.
+SQUARE, SET_SQUARE, LEADERS = 8192, 1024, 8
 #: Shingle minima that must agree for a bucket, and buckets of a document: at a
 #: similarity of 0.8 two documents miss each other once in 30,000 times, at 0.85 once in 500,000.
 MINIMA, BANDS = 3, 14
-#: Fingerprints of sets that are 0.8 alike differ in 10 of 64 bits on average, and hardly ever in more than this.
+#: Fingerprints of sets that are 0.8 alike differ in 10 of 64 bits on average; pairs within so many are looked at first, the nearest before the others.
 WIDE = 24
 
 
@@ -329,7 +331,7 @@ class Shingles:
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, same, n, fp, bands) for each row: hashes of the text and of
-    its set of shingles, the size of the set, the fingerprint, and the keys of its buckets."""
+    its set of shingles, the set's size and fingerprint (each shingle once), and the keys of its buckets."""
     import pyarrow as pa
 
     odd = np.random.default_rng(5).integers(0, 2**63, MINIMA * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -341,19 +343,18 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 b = whole.slice(at, 64)
                 h, many = shingles.read(b.column(2))
                 own = np.repeat(np.arange(len(many)), many)
-                top = np.zeros((len(many), 64), np.int64)
-                bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
                 some = np.flatnonzero(many)
-                first = (np.cumsum(many) - many)[some]
-                if len(some):
-                    top[some] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-                fp = np.packbits(2 * top > many[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 order = np.lexsort((h, own))
                 x, o = h[order], own[order]
                 new = np.concatenate([[True], (x[1:] != x[:-1]) | (o[1:] != o[:-1])])[: len(x)]
                 x, o = x[new], o[new]
                 n = np.bincount(o, minlength=len(many))
                 first = (np.cumsum(n) - n)[some]
+                top = np.zeros((len(many), 64), np.int64)
+                if len(some):
+                    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                    top[some] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+                fp = np.packbits(2 * top > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 same, bands = np.zeros(len(many), np.uint64), np.zeros((len(many), BANDS), np.uint64)
                 if len(some):
                     mixed = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -370,7 +371,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(same, shingles) for each row (same, text)."""
+    """(same, shingles) for each row (same, text); shingles ascend."""
     import pyarrow as pa
 
     def run(batches):
@@ -379,79 +380,178 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 h, many = shingles.read(b.column(1))
-                sets = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(many)[:-1])]
+                sets = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(many)[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
     return docs.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
 
 
-def alike(groups: DataFrame, tenths: int) -> DataFrame:
-    """(a, b): links between sets of ``groups`` (table, part, x, y, block, same, n,
-    fp, shingles) that are alike, enough to connect all that are in one group.
-
-    The counters give the pairs of fingerprints within ``WIDE`` bits; the
-    nearest are checked first, each on both whole sets, unless earlier links
-    connect them already.  So a tight group of n sets costs some n checks, not n * n.
-    """
-    import pyarrow as pa
-
-    def connect(key, cols):
-        block, same, n, fp, sets = cols
-        root = np.arange(len(fp))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        a, b = [], []
-        for s in range(0, len(fp), SIDE):
-            for t in range(s, len(fp), SIDE):
-                i, j, d = near_pairs(fp[s : s + SIDE].view(np.uint64), fp[t : t + SIDE].view(np.uint64), WIDE, distances=True)
+class Bucket:
+    """Some members of a bucket, their sets, and which are connected."""
+
+    def __init__(self, n: np.ndarray, fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], table: int, tenths: int):
+        self.n, self.fp, self.sets, self.tenths = n, fp.view(np.uint64), sets, tenths
+        #: keys of the earlier tables: a pair with one in common is checked there
+        self.earlier = bands[:, :table]
+        self.root = np.arange(len(n))
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def flatten(self) -> None:
+        while not np.array_equal(up := self.root[self.root], self.root):
+            self.root = up
+
+    def join(self, i: int, j: int, linked: bool = True) -> None:
+        u, v = self.find(i), self.find(j)
+        if u != v:
+            self.root[max(u, v)] = min(u, v)
+            if linked:
+                self.links.append((i, j))
+
+    def may(self, i, j) -> np.ndarray:
+        """Pairs whose sizes allow the similarity and that no earlier table has."""
+        ok = 10 * np.minimum(self.n[i], self.n[j]) >= self.tenths * np.maximum(self.n[i], self.n[j])
+        return ok & ~(self.earlier[i] == self.earlier[j]).any(-1)
+
+    def nearest_first(self) -> None:
+        """Check the pairs that the carry-save counters find within ``WIDE`` bits, the nearest first, while they are unconnected."""
+        for s in range(0, len(self.n), SIDE):
+            for t in range(s, len(self.n), SIDE):
+                i, j, d = near_pairs(self.fp[s : s + SIDE], self.fp[t : t + SIDE], WIDE, distances=True)
                 i, j = i + s, j + t
-                ok = (i < j) & (10 * np.minimum(n[i], n[j]) >= tenths * np.maximum(n[i], n[j]))
-                if key[2] != key[3]:
-                    ok &= block[i] != block[j]
+                ok = (i < j) & self.may(i, j)
                 order = np.argsort(d[ok], kind="stable")
                 i, j = i[ok][order], j[ok][order]
                 for at in range(0, len(i), 4096):
                     p, q = i[at : at + 4096], j[at : at + 4096]
-                    open_ = root[p] != root[q]
+                    open_ = self.root[p] != self.root[q]
                     for k, m in zip(p[open_].tolist(), q[open_].tolist()):
-                        u, v = find(k), find(m)
-                        if u == v:
-                            continue
-                        both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
-                        if 10 * both >= tenths * (n[k] + n[m] - both):
-                            root[max(u, v)] = min(u, v)
-                            a.append(same[k])
-                            b.append(same[m])
-                    while not np.array_equal(up := root[root], root):
-                        root = up
+                        if self.find(k) != self.find(m) and self.alike(k, np.array([m]))[0]:
+                            self.join(k, m)
+                    self.flatten()
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the set of member i is similar enough to each of the others'."""
+        own = self.sets[i]
+        flat = np.concatenate([self.sets[k] for k in others.tolist()])
+        size = self.n[others]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat(own[at] == flat, np.cumsum(size) - size, dtype=np.int64)
+        return 10 * both >= self.tenths * (self.n[i] + size - both)
+
+    def each(self, leaders, members: np.ndarray, checked_elsewhere: bool = True) -> None:
+        """Check every leader with all members it isn't connected to."""
+        for i in leaders:
+            self.flatten()
+            open_ = members[self.root[members] != self.root[i]]
+            if len(open_) and checked_elsewhere:
+                open_ = open_[self.may(i, open_)]
+            elif len(open_):
+                open_ = open_[10 * np.minimum(self.n[i], self.n[open_]) >= self.tenths * np.maximum(self.n[i], self.n[open_])]
+            for at in range(0, len(open_), 256):
+                part = open_[at : at + 256]
+                for k in part[self.alike(i, part)].tolist():
+                    self.join(i, k)
+        self.flatten()
+
+
+#: table, part and block name a group; role 0: members, 1: the bucket's leaders (or in the second pass the members not yet reached)
+SET_ROWS = ["table", "part", "x", "y", "role", "same", "n", "fp", "bands", "shingles"]
+LINKS = "a long, b long, table long, part long, rest long"
+
+
+def checked(rows: DataFrame, tenths: int, second: bool) -> DataFrame:
+    """(a, b): links of each group of ``rows``; and (table, part, rest): members
+    of large buckets that their leaders don't reach.
+
+    A group without role 1 is a whole bucket: all its pairs are checked.  With it,
+    role 1 is checked with all of role 0; in the ``second`` pass members that a leader reaches count as connected."""
+    import pyarrow as pa
+
+    def connect(key, columns):
+        role, same, n, fp, bands, sets = columns
+        order = np.lexsort((same, -role))  # role 1 first
+        role, same, n = role[order], same[order], n[order]
+        b = Bucket(n, fp[order], np.stack(bands)[order], [sets[k] for k in order.tolist()], int(key[0]), tenths)
+        first, all_ = int((role == 1).sum()), np.arange(len(n))
+        rest = np.zeros(0, np.int64)
+        if not first:
+            b.nearest_first()
+            b.each(range(len(n) - 1), all_)
+        elif second:
+            reached = np.flatnonzero(role == 2)
+            for k in reached[1:].tolist():
+                b.join(int(reached[0]), k, linked=False)
+            b.each(np.flatnonzero(role == 1).tolist(), all_)
+        else:
+            b.each(range(first), all_, checked_elsewhere=False)
+            rest = np.setdiff1d(same[(b.root != b.root[0]) & (role == 0)], same[:first])
+            if key[3] == 0:  # leaders themselves, once
+                rest = np.concatenate([rest, same[:first][b.root[:first] != b.root[0]]])
+        a = [same[i] for i, _ in b.links] + [None] * len(rest)
+        z = [same[j] for _, j in b.links] + [None] * len(rest)
+        k = [None] * len(b.links)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array([*k, *[key[0]] * len(rest)], pa.int64()), pa.array([*k, *[key[1]] * len(rest)], pa.int64()), pa.array([*k, *rest.tolist()], pa.int64())],
+                names=["a", "b", "table", "part", "rest"],
+            )
 
     def run(batches):
         yield from by_group(batches, 4, connect)
 
-    return dealt(groups, "same").select("table", "part", "x", "y", "block", "same", "n", "fp", "shingles").mapInArrow(run, "a long, b long")
+    return dealt(rows, "same").select(*SET_ROWS).mapInArrow(run, LINKS)
 
 
 def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(same, root): the sets that are linked to others, and the smallest of their
-    component.  Only sets that share a bucket with another one are made and shuffled."""
+    """(same, root): the sets that are linked to others, and the smallest of their component.
+
+    Only sets that share a bucket with another one are made and shuffled, and
+    only to buckets whose members don't all meet in one earlier bucket.  A
+    bucket of over ``SET_SQUARE`` members is cut into blocks that each get its
+    leaders; those that aren't connected to the first leader then meet all blocks."""
     tenths = round(10 * similarity)
     if not 5 <= tenths <= 10 or abs(tenths - 10 * similarity) > 1e-9:
         raise ValueError("the similarity must be a multiple of 0.1, at least 0.5")
     one = cut_lineage(sketch.groupBy("same").agg(F.min(F.struct("th", "n", "fp", "bands")).alias("s")).select("same", "s.*"))
-    keyed = one.where("n > 0").select("same", "n", "fp", F.posexplode("bands").alias("table", "part"))
+    keyed = one.where("n > 0").select("same", F.posexplode("bands").alias("table", "part"))
     full = keyed.join(keyed.groupBy("table", "part").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["table", "part"])
-    buckets = cut_lineage(squares(full.select(F.col("table").cast("long"), "part", "same", "n", "fp"), "same", SET_SQUARE).select("table", "part", F.col("x").cast("long"), F.col("y").cast("long"), F.col("block").cast("long"), "same", "n", "fp"))
-    active = cut_lineage(buckets.select("same").distinct().join(one.select("same", "th"), "same"))
+    met = cut_lineage(full.select(F.col("table").cast("long"), "part", "same").join(one.drop("th"), "same"))
+    # a bucket whose members all meet in an earlier bucket has nothing left to check
+    ends = [f(F.col("bands")[k]).alias(f"{n}{k}") for k in range(BANDS - 1) for n, f in (("least", F.min), ("most", F.max))]
+    seen = [(F.col("table") > k) & (F.col(f"least{k}") == F.col(f"most{k}")) for k in range(BANDS - 1)]
+    sizes = met.groupBy("table", "part").agg(F.count("*").alias("c"), *ends).where(~F.greatest(*seen))
+    sizes = cut_lineage(sizes.select("table", "part", F.ceil(F.col("c") / SET_SQUARE).cast("long").alias("m")))
+    rows = cut_lineage(met.join(sizes, ["table", "part"]))
+    active = cut_lineage(rows.select("same").distinct().join(one.select("same", "th"), "same"))
     small = active.count() * 64 <= 64 << 20  # bytes that it may take as a broadcast
     rep = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(active) if small else active, "th")
     sets = cut_lineage(shingle_sets(rep.groupBy("same").agg(F.min("text").alias("text")), width))
-    return components(alike(buckets.join(sets, "same"), tenths)).select(F.col("node").alias("same"), "root")
+
+    block = F.pmod(F.xxhash64("same"), F.col("m"))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    role = lambda k: F.lit(k).cast("long").alias("role")
+    members = rows.join(sets, "same").withColumn("x", block).withColumn("y", F.col("x")).withColumn("role", role(0)).select(*SET_ROWS)
+    large = rows.where("m > 1")
+    if not large.limit(1).count():
+        return components(checked(members, tenths, False).select("a", "b")).select(F.col("node").alias("same"), "root")
+    leaders = large.withColumn("_k", F.row_number().over(Window.partitionBy("table", "part").orderBy("same"))).where(F.col("_k") <= LEADERS)
+    leaders = leaders.join(sets, "same").withColumn("x", numbers("m")).withColumn("y", F.col("x")).withColumn("role", role(1)).select(*SET_ROWS)
+    found = cut_lineage(checked(members.unionByName(leaders), tenths, False))
+    edges = found.where("a is not null").select("a", "b")
+    rest = cut_lineage(found.where("rest is not null").select("table", "part", F.col("rest").alias("same")).distinct())
+    if rest.limit(1).count():
+        count = rest.groupBy("table", "part").agg(F.ceil(F.count("*") / SET_SQUARE).cast("long").alias("r"))
+        again = large.join(count, ["table", "part"]).join(rest.withColumn("open", F.lit(True)), ["table", "part", "same"], "left").join(sets, "same")
+        asks = again.where("open").withColumn("x", F.pmod(F.xxhash64("same"), F.col("r"))).withColumn("y", numbers("m")).withColumn("role", role(1))
+        all_ = again.withColumn("y", block).withColumn("x", numbers("r")).withColumn("role", F.when(F.col("open"), 0).otherwise(2).cast("long"))
+        edges = edges.unionByName(checked(asks.select(*SET_ROWS).unionByName(all_.select(*SET_ROWS)), tenths, True).select("a", "b"))
+    return components(edges).select(F.col("node").alias("same"), "root")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -462,7 +562,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     A-Z; fewer words: all of them) have a Jaccard similarity of at least
     ``similarity``; null texts and texts without words are alike.  Groups are
     what links reach.  Links are looked for in buckets that pairs of that similarity
-    miss once in 30,000 times; all else is exact.  Of repeated rows one stays;
+    miss once in 30,000 times; all pairs of a bucket that aren't connected are checked.  Of repeated rows one stays;
     an empty table gives an empty result; a column that is named as one of ours is kept apart.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -110,6 +110,6 @@ def test_verdicts_equal_a_slow_version(request, which):
         b, chars, fallback = Q.BANDS[name], n[1] / max(1, len(ids)), sum(sp.is_byte(x) for x in ids) / max(1, len(ids))
         good = b.min_chars <= chars <= b.max_chars and fallback <= b.max_fallback and n[2] <= b.max_symbols * n[1]
         good = good and entropy >= b.min_entropy_share * min(math.log2(max(1, len(ids))), b.full_entropy) - 1e-9
-        want.append((i, name, round(entropy, 6), good and not (n[0] < 10 or 100 * n[4] > 20 * n[0])))
+        want.append((i, name, round(entropy, 6) + 0.0, good and not (n[0] < 10 or 100 * n[4] > 20 * n[0])))
     got = [(r.doc_id, r.band, round(r.token_entropy, 6) + 0.0, r.kept) for r in Q.quality_rules(docs, VOCABULARY).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -172,6 +172,48 @@ def test_near_copies_link_and_chains_are_whole(spark):
     assert {r.doc_id for r in S.keep_first(docs).collect()} == want
 
 
+def repeated_passages(pairs=6):
+    """Pairs alike in their sets of shingles, with different passages repeated many times."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    out = []
+    for _ in range(pairs):
+        text = [word() for _ in range(200)]
+        out += [" ".join(text + [word() for _ in range(6)] * 200) for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize("square", [8192, 2])
+def test_passages_repeated_many_times_hide_no_copies(spark, monkeypatch, square):
+    monkeypatch.setattr(S, "SET_SQUARE", square)
+    texts = repeated_passages()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_groups(list(enumerate(texts))))
+    assert want == {0, 2, 4, 6, 8, 10}
+    assert {r.doc_id for r in S.keep_first(docs).collect()} == want
+
+
+@pytest.mark.parametrize("square, leaders", [(8192, 8), (7, 2), (4, 1)])
+def test_families_that_leaders_do_not_reach(spark, monkeypatch, square, leaders):
+    """Copies of copies at 0.7 to 0.95 of each other: buckets hold several components, and chains link them."""
+    monkeypatch.setattr(S, "SET_SQUARE", square)
+    monkeypatch.setattr(S, "LEADERS", leaders)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(150)]
+        for k in range(30):
+            copy = (texts[-rng.integers(1, min(k, 9) + 1)].split() if k and k % 3 else base).copy()
+            for at in rng.integers(0, 150, rng.integers(1, 7)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_groups(list(enumerate(texts))))
+    assert 4 < len(want) < 60
+    assert {r.doc_id for r in S.keep_first(docs).collect()} == want
+
+
 def test_similarities_that_cannot_be_counted_are_refused(documents):
     for similarity in (0.4, 0.85):
         with pytest.raises(ValueError):
