@@ -51,26 +51,28 @@ def per_batch(
     return df.mapInArrow(run, struct)
 
 
-def beside(df: DataFrame, value, make: Callable[[], Callable[[pa.Array], dict[str, list]]], schema: str, hides: tuple[str, ...] = ()) -> DataFrame:
+def beside(df: DataFrame, value, make: Callable[[], Callable[[pa.Array], dict[str, list]]], schema: str, hides: tuple[str, ...] = (), rows: int = 500) -> DataFrame:
     """All columns of ``df`` and those of ``schema``, which ``make()(values)``
-    gives for each batch of the column ``value``; new names, and those in
+    gives for each batch (of at most ``rows``) of the column ``value``; new names, and those in
     ``hides``, win over clashing columns."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = _parse_datatype_string(schema)
     new = {f.name.lower() for f in struct} | set(hides)
-    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c.lower() not in new]).alias("row"), value.alias("value"))
-    whole = StructType([StructField("row", rows.schema["row"].dataType), *struct.fields])
+    packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c.lower() not in new]).alias("row"), value.alias("value"))
+    all_ = StructType([StructField("row", packed.schema["row"].dataType), *struct.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(whole)
+        out = to_arrow_schema(all_)
         work = make()
-        for b in batches:
-            got = work(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *[pa.array(got[f.name], f.type) for f in list(out)[1:]]], schema=out)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                got = work(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), *[pa.array(got[f.name], f.type) for f in list(out)[1:]]], schema=out)
 
-    return rows.mapInArrow(run, whole).select("row.*", *struct.names).drop("_")
+    return packed.mapInArrow(run, all_).select("row.*", *struct.names).drop("_")
 
 
 def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:

@@ -317,7 +317,7 @@ def shingle_hashes(h: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndar
 class Shingles:
     """Shingle hashes of batches of texts."""
 
-    def __init__(self, width: int, max_words: int = 500_000):
+    def __init__(self, width: int, max_words: int = 200_000):
         self.width, self.max_words, self.words = width, max_words, Words()
 
     def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
