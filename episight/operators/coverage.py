@@ -92,43 +92,3 @@ def scaled(features: DataFrame, cols: list[str], constant: float = 0.0) -> DataF
     d = features.crossJoin(F.broadcast(span))  # one row
     x = {c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).when(F.col(c).isNotNull(), F.lit(constant)) for c in cols}
     return d.withColumns(x).select(*features.columns)
-
-
-def nearest(query: DataFrame, ref: DataFrame, cols: list[str], key: str = "ep", exclude_self: bool = False, block: int = 2048) -> DataFrame:
-    """(key, neighbour, distance): the nearest row of ``ref`` by Euclidean
-    distance over sqrt(dimensions); the smallest key wins ties.
-
-    ``ref`` is cut into blocks of about ``block`` rows and each query meets
-    each block once, in a block product of bounded memory; a query's best
-    of each block are then reduced to one.
-    """
-    import numpy as np
-    import pandas as pd
-
-    n = max(1, -(-ref.count() // block))
-    cut = lambda df: df.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    r = cut(ref).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)))
-    q = cut(query).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    q = q.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-query.count() // block)))))
-    r = r.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-query.count() // block)) - 1)).cast("array<long>")))
-    width = len(cols)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"k": np.zeros(0, np.int64), "d": np.zeros(0), "j": np.zeros(0, np.int64)})
-        right = right.sort_values("k")
-        a, b = np.array(left["x"].tolist()).reshape(-1, width), np.array(right["x"].tolist()).reshape(-1, width)
-        ids = right["k"].to_numpy()
-        d = np.zeros((len(a), len(b)))
-        for c in range(width):  # differences, not products: exact for equal rows
-            d += (a[:, c, None] - b[None, :, c]) ** 2
-        if exclude_self:
-            d[left["k"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        at = d.argmin(1)
-        got = d[np.arange(len(a)), at]
-        out = pd.DataFrame({"k": left["k"], "d": np.sqrt(got) / np.sqrt(width), "j": ids[at]})
-        return out[np.isfinite(got)]
-
-    met = q.groupBy("b", "s").cogroup(r.groupBy("b", "s")).applyInPandas(best, "k long, d double, j long")
-    low = met.groupBy("k").agg(F.min(F.struct("d", "j")).alias("m"))
-    return low.select(F.col("k").alias(key), F.col("m.j").alias("neighbour"), F.col("m.d").alias("distance"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import median
 from ..functions.lineage import cut_lineage
 from .compare import resampled
-from .coverage import nearest
+from .neighbours import nearest
 
 #: Near means within this share of the median distance between training episodes; suspicious, below this quantile of them.
 NEAR, QUANTILE, ALPHA = 0.01, 0.01, 0.01

@@ -127,8 +127,8 @@ def k_center_exact(features: DataFrame, cols: list[str], k: int, key: str = "ep"
 
 
 def distance_to(selected: DataFrame, rows: DataFrame, cols: list[str], key: str = "ep") -> DataFrame:
-    """(key, distance): of each row to the nearest selected one, by block products as in ``nearest``, whatever the selection's size."""
-    from .coverage import nearest
+    """(key, distance): of each row to the nearest selected one, through inverted lists, whatever the selection's size."""
+    from .neighbours import nearest
 
     d = nearest(rows.select(key, *cols), selected.select(key, *cols), cols, key)
     return d.select(key, (F.col("distance") * float(len(cols)) ** 0.5).alias("distance"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import in_order
-from ..operators import clusters, compare, coverage, cure, dynamics, evidence, export, frames, gates, leakage, limits, motion, policies, report, scoring, selection, stats, surprise, tasks, timing
+from ..operators import clusters, compare, coverage, cure, dynamics, evidence, export, frames, gates, leakage, limits, motion, neighbours, policies, report, scoring, selection, stats, surprise, tasks, timing
 from ..sources import lerobot
 from ..sources.episodes import LINE_DIMS, table
 from .catalog import ACTIVE, GRIPPER, METRICS, _assessed, _features, _influence, _long, _outliers, _summary, _vectors, ev, figures, li, query, shown
@@ -610,7 +610,7 @@ def outlier_labels(spark, d):
 @query
 def most_isolated(spark, d):
     f, cols = _features(spark, d)
-    return shown(report.most_isolated(coverage.nearest(f, f, cols, exclude_self=True)), digits=5)
+    return shown(report.most_isolated(neighbours.nearest(f, f, cols, exclude_self=True)), digits=5)
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import out, upper_level
-from ..operators import compare, coverage, dynamics, export, gates, motion, scoring, selection, sft, stats, tasks, timing
+from ..operators import compare, coverage, dynamics, export, gates, motion, neighbours, scoring, selection, sft, stats, tasks, timing
 from ..sources.episodes import LINE_DIMS, LINE_PERIOD, event_steps, line_steps, order_lengths, table, turns
 from ..streaming import watch
 
@@ -190,13 +190,13 @@ def _features(spark, d):
 @query
 def nearest_neighbour(spark, d):
     f, cols = _features(spark, d)
-    return shown(coverage.nearest(f, f, cols, exclude_self=True), digits=5)
+    return shown(neighbours.nearest(f, f, cols, exclude_self=True), digits=5)
 
 
 def _influence(spark, d):
     f, cols = _features(spark, d)
     steps = li(spark, d)
-    novelty = coverage.nearest(f, f, cols, exclude_self=True).select("ep", F.col("distance").alias("novelty"))
+    novelty = neighbours.nearest(f, f, cols, exclude_self=True).select("ep", F.col("distance").alias("novelty"))
     parts = novelty.join(coverage.trajectory_entropy(steps, LINE_DIMS), "ep").join(tasks.contact_fraction(steps, GRIPPER, ACTIVE).withColumnRenamed("contact_fraction", "contact"), "ep")
     return selection.influence(parts)
 
@@ -237,7 +237,7 @@ def diversity_scores(spark, d):
 @query
 def nearest_embedding(spark, d):
     v, cols = _vectors(spark, d)
-    return shown(coverage.nearest(v, v, cols, exclude_self=True), digits=4)
+    return shown(neighbours.nearest(v, v, cols, exclude_self=True), digits=4)
 
 
 def _long(spark, d):
@@ -512,7 +512,7 @@ def approx_coreset(spark, d):
 
 def _knn(spark, d):
     v, cols = _vectors(spark, d)
-    return coverage.nearest(v, v, cols, exclude_self=True)
+    return neighbours.nearest(v, v, cols, exclude_self=True)
 
 
 @query

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from episight.operators import coverage, export, gates, selection, stats
+from episight.operators import coverage, neighbours, export, gates, selection, stats
 from episight.streaming import watch
 
 FIGURES = "ep long, n_steps long, spike_rate double, disc_rate double, dropout double, ldlj double"
@@ -57,7 +57,7 @@ def test_nearest_equals_brute_force_with_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 4, (60, 3)).astype(float)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "ep long, x double, y double, z double")
-    got = {r.ep: (r.neighbour, r.distance) for r in coverage.nearest(df, df, ["x", "y", "z"], exclude_self=True, block=7).collect()}
+    got = {r.ep: (r.neighbour, r.distance) for r in neighbours.nearest(df, df, ["x", "y", "z"], exclude_self=True).collect()}
     for i in range(60):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
