@@ -79,10 +79,3 @@ def transfer_level(overlap: DataFrame) -> DataFrame:
     """One row: the worst dimension's overlap and its level."""
     g = overlap.agg(F.min("overlap").alias("overlap"))
     return g.withColumn("level", F.when(F.col("overlap") >= 0.8, "COMPATIBLE").when(F.col("overlap") >= 0.5, "ADAPT").otherwise("INCOMPATIBLE"))
-
-
-def alignment(gap: DataFrame) -> DataFrame:
-    """One row (kl, overlap) with index: half exp(-kl), half the overlap, in percent, and its level."""
-    index = 50.0 * F.exp(-F.col("kl")) + 50.0 * F.col("overlap")
-    d = gap.withColumn("index", index)
-    return d.withColumn("level", F.when(F.col("index") >= 80, "ALIGNED").when(F.col("index") >= 50, "PARTIAL").otherwise("APART"))

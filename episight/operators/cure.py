@@ -70,31 +70,60 @@ def add_jitter(steps: DataFrame, std_ms: float, seed: int = 42) -> DataFrame:
 
 
 def inject_spikes(steps: DataFrame, rate: float, column: str = "a0", seed: int = 42) -> DataFrame:
-    """(ep, step, value): a share ``rate`` of the steps, at most a quarter, trade
-    places with one half an episode on; episodes under 4 steps stay."""
-    n = F.count("*").over(whole())
-    d = steps.select("ep", "step", F.col(column).alias("v")).withColumns({"n": n, "half": F.floor(n / 2), "key": F.md5(F.concat_ws("|", F.col("ep").cast("string"), F.col("step").cast("string"), F.lit(str(seed))))})
-    d = d.withColumn("first", F.col("step") < F.col("half"))
-    d = d.withColumn("place", F.when(F.col("first"), F.row_number().over(Window.partitionBy("ep", "first").orderBy("key", "step"))))
+    """(ep, step, value): so many inner steps (a share ``rate`` of all, at least
+    one, at most a quarter) trade places one after another with any step that is
+    over max(2, a tenth of the episode) away; episodes under 4 steps stay.
+
+    Only the swaps of an episode are put together in one place; the values are joined to where they end up.
+    """
+    import pandas as pd
+
+    n = steps.groupBy("ep").agg(F.count("*").alias("n"))
+    d = steps.select("ep", "step", F.col(column).alias("value")).join(n, "ep")
+    key = F.md5(F.concat_ws("|", F.col("ep").cast("string"), F.col("step").cast("string"), F.lit(str(seed))))
+    inner = d.where("n >= 4 and step between 1 and n - 2").withColumn("place", F.row_number().over(Window.partitionBy("ep").orderBy(key, "step")))
     count = F.least(F.greatest(F.lit(1), F.floor(F.col("n") * rate)), F.floor(F.col("n") / 4))
-    d = d.withColumn("hit", (F.col("n") >= 4) & F.col("first") & (F.col("place") <= count))
-    # a step and its partner share a pair number
-    d = d.withColumn("pair", F.when(F.col("first"), F.col("step")).otherwise(F.col("step") - F.col("half")))
-    pair = Window.partitionBy("ep", "pair")
-    d = d.withColumns({"swap": F.max(F.col("hit").cast("int")).over(pair) == 1, "low": F.min(F.struct("step", "v")).over(pair)["v"], "high": F.max(F.when(F.col("step") < 2 * F.col("half"), F.struct("step", "v"))).over(pair)["v"]})
-    value = F.when(F.col("swap") & F.col("first"), F.col("high")).when(F.col("swap") & (F.col("step") < 2 * F.col("half")), F.col("low")).otherwise(F.col("v"))
-    return d.select("ep", "step", value.alias("value"))
-
-
-def delay(steps: DataFrame, seed: int = 42) -> DataFrame:
-    """(ep, step, t): each episode's clock is 50 to 200 ms late."""
-    return steps.select("ep", "step", (F.col("t") + 0.05 + 0.15 * uniform("ep", F.lit(seed), F.lit("delay"))).alias("t"))
-
-
-def truncate(steps: DataFrame, keep: float = 0.8) -> DataFrame:
-    """The first ``keep`` of each episode, at least 2 steps."""
-    d = steps.withColumn("n", F.count("*").over(whole()))
-    return d.where(F.col("step") < F.greatest(F.lit(2), F.floor(F.col("n") * keep))).drop("n")
+    gap = F.greatest(F.lit(2), F.floor(F.col("n") / 10))
+    left, right = F.greatest(F.lit(0), F.col("step") - gap), F.greatest(F.lit(0), F.col("n") - 1 - F.col("step") - gap)
+    drawn = F.floor(uniform("ep", "step", F.lit(seed), F.lit("partner")) * (left + right))
+    partner = F.when(drawn < left, drawn).otherwise(F.col("step") + gap + 1 + drawn - left)
+    swaps = inner.where((F.col("place") <= count) & (left + right > 0)).select("ep", "place", F.col("step").cast("long").alias("i"), partner.cast("long").alias("j"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        source: dict[int, int] = {}
+        for i, j in pdf.sort_values("place")[["i", "j"]].itertuples(index=False):
+            source[i], source[j] = source.get(j, j), source.get(i, i)
+        return pd.DataFrame({"ep": pdf["ep"].iloc[0], "step": list(source), "source": list(source.values())})
+
+    moved = swaps.groupBy("ep").applyInPandas(compose, "ep long, step long, source long")
+    taken = moved.join(d.select("ep", F.col("step").alias("source"), F.col("value").alias("taken")), ["ep", "source"]).select("ep", "step", "taken", F.lit(True).alias("swapped"))
+    out = d.join(taken, ["ep", "step"], "left")
+    return out.select("ep", "step", F.when(F.col("swapped"), F.col("taken")).otherwise(F.col("value")).alias("value"))
+
+
+def some_episodes(steps: DataFrame, fraction: float, seed: int, what: str) -> DataFrame:
+    """(ep): a share ``fraction`` of the episodes, at least one, those with the smallest hashes."""
+    from .export import numbered
+
+    eps = steps.select("ep").distinct().withColumn("_h", F.struct(F.md5(F.concat_ws("|", F.col("ep").cast("string"), F.lit(str(seed)), F.lit(what))).alias("h"), "ep"))
+    ranked = numbered(eps, "_h")
+    n = ranked.agg(F.count("*").alias("n"))
+    return ranked.crossJoin(F.broadcast(n)).where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).select("ep")  # one row
+
+
+def delay(steps: DataFrame, fraction: float = 1.0, seed: int = 42) -> DataFrame:
+    """(ep, step, t): the clocks of a share of the episodes are 50 to 200 ms late."""
+    late = some_episodes(steps, fraction, seed, "late").withColumn("_late", F.lit(True))
+    d = steps.select("ep", "step", "t").join(late, "ep", "left")
+    moved = F.col("t") + 0.05 + 0.15 * uniform("ep", F.lit(seed), F.lit("delay"))
+    return d.select("ep", "step", F.when(F.col("_late"), moved).otherwise(F.col("t")).alias("t"))
+
+
+def truncate(steps: DataFrame, keep: float = 0.8, fraction: float = 1.0, seed: int = 42) -> DataFrame:
+    """The first ``keep`` of a share of the episodes, at least 2 steps; the others whole."""
+    short = some_episodes(steps, fraction, seed, "short").withColumn("_short", F.lit(True))
+    d = steps.withColumn("n", F.count("*").over(whole())).join(short, "ep", "left")
+    return d.where(F.col("_short").isNull() | (F.col("step") < F.greatest(F.lit(2), F.floor(F.col("n") * keep)))).drop("n", "_short")
 
 
 def damage_report(before: DataFrame, after: DataFrame, metrics: tuple[str, ...]) -> DataFrame:

@@ -78,8 +78,29 @@ def study_status(conditions: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("a"), "validated").when(F.col("o"), "partial").otherwise("simulated").alias("status"))
 
 
+#: Names under which comparisons know a claim's metric, and the states in which a claim counts.
+CLAIM_METRICS = {"vel_disc_rate": "velocity_discontinuity_rate", "state_entropy": "action_entropy"}
+ACTIVE_CLAIMS = ("active_hypothesis", "validated", "provisional")
+
+
 def claim_confidence(n_supporting: Column) -> Column:
-    return F.when(n_supporting <= 0, "hypothesis").when(n_supporting == 1, "provisional").when(n_supporting <= 4, "supported").when(n_supporting <= 9, "strong").otherwise("established")
+    """How far a claim is trusted, from the number of pieces of evidence that support it."""
+    return F.when(n_supporting <= 0, "NOT VALIDATED").when(n_supporting == 1, "LOW-MODERATE").when(n_supporting <= 4, "MODERATE").when(n_supporting <= 9, "HIGH").otherwise("STRONG")
+
+
+def judged_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``claims`` (claim_id, metric, class, status) with n_evidence, n_supporting and
+    confidence; ``evidence``: (claim_id, supports), null counting as support."""
+    n = evidence.groupBy("claim_id").agg(F.count("*").alias("n_evidence"), F.sum(F.coalesce("supports", F.lit(True)).cast("long")).alias("n_supporting"))
+    d = claims.join(n, "claim_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_evidence", "n_supporting")})
+    return d.withColumn("confidence", claim_confidence(F.col("n_supporting")))
+
+
+def active_claims(claims: DataFrame, metric: str, class_name: str) -> DataFrame:
+    """The claims in force for a metric (as comparisons name it) and a class, and
+    those for any class; specific ones are marked."""
+    d = claims.where((F.col("metric") == CLAIM_METRICS.get(metric, metric)) & F.col("status").isin(*ACTIVE_CLAIMS) & F.col("class").isin(class_name, "any"))
+    return d.withColumn("specific", F.col("class") == class_name)
 
 
 def lookup_baseline(profiles: DataFrame, wanted: DataFrame) -> DataFrame:

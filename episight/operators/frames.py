@@ -99,8 +99,10 @@ def viewpoint(key: Column) -> Column:
 
 
 def camera_mismatch(correlations: DataFrame, min_episodes: int = 3) -> DataFrame:
-    """(camera, declared, median_r, level) of (ep, camera, r): a static camera
-    that moves with the arm, or a moving one that doesn't, by its own bands or beside the others."""
+    """(camera, declared, median_r, level) of (ep, camera, r).  WARNING: the static
+    camera that moves most with the arm and the moving one that does least, if the first
+    beats the second by a margin, and any static one that moves with the arm.  INFO: a camera of an unknown
+    view that moves with the arm, and a moving one that hardly does."""
     g = correlations.where("r is not null").groupBy("camera").agg(median("r").alias("median_r"), F.count("*").alias("n")).where(F.col("n") >= min_episodes)
     g = g.withColumn("declared", viewpoint(F.col("camera")))
     ends = g.agg(F.max(F.when(F.col("declared") == "static", F.col("median_r"))).alias("top_static"), F.min(F.when(F.col("declared") == "moving", F.col("median_r"))).alias("low_moving"))
@@ -108,8 +110,9 @@ def camera_mismatch(correlations: DataFrame, min_episodes: int = 3) -> DataFrame
     static, moving = F.col("declared") == "static", F.col("declared") == "moving"
     apart = F.col("top_static") > F.col("low_moving") + MARGIN
     beside = apart & ((static & (F.col("median_r") == F.col("top_static"))) | (moving & (F.col("median_r") == F.col("low_moving"))))
-    alone = (static & (F.col("median_r") >= HIGH)) | (moving & (F.col("median_r") <= LOW))
-    return d.select("camera", "declared", "median_r", F.when(F.coalesce(beside, F.lit(False)) | alone, "WARNING").otherwise("OK").alias("level"))
+    high, low = F.col("median_r") >= HIGH, F.col("median_r") <= LOW
+    level = F.when(F.coalesce(beside, F.lit(False)) | (static & high), "WARNING").when(((F.col("declared") == "unknown") & high) | (moving & low), "INFO").otherwise("OK")
+    return d.select("camera", "declared", "median_r", level.alias("level"))
 
 
 def correlation_lags(pairs: DataFrame, x: str, y: str, min_steps: int = 3) -> DataFrame:

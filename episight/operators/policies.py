@@ -186,12 +186,39 @@ def ladder(value: Column, direct: float, adapt: float) -> Column:
     return F.when(value.isNull(), "ADAPT").when(value < direct, "DIRECT").when(value < adapt, "ADAPT").otherwise("DIFFICULT")
 
 
-def transfer(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(aspect, level) for frequency, smoothness and episode length of two
-    one-row tables (hz, ldlj, mean_length), and the worst as ``overall``."""
-    d = source.select(*[F.col(c).alias(f"s_{c}") for c in ("hz", "ldlj", "mean_length")]).crossJoin(target.select(*[F.col(c).alias(f"t_{c}") for c in ("hz", "ldlj", "mean_length")]))  # one row each
+def range_covered(source: DataFrame, target: DataFrame, source_dims: tuple[str, ...], target_dims: tuple[str, ...]) -> DataFrame:
+    """One row: covered, the mean over the dimensions that both have, and that vary
+    in the target, of the share of the target's range inside the source's; 0 without any."""
+    dims = list(zip(source_dims, target_dims))
+    ends = lambda df, names, s: df.agg(*[f(c).cast("double").alias(f"{s}_{n}{i}") for i, c in enumerate(names) for n, f in (("lo", F.min), ("hi", F.max))])
+    d = ends(source, [a for a, _ in dims], "s").crossJoin(ends(target, [b for _, b in dims], "t"))  # one row each
+    parts = []
+    for i in range(len(dims)):
+        common = F.greatest(F.lit(0.0), F.least(f"t_hi{i}", f"s_hi{i}") - F.greatest(f"t_lo{i}", f"s_lo{i}"))
+        parts.append(F.when(F.col(f"t_hi{i}") > F.col(f"t_lo{i}"), common / (F.col(f"t_hi{i}") - F.col(f"t_lo{i}"))))
+    known = F.array_compact(F.array(*parts))
+    return d.select(F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.0).alias("covered"))
+
+
+def transfer(source: DataFrame, target: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """(aspect, level) for action dimensions, frequency, smoothness and episode
+    length of two one-row tables (hz, ldlj, mean_length, n_dims), for the action
+    range if ``covered`` is given (of ``range_covered``), and the worst as ``overall``.
+
+    Dimensions that can be dropped need adapting; missing ones can't be made up."""
+    names = ("hz", "ldlj", "mean_length", "n_dims")
+    d = source.select(*[F.col(c).alias(f"s_{c}") for c in names]).crossJoin(target.select(*[F.col(c).alias(f"t_{c}") for c in names]))  # one row each
     ratio = lambda c, least: F.when(F.col(f"s_{c}").isNotNull() & F.col(f"t_{c}").isNotNull(), F.greatest(f"s_{c}", f"t_{c}") / F.greatest(F.least(f"s_{c}", f"t_{c}"), F.lit(least)))
-    levels = {"frequency": ladder(ratio("hz", 0.1), 1.5, 3.0), "smoothness": ladder(F.abs(F.col("s_ldlj") - F.col("t_ldlj")), 3.0, 8.0), "episode_length": ladder(ratio("mean_length", 1.0), 2.0, 5.0)}
+    more = F.col("s_n_dims") - F.col("t_n_dims")
+    levels = {
+        "action_dims": F.when(more == 0, "DIRECT").when(more > 0, "ADAPT").otherwise("DIFFICULT"),
+        "frequency": ladder(ratio("hz", 0.1), 1.5, 3.0),
+        "smoothness": ladder(F.abs(F.col("s_ldlj") - F.col("t_ldlj")), 3.0, 8.0),
+        "episode_length": ladder(ratio("mean_length", 1.0), 2.0, 5.0),
+    }
+    if covered is not None:
+        d = d.crossJoin(covered)  # one row
+        levels["action_range"] = F.when(F.col("covered") >= 0.8, "DIRECT").when(F.col("covered") >= 0.5, "ADAPT").otherwise("DIFFICULT")
     rows = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("aspect"), x.alias("level")) for k, x in levels.items()])).alias("r")).select("r.*")
     rank = F.when(F.col("level") == "DIFFICULT", 2).when(F.col("level") == "ADAPT", 1).otherwise(0)
     worst = rows.agg(F.max(rank).alias("m")).select(F.lit("overall").alias("aspect"), F.when(F.col("m") == 2, "DIFFICULT").when(F.col("m") == 1, "ADAPT").otherwise("DIRECT").alias("level"))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import lower_level, upper_level
 from . import coverage, motion, tasks, timing
+from .gates import Limits
+
+#: By noise regime the limits of spikes, discontinuities, dropout and jerk, and the weight of diversity.
+REGIMES = {
+    "low_noise": (0.15, 0.30, 0.10, -35.0, 0.85),
+    "moderate_noise": (0.25, 0.40, 0.15, -40.0, 0.90),
+    "high_noise": (0.08, 0.15, 0.08, -25.0, 0.70),
+}
 
 
 def flags(steps: DataFrame, actions: tuple[str, ...], states: tuple[str, ...], gripper: str | None = None) -> DataFrame:
@@ -103,14 +111,21 @@ def most_isolated(nearest: DataFrame) -> DataFrame:
     return nearest.agg(F.min(F.struct(F.round("distance", 9).alias("d"), "ep")).alias("m")).select(F.col("m.ep").alias("ep"), F.col("m.d").alias("distance"))
 
 
-def regime_selection(gate_of, figures: DataFrame, regime: DataFrame, fraction: float, **two_stage) -> DataFrame:
-    """The two-stage choice under the limits of the dataset's noise regime:
-    looser ones for noisy data, tighter ones for calm data.  ``gate_of(figures, limits)`` gives the first stage."""
-    from .gates import Limits
+def regime_limits(regime: str) -> tuple[Limits, float]:
+    """Stage-1 limits and diversity weight of a noise regime."""
+    spike, disc, drop, ldlj, weight = REGIMES[regime]
+    return Limits(spike_rate=spike, disc_rate=disc, dropout=drop, ldlj=ldlj), weight
+
+
+def regime_selection(gate_of, figures: DataFrame, regime: DataFrame, fraction: float, features=None, **two_stage) -> DataFrame:
+    """The two-stage choice under the limits of the dataset's noise regime: lenient
+    for calm and moderate data, strict for noisy data.  ``gate_of(figures, limits)`` gives the
+    first stage; ``features(diversity_weight)`` may give (features, columns) of the second."""
     from .selection import two_stage as choose
 
-    kind = regime.first()["regime"]  # one row
-    limits = {"low_noise": Limits(spike_rate=0.05, disc_rate=0.15), "high_noise": Limits(spike_rate=0.20, disc_rate=0.40)}.get(kind, Limits())
+    limits, weight = regime_limits(regime.first()["regime"])  # one row
+    if features is not None:
+        two_stage["features"], two_stage["cols"] = features(weight)
     return choose(gate_of(figures, limits), fraction, **two_stage)
 
 

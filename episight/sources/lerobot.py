@@ -59,7 +59,7 @@ ALIASES = {
 }
 PREFIXES = (("images.", "camera_"), ("image.", "camera_"), ("obs/", ""), ("robot0_", ""))
 
-#: Parts of column names that mean a canonical column, in this order.
+#: The kinematic observations of which a state vector is put together, in this order.
 KINEMATIC_KEYS = ("joint_pos", "joint_vel", "eef_pos", "eef_quat", "gripper_qpos")
 
 
