@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
 
-#: Features are collected for the greedy choice only up to this many rows.
-MAX_EXACT = 50_000
+#: One task makes the greedy choice of up to this many rows; beyond, so many picks at most are made by a job each.
+MAX_EXACT, MAX_JOBS = 50_000, 256
 
 
 def keep_count(n: int, fraction: float) -> int:
@@ -46,51 +46,63 @@ def greedy_cover(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
-def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_exact: int = MAX_EXACT) -> DataFrame:
-    """(key, rank): ``k`` rows that cover the features, approximately.
+def merge_levels(n: int, k: int, part: int) -> int:
+    """How often parts are reduced before the last choice."""
+    levels = 0
+    while n > part:
+        parts = -(-n // part)
+        if 2 * parts * k > n:
+            raise ValueError("with more picks than half a part has rows, parts don't get smaller")
+        n, levels = parts * k, levels + 1
+    return levels
 
-    Up to ``max_exact`` rows the choice is that of ``k_center_exact``; beyond, each of
-    many hashed parts chooses its own candidates and the choice is made among
-    those, part by part until they are few enough.  A part gives fewer than
-    ``k`` candidates, so the radius has no proven bound.  Where ``k`` is so large that
-    candidates aren't fewer, each part chooses its share of the picks and ranks are places in a part.
+
+def k_center(features: DataFrame, cols: list[str], k: int, key: str = "ep", part: int = 4096) -> DataFrame:
+    """(key, rank): ``k`` rows that cover the features, with a proven radius.
+
+    A merge tree of composable core-sets: rows lie in hashed parts, each part
+    keeps the ``k`` that cover it greedily, the kept ones lie in new parts, and so on until one
+    part is left, which makes the choice.  With L levels (``merge_levels``) no row
+    is farther from a pick than 2 (L + 1) times the best possible radius, however
+    rows fall into parts: each level moves a row's stand-in by twice that radius at most, and so does
+    the last choice.  Parts have max(``part``, 4 k) rows, a task's memory; nothing comes to the driver.
+
+    A ``k`` of more than an eighth of all rows can't be composed so: then each part
+    gives its share of the picks, which has no such bound.
     """
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    n = df.count()
+    n, k = df.count(), max(k, 0)
 
     def chosen(df: DataFrame, parts: int, each: int) -> DataFrame:
         def pick(pdf):
-            pdf = pdf.sort_values("k")
+            pdf = pdf.sort_values("k", kind="stable")
             got = pdf.iloc[greedy_cover(np.array(pdf["x"].tolist()), each)][["k", "x"]]
             return got.assign(rank=np.arange(len(got), dtype=np.int32))
 
         return df.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts))).applyInPandas(pick, "k long, x array<double>, rank int")
 
-    while n > max_exact:
-        parts = -(-n // min(2000, max_exact))
-        each = k // parts + 16
-        if each * parts > n // 2:
-            own = cut_lineage(chosen(df, parts, -(-k // parts)))
-            return own.orderBy("rank", "k").limit(k).select(F.col("k").alias(key), "rank")
-        df = cut_lineage(chosen(df, parts, each).select("k", "x"))
+    part = max(part, 4 * k)
+    if n > part and 8 * k > n:
+        parts = -(-n // part)
+        own = cut_lineage(chosen(df, parts, -(-k // parts)))
+        return own.orderBy("rank", "k").limit(k).select(F.col("k").alias(key), "rank")
+    while n > part:
+        df = cut_lineage(chosen(df, -(-n // part), k).select("k", "x"))
         n = df.count()
-    rows = sorted(df.collect())  # at most ``max_exact``
-    got = greedy_cover(np.array([r.x for r in rows]), k) if rows else []
-    out = [(rows[i].k, rank) for rank, i in enumerate(got)]
-    return features.sparkSession.createDataFrame(out, f"{key} long, rank int")
+    return chosen(df, 1, k).select(F.col("k").alias(key), "rank")
 
 
 def k_center_exact(features: DataFrame, cols: list[str], k: int, key: str = "ep", max_exact: int = MAX_EXACT, cut: int = 8) -> DataFrame:
     """(key, rank): ``k`` rows that cover the features, as ``greedy_cover``
     chooses them at any size.
 
-    Up to ``max_exact`` rows they come to the driver; beyond, each pick is one
+    Up to ``max_exact`` rows one task chooses; beyond, each pick is one
     distributed argmax over a table of running distances, which is written
-    anew every ``cut`` picks.  Only the picked rows come to the driver.
+    anew every ``cut`` picks.  Only the picked rows come to the driver.  That is for few picks: ``MAX_JOBS``.
     """
     df = features.select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     n = df.count()
-    if n <= max_exact:
+    if n <= max_exact:  # one part, so the choice is exact
         return k_center(features, cols, k, key, max_exact)
     centre = np.array(df.agg(*[F.avg(F.col("x")[i]) for i in range(len(cols))]).first())
     # the table holds each row's squared distance to the nearest pick; the first argmax is by the distance to the centroid
@@ -152,7 +164,7 @@ def two_stage(gate: DataFrame, fraction: float, strategy: str = "diversity", fea
 
     Those that the gate refuses go.  Of the others ``fraction`` of all episodes
     stay (halves to even, at least one; all if there are no more), chosen by ``strategy``: "diversity" covers
-    ``features`` (ep, cols); any other name ("novelty", "influence", "world-model") takes the largest
+    ``features`` (ep, cols), exactly for up to ``MAX_EXACT`` episodes or ``MAX_JOBS`` picks and by ``k_center`` beyond; any other name ("novelty", "influence", "world-model") takes the largest
     ``scores`` (ep, score), missing ones as 0; "energy" does so after the worst tenth by ``error`` is left out.
     """
     passed = gate.where("status <> 'bad'").select("ep")
@@ -162,7 +174,8 @@ def two_stage(gate: DataFrame, fraction: float, strategy: str = "diversity", fea
         kept = passed
     elif strategy == "diversity":
         own = features.join(passed, "ep", "left_semi")
-        kept = (k_center_exact if exact else k_center)(own, cols, k).select("ep")
+        few = exact and (n_pass <= MAX_EXACT or k <= MAX_JOBS)  # else the merge tree, with its bound
+        kept = (k_center_exact if few else k_center)(own, cols, k).select("ep")
     else:
         own = passed.join(scores, "ep", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         kept = (calm_top_k(own, "score", error, k) if strategy == "energy" else top_k(own, "score", k)).select("ep")

@@ -223,12 +223,12 @@ def corrupt_spikes(spark, d):
 
 @query
 def corrupt_delay(spark, d):
-    return shown(cure.delay(ev(spark, d).withColumn("t", F.col("t") % 1000)), digits=5)
+    return shown(cure.delay(ev(spark, d).withColumn("t", F.col("t") % 1000), 0.3), digits=5)
 
 
 @query
 def corrupt_truncate(spark, d):
-    return cure.truncate(ev(spark, d)).select("ep", "step", "a0")
+    return cure.truncate(ev(spark, d), fraction=0.3).select("ep", "step", "a0")
 
 
 @query
@@ -244,10 +244,11 @@ def transfer_ladder(spark, d):
 
     def side(s):
         rates = policies.episode_rates(s)
-        one = rates.agg(F.avg("hz_forward").alias("hz"), F.avg("n_steps").alias("mean_length"))
+        one = rates.agg(F.avg("hz_forward").alias("hz"), F.avg("n_steps").alias("mean_length"), F.lit(4).alias("n_dims"))
         return one.crossJoin(motion.whole_ldlj(s, LINE_DIMS).agg(F.avg("ldlj").alias("ldlj")))  # one row each
 
-    return policies.transfer(side(steps.where("ep % 2 = 0")), side(steps.where("ep % 2 = 1").withColumn("t", F.col("t") * 2)))
+    one, other = steps.where("ep % 2 = 0"), steps.where("ep % 2 = 1").withColumn("t", F.col("t") * 2)
+    return policies.transfer(side(one), side(other), policies.range_covered(one, other, LINE_DIMS, LINE_DIMS))
 
 
 def _surprise(spark, d):
@@ -567,16 +568,6 @@ def vector_transitions(spark, d):
     return shown(dynamics.transition_errors(following(spark, d), ("s2", "s3"), ("a2", "a3")), digits=5)
 
 
-@query
-def dataset_gap(spark, d):
-    """How far two halves are from each other: mean divergence and overlap over their dimensions, and an index of both."""
-    from .catalog import _halves
-
-    kl = compare.kl_marginals(*_halves(spark, d), LINE_DIMS).agg(F.avg("kl").alias("kl"))
-    both = kl.crossJoin(compare.coverage_overlap(*_halves(spark, d), LINE_DIMS).agg(F.avg("overlap").alias("overlap")))  # one row each
-    return shown(compare.alignment(both))
-
-
 def _report(spark, d):
     return report.flags(ev(spark, d), ("a0",), ("s0",))
 

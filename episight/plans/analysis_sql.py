@@ -127,6 +127,11 @@ lg as (select ep, case when any_value(n) >= 3 and count(v) = count(*) then min_b
 U = lambda key: f"((('0x' || substr(md5({key}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)"
 
 
+def some(what: str, fraction: float = 0.3) -> str:
+    """chosen (ep): so many episodes by a hash."""
+    return f"""pick as (select ep, row_number() over (order by md5(ep || '|42|{what}'), ep) as place, count(*) over () as n from (select distinct ep from ev)), chosen as (select ep from pick where place <= greatest(1, floor(n * {fraction})))"""
+
+
 def savgol() -> str:
     from ..operators.cure import polynomial_weights
 
@@ -257,15 +262,22 @@ select ep, """ + ", ".join(f"round(case when max({c}) over () > min({c}) over ()
     "cure_smooth": f"with {EV}, l as (select ep, list(a0 order by step) as vs, count(*) as n from ev group by ep), x as (select ev.ep, step, a0 as v, vs, n from ev join l using (ep)) select ep, step, round({savgol()}, 5) + 0.0 as value from x",
     "corrupt_jitter": f"""with {EV}, n as (select ep, step, (t - 1000 * floor(t / 1000)) + 0.02 * sqrt(-2 * ln({U("ep || '|' || step || '|42|u'")})) * cos(2 * pi() * {U("ep || '|' || step || '|42|v'")}) as t from ev)
 select ep, row_number() over (partition by ep order by t, step) - 1 as step, round(t, 5) + 0.0 as t from n""",
-    "corrupt_spikes": f"""with {EV}, a as (select ep, step, a0, count(*) over (partition by ep) as n, floor(count(*) over (partition by ep) / 2)::bigint as h from ev),
-b as (select *, row_number() over (partition by ep, step < h order by md5(ep || '|' || step || '|42'), step) as place from a),
-p as (select ep, step as i, step + h as j from b where n >= 4 and step < h and place <= least(greatest(1, floor(n * 0.1)), floor(n / 4)))
-select a.ep, a.step, coalesce(x.a0, y.a0, a.a0) as value from a left join p p1 on p1.ep = a.ep and p1.i = a.step left join a x on x.ep = a.ep and x.step = p1.j left join p p2 on p2.ep = a.ep and p2.j = a.step left join a y on y.ep = a.ep and y.step = p2.i""",
-    "corrupt_delay": f"with {EV} select ep, step, round((t - 1000 * floor(t / 1000)) + 0.05 + 0.15 * {U("ep || '|42|delay'")}, 5) + 0.0 as t from ev",
-    "corrupt_truncate": f"with {EV}, n as (select *, count(*) over (partition by ep) as n from ev) select ep, step, a0 from n where step < greatest(2, floor(n * 0.8))",
-    "transfer_ladder": f"""with {LI}, {RATES}, {LDLJ_LI}, s as (select ep % 2 as side, avg(hzf) as hz, avg(n_steps) as len from rt group by 1), l as (select ep % 2 as side, avg(ldlj) as ldlj from lj group by 1),
+    "corrupt_spikes": f"""with recursive {EV}, x as (select ep, step, a0, count(*) over (partition by ep) as n from ev),
+c as (select *, row_number() over (partition by ep order by md5(ep || '|' || step || '|42'), step) as place, greatest(2, n // 10) as gap from x where n >= 4 and step between 1 and n - 2),
+k as (select *, greatest(0, step - gap) as l, greatest(0, n - 1 - step - gap) as r from c where place <= least(greatest(1, floor(n * 0.1)), n // 4)),
+d as (select *, floor({U("ep || '|' || step || '|42|partner'")} * (l + r))::bigint as u from k where l + r > 0),
+sw as (select ep, row_number() over (partition by ep order by place) as q, step as i, case when u < l then u else step + gap + 1 + u - l end as j from d),
+st as (select ep, 0::bigint as q, list(step order by step) as l from x group by ep union all
+  select s.ep, s.q + 1, list_transform(s.l, lambda y, p: case when p = w.i + 1 then s.l[w.j + 1] when p = w.j + 1 then s.l[w.i + 1] else y end) from st s join sw w on w.ep = s.ep and w.q = s.q + 1),
+fin as (select ep, arg_max(l, q) as l from st group by ep)
+select x.ep, x.step, y.a0 as value from x join fin f on f.ep = x.ep join x y on y.ep = x.ep and y.step = f.l[x.step + 1]""",
+    "corrupt_delay": f"""with {EV}, {some("late")} select e.ep, step, round((t - 1000 * floor(t / 1000)) + case when c.ep is null then 0 else 0.05 + 0.15 * {U("e.ep || '|42|delay'")} end, 5) + 0.0 as t from ev e left join chosen c on c.ep = e.ep""",
+    "corrupt_truncate": f"""with {EV}, {some("short")}, n as (select *, count(*) over (partition by ep) as n from ev) select n.ep, step, a0 from n left join chosen c on c.ep = n.ep where c.ep is null or step < greatest(2, floor(n * 0.8))""",
+    "transfer_ladder": f"""with {LI}, {LONG}, {RATES}, {LDLJ_LI}, s as (select ep % 2 as side, avg(hzf) as hz, avg(n_steps) as len from rt group by 1), l as (select ep % 2 as side, avg(ldlj) as ldlj from lj group by 1),
 z as (select a.hz as ah, b.hz / 2 as bh, a.len as al, b.len as bl, c.ldlj as ax, d.ldlj as bx from s a, s b, l c, l d where a.side = 0 and b.side = 1 and c.side = 0 and d.side = 1),
-q as (select 'frequency' as aspect, greatest(ah, bh) / greatest(least(ah, bh), 0.1) as v, 1.5 as lo, 3 as hi from z union all select 'smoothness', abs(ax - bx), 3, 8 from z union all select 'episode_length', greatest(al, bl) / greatest(least(al, bl), 1), 2, 5 from z),
+ra as (select dim, min(case when ep % 2 = 0 then value end) as sl, max(case when ep % 2 = 0 then value end) as sh, min(case when ep % 2 = 1 then value end) as tl, max(case when ep % 2 = 1 then value end) as th from lw group by dim),
+rc as (select coalesce(avg(greatest(0, least(th, sh) - greatest(tl, sl)) / (th - tl)) filter (th > tl), 0) as c from ra),
+q as (select 'frequency' as aspect, greatest(ah, bh) / greatest(least(ah, bh), 0.1) as v, 1.5 as lo, 3 as hi from z union all select 'smoothness', abs(ax - bx), 3, 8 from z union all select 'episode_length', greatest(al, bl) / greatest(least(al, bl), 1), 2, 5 from z union all select 'action_dims', 0, 1, 2 union all select 'action_range', -c, -0.7999999999, -0.4999999999 from rc),
 k as (select aspect, case when v is null then 1 when v < lo then 0 when v < hi then 1 else 2 end as g from q), u as (select * from k union all select 'overall', max(g) from k)
 select aspect, case g when 0 then 'DIRECT' when 1 then 'ADAPT' else 'DIFFICULT' end as level from u""",
     "linear_surprise": f"with {EV}, {surprise()} select ep, {r('surprise')} from su",
@@ -339,7 +351,7 @@ union all select 'duplicate_frame_rate', round(d, 6) + 0.0, case when d >= 0.15
     "camera_mismatch": f"""with {transit(2.0, 5e-4)}, {EGO}, c as (select ['observation.images.wrist_cam', 'camera_top', 'images.laptop'][ep % 3 + 1] as camera, r from eg where r is not null),
 g as (select camera, median(r) as m, case when camera like '%wrist%' then 'moving' when camera = 'camera_top' then 'static' else 'unknown' end as declared from c group by camera having count(*) >= 3),
 e as (select max(m) filter (declared = 'static') as ts, min(m) filter (declared = 'moving') as lm from g)
-select camera, declared, round(m, 6) + 0.0 as median_r, case when coalesce(ts > lm + 0.1 and ((declared = 'static' and m = ts) or (declared = 'moving' and m = lm)), false) or (declared = 'static' and m >= 0.5) or (declared = 'moving' and m <= 0.15) then 'WARNING' else 'OK' end as level from g, e""",
+select camera, declared, round(m, 6) + 0.0 as median_r, case when coalesce(ts > lm + 0.1 and ((declared = 'static' and m = ts) or (declared = 'moving' and m = lm)), false) or (declared = 'static' and m >= 0.5) then 'WARNING' when (declared = 'unknown' and m >= 0.5) or (declared = 'moving' and m <= 0.15) then 'INFO' else 'OK' end as level from g, e""",
     "visual_lag": f"with {transit(2.0, 5e-4)}, {LAGS} select ep, lag from lg",
     "physics_drift": f"with {transit(2.0, 5e-4)}, {LAGS}, g as (select trunc(median(lag))::bigint as drift from lg) select drift, case when abs(drift) >= 5 then 'CRITICAL' when abs(drift) >= 2 then 'WARNING' when drift is not null then 'OK' else 'INFO' end as level from g",
     "episode_digests": f"with {EV} select ep, substr(sha256(string_agg(printf('%.6f', t) || ',' || printf('%.6f', a0), ';' order by step)), 1, 16) as digest from ev group by ep",
@@ -361,9 +373,6 @@ select key, case key when 'images.top' then 'camera_top' when 'robot0_eef_pos' t
     "rows_by_offsets": """with m as (select max(event_id) as n from events), e as (select id as ep, floor((n + 1) * id * id / 121.0)::bigint as hi, floor((n + 1) * (id - 1) * (id - 1) / 121.0)::bigint as lo from m, range(1, 12) q(id))
 select ep, count(*) as n, max(event_id - lo) as last, round(sum(value), 3) as total from events join e on event_id >= lo and event_id < hi group by ep""",
     "kept_renumbered": "with n as (select distinct l_suppkey as k from lineitem where l_suppkey % 3 <> 0), o as (select k, row_number() over (order by k) - 1 as i from n) select i as episode_index, s_name from o join supplier on s_suppkey = k",
-    "dataset_gap": f"""with {HALVES}, {binned(50)}, p as (select dim, na / sum(na) over (partition by dim) + 1e-10 as p, nb / sum(nb) over (partition by dim) + 1e-10 as q from hb), k as (select avg(kl) as kl from (select dim, sum(p * ln(p / q)) as kl from p group by dim)),
-ob as (select dim, case when hi > lo then least(floor((value - lo) / ((hi - lo) / 20)), 19) else 0 end as bin, sum(a::int) as na, sum((not a)::int) as nb from hr group by all), o as (select avg(o) as overlap from (select dim, avg((na > 0)::int) as o from ob where nb > 0 group by dim)),
-g as (select kl, overlap, 50 * exp(-kl) + 50 * overlap as index from k, o) select round(kl, 6) + 0.0 as kl, round(overlap, 6) + 0.0 as overlap, round(index, 6) + 0.0 as index, case when index >= 80 then 'ALIGNED' when index >= 50 then 'PARTIAL' else 'APART' end as level from g""",
     "full_report": f"with {REPORT} select metric, round(value, 5) + 0.0 as value, level from rep",
     "findings": f"""with {REPORT} select metric, round(value, 5) + 0.0 as value, level, case when metric like 'timestamp%' or metric like '%dropout%' then 'temporal_integrity' when metric in ('ldlj', 'jerk_spike_rate', 'velocity_discontinuity_rate', 'action_state_divergence') then 'motion_quality' when metric = 'action_entropy' then 'behavioral_coverage' else 'task_integrity' end as dimension,
   metric not in ('ldlj', 'action_state_divergence', 'action_entropy', 'episode_length_distribution') as integrity, case when level = 'WARNING' then 'inspect' when metric in ('jerk_spike_rate', 'velocity_discontinuity_rate') then 'inspect' else 'block' end as action from rep where level <> 'OK'""",

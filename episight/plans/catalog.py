@@ -507,7 +507,7 @@ def dataset_comparison(spark, d):
 @query
 def approx_coreset(spark, d):
     v, cols = _vectors(spark, d)
-    return selection.k_center(v, cols, 20, max_exact=200)
+    return selection.k_center(v, cols, 20, part=200)
 
 
 def _knn(spark, d):
@@ -522,4 +522,4 @@ def embedding_outliers(spark, d):
     return shown(stats.mad_outliers(m), digits=4)
 
 
-from . import analysis  # noqa: E402, F401  (it registers its queries and builds on the ones above)
+from . import analysis, extended  # noqa: E402, F401  (they register their queries and build on the ones above)

@@ -378,3 +378,7 @@ select ep, step from x where place <= greatest(2, floor(n * (1.0 - 0.2)))""",
 from .analysis_sql import SQL as _MORE  # noqa: E402  (it is built from the parts above)
 
 SQL |= _MORE
+
+from .extended_sql import SQL as _FURTHER  # noqa: E402
+
+SQL |= _FURTHER

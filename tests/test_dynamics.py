@@ -57,7 +57,7 @@ def test_composed_core_set_covers_nearly_as_well(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.05, (150, 2)) for c in ((0, 0), (9, 0), (0, 9), (9, 9))])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "ep long, x double, y double")
-    picked = [r.ep for r in selection.k_center(df, ["x", "y"], 4, max_exact=100).collect()]
+    picked = [r.ep for r in selection.k_center(df, ["x", "y"], 4, part=100).collect()]
     assert {p // 150 for p in picked} == {0, 1, 2, 3}
 
 
@@ -67,4 +67,25 @@ def test_k_center_is_exact_beyond_the_driver(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "ep long, x double, y double, z double").repartition(5)
     got = [r.ep for r in selection.k_center_exact(df, ["x", "y", "z"], 45, max_exact=100).orderBy("rank").collect()]
     assert got == selection.greedy_cover(x, 45)
-    assert [r.ep for r in selection.k_center(df, ["x", "y", "z"], 45, max_exact=100).orderBy("rank").collect()] != got
+    assert [r.ep for r in selection.k_center(df, ["x", "y", "z"], 45, part=100).orderBy("rank").collect()] != got
+
+
+@pytest.mark.parametrize("part, partitions", [(64, 1), (64, 5), (250, 3)])
+def test_merge_tree_keeps_its_radius(spark, part, partitions):
+    """Planted balls of radius 1 around far centres: the best radius for as many picks is at most 1."""
+    rng = np.random.default_rng(part)
+    k = 12
+    centre = rng.normal(size=(k, 3)) * 100
+    own = rng.integers(0, k, 3000)
+    own[: k] = np.arange(k)
+    off = rng.normal(size=(3000, 3))
+    x = centre[own] + off / np.linalg.norm(off, axis=1, keepdims=True) * rng.random((3000, 1))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "ep long, a double, b double, c double").repartition(partitions)
+    got = [r.ep for r in selection.k_center(df, ["a", "b", "c"], k, part=part).orderBy("rank").collect()]
+    radius = np.sqrt(((x[:, None] - x[got][None]) ** 2).sum(2)).min(1).max()
+    levels = selection.merge_levels(3000, k, part)
+    assert levels >= 1 and len(set(got)) == k
+    assert radius <= 2 * (levels + 1)
+    assert {own[i] for i in got} == set(range(k))  # far balls can't share a pick within that radius
+    with pytest.raises(ValueError):
+        selection.merge_levels(3000, 40, 64)
