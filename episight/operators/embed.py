@@ -99,3 +99,69 @@ def mean_nearest(points: DataFrame, cols: list[str], key: str = "ep", most: int
 
     d = hashed_sample(points, key, most, seed).select(F.col(key).alias("ep"), *cols)
     return nearest(d, d, cols, exclude_self=True).agg(F.coalesce(F.avg("distance") * float(np.sqrt(len(cols))), F.lit(0.0)).alias("distance"))
+
+
+# --- latent vectors of episodes -----------------------------------------------
+
+
+def proprio_latents(steps: DataFrame, states: tuple[str, ...]) -> DataFrame:
+    """(ep, latent): means, then deviations of the states of each episode."""
+    return steps.groupBy("ep").agg(F.array(*[F.avg(c) for c in states], *[F.stddev_pop(c) for c in states]).alias("latent"))
+
+
+def visual_latents(frames: DataFrame, channels: int = 1) -> DataFrame:
+    """(ep, latent) of (ep, step, pixels: array<double>, channels interleaved): for
+    each channel the mean over frames of a frame's mean, then of its deviation, then the deviation of that."""
+    own = lambda c: F.filter("pixels", lambda _, i: i % channels == c) if channels > 1 else F.col("pixels")
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x)
+    d = frames.select("ep", *[own(c).alias(f"c{c}") for c in range(channels)])
+    d = d.select("ep", *[mean(F.col(f"c{c}")).alias(f"m{c}") for c in range(channels)], *[F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(f"c{c}", lambda y: y * y)) - mean(F.col(f"c{c}")) ** 2)).alias(f"s{c}") for c in range(channels)])
+    parts = [*[F.avg(f"m{c}") for c in range(channels)], *[F.avg(f"s{c}") for c in range(channels)], *[F.stddev_pop(f"s{c}") for c in range(channels)]]
+    return d.groupBy("ep").agg(F.array(*parts).alias("latent"))
+
+
+def singular_directions(vectors: DataFrame, column: str, k: int, extra: int = 8, rounds: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mean, the first ``k`` singular values of the centred vectors and their
+    directions (rows), by randomised subspace iteration.
+
+    Each round is one pass: a task multiplies its block of rows with the current
+    directions and back, and the blocks' products, of the vectors' width times k + extra, are summed.  So
+    wide vectors never make a square matrix of their width.
+    """
+    import pyarrow as pa
+
+    size = vectors.select(F.size(column).alias("d")).first().d
+    width = min(size, k + extra)
+
+    def summed(work, n: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros(n)
+            for b in batches:
+                if b.num_rows:
+                    total += work(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["i", "x"])
+
+        got = vectors.select(column).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(n)
+        for r in got:
+            out[r.i] = r.x
+        return out
+
+    first = summed(lambda x: np.append(x.sum(0), len(x)), size + 1)
+    mean = first[:size] / max(first[size], 1.0)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(summed(lambda x, q=q: ((x - mean).T @ ((x - mean) @ q)).ravel(), size * width).reshape(size, width))[0]
+    small = summed(lambda x: (((x - mean) @ q).T @ ((x - mean) @ q)).ravel(), width * width).reshape(width, width)
+    values, turn = np.linalg.eigh(small)
+    order = np.argsort(-values)[:k]
+    directions = (q @ turn[:, order]).T
+    directions *= np.sign(directions[np.arange(len(directions)), np.abs(directions).argmax(1)])[:, None]
+    return mean, np.sqrt(np.maximum(values[order], 0)), directions
+
+
+def reduced(vectors: DataFrame, column: str, k: int, key: str = "ep") -> DataFrame:
+    """(key, component, value): the vectors on their first ``k`` singular directions."""
+    mean, _, directions = singular_directions(vectors, column, k)
+    dot = lambda row: sum(((F.col(column)[i].cast("double") - float(m)) * float(x) for i, (m, x) in enumerate(zip(mean, row))), F.lit(0.0))
+    return vectors.select(key, F.posexplode(F.array(*[dot(r) for r in directions])).alias("component", "value"))

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage, shared_dir
-from ..operators import embed, evidence, gap, gates, latent, report, scoring
-from ..sources import episode_source
+from ..operators import audit, embed, evidence, gap, gates, latent, report, scoring
+from ..sources import capabilities, episode_source, video
 from ..sources.episodes import table
 from ..streaming import session
 from .analysis import following
@@ -148,3 +148,84 @@ def active_claims(spark, d):
 def study_status(spark, d):
     """Of each customer's orders as conditions, measured unless pending: validated, partial or simulated over all."""
     return evidence.study_status(table(spark, d, "orders").select((F.col("o_orderstatus") != "P").alias("measured")))
+
+
+def observed(spark, d):
+    """Events with observations under names that differ by data set, some of them missing in some episodes."""
+    e = ev(spark, d).withColumn("dataset", F.col("ep") % 4)
+    one, two = F.array("s0"), F.array("s0", "a0")
+    kinds = [
+        F.create_map(F.lit("proprio"), two, F.lit("state"), F.array("a0")),
+        F.when(F.col("ep") % 3 != 0, F.create_map(F.lit("qpos"), F.array("a0"), F.lit("joint_state"), one, F.lit("joint_position"), one)).otherwise(F.create_map(F.lit("qpos"), F.array("a0"))),
+        F.create_map(F.lit("obs"), one),
+        F.create_map(F.lit("force"), one),
+    ]
+    obs = F.when(F.col("dataset") == 0, kinds[0]).when(F.col("dataset") == 1, kinds[1]).when(F.col("dataset") == 2, kinds[2]).otherwise(kinds[3])
+    return e.select("dataset", "ep", "step", F.array("a0").alias("action"), obs.alias("obs"))
+
+
+@query
+def resolved_state(spark, d):
+    s = capabilities.with_state(observed(spark, d))
+    return shown(s.groupBy("dataset", "state_key").agg(F.count("state").alias("n"), F.sum(F.get("state", F.lit(0))).alias("total")), digits=3)
+
+
+@query
+def shaped_state(spark, d):
+    return capabilities.shaped_state_keys(observed(spark, d))
+
+
+@query
+def first_camera(spark, d):
+    k = (F.col("vec_id") % 4).cast("int")
+    frames = table(spark, d, "embeddings").select(
+        F.col("label").cast("long").alias("ep"), F.element_at(F.array(*map(F.lit, ("force", "rgb_static", "wrist_image", "depth"))), k + 1).alias("camera"), k.alias("place"), "vec_id",
+        F.when((k == 1) & (F.col("label") % 3 == 0), 2).otherwise(3 + F.col("label") % 2).alias("n_dims"),
+    )
+    return capabilities.first_cameras(frames)
+
+
+@query
+def video_span_problems(spark, d):
+    """Lines as spans in files shared by an order: overlaps, gaps and lengths that don't fit."""
+    begin = F.col("l_linenumber") * 2 - F.col("l_discount") * 20
+    end = begin + F.col("l_quantity") / 25 + F.when(F.col("l_tax") > 0.065, 0.5).otherwise(0.0)
+    meta = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("episode_index"), F.col("l_quantity").alias("length"), F.floor(F.col("l_orderkey") / 1000).alias("videos/top/chunk_index"),
+        F.col("l_orderkey").alias("videos/top/file_index"), begin.alias("videos/top/from_timestamp"), end.alias("videos/top/to_timestamp"),
+    )
+    spans = video.shared_files(meta, ["top", "wrist"], "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4")
+    return shown(video.span_problems(spans, 25.0))
+
+
+@query
+def video_files(spark, d):
+    lengths = li(spark, d).groupBy(F.col("ep").alias("episode_index")).agg(F.count("*").alias("length"))
+    spans = video.one_file_an_episode(lengths, ["top", "wrist"], "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4", chunk=10)
+    return spans.select("ep", "camera", "path", "length")
+
+
+@query
+def proprio_latents(spark, d):
+    return shown(embed.proprio_latents(li(spark, d), ("a0", "a2")).select("ep", F.posexplode("latent").alias("i", "value")))
+
+
+@query
+def visual_latents(spark, d):
+    from .analysis import camera
+
+    return shown(embed.visual_latents(camera(spark, d).select("ep", "step", F.transform("pixels", lambda x: x.cast("double")).alias("pixels"))).select("ep", F.posexplode("latent").alias("i", "value")))
+
+
+@query
+def reduced_vectors(spark, d):
+    """Vectors on their first three singular directions, by randomised iteration."""
+    return shown(embed.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("ep"), "embedding"), "embedding", 3), digits=4)
+
+
+@query
+def bulk_audit(spark, d):
+    """Five data sets of events in one plan; one of them has been audited."""
+    steps = ev(spark, d).withColumns({"dataset": F.concat(F.lit("d"), F.col("ep") % 5), "revision": F.lit("r1")})
+    done = spark.createDataFrame([("d3", "r1"), ("d2", "r0")], "dataset string, revision string")
+    return shown(audit.audit(steps, ("a0",), done))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .analysis_sql import FOLLOW
+from .analysis_sql import CAMERA, FOLLOW
 from .oracles import EV, FIGURES, LI, SUMMARY
 
 
@@ -91,4 +91,22 @@ select g.ep, case when reasons <> '' then 'quality_fail' when place <= k then 'k
 select claim_id, coalesce(n, 0) as n_evidence, coalesce(s, 0) as n_supporting, case when coalesce(s, 0) = 0 then 'NOT VALIDATED' when s = 1 then 'LOW-MODERATE' when s <= 4 then 'MODERATE' when s <= 9 then 'HIGH' else 'STRONG' end as confidence from cl left join e using (claim_id)""",
     "active_claims": f"with {CLAIMS} select claim_id, metric, class, status, class = '1-URGENT' as specific from cl where metric = 'velocity_discontinuity_rate' and status in ('active_hypothesis', 'validated', 'provisional') and class in ('1-URGENT', 'any')",
     "study_status": "select case when bool_and(o_orderstatus <> 'P') then 'validated' when bool_or(o_orderstatus <> 'P') then 'partial' else 'simulated' end as status from orders",
+    "resolved_state": f"""with {EV} select ep % 4 as dataset, case ep % 4 when 0 then 'proprio' when 1 then 'joint_state' when 2 then 'obs' end as state_key,
+  count(*) filter (ep % 4 in (0, 2) or (ep % 4 = 1 and ep % 3 <> 0)) as n, round(sum(s0) filter (ep % 4 in (0, 2) or (ep % 4 = 1 and ep % 3 <> 0)), 3) + 0.0 as total from ev group by 1, 2""",
+    "shaped_state": f"with {EV} select distinct ep, case when ep % 4 = 0 then 'state' when ep % 4 = 1 and ep % 3 <> 0 then 'joint_position' end as state_key from ev",
+    "first_camera": """with f as (select label::bigint as ep, vec_id % 4 as k, case when vec_id % 4 = 1 and label % 3 = 0 then 2 else 3 + label % 2 end as dims from embeddings), g as (select ep, k, count(*) as n, max(dims) as dims from f where k > 0 group by ep, k)
+select ep, ['rgb_static', 'wrist_image', 'depth'][min(k)] as camera from g where n >= 2 and dims in (3, 4) group by ep""",
+    "video_span_problems": """with s as (select l_orderkey * 8 + l_linenumber as ep, printf('videos/top/chunk-%03d/file-%03d.mp4', l_orderkey // 1000, l_orderkey) as path, l_linenumber * 2 - l_discount * 20 as b, l_linenumber * 2 - l_discount * 20 + l_quantity / 25 + case when l_tax > 0.065 then 0.5 else 0 end as e, l_quantity as n from lineitem),
+w as (select *, max(e) over (partition by path order by b, e, ep rows between unbounded preceding and 1 preceding) as r from s),
+p as (select ep, path, 'empty' as problem, b - e as seconds from w where e <= b union all select ep, path, 'overlap', r - b from w where b - r < -0.04 union all select ep, path, 'gap', b - r from w where b - r > 0.04 union all select ep, path, 'length', abs(e - b - n / 25) from w where abs(e - b - n / 25) > 0.04)
+select ep, 'top' as camera, path, problem, round(seconds, 6) + 0.0 as seconds from p""",
+    "video_files": f"""with {LI}, n as (select ep, count(*) as length from li group by ep) select ep, camera, printf('videos/chunk-%03d/%s/episode_%06d.mp4', ep // 10, camera, ep) as path, length from n, (values ('top'), ('wrist')) c(camera)""",
+    "proprio_latents": f"with {LI}, g as (select ep, [avg(a0), avg(a2), stddev_pop(a0), stddev_pop(a2)] as l from li group by ep) select ep, i::int as i, round(l[i + 1], 6) + 0.0 as value from g, range(0, 4) t(i)",
+    "visual_latents": f"""with {CAMERA}, f as (select ep, list_avg(px) as m, list_aggregate(px, 'stddev_pop') as s from cam), g as (select ep, [avg(m), avg(s), stddev_pop(s)] as l from f group by ep) select ep, i::int as i, round(l[i + 1], 6) + 0.0 as value from g, range(0, 3) t(i)""",
+    "bulk_audit": f"""with {FIGURES}, f as (select 'd' || (ep % 5) as dataset, * from figures join (select ep, non_monotonic as bad from timing) using (ep) where ep % 5 <> 3),
+g as (select dataset, count(*) as n_episodes, avg(jitter_cv) as j, avg(dropout) as o, avg(spike_rate) as s, avg(disc_rate) as d, avg(ldlj) as l, bool_or(bad) as bad from f group by dataset),
+m as (select dataset, j as v, j >= 0.30 as c, j >= 0.15 as w from g union all select dataset, o, o >= 0.05, o >= 0.01 from g union all select dataset, s, s >= 0.05, s >= 0.02 from g union all select dataset, d, d >= 0.05, d >= 0.02 from g
+  union all select dataset, l, l <= -15, l <= -10 from g union all select dataset, bad::int, bad, false from g),
+q as (select dataset, 100 * avg(case when c then 0 when w then 0.5 else 1 end) as score, count(*) filter (c) as n_critical, count(*) filter (w and not c) as n_warning from m where v is not null group by dataset)
+select row_number() over (order by round(score, 6) desc, dataset) as rank, dataset, 'r1' as revision, n_episodes, round(score, 6) + 0.0 as score, n_critical, n_warning, case when score >= 90 then 'pass' when score >= 70 then 'review' else 'fail' end as verdict from q join g using (dataset)""",
 }
