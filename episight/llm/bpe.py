@@ -28,6 +28,8 @@ from .common import beside, per_batch, texts
 WINDOW = 16
 SPACE = b" \t\n\r\x0b\x0c"
 BLANK = bytes.maketrans(SPACE, b" " * len(SPACE))
+#: Takes Unicode's white space away, as the tokenizers library knows it.
+NO_SPACE = dict.fromkeys([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: One pseudo-random number for each byte, from a fixed seed: any numbers do, they only place the cuts.
 GEAR = np.random.default_rng(1).integers(0, 2**32, 256, dtype=np.uint32)
@@ -100,15 +102,17 @@ class Codec:
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _spells(self, text: str, ids: list[int]) -> bool:
+        """Whether the tokens spell the normalised text, white space apart."""
+        normal = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
+        return normal.translate(NO_SPACE).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
+
     def _learn(self, new: set[bytes]) -> None:
         order = [w.decode("utf-8", "replace") for w in new]
-        normal = self.tok.normalizer.normalize_str if self.tok.normalizer else str
-        same = True
         for raw, w, e in zip(new, order, self.tok.encode_batch_fast(order, add_special_tokens=False)):
             ids = e.ids
-            if self.spelled:
-                back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
-                same = "".join(normal(w).split()).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
+            same = not self.spelled or self._spells(w, ids)
             self.words[raw] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), same)
 
     @property
@@ -203,8 +207,9 @@ class Codec:
         out = [joined(self.words[w] if c is None else self.chunks[c][1] for w, c in plan) for plan in plans]
         for k in self._repair(batch, joins):
             self.rejoined += 1
-            ids = self._ids(batch[k].decode("utf-8", "replace"))
-            out[k] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), False)
+            text = batch[k].decode("utf-8", "replace")
+            ids = self._ids(text)
+            out[k] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), not self.spelled or self._spells(text, ids))
         return out
 
 

@@ -1,42 +1,40 @@
-"""Token counts without token ids.
-
-A pre-token never reaches past a change from a visible character to white
-space, and what it is depends on nothing beyond the white space before and the
-visible run itself.  So a text falls into *units* (white space and the visible
-run after it) that the tokenizer treats alike wherever they stand.  Each
-distinct unit is given to the tokenizer once, and a document's count is the
-sum of its units' counts times their frequencies in it.
-
-The table of distinct units is held per task, in a dictionary of bounded size,
-and joined to the frequencies there.  A table for the whole corpus would send
-about 50 million (document, unit) rows of 0.5 GB of documents through a
-shuffle, which is more than the documents themselves.
+"""Token counts without token ids, from a table of distinct pre-tokens.
+
+Pieces never cross a pre-token, so a pre-token has the same number of them
+wherever it stands.  Pre-tokens never reach past a change from a visible
+character to white space, so texts are cut there first, into *units* (white space and
+the visible run after it), which is quick.  Then
+
+1. the distinct units of all texts are counted (in each task first),
+2. they fall into pre-tokens, and the pieces of each distinct pre-token are counted once,
+3. the sums over a unit's pre-tokens are joined back: a table of units and their tokens,
+4. documents' unit frequencies meet that table and are summed.
+
+In step 4 the most frequent units (at most ``FREQUENT``, of at most ``SHORT``
+bytes: a proven size) are broadcast and summed where the document stands; only what
+is left of a document is shuffled, as (document, unit, frequency) rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import cut_lineage, texts
 
 #: Unicode's White_Space, which is what \s means to the tokenizers library.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Units that are broadcast at most, and their bytes.
+FREQUENT, SHORT = 1_000_000, 64
 
 
-def make_counter(vocabulary: str, max_units: int = 1_000_000) -> Callable[[list[str]], list[int]]:
-    """A function from texts to their token counts.
-
-    ``vocabulary``: a file of the tokenizers library (``.json``) whose
-    pre-tokenizer is the byte-level one.  ``max_units``: the dictionary is
-    emptied when it holds more; that bounds memory, not results.
-    """
+def _tokenizer(vocabulary: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,48 +43,129 @@ def make_counter(vocabulary: str, max_units: int = 1_000_000) -> Callable[[list[
     tok = Tokenizer.from_file(vocabulary)
     tok.no_truncation()
     tok.no_padding()
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-    known: dict[str, int] = {}
-
-    def count(batch: list[str]) -> list[int]:
-        if len(known) > max_units:
-            known.clear()
-        freqs, extra = [], []
-        for text in batch:
-            parts = [text]
-            if split is not None and any(s in text for s in special):
-                parts = split.split(text)  # a special string is one token; the rest is cut there
-            extra.append(len(parts) - 1)
-            units = Counter(UNIT.findall(parts[0]))
-            for p in parts[1:]:
-                units.update(UNIT.findall(p))
-            freqs.append(units)
-        new = list(set().union(*freqs).difference(known)) if freqs else []
-        known.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False))))
-        return [x + sum(known[u] * n for u, n in f.items()) for x, f in zip(extra, freqs)]
-
-    return count
-
-
-def token_counts(
-    docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Count the tokens of every text.
-
-    Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit),
-    one row for each row of ``docs``; a map without a shuffle.  A null text
-    counts as empty (0 tokens), a null id stays null, repeated rows are counted
-    each, an empty table gives an empty result, and other columns are ignored.
-    """
+    return tok
+
+
+class Splitter:
+    """Cuts texts into units; a special string is one token and cuts the text."""
+
+    def __init__(self, vocabulary: str):
+        self.special = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()]
+        self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def __call__(self, text: str) -> tuple[int, Counter]:
+        parts = [text]
+        if self.split is not None and any(s in text for s in self.special):
+            parts = self.split.split(text)
+        units = Counter(UNIT.findall(parts[0]))
+        for p in parts[1:]:
+            units.update(UNIT.findall(p))
+        return len(parts) - 1, units
+
+
+def _rows(names: list[str], types: list[pa.DataType], values: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
+
+
+def distinct_units(docs: DataFrame, vocabulary: str, max_units: int = 400_000) -> DataFrame:
+    """(unit, n) over all texts; ``max_units`` bounds a task's table, not the result."""
 
-    def make():
-        count = make_counter(vocabulary)
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        split, counts = Splitter(vocabulary), Counter()
 
-        def work(ids: list, raw: list[bytes]) -> dict[str, list]:
-            n = count([t.decode("utf-8", "replace") for t in raw])
-            return {"doc_id": ids, "n_bytes": [len(t) for t in raw], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        def flush() -> Iterator[pa.RecordBatch]:
+            units = list(counts)
+            for at in range(0, len(units), 50_000):
+                part = units[at : at + 50_000]
+                yield _rows(["unit", "n"], [pa.string(), pa.int64()], [part, [counts[u] for u in part]])
+            counts.clear()
 
-        return work
+        for b in batches:
+            for text in b.column(0):
+                counts.update(split(text.as_py())[1])
+                if len(counts) > max_units:
+                    yield from flush()
+        yield from flush()
 
-    return per_batch(texts(docs, id_col, text_col), make, SCHEMA)
+    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def pre_tokens(units: DataFrame, vocabulary: str) -> DataFrame:
+    """(unit, piece, k) of (unit): how often each pre-token (in the vocabulary's letters) stands in a unit."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        pre, normal = _tokenizer(vocabulary).pre_tokenizer, _tokenizer(vocabulary).normalizer
+        for b in batches:
+            unit, piece, k = [], [], []
+            for u in b.column(0).to_pylist():
+                for p, n in Counter(w for w, _ in pre.pre_tokenize_str(normal.normalize_str(u) if normal else u)).items():
+                    unit.append(u)
+                    piece.append(p)
+                    k.append(n)
+            yield _rows(["unit", "piece", "k"], [pa.string(), pa.string(), pa.int64()], [unit, piece, k])
+
+    return units.select("unit").mapInArrow(run, "unit string, piece string, k long")
+
+
+def pieces(distinct: DataFrame, vocabulary: str) -> DataFrame:
+    """(piece, tokens) of (piece): each distinct pre-token is given to the model once."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        model = _tokenizer(vocabulary).model
+        for b in batches:
+            own = b.column(0).to_pylist()
+            yield _rows(["piece", "tokens"], [pa.string(), pa.int64()], [own, [len(model.tokenize(p)) for p in own]])
+
+    return distinct.select("piece").mapInArrow(run, "piece string, tokens long")
+
+
+def unit_table(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(unit, n, tokens) for each distinct unit of ``docs`` (text)."""
+    units = cut_lineage(distinct_units(docs, vocabulary))
+    parts = pre_tokens(units, vocabulary)
+    counted = pieces(parts.select("piece").distinct(), vocabulary)
+    sums = parts.join(counted, "piece").groupBy("unit").agg(F.sum(F.col("k") * F.col("tokens")).alias("tokens"))
+    return units.join(sums, "unit")
+
+
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """Count the tokens of every text as the tokenizers library does.
+
+    ``vocabulary``: a file of that library (``.json``) whose pre-tokenizer is the
+    byte-level one.  Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit
+    (n_tokens > limit), one row for each row of ``docs``.  A null text counts as empty (0
+    tokens), a null id stays null, repeated rows are counted each, an empty table
+    gives an empty result, and other columns are ignored.
+    """
+    plain = texts(docs, id_col, text_col)
+    table = cut_lineage(unit_table(plain, vocabulary))
+    common = table.where(F.octet_length("unit") <= SHORT).orderBy(F.desc("n"), "unit").limit(frequent).select("unit", "tokens").toArrow()
+    known = plain.sparkSession.sparkContext.broadcast((common.column(0).to_pylist(), common.column(1).to_pylist()))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        split, tokens = Splitter(vocabulary), dict(zip(*known.value))
+        names = ["doc_id", "n_bytes", "sure", "units", "counts", "row"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out: list[list] = [[] for _ in names]
+                for i, text, row in zip(*(c.to_pylist() for c in b.columns)):
+                    sure, units = split(text)
+                    rest = {}
+                    for u, n in units.items():
+                        t = tokens.get(u)
+                        if t is None:
+                            rest[u] = n
+                        else:
+                            sure += t * n
+                    for values, x in zip(out, (i, len(text.encode()), sure, list(rest), list(rest.values()), row)):
+                        values.append(x)
+                yield _rows(names, types, out)
+
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    met = cut_lineage(numbered.mapInArrow(run, "doc_id long, n_bytes long, sure long, units array<string>, counts array<long>, row long"))
+    rare = met.select("row", F.explode(F.arrays_zip("units", "counts")).alias("u")).select("row", F.col("u.units").alias("unit"), F.col("u.counts").alias("n"))
+    rest = rare.join(table.select("unit", "tokens"), "unit").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("rest"))
+    out = met.select("doc_id", "n_bytes", "sure", "row").join(rest, "row", "left").withColumn("n_tokens", F.col("sure") + F.coalesce("rest", F.lit(0)))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -13,7 +13,7 @@ from episight.llm import bpe, token_counts
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["<|endoftext|>", "a<|endoftext|> b", "<|startoftext|><|endoftext|>", "x y　z w", "é ́a", "İSTANBUL ΣΑΣ ſ ﬀ", "don't I'LL we've 12'3", "‍👩‍👩", " \u0085 .  ", "a" * 3000, "ab " * 2000, "\x00\x01 \x7f", "x" * 255 + " " + "y" * 257, "<|endoftext|"]
+ODD = ["\x1f", "a\x1cb \x1d", "<|endoftext|>", "a<|endoftext|> b", "<|startoftext|><|endoftext|>", "x y　z w", "é ́a", "İSTANBUL ΣΑΣ ſ ﬀ", "don't I'LL we've 12'3", "‍👩‍👩", " \u0085 .  ", "a" * 3000, "ab " * 2000, "\x00\x01 \x7f", "x" * 255 + " " + "y" * 257, "<|endoftext|"]
 
 
 def library(path):
@@ -23,6 +23,19 @@ def library(path):
     return t
 
 
+def summed(path):
+    """Counts of texts by units and their pre-tokens, without Spark."""
+    split, tok = token_counts.Splitter(path), library(path)
+
+    def count(texts):
+        out = []
+        for special, units in map(split, texts):
+            out.append(special + sum(n * len(tok.model.tokenize(p)) for u, n in units.items() for p, _ in tok.pre_tokenizer.pre_tokenize_str(u)))
+        return out
+
+    return count
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -50,7 +63,7 @@ def test_odd_texts_at_any_chunk_size(mean):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=200), max_size=5))
 def test_any_texts(texts):
-    tok, codec, count = library(WORDS), bpe.Codec(WORDS, 16, spelled=True), token_counts.make_counter(BYTES)
+    tok, codec, count = library(WORDS), bpe.Codec(WORDS, 16, spelled=True), summed(BYTES)
     wide = library(BYTES)
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
     for (n, ids, out, same), t in zip(codec.encode([t.encode() for t in texts]), texts):
@@ -69,10 +82,11 @@ def test_shared_passages_are_encoded_once():
     assert len(codec.chunks) - before < before / 4
 
 
+@pytest.mark.parametrize("frequent", [1_000_000, 50, 0])
 @pytest.mark.parametrize("which", ["documents", "edge", "empty"])
-def test_counts_equal_the_library(request, which):
+def test_counts_equal_the_library(request, which, frequent):
     docs = request.getfixturevalue(which)
-    got = token_counts.token_counts(docs, BYTES).collect()
+    got = token_counts.token_counts(docs, BYTES, frequent=frequent).collect()
     assert same_ids(got, docs)
     tok = library(BYTES)
     n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
@@ -80,8 +94,19 @@ def test_counts_equal_the_library(request, which):
     assert sorted(repr((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)) for r in got) == sorted(want)
 
 
+def test_each_unit_is_in_the_table_once(spark):
+    docs = spark.createDataFrame([("don't do 12a",), (" do <|endoftext|>don't  do",)], "text string").repartition(2)
+    rows = {r.unit: (r.n, r.tokens) for r in token_counts.unit_table(docs, BYTES).collect()}
+    tok = library(BYTES)
+    assert {u: n for u, (n, _) in rows.items()} == {"don't": 2, " do": 2, " 12a": 1, " ": 1, "  do": 1}
+    assert all(t == len(tok.encode(u).ids) for u, (_, t) in rows.items())
+    assert token_counts.distinct_units(docs, BYTES, max_units=1).orderBy("unit").collect() == token_counts.distinct_units(docs, BYTES).orderBy("unit").collect()
+    parts = token_counts.pre_tokens(docs.where("text like 'don%'").select(docs.text.alias("unit")), BYTES).collect()
+    assert {(r.piece, r.k) for r in parts} >= {("'t", 1), ("don", 1), ("a", 1)}
+
+
 def test_counts_of_odd_texts():
-    tok, count = library(BYTES), token_counts.make_counter(BYTES)
+    tok, count = library(BYTES), summed(BYTES)
     assert count(ODD) == [len(tok.encode(t, add_special_tokens=False).ids) for t in ODD]
 
 
@@ -102,7 +127,7 @@ def test_joins_agree_with_the_library_and_wrong_ones_are_encoded_whole():
     odd._learn = wrong
     got = odd.encode([text.encode()])[0]
     want = tok.encode(text, add_special_tokens=False).ids
-    assert odd.rejoined == 1 and odd.repaired > 0 and got[1] == " ".join(map(str, want))
+    assert got[3] and odd.rejoined == 1 and odd.repaired > 0 and got[1] == " ".join(map(str, want))
 
 
 def test_vocabularies_that_reach_across_white_space_are_refused(tmp_path):
