@@ -151,21 +151,27 @@ def permutation_tests(a: DataFrame, b: DataFrame, permutations: int = 199, seed:
     metric, value), and the share of random splits of both together, of the same
     sizes, with one as large; 1 if either has fewer than ``least`` values.
 
-    A split is the order of a hash of episode, set and number, so each is a
-    sort of its own, by metric and number.
+    A split is the order of a hash of episode, set and number.  Tasks add up counts
+    and sums by the hashes' first digits, so that of each split only the
+    rows are sorted whose digits are those at which it is cut, one in 256.
     """
     both = a.where("value is not null").withColumn("side", F.lit("a")).unionByName(b.where("value is not null").withColumn("side", F.lit("b")))
     is_a = F.col("side") == "a"
-    seen = both.groupBy("metric").agg(F.count(F.when(is_a, 1)).alias("na"), F.count(F.when(~is_a, 1)).alias("nb"), (F.avg(F.when(~is_a, F.col("value"))) - F.avg(F.when(is_a, F.col("value")))).alias("delta"))
+    seen = both.groupBy("metric").agg(F.count(F.when(is_a, 1)).alias("na"), F.count(F.when(~is_a, 1)).alias("nb"), F.sum("value").alias("total"), (F.avg(F.when(~is_a, F.col("value"))) - F.avg(F.when(is_a, F.col("value")))).alias("delta"))
     d = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "side", F.col("ep").cast("string")))
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("metric", "draw").orderBy(key, "ep")))
-    d = d.join(F.broadcast(seen), "metric")  # a row a metric
-    in_a = F.col("place") <= F.col("na")
-    null = d.groupBy("metric", "draw").agg((F.avg(F.when(~in_a, F.col("value"))) - F.avg(F.when(in_a, F.col("value")))).alias("x"))
-    p = null.join(F.broadcast(seen), "metric").groupBy("metric").agg(F.avg((F.abs("x") >= F.abs("delta") - 1e-12).cast("double")).alias("p"))  # a row a metric
+    d = d.select("metric", "draw", "ep", "value", key.alias("key")).withColumn("digits", F.substring("key", 1, 2))
+    bins = d.groupBy("metric", "draw", "digits").agg(F.count("*").alias("c"), F.sum("value").alias("s"))
+    w = Window.partitionBy("metric", "draw").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a split
+    bins = bins.withColumns({"c0": F.coalesce(F.sum("c").over(w), F.lit(0)), "s0": F.coalesce(F.sum("s").over(w), F.lit(0.0))}).join(F.broadcast(seen), "metric")  # a row a metric
+    cut = bins.where((F.col("c0") < F.col("na")) & (F.col("c0") + F.col("c") >= F.col("na"))).select("metric", "draw", "digits", (F.col("na") - F.col("c0")).alias("more"), "s0")
+    edge = d.join(F.broadcast(cut), ["metric", "draw", "digits"])  # a row a split
+    edge = edge.withColumn("place", F.row_number().over(Window.partitionBy("metric", "draw").orderBy("key", "ep"))).where(F.col("place") <= F.col("more"))
+    sums = edge.groupBy("metric", "draw").agg((F.first("s0") + F.sum("value")).alias("sa")).join(F.broadcast(seen), "metric")
+    null = (F.col("total") - F.col("sa")) / F.col("nb") - F.col("sa") / F.col("na")
+    p = sums.where("na > 0 and nb > 0").groupBy("metric").agg(F.avg((F.abs(null) >= F.abs("delta") - 1e-12).cast("double")).alias("p"))
     enough = (F.col("na") >= least) & (F.col("nb") >= least)
-    return seen.join(p, "metric").select("metric", F.coalesce("delta", F.lit(0.0)).alias("delta"), F.when(enough, F.col("p")).otherwise(1.0).alias("p_value"))
+    return seen.join(p, "metric", "left").select("metric", F.coalesce("delta", F.lit(0.0)).alias("delta"), F.when(enough, F.col("p")).otherwise(1.0).alias("p_value"))
 
 
 def compare_datasets(a: DataFrame, b: DataFrame, lower_better: tuple[str, ...], draws: int = 1000) -> DataFrame:

@@ -139,9 +139,11 @@ def blind_sample(items: DataFrame, top_k: int, n_controls: int, max_flagged: int
     n = d.groupBy("dataset").agg(F.sum(F.col("flagged").cast("long")).alias("n_flagged"), F.sum((~F.col("flagged")).cast("long")).alias("n_rest"))
     d = d.join(n, "dataset")
     by_hash, by_rank = Window.partitionBy("dataset", "flagged").orderBy("item_key"), Window.partitionBy("dataset", "flagged").orderBy(F.desc("priority"), "ep")
-    flagged = d.where("flagged").withColumn("place", F.row_number().over(by_hash))
+    flagged = d.where("flagged")
     most = F.col("n_flagged") if max_flagged is None else F.least(F.col("n_flagged"), F.lit(max_flagged))
-    flagged = flagged.where(F.col("place") <= most).select("dataset", "ep", F.lit("flagged").alias("stratum"), (most / F.col("n_flagged")).alias("inclusion_prob"), "item_key")
+    if max_flagged is not None:  # a literal, by which each task limits its groups first; without it nothing is sorted
+        flagged = flagged.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_flagged)
+    flagged = flagged.select("dataset", "ep", F.lit("flagged").alias("stratum"), (most / F.col("n_flagged")).alias("inclusion_prob"), "item_key")
     rest = d.where("not flagged").withColumn("rank", F.row_number().over(by_rank))
     review = rest.where(F.col("rank") <= top_k).select("dataset", "ep", F.lit("review_top").alias("stratum"), F.lit(1.0).alias("inclusion_prob"), "item_key")
     pool = rest.where(F.col("rank") > top_k).withColumn("place", F.row_number().over(Window.partitionBy("dataset").orderBy("item_key")))

@@ -122,12 +122,43 @@ def correlation_lags(pairs: DataFrame, x: str, y: str, min_steps: int = 3) -> Da
     z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
     d = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumns({"zx": F.when(F.stddev_pop(x).over(w) > 1e-9, z(x)), "zy": F.when(F.stddev_pop(y).over(w) > 1e-9, z(y))})
-    g = d.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("step", "zx", "zy"))).alias("s"), F.count("*").alias("n"), F.count("zx").alias("nx"), F.count("zy").alias("ny"))
-    n = F.col("n").cast("int")
-    product = lambda k: F.aggregate(F.sequence(F.greatest(F.lit(0), -k), n - 1 - F.greatest(F.lit(0), k)), F.lit(0.0), lambda a, i: a + F.get("s", i + k)["zx"] * F.get("s", i)["zy"])
-    sums = F.transform(F.sequence(1 - n, n - 1), lambda k: F.struct((-F.round(product(k), 9)).alias("v"), k.alias("k")))
-    ok = (F.col("n") >= min_steps) & (F.col("nx") == F.col("n")) & (F.col("ny") == F.col("n"))
-    return g.select("ep", F.when(ok, F.array_min(sums)["k"]).alias("lag"))
+
+    def run(batches):
+        """One episode after another: all overlaps at once, as a product of transforms."""
+        import numpy as np
+        import pyarrow as pa
+
+        now, held = None, []
+
+        def lag():
+            zx, zy = (np.concatenate(c) for c in zip(*held))
+            n = len(zx)
+            if n < min_steps or np.isnan(zx).any() or np.isnan(zy).any():
+                return None
+            size = 1 << (2 * n - 1).bit_length()
+            full = np.fft.irfft(np.fft.rfft(zx, size) * np.conj(np.fft.rfft(zy, size)), size)
+            sums = np.round(np.concatenate([full[size - n + 1 :], full[:n]]), 8)  # shifts 1 - n to n - 1
+            return int(sums.argmax()) - (n - 1)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ep = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ep)) + 1).tolist(), len(ep)]
+            eps, lags = [], []
+            for s, e in zip(edges, edges[1:]):
+                if held and ep[s] != now:
+                    eps.append(now)
+                    lags.append(lag())
+                    held = []
+                now = int(ep[s])
+                held.append([b.column(k)[s:e].to_numpy(zero_copy_only=False).astype(float) for k in (1, 2)])
+            yield pa.RecordBatch.from_arrays([pa.array(eps, pa.int64()), pa.array(lags, pa.int64())], names=["ep", "lag"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([lag()], pa.int64())], names=["ep", "lag"])
+
+    # the windows have dealt the steps by episode
+    return d.repartition("ep").sortWithinPartitions("ep", "step").select(F.col("ep").cast("long"), "zx", "zy").mapInArrow(run, "ep long, lag long")
 
 
 def physics_drift(lags: DataFrame, warning: int = 2, critical: int = 5) -> DataFrame:

@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import in_order, median
+from ..functions.exprs import in_order
 from ..functions.lineage import cut_lineage
 from . import surprise
 from .moments import matrix
+from .order import exact_quantiles
 
 TRANSITIONS = "ep long, start long, end long, z array<double>, a array<double>, d array<double>"
 #: Epsilon in median steps, ridge, edge of a voxel, robust deviations of an outlier.
@@ -30,8 +31,8 @@ ALPHA, RIDGE, VOXEL, OUTLIER = 3.0, 1e-4, 0.5, 3.5
 def epsilon(steps: DataFrame, states: Sequence[str], alpha: float = ALPHA) -> float:
     """``alpha`` times the median distance of adjacent states."""
     far = F.sqrt(sum(((F.col(c) - F.lag(c).over(in_order())) ** 2 for c in states), F.lit(0.0)))
-    mid = steps.select(far.alias("x")).where("x is not null").agg(median("x").alias("m")).first().m  # one row
-    return alpha * (mid or 1e-5)
+    mid = exact_quantiles(cut_lineage(steps.select(far.alias("x")).where("x is not null")), "x", [0.5])
+    return alpha * ((mid[0] if mid else None) or 1e-5)
 
 
 class Walk:
@@ -184,10 +185,9 @@ def dynamics(steps: DataFrame, transitions: DataFrame, states: Sequence[str], ac
     _, controllability = _explained(sums, list(range(k, one)), one, targets, RIDGE)
     residual = F.sqrt(sum(((F.col(d) - sum((x * float(w[i, j]) for i, x in enumerate(u[: one + 1])), F.lit(0.0))) ** 2 for j, d in enumerate(ds)), F.lit(0.0)))
     r = t.select(residual.alias("r"))
-    mid = r.agg(median("r").alias("mid"))
-    r = r.crossJoin(F.broadcast(mid))  # one row
-    mad = r.agg(F.greatest(median(F.abs(F.col("r") - F.col("mid"))), F.lit(1e-6)).alias("mad"))
-    out = r.crossJoin(F.broadcast(mad)).agg(F.count("*").alias("n_transitions"), F.sum((F.col("r") > F.col("mid") + OUTLIER * F.col("mad")).cast("long")).alias("n_outliers"))  # one row
+    mid = (exact_quantiles(r, "r", [0.5]) or [0.0])[0]
+    mad = max((exact_quantiles(r.select(F.abs(F.col("r") - mid).alias("x")), "x", [0.5]) or [0.0])[0], 1e-6)
+    out = r.agg(F.count("*").alias("n_transitions"), F.coalesce(F.sum((F.col("r") > mid + OUTLIER * mad).cast("long")), F.lit(0)).alias("n_outliers"))
     all_states = cut_lineage(steps.select("ep", *[F.col(c).cast("double").alias(n) for c, n in zip(states, zs)]))
 
     def plane(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import median
 from ..functions.lineage import cut_lineage
 from .compare import resampled
 from .neighbours import nearest
+from .order import counted_below, exact_quantiles
 
 #: Near means within this share of the median distance between training episodes; suspicious, below this quantile of them.
 NEAR, QUANTILE, ALPHA = 0.01, 0.01, 0.01
@@ -78,11 +78,13 @@ def near_leakage(steps: DataFrame, held_out: DataFrame, streams: tuple[str, ...]
     base = scaled.where("not h").join(first.select(F.col("train").alias("ep")), "ep", "left_semi")
     tt = cut_lineage(nearest(base, base, cols, exclude_self=True).select("ep", F.col("distance").alias("tt")))
     vt = nearest(scaled.where("h"), base, cols).select(F.col("ep").alias("held"), F.col("neighbour").alias("train"), "distance")
-    cuts = tt.agg(median("tt").alias("mid"), F.percentile("tt", F.lit(QUANTILE)).alias("low"), F.count("*").alias("n_tt"))
+    mid, low = exact_quantiles(tt, "tt", [0.5, QUANTILE]) or (None, None)
+    known = lambda x: F.lit(x).cast("double")
+    cuts = tt.agg(F.count("*").alias("n_tt")).select(known(mid).alias("mid"), known(low).alias("low"), "n_tt")
     rest = vt.join(exact.select("held"), "held", "left_anti").crossJoin(F.broadcast(cuts))  # one row
     kind = F.when(F.col("distance") <= NEAR * F.col("mid"), "near_identical").when(F.col("distance") < F.col("low"), "suspicious")
     close = cut_lineage(rest.withColumn("kind", kind).where("kind is not null"))
-    below = close.select("held", F.col("distance").alias("d")).join(tt, F.col("tt") < F.col("d")).groupBy("held").agg(F.count("*").alias("below"))
+    below = counted_below(tt, close.select("held", F.col("distance").alias("tt")), "tt", "held")
     close = close.join(below, "held", "left").select("held", "train", "kind", "distance", (F.coalesce("below", F.lit(0)) / F.col("n_tt")).alias("percentile"))
     none = F.lit(None).cast("double")
     pairs = exact.select("held", "train", F.lit("exact").alias("kind"), none.alias("distance"), none.alias("percentile")).unionByName(close)

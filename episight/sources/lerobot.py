@@ -133,10 +133,10 @@ def by_offsets(rows: DataFrame, ends: DataFrame, index: str = "row") -> DataFram
     The range join is an equality of blocks: an episode stands in every block
     that it reaches into.
     """
-    from pyspark.sql.window import Window
+    from ..operators.order import with_previous
 
     block = 4096
-    spans = ends.withColumn("start", F.coalesce(F.lag("end").over(Window.orderBy("end")), F.lit(0)))  # a row an episode
+    spans = with_previous(ends, "end", "start").withColumn("start", F.coalesce("start", F.lit(0)))
     spans = spans.where("end > start").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
     met = rows.withColumn("b", F.floor(F.col(index) / block)).join(spans, "b").where((F.col(index) >= F.col("start")) & (F.col(index) < F.col("end")))
     return met.withColumn("step", F.col(index) - F.col("start")).drop("b", "start", "end")
