@@ -95,14 +95,24 @@ def test_counts_equal_the_library(request, which, frequent):
 
 
 def test_each_unit_is_in_the_table_once(spark):
-    docs = spark.createDataFrame([("don't do 12a",), (" do <|endoftext|>don't  do",)], "text string").repartition(2)
-    rows = {r.unit: (r.n, r.tokens) for r in token_counts.unit_table(docs, BYTES).collect()}
+    docs = spark.createDataFrame([("don't do 12a don't do",), (" do <|endoftext|>don't  do",)], "text string").coalesce(1)
+    units = token_counts.frequent_units(docs, BYTES)
+    assert {r.unit: r.n for r in units.collect()} == {"don't": 2, " do": 3}
+    assert [r.unit for r in token_counts.frequent_units(docs, BYTES, frequent=1).collect()] == [" do"]
     tok = library(BYTES)
-    assert {u: n for u, (n, _) in rows.items()} == {"don't": 2, " do": 2, " 12a": 1, " ": 1, "  do": 1}
-    assert all(t == len(tok.encode(u).ids) for u, (_, t) in rows.items())
-    assert token_counts.distinct_units(docs, BYTES, max_units=1).orderBy("unit").collect() == token_counts.distinct_units(docs, BYTES).orderBy("unit").collect()
+    rows = {r.unit: r.tokens for r in token_counts.unit_table(spark.createDataFrame([("don't",), (" 12a",), ("  do",)], "unit string"), BYTES).collect()}
+    assert rows == {u: len(tok.encode(u).ids) for u in ("don't", " 12a", "  do")}
     parts = token_counts.pre_tokens(docs.where("text like 'don%'").select(docs.text.alias("unit")), BYTES).collect()
-    assert {(r.piece, r.k) for r in parts} >= {("'t", 1), ("don", 1), ("a", 1)}
+    assert {(r.piece, r.k) for r in parts} >= {("'t", 2), ("don", 1), ("a", 1)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_a_pre_token_alone_is_itself(text):
+    pre = library(BYTES).pre_tokenizer.pre_tokenize_str
+    for u in token_counts.UNIT.findall(text.encode("utf-8", "replace").decode()):
+        for p, (s, e) in pre(u):
+            assert [x for x, _ in pre(u[s:e])] == [p]
 
 
 def test_counts_of_odd_texts():
