@@ -133,6 +133,22 @@ def damage_report(before: DataFrame, after: DataFrame, metrics: tuple[str, ...])
     return d.withColumn("delta", F.col("after") - F.col("before"))
 
 
+#: The least change of a figure that counts as a reaction, and the figures of which less is worse.
+REACTS = {"jitter_cv": 0.001, "dropout": 0.005, "spike_rate": 0.005, "disc_rate": 0.005, "ldlj": 0.1, "entropy": 0.1}
+LESS_IS_WORSE = ("ldlj", "entropy")
+
+
+def reactions(report: DataFrame) -> DataFrame:
+    """``report`` (of ``damage_report``) with reaction: none below the figure's least
+    change, better, worse, or strong (worse by over five times that)."""
+    least = F.lit(0.1)
+    for name, x in REACTS.items():
+        least = F.when(F.col("metric") == name, x).otherwise(least)
+    worse = F.when(F.col("metric").isin(*LESS_IS_WORSE), F.col("delta") < 0).otherwise(F.col("delta") > 0)
+    size = F.abs("delta")
+    return report.withColumn("reaction", F.when(size.isNull() | (size < least), "none").when(~worse, "better").when(size > 5 * least, "strong").otherwise("worse"))
+
+
 def relative_poses(poses: DataFrame) -> DataFrame:
     """(ep, step, dx, dy, dz, droll, dpitch, dyaw) from (ep, step, x, y, z, qx,
     qy, qz, qw): the move to the next step in the frame of this one, its rotation as

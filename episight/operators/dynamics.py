@@ -15,21 +15,20 @@ CLOSE, NEAR = 0.15, 0.30
 OUTCOME_RANGES = {"ldlj": (-30.0, 0.0), "spike_rate": (0.0, 0.20), "disc_rate": (0.0, 0.40), "dropout": (0.0, 0.20), "jitter_cv": (0.0, 0.50), "entropy": (0.0, 6.0), "contact": (0.0, 0.50)}
 
 
-def tracking_and_sigma_jerk(steps: DataFrame, gap: float = 0.05, sigmas: float = 5.0) -> DataFrame:
+def tracking_and_sigma_jerk(steps: DataFrame, gap: float = 0.05, sigmas: float = 5.0, actions: tuple[str, ...] = ("a0",), states: tuple[str, ...] = ("s0",)) -> DataFrame:
     """(ep, tracking_gap, jerk_spikes): share of steps whose action is more than
-    ``gap`` from the state, and share of third differences of the state over
+    ``gap`` from the state, and share of third differences of the state whose size is over
     their mean by ``sigmas`` deviations (0 below 4 steps or without spread)."""
+    if len(actions) != len(states):
+        raise ValueError("actions and states have as many dimensions")
     w, d = in_order(), steps
     for k in range(3):
-        c = "s0" if k == 0 else f"d{k}"
-        d = d.withColumn(f"d{k + 1}", F.col(c) - F.lag(c).over(w))
-    d = d.withColumn("j", F.abs("d3"))
+        before = states if k == 0 else [f"d{k}_{i}" for i in range(len(states))]
+        d = d.withColumns({f"d{k + 1}_{i}": F.col(c) - F.lag(c).over(w) for i, c in enumerate(before)})
+    size = lambda parts: F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
+    d = d.withColumns({"j": size([F.col(f"d3_{i}") for i in range(len(states))]), "off": size([F.col(a) - F.col(s) for a, s in zip(actions, states)])})
     d = d.withColumns({"jm": F.avg("j").over(whole()), "js": F.stddev_pop("j").over(whole())})
-    g = d.groupBy("ep").agg(
-        share(F.abs(F.col("a0") - F.col("s0")) > gap).alias("tracking_gap"),
-        share(F.col("j") > F.col("jm") + sigmas * F.col("js")).alias("spikes"),
-        F.max("js").alias("js"),
-    )
+    g = d.groupBy("ep").agg(share(F.col("off") > gap).alias("tracking_gap"), share(F.col("j") > F.col("jm") + sigmas * F.col("js")).alias("spikes"), F.max("js").alias("js"))
     return g.select("ep", "tracking_gap", F.when(F.col("js") > 0, F.col("spikes")).otherwise(F.lit(0.0)).alias("jerk_spikes"))
 
 
@@ -224,6 +223,47 @@ def episode_digests(steps: DataFrame, columns: tuple[str, ...], digits: int = 6)
     return steps.groupBy("ep").agg(F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
 
 
+def content_hashes(steps: DataFrame, actions: tuple[str, ...]) -> DataFrame:
+    """(ep, hash): 16 hex digits of the SHA-256 of an episode's stamps and then its
+    actions, step by step, as little-endian floats of four bytes.
+
+    Steps come sorted by episode; an episode's actions are held, as floats, until its stamps are hashed."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = steps.select(F.col("ep").cast("long").alias("ep"), F.col("step").cast("long").alias("step"), *[F.col(c).cast("double").cast("float") for c in ("t", *actions)])
+    dealt = rows.repartition(n, "ep").sortWithinPartitions("ep", "step").drop("step")
+
+    def run(batches):
+        now, stamps, later = None, None, []
+
+        def done() -> pa.RecordBatch:
+            for part in later:
+                stamps.update(part)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([stamps.hexdigest()[:16]])], names=["ep", "hash"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ep = b.column(0).to_numpy()
+            values = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype("<f4") for k in range(1, b.num_columns)], axis=1)
+            edges = [0, *(np.flatnonzero(np.diff(ep)) + 1).tolist(), len(ep)]
+            for s, e in zip(edges, edges[1:]):
+                if ep[s] != now:
+                    if now is not None:
+                        yield done()
+                    now, stamps, later = int(ep[s]), hashlib.sha256(), []
+                stamps.update(np.ascontiguousarray(values[s:e, 0]).tobytes())
+                later.append(np.ascontiguousarray(values[s:e, 1:]).tobytes())
+        if now is not None:
+            yield done()
+
+    return dealt.mapInArrow(run, "ep long, hash string")
+
+
 def batch_fingerprint(digests: DataFrame, policy: str = "") -> DataFrame:
     """One row: fingerprint (24 hex digits) of all episodes' digests and the policy.
 

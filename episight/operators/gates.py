@@ -76,3 +76,14 @@ def dispositions(gate: DataFrame, selected: DataFrame, redundant: str = DROP) ->
     that couldn't be judged are for review."""
     d = gate.join(selected.select("ep", F.lit(True).alias("chosen")), "ep", "left")
     return d.select("ep", F.when(F.col("status") == "bad", DROP).when(F.col("status") == "not_evaluated", REVIEW).when(F.col("chosen"), KEEP).otherwise(redundant).alias("disposition"))
+
+
+#: The dispositions with which an episode stays in the data.
+KEEP_LIKE = ("keep", "downweight", "annotate")
+
+
+def approved_rows(rows: DataFrame, decisions: DataFrame, key: str = "ep", kept: tuple[str, ...] = KEEP_LIKE) -> DataFrame:
+    """The rows of a data set whose episode has a disposition that keeps it;
+    ``decisions``: (ep, disposition).  Episodes without a decision go."""
+    keep = decisions.where(F.lower("disposition").isin(*kept)).select(F.col("ep").alias(key)).distinct()
+    return rows.join(keep, key, "left_semi")

@@ -182,6 +182,48 @@ def drift_level(direction_: Column, significant: Column, candidate_level: Column
     return F.when(~significant, "INFO").when(direction_ == "improved", "OK").when(direction_ == "degraded", candidate_level).otherwise("INFO")
 
 
+def compare_reports(baseline: DataFrame, candidate: DataFrame, tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(metric, baseline, candidate, delta, relative_change, p_value, significant,
+    direction, level): the flags (metric, value, level, and low and high if known) that
+    both reports have, side by side.
+
+    ``tests`` (metric, p_value) says which changes are significant; for metrics without
+    one it is whether the intervals are apart.  A significant change for the worse has the candidate's level.
+    """
+    ends = lambda df, s: df.select("metric", F.col("value").alias(f"{s}_value"), F.col("level").alias(f"{s}_level"), *[(F.col(c) if c in df.columns else F.lit(None)).cast("double").alias(f"{s}_{c}") for c in ("low", "high")])
+    d = ends(baseline, "b").join(ends(candidate, "c"), "metric").where("b_value is not null and c_value is not null").join(tests.select("metric", "p_value"), "metric", "left")
+    delta = F.col("c_value") - F.col("b_value")
+    apart = F.coalesce((F.col("b_high") < F.col("c_low")) | (F.col("c_high") < F.col("b_low")), F.lit(False))
+    d = d.withColumns({"delta": delta, "significant": F.when(F.col("p_value").isNotNull(), F.col("p_value") < alpha).otherwise(apart)})
+    d = d.withColumn("direction", direction(F.col("metric"), F.round("delta", 9)))
+    relative = F.when(F.abs("b_value") > 1e-12, F.col("delta") / F.abs("b_value"))
+    level = drift_level(F.col("direction"), F.col("significant"), F.col("c_level"))
+    return d.select("metric", F.col("b_value").alias("baseline"), F.col("c_value").alias("candidate"), "delta", relative.alias("relative_change"), "p_value", "significant", "direction", level.alias("level"))
+
+
+#: Where a reference profile has the six headline figures, and the definition of smoothness that they may be compared under.
+REFERENCE_METRICS = {
+    "jitter_cv": ("temporal_stability", "jitter.mean_cv"),
+    "dropout_rate": ("temporal_stability", "dropout.mean_dropout_fraction"),
+    "ldlj": ("control_smoothness", "ldlj.mean_ldlj"),
+    "spike_rate": ("control_smoothness", "jerk_spikes.mean_spike_fraction"),
+    "vel_disc_rate": ("control_smoothness", "vel_discontinuities.mean_disc_fraction"),
+    "action_entropy": ("coverage_entropy", "action_entropy.entropy_bits_per_dim"),
+}
+LDLJ_DEFINITION = "per_submovement_v1"
+
+
+def reference_metrics(profiles: DataFrame, json_col: str = "profile") -> DataFrame:
+    """``profiles`` with the six headline figures of their JSON (a column); what is
+    missing is null, and so is smoothness under another definition."""
+    part = "map<string,map<string,double>>"
+    read = F.from_json(json_col, f"meta map<string,string>, aggregate_metrics {part}")
+    d = profiles.withColumn("_p", read)
+    values = {n: F.try_element_at(F.try_element_at("_p.aggregate_metrics", F.lit(a)), F.lit(b)) for n, (a, b) in REFERENCE_METRICS.items()}
+    values["ldlj"] = F.when(F.try_element_at("_p.meta", F.lit("ldlj_definition")) == LDLJ_DEFINITION, values["ldlj"])
+    return d.withColumns(values).drop("_p")
+
+
 def ladder(value: Column, direct: float, adapt: float) -> Column:
     return F.when(value.isNull(), "ADAPT").when(value < direct, "DIRECT").when(value < adapt, "ADAPT").otherwise("DIFFICULT")
 

@@ -9,12 +9,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage, shared_dir
-from ..operators import audit, embed, evidence, gap, gates, latent, report, scoring
+from ..operators import audit, coverage, cure, dynamics, embed, evidence, gap, gates, latent, motion, policies, report, scoring, sft, timing
 from ..sources import capabilities, episode_source, video
-from ..sources.episodes import table
+from ..sources.episodes import table, turns
 from ..streaming import session
-from .analysis import following
-from .catalog import _summary, _vectors, ev, figures, li, query, shown
+from .analysis import REPORTED, following
+from .catalog import METRICS, _long, _summary, _vectors, ev, figures, li, query, shown
 
 FEATURES = ("a2", "a3")
 
@@ -229,3 +229,75 @@ def bulk_audit(spark, d):
     steps = ev(spark, d).withColumns({"dataset": F.concat(F.lit("d"), F.col("ep") % 5), "revision": F.lit("r1")})
     done = spark.createDataFrame([("d3", "r1"), ("d2", "r0")], "dataset string, revision string")
     return shown(audit.audit(steps, ("a0",), done))
+
+
+@query
+def state_direction_entropy(spark, d):
+    """Of the states' changes."""
+    return shown(coverage.direction_entropy(following(spark, d), ("s0", "s1", "s2", "s3")))
+
+
+@query
+def standalone_vectors(spark, d):
+    return shown(dynamics.tracking_and_sigma_jerk(following(spark, d), actions=FEATURES, states=("s2", "s3")))
+
+
+@query
+def approved_rows(spark, d):
+    """Events of the users that the quality gate finds clean."""
+    decided = gates.dispositions(gates.quality_gate(figures(spark, d)), figures(spark, d).select("ep"))
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("ep"))
+    return gates.approved_rows(rows, decided)
+
+
+@query
+def reference_metrics(spark, d):
+    """Lines by their flags as reference profiles in JSON."""
+    inner = lambda *pairs: F.create_map(*[x for n, v in pairs for x in (F.lit(n), v)])
+    g = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("name")).agg(F.round(F.avg("l_tax"), 9).alias("a"), F.round(F.avg("l_discount"), 9).alias("b"), F.round(F.avg("l_quantity"), 9).alias("c"))
+    kind = F.when(F.col("name").startswith("A"), "whole_episode").otherwise("per_submovement_v1")
+    parts = F.create_map(
+        F.lit("temporal_stability"), inner(("jitter.mean_cv", F.col("a"))), F.lit("control_smoothness"), inner(("ldlj.mean_ldlj", -F.col("c")), ("jerk_spikes.mean_spike_fraction", F.col("b"))),
+    )
+    profile = F.to_json(F.struct(F.create_map(F.lit("ldlj_definition"), kind).alias("meta"), parts.alias("aggregate_metrics")))
+    return policies.reference_metrics(g.select("name", profile.alias("profile"))).drop("profile")
+
+
+@query
+def coherent_gate(spark, d):
+    """Pairs gated with the cosine of a vector each for instruction and response."""
+    pairs = turns(table(spark, d, "conversations"))
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    own = lambda name: e.select(F.col("vec_id").alias(f"_{name}"), F.col("embedding").alias(name))
+    met = pairs.withColumns({"_left": F.col("conv_id") % n, "_right": (F.col("conv_id") * 7 + F.col("turn")) % n}).join(own("left"), "_left").join(own("right"), "_right")
+    fp = sft.with_coherence(sft.fingerprint(pairs), met, "left", "right")
+    return shown(sft.gate(fp).select("conv_id", "turn", "coherence", "passed"))
+
+
+@query
+def report_drift(spark, d):
+    """The flags of even and odd users side by side."""
+    name = F.create_map(*[F.lit(x) for pair in REPORTED.items() for x in pair])
+    m = _long(spark, d).where(F.col("metric").isin(*METRICS))
+    sides = [m.where(f"ep % 2 = {k}") for k in (0, 1)]
+    crit, warn = F.lit(0.05), F.lit(0.01)
+    for metric, (w, c) in {"jitter_cv": (0.15, 0.30), "spike_rate": (0.02, 0.05), "disc_rate": (0.02, 0.05)}.items():
+        crit, warn = F.when(F.col("metric") == metric, c).otherwise(crit), F.when(F.col("metric") == metric, w).otherwise(warn)
+    level = F.when(F.col("value") >= crit, "CRITICAL").when(F.col("value") >= warn, "WARNING").otherwise("OK")
+    flags = [s.groupBy("metric").agg(F.avg("value").alias("value")).withColumn("level", level).withColumn("metric", name[F.col("metric")]) for s in sides]
+    tests = dynamics.permutation_tests(*sides).withColumn("metric", name[F.col("metric")])
+    return shown(policies.compare_reports(*flags, tests))
+
+
+@query
+def corruption_reactions(spark, d):
+    """What truncated episodes do to the figures, and which of them react."""
+    steps = ev(spark, d)
+    both = [timing.timing_metrics(s).join(motion.motion_metrics(s).drop("n_steps"), "ep") for s in (steps, cure.truncate(steps))]
+    return shown(cure.reactions(cure.damage_report(*both, METRICS)))
+
+
+@query
+def content_hashes(spark, d):
+    return dynamics.content_hashes(li(spark, d), ("a0", "a1", "a2", "a3"))

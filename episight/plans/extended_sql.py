@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 from .analysis_sql import CAMERA, FOLLOW
-from .oracles import EV, FIGURES, LI, SUMMARY
+from .analysis_sql import SQL as ANALYSIS
+from .oracles import EV, FIGURES, GATE, LI, PAIRS, SUMMARY, fingerprint
+from .oracles import METRICS as METRICS_SQL
 
 
 def projected(dims: tuple[str, ...], size: int = 64) -> str:
@@ -109,4 +111,22 @@ m as (select dataset, j as v, j >= 0.30 as c, j >= 0.15 as w from g union all se
   union all select dataset, l, l <= -15, l <= -10 from g union all select dataset, bad::int, bad, false from g),
 q as (select dataset, 100 * avg(case when c then 0 when w then 0.5 else 1 end) as score, count(*) filter (c) as n_critical, count(*) filter (w and not c) as n_warning from m where v is not null group by dataset)
 select row_number() over (order by round(score, 6) desc, dataset) as rank, dataset, 'r1' as revision, n_episodes, round(score, 6) + 0.0 as score, n_critical, n_warning, case when score >= 90 then 'pass' when score >= 70 then 'review' else 'fail' end as verdict from q join g using (dataset)""",
+    "state_direction_entropy": f"""with {FOLLOW}, x as (select ep, step, {", ".join(f"sign(s{k} - lag(s{k}) over (partition by ep order by step)) as g{k}" for k in range(4))} from fo), n as (select ep, g0, g1, g2, g3, count(*) as n from x where step > 0 group by all),
+p as (select ep, n / sum(n) over (partition by ep) as p from n) select ep, round(-sum(p * log2(p)), 6) + 0.0 as bits from p group by ep""",
+    "standalone_vectors": f"""with {FOLLOW}, x1 as (select *, s2 - lag(s2) over w as p1, s3 - lag(s3) over w as q1 from fo window w as (partition by ep order by step)), x2 as (select *, p1 - lag(p1) over w as p2, q1 - lag(q1) over w as q2 from x1 window w as (partition by ep order by step)),
+x3 as (select *, sqrt((p2 - lag(p2) over w) * (p2 - lag(p2) over w) + (q2 - lag(q2) over w) * (q2 - lag(q2) over w)) as j from x2 window w as (partition by ep order by step)),
+x4 as (select *, avg(j) over (partition by ep) as jm, stddev_pop(j) over (partition by ep) as js from x3)
+select ep, round(avg((sqrt((a2 - s2) * (a2 - s2) + (a3 - s3) * (a3 - s3)) > 0.05)::int), 6) + 0.0 as tracking_gap, round(case when max(js) > 0 then avg(case when j is not null then (j > jm + 5 * js)::int end) else 0 end, 6) + 0.0 as jerk_spikes from x4 group by ep""",
+    "approved_rows": f"with {FIGURES}, {GATE} select event_id, user_id as ep from events join gate on gate.ep = user_id where status = 'clean'",
+    "reference_metrics": """select l_returnflag || l_linestatus as name, round(avg(l_tax), 9)::double as jitter_cv, null::double as dropout_rate, case when l_returnflag <> 'A' then -round(avg(l_quantity), 9)::double end as ldlj,
+  round(avg(l_discount), 9)::double as spike_rate, null::double as vel_disc_rate, null::double as action_entropy from lineitem group by l_returnflag, l_linestatus""",
+    "coherent_gate": f"""with {PAIRS}, {fingerprint("pr")}, n as (select count(*) as n from embeddings), c as (select ft.conv_id, ft.turn, passed, list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) as coherence
+  from ft, n join embeddings a on a.vec_id = ft.conv_id % n.n join embeddings b on b.vec_id = (ft.conv_id * 7 + ft.turn) % n.n)
+select conv_id, turn, round(coherence, 6) + 0.0 as coherence, passed and round(coherence, 12) >= 0.10 as passed from c""",
+    "report_drift": f"""with t as ({ANALYSIS["permutation_drift"]}), n as (select * from (values ('jitter_cv', 'timestamp_jitter_cv', 0.15, 0.30), ('dropout', 'timestamp_dropout_rate', 0.01, 0.05), ('spike_rate', 'jerk_spike_rate', 0.02, 0.05), ('disc_rate', 'velocity_discontinuity_rate', 0.02, 0.05)) v(metric, name, warn, crit)),
+g as (with {METRICS_SQL} select metric, avg(value) filter (ep % 2 = 0) as a, avg(value) filter (ep % 2 = 1) as b from m group by metric),
+z as (select name, a, b, b - a as d, p_value, p_value < 0.05 as sig, case when round(b - a, 9) = 0 then 'ambiguous' when b > a then 'degraded' else 'improved' end as way, case when b >= crit then 'CRITICAL' when b >= warn then 'WARNING' else 'OK' end as lv from g join n using (metric) join t using (metric) where a is not null and b is not null)
+select name as metric, round(a, 6) + 0.0 as baseline, round(b, 6) + 0.0 as candidate, round(d, 6) + 0.0 as delta, round(case when abs(a) > 1e-12 then d / abs(a) end, 6) + 0.0 as relative_change, p_value, sig as significant, way as direction,
+  case when not sig then 'INFO' when way = 'improved' then 'OK' when way = 'degraded' then lv else 'INFO' end as level from z""",
+    "corruption_reactions": f"""with c as ({ANALYSIS["corruption_report"]}) select *, case when abs(delta) < l then 'none' when delta <= 0 then 'better' when abs(delta) > 5 * l then 'strong' else 'worse' end as reaction from (select *, case metric when 'jitter_cv' then 0.001 else 0.005 end as l from c)""".replace("select *, case when abs", "select metric, before, after, delta, case when abs"),
 }

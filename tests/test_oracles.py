@@ -45,5 +45,5 @@ def test_query_equals_sql(spark, small, duck, name):
 def test_queries_without_sql_are_named():
     assert set(catalog.QUERIES) - set(oracles.SQL) == {
         "submovement_ldlj", "pca_top2", "kcenter_coreset", "approx_coreset", "dataset_comparison", "coreset_diversity", "coverage_gaps",
-        "cure_episodes", "latent_projection", "trajectory_diversity", "vector_transitions", "latent_dynamics", "reduced_vectors",
+        "cure_episodes", "latent_projection", "trajectory_diversity", "vector_transitions", "latent_dynamics", "reduced_vectors", "content_hashes",
     }

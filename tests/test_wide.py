@@ -90,3 +90,26 @@ def test_projected_embeddings_equal_the_definition(spark):
         assert r.embedding == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-7)
     few = embed.novelty(embed.projected(steps.where("ep = 1"), ("x", "y", "z")))
     assert few.count() == 0
+
+
+def test_content_hashes_are_of_the_floats(spark):
+    import hashlib
+
+    from episight.operators import dynamics
+
+    rng = np.random.default_rng(9)
+    eps = {e: rng.normal(size=(n, 3)) for e, n in enumerate([1, 4, 500])}
+    rows = [(e, i, *map(float, r)) for e, v in eps.items() for i, r in enumerate(v)]
+    steps = spark.createDataFrame(rows, "ep long, step long, t double, a0 double, a1 double").repartition(5)
+    want = {e: hashlib.sha256(v[:, 0].astype("<f4").tobytes() + v[:, 1:].astype("<f4").tobytes()).hexdigest()[:16] for e, v in eps.items()}
+    assert {r.ep: r.hash for r in dynamics.content_hashes(steps, ("a0", "a1")).collect()} == want
+
+
+def test_reports_side_by_side(spark):
+    from episight.operators import policies
+
+    a = spark.createDataFrame([("jerk_spike_rate", 0.01, "OK", 0.005, 0.015), ("ldlj", -10.0, "OK", None, None), ("only_here", 1.0, "OK", None, None), ("timestamp_jitter_cv", 0.0, "OK", None, None)], "metric string, value double, level string, low double, high double")
+    b = spark.createDataFrame([("jerk_spike_rate", 0.05, "CRITICAL", 0.03, 0.07), ("ldlj", -12.0, "WARNING", None, None), ("timestamp_jitter_cv", 0.2, "WARNING", None, None)], "metric string, value double, level string, low double, high double")
+    tests = spark.createDataFrame([("ldlj", 0.2), ("timestamp_jitter_cv", 0.01)], "metric string, p_value double")
+    got = {r.metric: (r.significant, r.direction, r.level, r.relative_change) for r in policies.compare_reports(a, b, tests).collect()}
+    assert got == {"jerk_spike_rate": (True, "degraded", "CRITICAL", pytest.approx(4.0)), "ldlj": (False, "degraded", "INFO", pytest.approx(-0.2)), "timestamp_jitter_cv": (True, "degraded", "WARNING", None)}
