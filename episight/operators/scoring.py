@@ -115,15 +115,33 @@ def penalty(value: Column, at_warn: float, at_crit: float, warn: float, crit: fl
     return F.coalesce(F.when(x >= 1, at_crit).when(x >= 0, at_warn + (at_crit - at_warn) * x), F.lit(0.0))
 
 
-def outcome(figures: DataFrame, rules: dict[str, tuple[float, float, float, float]] = OUTCOME, scripted: bool = False) -> DataFrame:
-    """One row: score (100 less penalties), tier, n_deductions, low and high.
-    Penalties of spikes, discontinuities and jerk count 0.4 for scripted motion."""
+def deducted(names: list[str], rules: dict[str, tuple[float, float, float, float]], scripted: bool = False) -> tuple[Column, Column]:
+    """100 less the penalties (0 at least) of the figures that there are, and how many there are."""
     less = {k: 0.4 if scripted and k in ("ldlj", "spike_rate", "disc_rate") else 1.0 for k in rules}
-    used = {k: penalty(F.col(k), less[k] * v[0], less[k] * v[1], *v[2:]) for k, v in rules.items() if k in figures.columns}
+    used = {k: penalty(F.col(k), less[k] * v[0], less[k] * v[1], *v[2:]) for k, v in rules.items() if k in names}
     total, hits = F.lit(100.0), F.lit(0)
     for p in used.values():
         total, hits = total - p, hits + (p > 0).cast("int")
-    d = figures.select(F.greatest(total, F.lit(0.0)).alias("score"), hits.alias("n_deductions"))
+    return F.greatest(total, F.lit(0.0)), hits
+
+
+def heuristic(figures: DataFrame, rules: dict[str, tuple[float, float, float, float]] = OUTCOME, scripted: bool = False) -> DataFrame:
+    """One row: score (100 less penalties, 0 at least) and n_deductions, unrounded."""
+    score, hits = deducted(figures.columns, rules, scripted)
+    return figures.select(score.alias("score"), hits.alias("n_deductions"))
+
+
+def tier(s: Column) -> Column:
+    return F.when(s >= 80, "STRONG").when(s >= 60, "GOOD").when(s >= 40, "MARGINAL").when(s >= 20, "RISKY").otherwise("UNLIKELY")
+
+
+def shown_outcome(d: DataFrame, *keys: str) -> DataFrame:
+    """The keys, score, tier, n_deductions, low and high of rows of score and n_deductions."""
     s, margin = F.col("score"), F.least(5.0 + 2.0 * F.col("n_deductions"), F.lit(15.0))
-    tier = F.when(s >= 80, "STRONG").when(s >= 60, "GOOD").when(s >= 40, "MARGINAL").when(s >= 20, "RISKY").otherwise("UNLIKELY")
-    return d.select(F.round("score", 1).alias("score"), tier.alias("tier"), "n_deductions", F.round(F.greatest(s - margin, F.lit(0.0)), 1).alias("low"), F.round(F.least(s + margin, F.lit(100.0)), 1).alias("high"))
+    return d.select(*keys, F.round("score", 1).alias("score"), tier(s).alias("tier"), "n_deductions", F.round(F.greatest(s - margin, F.lit(0.0)), 1).alias("low"), F.round(F.least(s + margin, F.lit(100.0)), 1).alias("high"))
+
+
+def outcome(figures: DataFrame, rules: dict[str, tuple[float, float, float, float]] = OUTCOME, scripted: bool = False) -> DataFrame:
+    """One row: score (100 less penalties), tier, n_deductions, low and high.
+    Penalties of spikes, discontinuities and jerk count 0.4 for scripted motion."""
+    return shown_outcome(heuristic(figures, rules, scripted))

@@ -76,6 +76,16 @@ def frame_rates(steps: DataFrame) -> DataFrame:
     return g.select("ep", "n_frames", F.when(short, 0.0).otherwise(F.col("m")).alias("mean_fps"), F.when(short, 0.0).otherwise(F.col("s")).alias("std_fps"))
 
 
+def frame_rate_summary(steps: DataFrame) -> DataFrame:
+    """(ep, n_frames, mean_fps, std_fps, cv, dropout_rate): ``frame_rates`` with the
+    deviation of all intervals over their mean and the share of those over 3 medians; both 0
+    below 2 stamps and where the mean or the median isn't positive."""
+    d = intervals(steps).withColumn("mid", median("dt").over(whole()))
+    g = d.groupBy("ep").agg(F.avg("dt").alias("m"), F.stddev_pop("dt").alias("s"), F.first("mid").alias("mid"), share(F.col("dt") > DROPOUT_FACTOR * F.col("mid")).alias("gaps"))
+    more = g.select("ep", F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0).alias("cv"), F.when(F.col("mid") > 0, F.col("gaps")).otherwise(0.0).alias("dropout_rate"))
+    return frame_rates(steps).join(more, "ep")
+
+
 def clock_lag(steps: DataFrame, other: str = "action_t") -> DataFrame:
     """(ep, lag_mean_ms, lag_std_ms, lag_max_ms, misaligned) of a second clock against t."""
     lag = (F.col(other) - F.col("t")) * 1000

@@ -522,4 +522,4 @@ def embedding_outliers(spark, d):
     return shown(stats.mad_outliers(m), digits=4)
 
 
-from . import analysis, extended  # noqa: E402, F401  (they register their queries and build on the ones above)
+from . import analysis, extended, reporting  # noqa: E402, F401  (they register their queries and build on the ones above)

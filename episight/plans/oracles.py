@@ -382,3 +382,7 @@ SQL |= _MORE
 from .extended_sql import SQL as _FURTHER  # noqa: E402
 
 SQL |= _FURTHER
+
+from .reporting_sql import SQL as _REPORTING  # noqa: E402
+
+SQL |= _REPORTING
