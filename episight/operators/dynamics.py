@@ -32,13 +32,8 @@ def tracking_and_sigma_jerk(steps: DataFrame, gap: float = 0.05, sigmas: float =
     return g.select("ep", "tracking_gap", F.when(F.col("js") > 0, F.col("spikes")).otherwise(F.lit(0.0)).alias("jerk_spikes"))
 
 
-def transition_errors(steps: DataFrame, states: tuple[str, ...] = ("s0",), actions: tuple[str, ...] = ("a0",), ridge: float = RIDGE) -> DataFrame:
-    """(ep, error): mean distance of the next state from a linear forecast out of
-    state and action that all episodes share; 0 below 2 steps.
-
-    The normal equations are sums, added up before the shuffle; a matrix of the
-    dimensions is solved on the driver.
-    """
+def _residuals(steps: DataFrame, states: tuple[str, ...], actions: tuple[str, ...], ridge: float) -> tuple[DataFrame, list[Column]]:
+    """The steps with their changes d_<state>, and what a linear forecast of them leaves; see ``transition_errors``."""
     import numpy as np
 
     w, x = in_order(), (*states, *actions)
@@ -47,8 +42,27 @@ def transition_errors(steps: DataFrame, states: tuple[str, ...] = ("s0",), actio
     row = d.agg(*[total(a, b).alias(f"{a}_{b}") for a in x for b in (*x, *[f"d_{c}" for c in states])]).first()
     m = np.array(list(row), float).reshape(len(x), -1)
     fit = np.linalg.solve(m[:, : len(x)] + ridge * np.eye(len(x)), m[:, len(x) :])
-    off = norm([F.col(f"d_{c}") - sum((F.col(a) * float(fit[i, j]) for i, a in enumerate(x)), F.lit(0.0)) for j, c in enumerate(states)])
-    return d.groupBy("ep").agg(F.coalesce(F.avg(off), F.lit(0.0)).alias("error"))
+    return d, [F.col(f"d_{c}") - sum((F.col(a) * float(fit[i, j]) for i, a in enumerate(x)), F.lit(0.0)) for j, c in enumerate(states)]
+
+
+def transition_errors(steps: DataFrame, states: tuple[str, ...] = ("s0",), actions: tuple[str, ...] = ("a0",), ridge: float = RIDGE) -> DataFrame:
+    """(ep, error): mean distance of the next state from a linear forecast out of
+    state and action that all episodes share; 0 below 2 steps.
+
+    The normal equations are sums, added up before the shuffle; a matrix of the
+    dimensions is solved on the driver.
+    """
+    d, off = _residuals(steps, states, actions, ridge)
+    return d.groupBy("ep").agg(F.coalesce(F.avg(norm(off)), F.lit(0.0)).alias("error"))
+
+
+def transition_flag(steps: DataFrame, states: tuple[str, ...] = ("s0",), actions: tuple[str, ...] = ("a0",), ridge: float = RIDGE) -> DataFrame:
+    """(metric, value, level): the root of the mean squared residual of the forecast
+    over all steps and dimensions, a note; no row without transitions."""
+    d, off = _residuals(steps, states, actions, ridge)
+    squares = sum((r * r for r in off), F.lit(0.0)) / float(len(off))
+    g = d.agg(F.sqrt(F.avg(squares)).alias("value")).where("value is not null")
+    return g.select(F.lit("dynamics_prediction_rmse").alias("metric"), "value", F.lit("INFO").alias("level"))
 
 
 def failure_diagnosis(features: DataFrame, failure: DataFrame, cols: list[str]) -> DataFrame:

@@ -168,6 +168,21 @@ def detector_scores(labels: DataFrame, key: DataFrame, snapshots: DataFrame, pos
     return g.select("detector", "n", F.when(F.col("f") > 0, F.col("tp") / F.col("f")).alias("precision"), F.when(F.col("b") > 0, F.col("tp") / F.col("b")).alias("recall"))
 
 
+def detectors(signals: DataFrame, risk: float = 0.5, anomaly: float = 0.5) -> DataFrame:
+    """(ep, and a boolean a detector): which detectors fire on each episode.
+
+    ``signals``: ep, stage1_fail, video_fault, short_outlier (booleans), duplicate_of,
+    quality_risk, anomaly.  Blocked are failures of the gate, of video, and copies; flagged
+    are these and short ones.  A null counts as not fired.
+    """
+    fires = lambda c: F.coalesce(c, F.lit(False))
+    stage1, video, copy, short = (fires(c) for c in (F.col("stage1_fail"), F.col("video_fault"), F.col("duplicate_of").isNotNull(), F.col("short_outlier")))
+    return signals.select(
+        "ep", (stage1 | video | copy | short).alias("flagged"), (stage1 | video | copy).alias("blocked"), copy.alias("duplicate"), short.alias("short_outlier"), stage1.alias("stage1_fail"),
+        video.alias("video_fault"), fires(F.col("quality_risk") >= risk).alias("quality_risk"), fires(F.col("anomaly") >= anomaly).alias("anomaly"),
+    )
+
+
 def calibrated_weights(outcomes: DataFrame, cols: list[str], target: str = "success", least: int = 10) -> dict[str, float] | None:
     """Least-squares weights of the outcomes' figures (and "bias") for their
     success; None with fewer than ``least`` rows.  The sums are aggregated, a matrix of the figures is solved."""

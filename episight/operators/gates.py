@@ -78,6 +78,22 @@ def dispositions(gate: DataFrame, selected: DataFrame, redundant: str = DROP) ->
     return d.select("ep", F.when(F.col("status") == "bad", DROP).when(F.col("status") == "not_evaluated", REVIEW).when(F.col("chosen"), KEEP).otherwise(redundant).alias("disposition"))
 
 
+def characterised(gate: DataFrame, selected: DataFrame, lengths: DataFrame, assessed: DataFrame, redundant: str = DROP) -> DataFrame:
+    """(ep, disposition, n_steps, score, quality_risk, anomaly, coverage_value,
+    redundancy, integrity_flags): each decision with what it rests on.
+
+    score is 100 less the risk in percent, redundancy 1 less the coverage value; null where those are
+    null or the episode isn't in ``assessed`` (ep, quality_risk, anomaly, coverage_value).  Flags are
+    the gate's reasons of dropped episodes, else empty.
+    """
+    d = dispositions(gate, selected, redundant).join(gate.select("ep", "reasons", "status"), "ep").join(lengths.select("ep", "n_steps"), "ep", "left")
+    d = d.join(assessed.select("ep", "quality_risk", "anomaly", "coverage_value"), "ep", "left")
+    return d.select(
+        "ep", "disposition", "n_steps", F.round(100.0 * (1.0 - F.col("quality_risk")), 1).alias("score"), "quality_risk", "anomaly", "coverage_value",
+        F.round(1.0 - F.col("coverage_value"), 4).alias("redundancy"), F.when(F.col("status") == "bad", F.col("reasons")).otherwise("").alias("integrity_flags"),
+    )
+
+
 #: The dispositions with which an episode stays in the data.
 KEEP_LIKE = ("keep", "downweight", "annotate")
 

@@ -239,10 +239,10 @@ def diagnose(failed: DataFrame, training: DataFrame, cols: list[str], success: f
     return d.select("ep", "nearest", "distance", "n_close", "n_near", "verdict", "to_collect", F.round(after, 1).alias("success_after"))
 
 
-def collection_focus(failures: DataFrame, dims: tuple[str, ...], most: int = 8) -> DataFrame:
+def collection_focus(failures: DataFrame, dims: tuple[str, ...], most: int = 8, digits: int = 4) -> DataFrame:
     """(ep, dim, low, high): where to collect for each failure, its mean and one and a half deviations
     (0.05 at least) on each side, of the first ``most`` dimensions."""
     f = coverage.episode_features(failures, dims[:most])
     width = lambda c: 1.5 * F.greatest(F.col(f"d_{c}"), F.lit(0.05))
     rows = F.array(*[F.struct(F.lit(c).alias("dim"), (F.col(f"m_{c}") - width(c)).alias("low"), (F.col(f"m_{c}") + width(c)).alias("high")) for c in dims[:most]])
-    return f.select("ep", F.explode(rows).alias("r")).select("ep", "r.dim", F.round("r.low", 4).alias("low"), F.round("r.high", 4).alias("high"))
+    return f.select("ep", F.explode(rows).alias("r")).select("ep", "r.dim", F.round("r.low", digits).alias("low"), F.round("r.high", digits).alias("high"))

@@ -39,6 +39,16 @@ def gate(fp: DataFrame) -> DataFrame:
     return fp.withColumn("passed", ok)
 
 
+def whole_aggregate(fp: DataFrame, points: DataFrame, cols: list[str], key: str = "ep") -> DataFrame:
+    """One row: means of the figures and of the coherence (null where it isn't known), and
+    diversity, the mean distance to the nearest other of ``points`` (a row a kept pair; a sample, as
+    the figure is defined).  Without pairs all are 0."""
+    from .embed import mean_nearest
+
+    figures = fp.agg(*[F.coalesce(F.avg(c), F.when(F.count("*") == 0, 0.0)).alias(c) for c in ("coherence", "repetition", "template", "words")])
+    return figures.crossJoin(mean_nearest(points, cols, key).withColumnRenamed("distance", "diversity"))  # one row each
+
+
 def aggregate(fp: DataFrame) -> DataFrame:
     """One row: means of the figures."""
     return fp.agg(F.avg("repetition").alias("repetition"), F.avg("template").alias("template"), F.avg("words").alias("words"))

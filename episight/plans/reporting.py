@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coverage, one_shot, surprise, tasks, timing
+from ..operators import coverage, dynamics, evidence, gates, one_shot, scoring, sft, surprise, tasks, timing
+from ..sources.episodes import table, turns
 from .analysis import _report, _voxels
-from .catalog import ACTIVE, GRIPPER, LINE_DIMS, _summary, ev, figures, li, query, shown
+from .catalog import ACTIVE, GRIPPER, LINE_DIMS, _assessed, _influence, _summary, _vectors, ev, figures, li, query, shown
 
 POLICIES = ("act", "diffusion_policy", "octo")
 FAILED_DIMS = ("a2", "a3")
@@ -81,4 +82,43 @@ def diagnosed_failures(spark, d):
 
 @query
 def collection_focus(spark, d):
-    return shown(one_shot.collection_focus(li(spark, d).where("l_returnflag = 'R'"), LINE_DIMS), digits=4)
+    return shown(one_shot.collection_focus(li(spark, d).where("l_returnflag = 'R'"), LINE_DIMS, digits=9), digits=8)
+
+
+@query
+def transition_flag(spark, d):
+    return shown(dynamics.transition_flag(ev(spark, d)), digits=4)
+
+
+@query
+def characterised_episodes(spark, d):
+    """Decisions of the gate on even users, with the influence of the supplier of a number as their coverage."""
+    f = figures(spark, d)
+    worth = _influence(spark, d).select("ep", F.round("influence", 4).alias("coverage_value"))
+    assessed = _assessed(spark, d).drop("coverage_value").join(worth, "ep", "left")
+    return shown(gates.characterised(gates.quality_gate(f), f.where("ep % 2 = 0").select("ep"), f.select("ep", "n_steps"), assessed))
+
+
+@query
+def fault_detectors(spark, d):
+    """Which detectors fire on users, all of whose episodes are there twice, the even ones' unchanged."""
+    f, assessed = figures(spark, d), _assessed(spark, d)
+    fence = coverage.short_episodes(f.select("ep", "n_steps")).select("fence")
+    copied = one_shot.copies(doubled(spark, d), ("a0", "s0")).select((F.col("ep") - COPY).alias("ep"), F.col("original").alias("duplicate_of"))
+    s = f.crossJoin(F.broadcast(fence)).select("ep", (F.col("n_steps") < F.col("fence")).alias("short_outlier"), F.lit(None).cast("boolean").alias("video_fault"))  # one row
+    s = s.join(gates.quality_gate(f).select("ep", (F.col("status") == "bad").alias("stage1_fail")), "ep").join(copied, "ep", "left")
+    return evidence.detectors(s.join(assessed.select("ep", F.round("quality_risk", 6).alias("quality_risk"), F.round("anomaly", 6).alias("anomaly")), "ep"), 0.4, 0.9)
+
+
+@query
+def whole_sft_outcome(spark, d):
+    """The outcome of pairs that pass the gate, with vectors for instruction and response."""
+    pairs = turns(table(spark, d, "conversations"))
+    v, cols = _vectors(spark, d)
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    own = lambda name: e.select(F.col("vec_id").alias(f"_{name}"), F.col("embedding").alias(name))
+    met = pairs.withColumns({"_left": F.col("conv_id") % n, "_right": (F.col("conv_id") * 7 + F.col("turn")) % n}).join(own("left"), "_left").join(own("right"), "_right")
+    kept = sft.gate(sft.with_coherence(sft.fingerprint(pairs), met, "left", "right").withColumn("coherence", F.round("coherence", 12))).where("passed")
+    points = kept.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), (F.col("conv_id") % n).alias("ep")).join(v, "ep").select("key", *cols)
+    return scoring.outcome(sft.whole_aggregate(kept, points, cols, "key"), scoring.SFT_OUTCOME)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .analysis_sql import SIMILAR
 from .analysis_sql import SQL as ANALYSIS
-from .oracles import DIMS, EV, LI, SUMMARY, TIMING, outcome
+from .oracles import DIMS, EV, FIGURES, GATE, LI, PAIRS, SUMMARY, TIMING, fingerprint, outcome
 from .oracles import SQL as CORE
 
 DOUBLED = f"""{EV}, db as (select ep, step, a0, s0 from ev union all select ep + 1000000, step, case when ep % 2 = 1 then a0 + 1 else a0 end, s0 from ev),
@@ -85,5 +85,20 @@ select round(s, 1) as heuristic, round(m, 1) as score, round(w, 3) as weight, ca
     "diagnosed_failures": f"""with {DIAGNOSED} select scale, ep, round(distance, 5) + 0.0 as distance, n_close, n_near, verdict, to_collect,
   round(case when to_collect > 0 then least(61.5 + least(0.5, to_collect * 0.03) * 10 / 1.5, 100) else 61.5 end, 1) as success_after from v""",
     "collection_focus": f"""with {LI}, f as (select ep, {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}" for c in DIMS)} from li where l_returnflag = 'R' group by ep),
-""" + " union all ".join(f"select ep, '{c}' as dim, round(m_{c} - 1.5 * greatest(d_{c}, 0.05), 4) + 0.0 as low, round(m_{c} + 1.5 * greatest(d_{c}, 0.05), 4) + 0.0 as high from f" for c in DIMS).join(("x as (", ") select * from x")),
+""" + " union all ".join(f"select ep, '{c}' as dim, round(m_{c} - 1.5 * greatest(d_{c}, 0.05), 8) + 0.0 as low, round(m_{c} + 1.5 * greatest(d_{c}, 0.05), 8) + 0.0 as high from f" for c in DIMS).join(("x as (", ") select * from x")),
+    "transition_flag": f"""{CORE["transition_dynamics"].split("select ep, round")[0]} select 'dynamics_prediction_rmse' as metric, round(sqrt(avg(pow(ds - ws * s0 - wa * a0, 2))), 4) + 0.0 as value, 'INFO' as level from x, f""",
+    "characterised_episodes": f"""with {FIGURES}, {GATE}, ea as ({CORE["episode_assessment"]}), inf as ({CORE["influence"]})
+select g.ep, case when status = 'bad' then 'drop' when status = 'not_evaluated' then 'review' when g.ep % 2 = 0 then 'keep' else 'drop' end as disposition, n_steps, round(100 * (1 - quality_risk), 1) as score,
+  quality_risk, anomaly, round(influence, 4) as coverage_value, round(1 - round(influence, 4), 4) + 0.0 as redundancy, case when status = 'bad' then reasons else '' end as integrity_flags
+from gate g join figures using (ep) left join ea using (ep) left join inf using (ep)""",
+    "fault_detectors": f"""with {DOUBLED}, ea as ({CORE["episode_assessment"]}), gt as ({CORE["quality_gate"]}), n as (select ep, count(*) as n_steps from ev group by ep),
+q as (select quantile_cont(n_steps, 0.25) as q1, median(n_steps) as m, quantile_cont(n_steps, 0.75) as q3 from n),
+s as (select n.ep, coalesce(status = 'bad', false) as stage1, cp.ep is not null as copy, coalesce(n_steps < q1 - 1.5 * greatest(q3 - q1, 0.25 * m), false) as short, quality_risk, anomaly
+  from n cross join q join gt using (ep) join ea using (ep) left join cp on cp.ep = n.ep + 1000000)
+select ep, stage1 or copy or short as flagged, stage1 or copy as blocked, copy as duplicate, short as short_outlier, stage1 as stage1_fail, false as video_fault, coalesce(quality_risk >= 0.4, false) as quality_risk, coalesce(anomaly >= 0.9, false) as anomaly from s""",
+    "whole_sft_outcome": f"""with {PAIRS}, {fingerprint("pr")}, n as (select count(*) as n from embeddings), v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+c as (select ft.*, conv_id * 1000 + turn as key, a.v as point, round(list_cosine_similarity(a.v, b.v), 12) as coherence from ft, n join v a on a.vec_id = ft.conv_id % n.n join v b on b.vec_id = (ft.conv_id * 7 + ft.turn) % n.n),
+kept as (select * from c where passed and coalesce(coherence >= 0.10, true)), sm as (select key, point from kept order by md5('42|' || key), key limit 2000),
+nn as (select a.key, min(list_distance(a.point, b.point)) as d from sm a join sm b on a.key <> b.key group by 1),
+ag as (select avg(coherence) as coherence, avg(repetition) as repetition, avg(template) as template, avg(words) as words, (select coalesce(avg(d), 0) from nn) as diversity from kept), """ + outcome("ag", {"coherence": (15.0, 30.0, 0.15, 0.05), "repetition": (10.0, 20.0, 0.25, 0.40), "template": (8.0, 18.0, 0.10, 0.30), "words": (10.0, 20.0, 15.0, 5.0), "diversity": (12.0, 22.0, 0.15, 0.05)}),
 }

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from episight.operators import one_shot, scoring, timing
+from episight.operators import dynamics, evidence, gates, one_shot, scoring, sft, timing
 
 FLAGS = "metric string, value double, level string"
 
@@ -172,3 +172,49 @@ def test_failure_scales(spark):
     assert (other[0].m_x, other[0].m_y, other[0].d_x, other[0].d_y) == (0.5, 1.0, 1.0, 0.0)
     focus = {(r.ep, r.dim): (r.low, r.high) for r in one_shot.collection_focus(steps, ("x", "y")).collect()}
     assert focus[0, "x"] == (0.5, 3.5) and focus[0, "y"] == (4.925, 5.075)
+
+
+def test_characterised_episodes(spark):
+    gate = spark.createDataFrame([(0, "", "clean"), (1, "spike_rate", "bad"), (2, "", "clean"), (3, "", "not_evaluated")], "ep long, reasons string, status string")
+    assessed = spark.createDataFrame([(0, 0.1234, 0.0, 0.25), (1, 1.0, 0.9, None), (2, None, None, 0.5)], "ep long, quality_risk double, anomaly double, coverage_value double")
+    lengths = spark.createDataFrame([(i, 10 * i) for i in range(3)], "ep long, n_steps long")
+    got = {r.ep: r for r in gates.characterised(gate, spark.createDataFrame([(0,), (1,)], "ep long"), lengths, assessed, "downweight").collect()}
+    assert [got[i].disposition for i in range(4)] == ["keep", "drop", "downweight", "review"]
+    assert [got[i].score for i in range(4)] == [87.7, 0.0, None, None]
+    assert [got[i].redundancy for i in range(4)] == [0.75, None, 0.5, None]
+    assert [got[i].integrity_flags for i in range(4)] == ["", "spike_rate", "", ""]
+    assert [got[i].n_steps for i in range(4)] == [0, 10, 20, None]
+
+
+def test_detectors_take_nulls_as_silent(spark):
+    schema = "ep long, stage1_fail boolean, video_fault boolean, short_outlier boolean, duplicate_of long, quality_risk double, anomaly double"
+    rows = [(0, True, False, False, None, 0.5, 0.49), (1, None, None, None, None, None, None), (2, False, True, False, 7, 0.1, 0.5), (3, False, False, True, None, 0.1, 0.1)]
+    got = {r.ep: r.asDict() for r in evidence.detectors(spark.createDataFrame(rows, schema)).collect()}
+    fired = {e: {k for k, v in r.items() if v is True} for e, r in got.items()}
+    assert fired == {0: {"flagged", "blocked", "stage1_fail", "quality_risk"}, 1: set(), 2: {"flagged", "blocked", "duplicate", "video_fault", "anomaly"}, 3: {"flagged", "short_outlier"}}
+    assert all(v is not None for r in got.values() for v in r.values())
+
+
+def test_transition_residuals_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(5)
+    episodes = {e: rng.normal(size=(int(n), 4)) for e, n in enumerate((30, 2, 1, 45))}
+    df = spark.createDataFrame([(e, s, *map(float, r)) for e, x in episodes.items() for s, r in enumerate(x)], "ep long, step long, s0 double, s1 double, a0 double, a1 double")
+    x = np.concatenate([v[:-1] for v in episodes.values()])
+    dy = np.concatenate([np.diff(v[:, :2], axis=0) for v in episodes.values()])
+    w = np.linalg.solve(x.T @ x + 1e-4 * np.eye(4), x.T @ dy)
+    left = dy - x @ w
+    flag = dynamics.transition_flag(df, ("s0", "s1"), ("a0", "a1")).first()
+    assert flag.value == pytest.approx(np.sqrt((left**2).mean())) and (flag.metric, flag.level) == ("dynamics_prediction_rmse", "INFO")
+    per = {r.ep: r.error for r in dynamics.transition_errors(df, ("s0", "s1"), ("a0", "a1")).collect()}
+    assert per[0] == pytest.approx(np.linalg.norm(left[:29], axis=1).mean()) and per[2] == 0.0
+    assert dynamics.transition_flag(df.where("ep = 2"), ("s0", "s1"), ("a0", "a1")).count() == 0
+
+
+def test_whole_text_figures(spark):
+    schema = "coherence double, repetition double, template double, words double"
+    points = spark.createDataFrame([(0, 0.0, 0.0), (1, 3.0, 4.0), (2, 3.0, 5.0)], "ep long, x double, y double")
+    fp = spark.createDataFrame([(0.2, 0.1, 0.0, 10.0), (None, 0.3, 0.2, 20.0)], schema)
+    got = sft.whole_aggregate(fp, points, ["x", "y"]).first()
+    assert tuple(got) == pytest.approx((0.2, 0.2, 0.1, 15.0, (5 + 1 + 1) / 3))
+    assert tuple(sft.whole_aggregate(fp.where("false"), points.where("false"), ["x", "y"]).first()) == (0, 0, 0, 0, 0)
+    assert sft.whole_aggregate(fp.where("coherence is null"), points, ["x", "y"]).first().coherence is None
