@@ -82,7 +82,7 @@ def diagnosed_failures(spark, d):
 
 @query
 def collection_focus(spark, d):
-    return shown(one_shot.collection_focus(li(spark, d).where("l_returnflag = 'R'"), LINE_DIMS, digits=12))
+    return shown(one_shot.collection_focus(li(spark, d).where("l_returnflag = 'R'"), LINE_DIMS, digits=13), digits=9)
 
 
 @query

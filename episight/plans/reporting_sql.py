@@ -85,7 +85,7 @@ select round(s, 1) as heuristic, round(m, 1) as score, round(w, 3) as weight, ca
     "diagnosed_failures": f"""with {DIAGNOSED} select scale, ep, round(distance, 5) + 0.0 as distance, n_close, n_near, verdict, to_collect,
   round(case when to_collect > 0 then least(61.5 + least(0.5, to_collect * 0.03) * 10 / 1.5, 100) else 61.5 end, 1) as success_after from v""",
     "collection_focus": f"""with {LI}, f as (select ep, {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}" for c in DIMS)} from li where l_returnflag = 'R' group by ep),
-""" + " union all ".join(f"select ep, '{c}' as dim, round(m_{c} - 1.5 * greatest(d_{c}, 0.05), 6) + 0.0 as low, round(m_{c} + 1.5 * greatest(d_{c}, 0.05), 6) + 0.0 as high from f" for c in DIMS).join(("x as (", ") select * from x")),
+""" + " union all ".join(f"select ep, '{c}' as dim, round(m_{c} - 1.5 * greatest(d_{c}, 0.05), 9) + 0.0 as low, round(m_{c} + 1.5 * greatest(d_{c}, 0.05), 9) + 0.0 as high from f" for c in DIMS).join(("x as (", ") select * from x")),
     "transition_flag": f"""{CORE["transition_dynamics"].split("select ep, round")[0]} select 'dynamics_prediction_rmse' as metric, round(sqrt(avg(pow(ds - ws * s0 - wa * a0, 2))), 4) + 0.0 as value, 'INFO' as level from x, f""",
     "characterised_episodes": f"""with {FIGURES}, {GATE}, ea as ({CORE["episode_assessment"]}), inf as ({CORE["influence"]})
 select g.ep, case when status = 'bad' then 'drop' when status = 'not_evaluated' then 'review' when g.ep % 2 = 0 then 'keep' else 'drop' end as disposition, n_steps, round(100 * (1 - quality_risk), 1) as score,
