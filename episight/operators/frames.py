@@ -68,13 +68,20 @@ def blur_outliers(episodes: DataFrame) -> DataFrame:
     return d.select("ep", "sharpness", ((F.col("n") >= 4) & (F.col("sharpness") < fence)).alias("blurry"))
 
 
-def frame_flags(episodes: DataFrame, min_run: int = 5) -> DataFrame:
-    """(metric, value, level) of duplicate frames, freezes and blur over all episodes."""
+def frame_flags(episodes: DataFrame, min_run: int = 5, draws: int = 0, level_of_interval: float = 0.95) -> DataFrame:
+    """(metric, value, level) of duplicate frames, freezes and blur over all
+    episodes.  With ``draws`` the duplicate rate also gets low and high, percentiles of resampled means."""
     blur = blur_outliers(episodes).agg(F.avg(F.col("blurry").cast("double")).alias("value")).select(F.lit("blurry_episode_fraction").alias("metric"), "value", upper_level(F.col("value"), 0.05, 0.15).alias("level"))
     dup = episodes.agg(F.avg("duplicate_fraction").alias("value")).select(F.lit("duplicate_frame_rate").alias("metric"), "value", upper_level(F.col("value"), 0.05, 0.15).alias("level"))
     froze = episodes.where("freeze_run is not null").agg(F.avg((F.col("freeze_run") >= min_run).cast("double")).alias("value"))
     level = F.when(F.col("value") >= 0.10, "CRITICAL").when(F.col("value") > 0, "WARNING").otherwise("OK")
-    return blur.unionByName(dup).unionByName(froze.select(F.lit("camera_freeze_events").alias("metric"), "value", level.alias("level")))
+    out = blur.unionByName(dup).unionByName(froze.select(F.lit("camera_freeze_events").alias("metric"), "value", level.alias("level")))
+    if draws:
+        from .dynamics import bootstrap_means
+
+        rates = episodes.select(F.lit("duplicate_frame_rate").alias("metric"), "ep", F.col("duplicate_fraction").alias("value"))
+        out = out.join(bootstrap_means(rates, draws, level_of_interval).drop("mean"), "metric", "left")
+    return out
 
 
 def motion_pairs(frames: DataFrame, dims: tuple[str, ...]) -> DataFrame:

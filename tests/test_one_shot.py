@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from episight.operators import dynamics, evidence, gates, one_shot, scoring, sft, timing
+from episight.operators import dynamics, evidence, frames, gates, one_shot, scoring, sft, timing
 
 FLAGS = "metric string, value double, level string"
 
@@ -218,3 +218,16 @@ def test_whole_text_figures(spark):
     assert tuple(got) == pytest.approx((0.2, 0.2, 0.1, 15.0, (5 + 1 + 1) / 3))
     assert tuple(sft.whole_aggregate(fp.where("false"), points.where("false"), ["x", "y"]).first()) == (0, 0, 0, 0, 0)
     assert sft.whole_aggregate(fp.where("coherence is null"), points, ["x", "y"]).first().coherence is None
+
+
+def test_duplicate_rate_has_an_interval(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(0, 0.3, 150)
+    e = spark.createDataFrame([(i, 1.0, float(v), 0) for i, v in enumerate(x)] + [(999, 1.0, None, None)], "ep long, sharpness double, duplicate_fraction double, freeze_run long")
+    got = {r.metric: r for r in frames.frame_flags(e, draws=500).collect()}
+    means = [rng.choice(x, len(x)).mean() for _ in range(2000)]
+    d = got["duplicate_frame_rate"]
+    assert (d.low, d.high) == pytest.approx((np.percentile(means, 2.5), np.percentile(means, 97.5)), abs=0.01)
+    assert d.value == pytest.approx(x.mean()) and got["camera_freeze_events"].low is None
+    plain = {r.metric: tuple(r) for r in frames.frame_flags(e).collect()}
+    assert plain == {m: (r.metric, r.value, r.level) for m, r in got.items()}
