@@ -210,3 +210,78 @@ def test_long_words_are_spelled_whole():
         L.PIECE = piece
     for a, b in zip([node, bit, *L.spell(code, [b"ab", long, b""], 14)[2], late], [whole[0], whole[1], *whole[2], whole[3]]):
         assert (a == b).all()
+
+
+def slow_refined(weights, scale, words):
+    """Log-probability of each word (rows of five log-odds in sixteenths and a gate), one decision after another."""
+    w, sc, out = [[float(a) for a in g] for g in weights], [float(a) for a in scale], []
+    at, step, ends = 0, L.FIRST_STEP, L.FIRST_STEP
+    moves, drawn = [[0.0] * L.PREDICTORS for _ in w], [0.0] * L.SCALES
+    bound = lambda a: max(-L.MOST, min(L.MOST, a))
+    for rows in words:
+        total = 0.0
+        for *x, gate in rows:
+            if at == ends:
+                w = [[a + bound(L.RATE * b) for a, b in zip(g, m)] for g, m in zip(w, moves)]
+                sc = [max(0.05, a + bound(L.SCALE_RATE * b)) for a, b in zip(sc, drawn)]
+                moves, drawn = [[0.0] * L.PREDICTORS for _ in w], [0.0] * L.SCALES
+                step = min(L.STEP, ends)
+                ends += step
+            s = sum(a / 16 * b for a, b in zip(x, w[gate]))
+            rank = min(int(abs(s) * 1.5), L.SCALES - 1)
+            z = max(-15, min(15, s * sc[rank]))
+            total -= math.log1p(math.exp(-z))
+            err = 1 / (1 + math.exp(z))
+            moves[gate] = [a + err * sc[rank] * b / 16 for a, b in zip(moves[gate], x)]
+            drawn[rank] += err * s
+            at += 1
+        out.append(total)
+    return out
+
+
+def test_online_mixing_equals_a_slow_mixer():
+    rng = np.random.default_rng(3)
+    many = rng.integers(1, 40, 300)
+    many[7] = 3000  # a word of several steps
+    rows = np.zeros((int(many.sum()), 8), np.int8)
+    rows[:, : L.PREDICTORS] = rng.integers(-60, 127, (len(rows), L.PREDICTORS))
+    rows[:, L.PREDICTORS] = rng.integers(0, L.GATES, len(rows))
+    start = np.cumsum(many) - many
+    size = np.array([1, 900, 3, 40, *rng.integers(1, 60, 200)])
+    flat = rng.integers(0, 300, int(size.sum()))
+    weights, scale = np.tile(L.START, (L.GATES, 1)), np.linspace(0.8, 1.3, L.SCALES)
+    got = L.refined(weights, scale, rows.view(np.uint64).ravel(), start, many, flat, size)
+    at = 0
+    for n in size:
+        want = slow_refined(weights, scale, [rows[start[k] : start[k] + many[k], : L.PREDICTORS + 1].tolist() for k in flat[at : at + n]])
+        assert got[at : at + n] == pytest.approx(want, rel=2e-3, abs=2e-3)
+        assert got[at : at + n].sum() == pytest.approx(sum(want), rel=1e-4)
+        at += n
+
+
+def test_odd_decisions_leave_the_weights_finite():
+    for x in (-127, 127):
+        rows = np.full((5000, 8), x, np.int8)
+        rows[:, L.PREDICTORS] = 3
+        got = L.refined(np.tile(L.START, (L.GATES, 1)), np.ones(L.SCALES), rows.view(np.uint64).ravel(), np.array([0]), np.array([5000]), np.zeros(20, np.int64), np.array([20]))
+        assert np.isfinite(got).all() and (got < 0).all()
+
+
+def test_the_query_mixes_online(spark):
+    from episight.llm import queries
+
+    rows = {r.doc_id: r for r in queries.op2_lm_score(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fixed = {r.doc_id: r for r in L.lm_scores(docs).collect()}
+    assert {i: r.base_score for i, r in rows.items()} == pytest.approx({i: r.base_score for i, r in fixed.items()}, rel=1e-9)
+    held_out = [i for i, r in rows.items() if r.held_out]
+    assert sum(rows[i].score for i in held_out) > sum(fixed[i].score for i in held_out)  # fewer bits: weights fit each text
+    other = {r.doc_id: r.score for r in L.lm_scores(docs.repartition(13, "lang", "doc_id"), online=True).collect()}
+    assert other == pytest.approx({i: r.score for i, r in rows.items()}, rel=1e-9)
+
+
+@pytest.mark.parametrize("which", ["edge", "empty"])
+def test_online_scores_of_odd_texts(request, which):
+    docs = request.getfixturevalue(which)
+    got = L.lm_scores(docs, online=True).collect()
+    assert same_ids(got, docs) and all(r.score < 0 and math.isfinite(r.score) for r in got)
