@@ -10,16 +10,22 @@ what its parts give; where they differ the window grows, until both agree or
 it is the whole text, whose encoding then stands.
 
 The inside of a new chunk is encoded from a dictionary of its white-space
-separated words, so a word is given to the tokenizer once a task as well.
+separated words, so a word is given to the tokenizer once a task as well, many
+new words in one text.  Its ids are dealt to the words by what they spell; where
+they don't spell the words, these are encoded one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +82,12 @@ class Codec:
         self._check()
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.decimal = [str(i) for i in range(len(self.names))]
+        self.columns = [pa.array(x, pa.string()) for x in (self.decimal, self.names)]
         self.letter, self.spelled = byte_letters(), spelled
+        suffix, byte = self.suffix, defaultdict(lambda: 255, {ord(c): b[0] for c, b in self.letter.items()})  # 255 is in no text
+        self.spell = [(t or "").removesuffix(suffix).translate(byte).encode("latin-1") or b"\xff" for t in self.names]
+        self.width = np.array([len(x) for x in self.spell])
+        self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("A") == "a"
         self.agreed: dict[bytes, None] = {}  # windows whose encoding is that of their parts
         self.repaired = self.rejoined = 0  # windows that had to grow; texts that were encoded whole
         self.mean, self.max_words, self.max_bytes = mean_chunk, max_words, max_chunk_bytes
@@ -108,12 +119,38 @@ class Codec:
         back = "".join([self.names[i].removesuffix(self.suffix) for i in ids])
         return normal.translate(NO_SPACE).encode() == b"".join([self.letter.get(c) or c.encode() for c in back])
 
-    def _learn(self, new: set[bytes]) -> None:
-        order = [w.decode("utf-8", "replace") for w in new]
-        for raw, w, e in zip(new, order, self.tok.encode_batch_fast(order, add_special_tokens=False)):
-            ids = e.ids
-            same = not self.spelled or self._spells(w, ids)
-            self.words[raw] = (len(ids), " ".join([self.decimal[i] for i in ids]), " ".join([self.names[i] for i in ids]), same)
+    def _learn(self, new: set[bytes], together: int = 64) -> None:
+        raw = list(new)
+        words = [w.decode("utf-8", "replace") for w in raw]
+        order, ids, widths, alone = [], [], [], []
+        texts = [" ".join(words[s : s + together]) for s in range(0, len(words), together)]
+        for k, (text, e) in enumerate(zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False))):
+            group, got = raw[k * together : (k + 1) * together], e.ids
+            normal = unicodedata.normalize("NFC", text.lower() if self.lowers else text).encode().split(b" ")
+            if len(normal) == len(group) and all(normal) and b"".join([self.spell[i] for i in got]) == b"".join(normal):
+                order += group
+                ids += got
+                widths += map(len, normal)
+            else:
+                alone += group
+        reach, ends = np.cumsum(self.width[np.array(ids, np.int64)]), np.cumsum(widths)
+        last = np.searchsorted(reach, ends)  # the id with which each word ends
+        sizes = np.diff(last, prepend=-1).tolist()
+        if not np.array_equal(reach[last], ends):
+            order, ids, sizes, alone = [], [], [], raw
+        for e in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False):
+            ids += e.ids
+            sizes.append(len(e.ids))
+        start = np.cumsum([0, *sizes])
+        order += alone
+        flat = pa.array(ids, pa.int64())
+        lists = [pa.ListArray.from_arrays(start.astype(np.int32), c.take(flat)) for c in self.columns]
+        spelled = [pc.binary_join(x, " ").to_numpy(zero_copy_only=False).tolist() for x in lists]
+        same = [True] * len(order)
+        if self.spelled:
+            at = start.tolist()
+            same = [self._spells(w.decode("utf-8", "replace"), ids[a:b]) for w, a, b in zip(order, at, at[1:])]
+        self.words.update(zip(order, zip(sizes, *spelled, same)))
 
     @property
     def suffix(self) -> str:
@@ -160,9 +197,6 @@ class Codec:
         """For each text its number of ids, the ids and the token names, both
         joined by spaces, and if asked whether the tokens spell the normalised text (but for white space)."""
         # the oldest go first; what is needed again is encoded again
-        if len(self.words) > self.max_words:
-            for w in list(islice(self.words, len(self.words) - self.max_words * 3 // 4)):
-                del self.words[w]
         if self.held > self.max_bytes:
             for chunk in list(islice(self.chunks, len(self.chunks) // 2)):
                 del self.chunks[chunk]
@@ -200,7 +234,12 @@ class Codec:
         for parts in fresh.values():
             if parts is not None:
                 need.update(parts[1])
-        self._learn({w for w in need if w not in self.words})
+        if len(self.words) > self.max_words:
+            for w in list(islice(self.words, len(self.words) - self.max_words * 3 // 4)):
+                x = self.words.pop(w)
+                if w in need:
+                    self.words[w] = x
+        self._learn(need.difference(self.words))
         for chunk, parts in fresh.items():
             self.chunks[chunk] = None if parts is None else (parts[0], self._join(parts[1]), parts[2])
             self.held += 4 * len(chunk) + 300
@@ -215,9 +254,10 @@ class Codec:
 
 def joined(parts) -> tuple[int, str, str, bool]:
     """Encodings one after another; those without ids only count for the last figure."""
-    parts = list(parts)
-    got = [x for x in parts if x[0]]
-    return sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got]), all(x[3] for x in parts)
+    n, ids, names, same = list(zip(*parts)) or [()] * 4
+    if 0 in n:
+        ids, names = [x for x, k in zip(ids, n) if k], [x for x, k in zip(names, n) if k]
+    return sum(n), " ".join(ids), " ".join(names), all(same)
 
 
 def byte_letters() -> dict[str, bytes]:

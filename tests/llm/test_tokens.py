@@ -140,6 +140,42 @@ def test_joins_agree_with_the_library_and_wrong_ones_are_encoded_whole():
     assert got[3] and odd.rejoined == 1 and odd.repaired > 0 and got[1] == " ".join(map(str, want))
 
 
+def test_new_words_are_encoded_many_at_a_time():
+    codec, tok, given_ = bpe.Codec(WORDS), library(WORDS), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **how):
+            given_.extend(texts)
+            return tok.encode_batch_fast(texts, **how)
+
+    codec.tok = Watched()
+    plain = [f"Word{i},and-{i}." for i in range(640)]
+    codec._learn({w.encode() for w in plain})
+    assert len(given_) == 10  # one for each word before
+    # words that don't spell as they stand, or that have white space of their own, are encoded alone
+    odd = [w for t in ODD for w in t.split(" ") if w] + ["e\u0301", "\u1e9b\u0323", "\u0130", "\u03a3\u03a3", "</w>", "\xff", "\u212b", "a\x00b", "x\u3000y", "\u3000"]
+    codec._learn({w.encode() for w in odd})
+    for w in plain + odd:
+        ids = tok.encode(w, add_special_tokens=False).ids
+        assert codec.words[w.encode()] == (len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False), True), w
+    broken = b"caf\xe9 \xf0\x9f".split()
+    codec._learn(set(broken))
+    assert [codec.words[w][1].split() for w in broken] == [list(map(str, tok.encode(w.decode("utf-8", "replace")).ids)) for w in broken]
+
+
+def test_words_in_use_are_not_forgotten():
+    codec = bpe.Codec(WORDS, max_words=100)
+    codec.encode([b"the and of"])
+    codec.encode([b" ".join(b"w%d" % i for i in range(200))])
+    learned, learn = set(), codec._learn
+    codec._learn = lambda new: (learned.update(new), learn(new))
+    codec.encode([b"the and of one"])
+    assert learned == {b"one"} and len(codec.words) <= 100
+
+
 def test_vocabularies_that_reach_across_white_space_are_refused(tmp_path):
     import json
 
