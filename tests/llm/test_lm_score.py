@@ -285,3 +285,15 @@ def test_online_scores_of_odd_texts(request, which):
     docs = request.getfixturevalue(which)
     got = L.lm_scores(docs, online=True).collect()
     assert same_ids(got, docs) and all(r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+def test_slot_and_bit_say_what_a_decision_remembers():
+    rng = np.random.default_rng(4)
+    t = np.concatenate([rng.integers(0, 5, (70_000, 2)), rng.integers(0, 2**32, (1000, 2)), [[0, 0], [2**32 - 1, 2**32 - 1]]]).astype(np.uint32)
+    got = L.remembered(t)
+    for k in [*range(0, 70_000, 701), *range(70_000, len(t), 37), len(t) - 2, len(t) - 1]:
+        for bit in (0, 1):
+            did, did_not = max(int(t[k, bit]) - 1, 0), int(t[k, 1 - bit])
+            odds = L.quantise(np.log(np.float32((did + 0.4) / (did_not + 0.4)))) / 16
+            assert got[k, bit] & 15 == np.abs(odds - L.LEVELS).argmin()
+            assert got[k, bit] >> 4 == sum(did + did_not > x for x in (0, 4, 64))
