@@ -297,3 +297,16 @@ def test_slot_and_bit_say_what_a_decision_remembers():
             odds = L.quantise(np.log(np.float32((did + 0.4) / (did_not + 0.4)))) / 16
             assert got[k, bit] & 15 == np.abs(odds - L.LEVELS).argmin()
             assert got[k, bit] >> 4 == sum(did + did_not > x for x in (0, 4, 64))
+
+
+def test_keys_meet_in_hash_tables_where_they_fit(spark, documents, monkeypatch):
+    """A part of few keys isn't sorted; with more of them the join is sorted as before, with equal results."""
+    def run():
+        out = L.lm_scores(documents, max_table_bits=14, online=True)
+        return out._jdf.queryExecution().executedPlan().toString(), {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in out.collect()}
+
+    plan, few = run()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(L, "KEYS", 0)
+    plan, many = run()
+    assert "ShuffledHashJoin" not in plan and few == many
