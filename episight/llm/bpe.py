@@ -294,7 +294,7 @@ def encode_beside(docs: DataFrame, vocabulary: str, text_col: str = "text", mean
     white space apart).  Own names win over clashing columns; a null text counts as empty."""
 
     def make() -> Callable:
-        codec = Codec(vocabulary, mean_chunk, max_words=200_000, spelled=True)
+        codec = Codec(vocabulary, mean_chunk, max_words=100_000, max_chunk_bytes=16 << 20, spelled=True)
 
         def work(column) -> dict[str, list]:
             out = {"n_tokens": [], "ids_text": [], "ids_sha256": [], "decoded_sha256": [], "round_trips": []}

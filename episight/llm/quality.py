@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
 WINDOW = 5
@@ -265,11 +267,14 @@ def figs_iterator(vocabulary: str):
     """The figures as a struct column, from a vectorised function over texts."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(SCHEMA.split(", ", 1)[1])
-    def figs(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        fert = Fertility(vocabulary)
+    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fert = Fertility(vocabulary, max_words=200_000)
         for s in parts:
-            got = [x for i in range(0, len(s), 1000) for x in figures(fert, s.iloc[i : i + 1000].tolist())]
+            got = [x for i in range(0, len(s), 250) for x in figures(fert, s.iloc[i : i + 250].tolist())]
             yield pd.DataFrame(got, columns=NAMES[1:])
 
+    @pandas_udf(SCHEMA.split(", ", 1)[1])
+    def figs(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidied(read)(parts)
+
     return figs

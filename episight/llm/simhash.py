@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, cut_lineage, join_skewed, texts
+from .common import Words, cut_lineage, join_skewed, texts, tidied
 
 BUCKET = 512
 #: Fingerprints compared with each other at once; larger buckets go in squares of this side.
@@ -248,16 +248,18 @@ def components(edges: DataFrame) -> DataFrame:
     joins back are plain equi-joins, whose skewed parts Spark splits.
     """
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _signature(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        down = cut_lineage(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # not cut: the exchange of distinct() is made once and read for both of its uses
+        down = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         rest = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut_lineage(low.select("a", F.col("m").alias("b")).unionByName(rest).distinct())
-        if _signature(new) == _signature(e):
+        if (now := _signature(new)) == before:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        e = new
+        e, before = new, now
 
 
 def _signature(e: DataFrame) -> tuple:
@@ -367,7 +369,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * BANDS), values)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same.view(np.int64)), pa.array(n, pa.int64()), pa.array(fp), lists], names=["doc_id", "th", "same", "n", "fp", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, same long, n long, fp long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(tidied(run), "doc_id long, th long, same long, n long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -383,7 +385,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(many)[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["same", "shingles"])
 
-    return docs.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
+    return docs.select("same", "text").mapInArrow(tidied(run), "same long, shingles array<long>")
 
 
 class Bucket:
@@ -505,7 +507,7 @@ def checked(rows: DataFrame, tenths: int, second: bool) -> DataFrame:
     def run(batches):
         yield from by_group(batches, 4, connect)
 
-    return dealt(rows, "same").select(*SET_ROWS).mapInArrow(run, LINKS)
+    return dealt(rows, "same").select(*SET_ROWS).mapInArrow(tidied(run), LINKS)
 
 
 def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -526,8 +528,7 @@ def similar_sets(sketch: DataFrame, docs: DataFrame, width: int, similarity: flo
     ends = [f(F.col("bands")[k]).alias(f"{n}{k}") for k in range(BANDS - 1) for n, f in (("least", F.min), ("most", F.max))]
     seen = [(F.col("table") > k) & (F.col(f"least{k}") == F.col(f"most{k}")) for k in range(BANDS - 1)]
     sizes = met.groupBy("table", "part").agg(F.count("*").alias("c"), *ends).where(~F.greatest(*seen))
-    sizes = cut_lineage(sizes.select("table", "part", F.ceil(F.col("c") / SET_SQUARE).cast("long").alias("m")))
-    rows = cut_lineage(met.join(sizes, ["table", "part"]))
+    rows = cut_lineage(met.join(sizes.select("table", "part", F.ceil(F.col("c") / SET_SQUARE).cast("long").alias("m")), ["table", "part"]))
     active = cut_lineage(rows.select("same").distinct().join(one.select("same", "th"), "same"))
     small = active.count() * 64 <= 64 << 20  # bytes that it may take as a broadcast
     rep = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(active) if small else active, "th")

@@ -1,5 +1,7 @@
 """The pipeline, each stage against its brute-force version over the stage's own input."""
 
+import re
+
 import public_tokenizers
 import pytest
 from test_mixing import brute as brute_copies
@@ -8,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from episight.llm import quality
+from episight.llm.common import tidied
 
 
 @pytest.mark.parametrize("which", ["documents", "edge", "empty"])
@@ -37,6 +40,28 @@ def test_stages(request, spark, small, tmp_path, which):
             assert all(r.round_trips for r in after) and set(docs.columns) <= set(out.columns)
 
 
+def held_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+
+
+def test_workers_give_memory_back():
+    """What a task has freed goes back to the system, as its worker waits for others then."""
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            texts = [b"x" * (1000 + k % 7) for k in range(n)]
+            kept.append(texts[-1])  # stands behind what is freed
+            yield n
+
+    before = held_mb()
+    assert list(tidied(run)(iter([100_000]))) == [100_000]
+    assert held_mb() - before < 30
+    list(run(iter([100_000])))
+    assert held_mb() - before > 60
+
+
 def test_run_has_the_rows_of_the_stages(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.count() > 0 and {"doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trips"} <= set(got.columns)
