@@ -40,6 +40,13 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition.isNotNull(), condition.cast("double")))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Rounded as SQL engines on doubles do it: the scaled value to the nearest whole number, halves away from zero.
+    ``F.round`` goes by the shortest decimal in place of that, which differs where a half isn't exact (62.949999999999996, 0.0640625)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * float(10**digits)) / float(10**digits)
+
+
 def out(c: Column, digits: int = 6) -> Column:
     """A figure as results show it: rounded, and never minus zero."""
     return F.round(c.cast("double"), digits) + F.lit(0.0)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import in_order, median
+from ..functions.exprs import in_order, median, rounded
 
 #: For each policy the steps that an episode needs, the share of
 #: short ones for a warning and for worse, hertz, action dimensions, cameras, episodes,
@@ -283,7 +283,7 @@ def landmark_rank(value: Column, p25: Column, p50: Column, p75: Column, p90: Col
 
 def headline_scores(assessed: DataFrame) -> DataFrame:
     """(ep, score, redundancy): 100 less the risk in percent, and 1 less the coverage value."""
-    return assessed.select("ep", F.round(100.0 * (1.0 - F.col("quality_risk")), 1).alias("score"), (1.0 - F.col("coverage_value")).alias("redundancy"))
+    return assessed.select("ep", rounded(100.0 * (1.0 - F.col("quality_risk")), 1).alias("score"), (1.0 - F.col("coverage_value")).alias("redundancy"))
 
 
 def scripted_signature(figures: DataFrame, position: bool = True) -> DataFrame:
