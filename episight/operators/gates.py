@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ramp
+from ..functions.exprs import ramp, rounded
 
 KEEP, DROP, REVIEW = "keep", "drop", "review"
 
@@ -68,7 +68,7 @@ def quality_risk(figures: DataFrame) -> DataFrame:
     part = lambda c, top: F.least(F.coalesce(F.col(c) / top, F.lit(0.0)), F.lit(1.0))
     jerk = F.coalesce(F.least(F.greatest((F.col("ldlj") + 3.0) / -27.0, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     risk = 0.35 * part("spike_rate", 0.10) + 0.35 * part("disc_rate", 0.25) + 0.20 * part("dropout", 0.10) + 0.10 * jerk
-    return figures.select("ep", F.round(risk, 6).alias("quality_risk"))
+    return figures.select("ep", rounded(risk, 6).alias("quality_risk"))
 
 
 def dispositions(gate: DataFrame, selected: DataFrame, redundant: str = DROP) -> DataFrame:
@@ -89,8 +89,8 @@ def characterised(gate: DataFrame, selected: DataFrame, lengths: DataFrame, asse
     d = dispositions(gate, selected, redundant).join(gate.select("ep", "reasons", "status"), "ep").join(lengths.select("ep", "n_steps"), "ep", "left")
     d = d.join(assessed.select("ep", "quality_risk", "anomaly", "coverage_value"), "ep", "left")
     return d.select(
-        "ep", "disposition", "n_steps", F.round(100.0 * (1.0 - F.col("quality_risk")), 1).alias("score"), "quality_risk", "anomaly", "coverage_value",
-        F.round(1.0 - F.col("coverage_value"), 4).alias("redundancy"), F.when(F.col("status") == "bad", F.col("reasons")).otherwise("").alias("integrity_flags"),
+        "ep", "disposition", "n_steps", rounded(100.0 * (1.0 - F.col("quality_risk")), 1).alias("score"), "quality_risk", "anomaly", "coverage_value",
+        rounded(1.0 - F.col("coverage_value"), 4).alias("redundancy"), F.when(F.col("status") == "bad", F.col("reasons")).otherwise("").alias("integrity_flags"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import rounded
 from ..operators import coverage, dynamics, evidence, gates, one_shot, scoring, sft, surprise, tasks, timing
 from ..sources.episodes import table, turns
 from .analysis import _report, _voxels
@@ -94,7 +95,7 @@ def transition_flag(spark, d):
 def characterised_episodes(spark, d):
     """Decisions of the gate on even users, with the influence of the supplier of a number as their coverage."""
     f = figures(spark, d)
-    worth = _influence(spark, d).select("ep", F.round("influence", 4).alias("coverage_value"))
+    worth = _influence(spark, d).select("ep", rounded("influence", 4).alias("coverage_value"))
     assessed = _assessed(spark, d).drop("coverage_value").join(worth, "ep", "left")
     return shown(gates.characterised(gates.quality_gate(f), f.where("ep % 2 = 0").select("ep"), f.select("ep", "n_steps"), assessed))
 
