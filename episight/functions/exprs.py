@@ -49,7 +49,7 @@ def rounded(c: Column | str, digits: int) -> Column:
 
 def out(c: Column, digits: int = 6) -> Column:
     """A figure as results show it: rounded, and never minus zero."""
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return rounded(c.cast("double"), digits) + F.lit(0.0)
 
 
 def upper_level(value: Column, warning: float, critical: float) -> Column:

@@ -27,9 +27,10 @@ def parse_limits(spark: SparkSession, urdf: str) -> DataFrame:
 def limit_violations(steps: DataFrame, joints: dict[str, str], limits: DataFrame) -> DataFrame:
     """(ep, joint, under, over, too_fast): shares of steps below and above the
     joint's range, and of moves faster than its limit (differences over the
-    episode's median interval).  ``joints``: columns by joint; the limits, a row a joint, are broadcast."""
+    episode's median interval).  Intervals count to the nanosecond: differences of clocks
+    in doubles are a little beside a steady period, and moves at the limit would be beyond it.  ``joints``: columns by joint; the limits, a row a joint, are broadcast."""
     w = in_order()
-    d = steps.withColumn("dt", F.col("t") - F.lag("t").over(w)).withColumn("every", median("dt").over(whole()))
+    d = steps.withColumn("dt", F.round(F.col("t") - F.lag("t").over(w), 9)).withColumn("every", median("dt").over(whole()))
     d = d.withColumns({f"v_{c}": F.abs(F.col(c) - F.lag(c).over(w)) / F.col("every") for c in joints.values()})
     rows = F.explode(F.array(*[F.struct(F.lit(j).alias("joint"), F.col(c).alias("q"), F.col(f"v_{c}").alias("v")) for j, c in joints.items()])).alias("r")
     met = d.select("ep", rows).select("ep", "r.*").join(F.broadcast(limits), "joint")
