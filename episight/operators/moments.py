@@ -80,6 +80,14 @@ class Forecast:
         x, y, yy = g[: self.n_x, : self.n_x], g[: self.n_x, self.n_x :], g[self.n_x :, self.n_x :]
         return max(0.0, float(np.trace(yy) - 2 * np.sum(self.w * y) + np.sum(self.w * (x @ self.w)))) / (n * self.n_y)
 
+    def errors(self, m: np.ndarray) -> np.ndarray:
+        """``error`` of many matrices (a row each) at once."""
+        n = m[:, self.one, self.one]
+        g = self.turn @ m @ self.turn.T
+        x, y, yy = g[:, : self.n_x, : self.n_x], g[:, : self.n_x, self.n_x :], g[:, self.n_x :, self.n_x :]
+        e = np.trace(yy, axis1=1, axis2=2) - 2 * (self.w * y).sum((1, 2)) + (self.w * (x @ self.w)).sum((1, 2))
+        return np.where(n > 0, np.maximum(e, 0.0) / (np.maximum(n, 1.0) * self.n_y), 0.0)
+
 
 def scaled_errors(errors: dict) -> dict:
     """Errors by key scaled to 0..1 over all keys; as they are if all are equal."""

@@ -55,12 +55,37 @@ class Session(StatefulProcessor):
         import pandas as pd
 
         names = [f.split()[0] for f in LOG.split(", ")]
+        types = {c: "Int64" for c in ("seq", "ep", "n_pass", "n_warn", "n_fail", "fitted")} | {"surprise": "float64"}
+
+        def kept(keys, all_, done):
+            """Episodes by number, with those that came or came again."""
+            last = {ep: own for ep, own in done}
+            if not last:
+                return keys, all_
+            new = np.array(sorted(last))
+            old = ~np.isin(keys, new)
+            keys, all_ = np.concatenate([keys[old], new]), np.concatenate([all_[old], [mo.matrix(last[k]) for k in new.tolist()]])
+            order = np.argsort(keys)
+            return keys[order], all_[order]
+
+        def scores(name, seq, keys, fitted, score):
+            labels = np.select([score >= NOVEL, score >= FAMILIAR], ["novel", "familiar"], "redundant").astype(object)
+            d = {"session": name, "kind": "score", "seq": seq + 1 + np.arange(len(keys)), "ep": keys, "fitted": fitted, "surprise": score, "label": labels}
+            return pd.DataFrame({c: d.get(c) for c in names}, index=range(len(keys))).astype(types)
+
         known = self.totals.get() if self.totals.exists() else None
         n, n_pass, n_warn, n_fail, seq = known[:5] if known else (0, 0, 0, 0, 0)
         total = np.array(known[5], float) if known else None
         count = {"PASS": n_pass, "WARN": n_warn, "FAIL": n_fail}
+        keys = all_ = None  # the episodes and their moments, read at the first refit and kept up from there
         for part in rows:
-            log = []
+            log, done = [], []
+
+            def entries():
+                frame = pd.DataFrame(log, columns=names).astype(types)
+                log.clear()
+                return frame
+
             for r in part.sort_values("ep").itertuples():
                 ep, own = int(r.ep), np.array(r.moments, float)
                 total = np.zeros_like(own) if total is None else total
@@ -70,6 +95,7 @@ class Session(StatefulProcessor):
                     count[verdict] -= 1
                     total = total - np.array(before, float)
                 self.episodes.updateValue((ep,), (r.verdict, own.tolist()))
+                done.append((ep, own))
                 count[r.verdict] += 1
                 total = total + own
                 if again:
@@ -78,12 +104,22 @@ class Session(StatefulProcessor):
                 log.append((key[0], "episode", seq, ep, r.verdict, r.metric, count["PASS"], count["WARN"], count["FAIL"], None, None, None))
                 if n >= self.least and n % self.every == 0:
                     model = mo.Forecast(mo.matrix(total), self.n_states)
-                    errors = {k[0]: model.error(mo.matrix(v[1])) for k, v in self.episodes.iterator()}
-                    for e, s in sorted(mo.scaled_errors(errors).items()):
-                        seq += 1
-                        log.append((key[0], "score", seq, e, None, None, None, None, None, n, s, label(s)))
+                    if keys is None:
+                        known = sorted((k[0], v[1]) for k, v in self.episodes.iterator())
+                        keys, all_ = np.array([k for k, _ in known]), np.array([mo.matrix(m) for _, m in known])
+                    else:
+                        keys, all_ = kept(keys, all_, done)
+                    done.clear()
+                    e = model.errors(all_)
+                    low, high = e.min(), e.max()
+                    score = (e - low) / (high - low) if high > low else e
+                    yield entries()
+                    yield scores(key[0], seq, keys, n, score)
+                    seq += len(keys)
+            if keys is not None:
+                keys, all_ = kept(keys, all_, done)
             if log:
-                yield pd.DataFrame(log, columns=names).astype({c: "Int64" for c in ("seq", "ep", "n_pass", "n_warn", "n_fail", "fitted")} | {"surprise": "float64"})
+                yield entries()
         self.totals.update((n, count["PASS"], count["WARN"], count["FAIL"], seq, (total if total is not None else np.zeros(0)).tolist()))
 
     def close(self) -> None:
@@ -108,10 +144,16 @@ def sessions(spark: SparkSession, out: str, least: int = 5, every: int = 5):
     return log.writeStream.format("parquet").outputMode("append").option("path", f"{out}/log").option("checkpointLocation", f"{out}/checkpoint/sessions")
 
 
-def run_available(spark: SparkSession, path: str, out: str, least: int = 5, every: int = 5, timeout: int = 600) -> DataFrame:
-    """Both streams over what has arrived by now; returns the log."""
-    summarise(spark, path, out).trigger(availableNow=True).start().awaitTermination(timeout)
-    sessions(spark, out, least, every).trigger(availableNow=True).start().awaitTermination(timeout)
+def run_available(spark: SparkSession, path: str, out: str, least: int = 5, every: int = 5, timeout: int | None = None) -> DataFrame:
+    """Both streams over what has arrived by now; returns the log.  With a ``timeout`` (seconds for
+    each) a stream that isn't through by then is stopped and an error raised: half a log is never returned."""
+    for writer in (lambda: summarise(spark, path, out), lambda: sessions(spark, out, least, every)):
+        stream = writer().trigger(availableNow=True).start()
+        if timeout is None:
+            stream.awaitTermination()
+        elif not stream.awaitTermination(timeout):
+            stream.stop()
+            raise TimeoutError(f"a stream over {path} wasn't through after {timeout} s")
     return spark.read.schema(LOG).parquet(f"{out}/log")
 
 
