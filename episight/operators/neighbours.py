@@ -10,18 +10,24 @@ inequality; how many lists are visited depends on how clustered the vectors are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, shared_dir
+from ..sources.episode_source import filesystem
 
-#: Vectors of a list on average; most lists (their centres are sent to all tasks); vectors of a list in one group.
+#: Vectors of a list on average; most lists (their centres are sent to all tasks); vectors of a list in one block.
 LIST, MOST_LISTS, BLOCK = 1024, 4096, 4096
-PLACED = "list long, kind long, k long, x array<double>, u long"
+#: Queries that a task holds at a time, and those of them that are compared with a block at once.
+CHUNK, TILE = 8192, 512
+QUERY = "list long, kind long, k long, x array<double>, d double, j long"
+QUERY_NAMES = ["list", "kind", "k", "x", "d", "j"]
 #: Stands for a second key that isn't there.
 NONE = np.iinfo(np.int64).min
 
@@ -38,10 +44,6 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _arrays(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-
-
 def _centres(ref: DataFrame, n: int, width: int, rounds: int = 3) -> np.ndarray:
     """At most ``MOST_LISTS`` centres, from at most eight times as many sampled vectors."""
     lists = max(1, min(MOST_LISTS, -(-n // LIST)))
@@ -70,47 +72,146 @@ def _owner(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, far
 
 
-def _search(rows: DataFrame, width: int, exclude_self: bool) -> DataFrame:
-    """(k, d, j): for each query of each list (kind 1) the nearest member (kind 0) that may stand for it; the smallest key of equals.
+def _written(members: DataFrame, width: int, path: str) -> list:
+    """Members (list, k, x, u) into files of the shared folder ``path``, a batch of at most ``BLOCK`` a
+    piece of a list, in order of keys; returns (file, at, list, n, radius) of all, a row a batch.
+    A task that is tried again writes another file; only what is returned is read."""
+    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(n_parts, "list").sortWithinPartitions("list", "k")
+    block = BLOCK
 
-    Members come as (k, x, u) with k the smallest key of a vector and u its second smallest, if any."""
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n_parts, "list").sortWithinPartitions("list", "kind", "k")
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k", pa.int64()), ("x", pa.list_(pa.float64())), ("u", pa.int64())])
+        files, root = filesystem(path)
+        name, writer, told, held = uuid.uuid4().hex, None, [], []
+
+        def put(rows: list, writer):
+            writer = writer or pa.ipc.new_file(files.open_output_stream(f"{root}/{name}"), schema)
+            t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            writer.write_batch(pa.RecordBatch.from_arrays([t.column("k"), t.column("x"), t.column("u").fill_null(int(NONE))], schema=schema))
+            told.append((name, len(told), t.column("list")[0].as_py(), t.num_rows, pc.max(t.column("far")).as_py()))
+            return writer
+
+        n = 0
+        for b in batches:
+            lists = b.column("list").to_numpy()
+            for s, e in _runs(lists):
+                while s < e:
+                    if held and (n == block or held[0].column("list")[0].as_py() != lists[s]):
+                        writer, held, n = put(held, writer), [], 0
+                    take = min(e - s, block - n)
+                    held.append(b.slice(s, take))
+                    s, n = s + take, n + take
+        if held:
+            writer = put(held, writer)
+        if writer:
+            writer.close()
+            names = ["file", "at", "list", "n", "radius"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*told)], names=names)
+
+    return dealt.mapInArrow(run, "file string, at long, list long, n long, radius double").collect()
+
+
+def _runs(a: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of equal values that stand together."""
+    if not len(a):
+        return []
+    edges = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+    return list(zip(edges, edges[1:]))
+
+
+def _better(q, x, best, name, member: tuple, exclude_self: bool) -> None:
+    """Lowers ``best`` (squared distances) and ``name`` (keys) of queries by a block of members (keys in
+    order, vectors, second keys).  Products say which members may be nearest, with all that their
+    error allows; only these are compared by differences, so the result is that of ``_squares``."""
+    own, y, second = member
+    yy = np.einsum("ij,ij->i", y, y)
+    for p in range(0, len(q), TILE):
+        k, v = q[p : p + TILE], x[p : p + TILE]
+        vv = np.einsum("ij,ij->i", v, v)
+        slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (vv + yy.max()) + np.finfo(float).tiny
+        if np.isfinite(slack).all():
+            about = v @ y.T
+            about *= -2
+            about += vv[:, None]
+            about += yy
+        else:
+            about, slack = _squares(v, y), np.zeros(len(k))
+            about[np.isnan(about)] = np.inf
+        if exclude_self:
+            at = np.minimum(np.searchsorted(own, k), len(own) - 1)
+            alone = (own[at] == k) & (second[at] == NONE)
+            about[np.flatnonzero(alone), at[alone]] = np.inf
+        low = about.min(1)
+        some = np.flatnonzero(np.isfinite(low) & (low <= best[p : p + TILE] + slack))
+        for c in range(0, len(some), 64):
+            rows = some[c : c + 64]
+            i, m = np.nonzero(about[rows] <= (low[rows] + slack[rows])[:, None])
+            i = rows[i]
+            d = np.zeros(len(i))
+            for j in range(x.shape[1]):
+                d += (v[i, j] - y[m, j]) ** 2
+            other = np.where(own[m] == k[i], second[m], own[m]) if exclude_self else own[m]
+            order = np.lexsort((other, d, i))
+            first = order[np.r_[True, np.diff(i[order]) != 0]]
+            i, d, other = i[first] + p, d[first], other[first]
+            lower = (d < best[i]) | ((d == best[i]) & (other < name[i]))
+            best[i[lower]], name[i[lower]] = d[lower], other[lower]
+
+
+def _reach(far: np.ndarray, best: np.ndarray, radius) -> np.ndarray:
+    """Whether a list so far away can hold something as near as the best."""
+    return far <= (np.sqrt(best) + radius) * (1 + 1e-12) + 1e-12
+
+
+def _search(rows: DataFrame, blocks: list, centres: np.ndarray, radius: np.ndarray, path: str, own_lists: bool, exclude_self: bool) -> DataFrame:
+    """Queries (list, kind, k, x, d, j) with d and j, the nearest squared distance and who has it (the smallest key of equals),
+    after their own lists are searched, or else all others that can hold something nearer than d.
+
+    Tasks hold some thousand queries and read one block of members after the other from the shared
+    folder, so nothing is sent: what is written doesn't grow with the lists that queries visit."""
+    width = centres.shape[1]
+    by_list: dict = {}
+    for r in blocks:
+        by_list.setdefault(r["list"], []).append((r["file"], r["at"]))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        at, held, members = None, [], None
+        files, root = filesystem(path)
+        opened: dict = {}
+
+        def member(file: str, at: int) -> tuple:
+            if file not in opened:
+                opened[file] = pa.ipc.open_file(files.open_input_file(f"{root}/{file}"))
+            b = opened[file].get_batch(at)
+            return b.column(0).to_numpy(), _matrix(b.column(1), width), b.column(2).to_numpy()
+
+        for b in gathered(batches):
+            lists, k, x = b.column(0).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), width)
+            best, name = b.column(4).to_numpy().copy(), b.column(5).to_numpy().copy()
+            for number, places in by_list.items():
+                if own_lists:
+                    ask = np.flatnonzero(lists == number)
+                else:
+                    ask = np.flatnonzero(lists != number)
+                    ask = ask[_reach(np.sqrt(_squares(x[ask], centres[number : number + 1])[:, 0]), best[ask], radius[number])]
+                for place in places if len(ask) else ():
+                    q, v, d, j = k[ask], x[ask], best[ask], name[ask]
+                    _better(q, v, d, j, member(*place), exclude_self)
+                    best[ask], name[ask] = d, j
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(best), pa.array(name)], names=QUERY_NAMES)
+
+    def gathered(batches) -> Iterator[pa.RecordBatch]:
+        """Batches of ``CHUNK`` rows and more."""
+        held, n = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(lists) != 0) | (np.diff(kind) != 0)) + 1).tolist(), b.num_rows]
-            for s, e in zip(edges, edges[1:]):
-                if lists[s] != at:
-                    at, held, members = lists[s], [], None
-                keys, x = b.column(2)[s:e].to_numpy(), _matrix(b.column(3)[s:e], width)
-                if kind[s] == 0:
-                    held.append((keys, x, b.column(4)[s:e].fill_null(int(NONE)).to_numpy()))
-                    continue
-                if members is None:
-                    if not held:
-                        continue
-                    members, held = [np.concatenate(z) for z in zip(*held)], []
-                own, y, second = members
-                for p in range(0, len(keys), 512):
-                    q, v = keys[p : p + 512], x[p : p + 512]
-                    d = _squares(v, y)
-                    name = np.broadcast_to(own, d.shape)
-                    if exclude_self:
-                        same = q[:, None] == own[None, :]
-                        other = np.broadcast_to(second, d.shape)
-                        d = np.where(same & (other == NONE), np.inf, d)
-                        name = np.where(same & (other != NONE), other, own)
-                    low = d.min(1)
-                    j = np.where(d == low[:, None], name, np.iinfo(np.int64).max).min(1)
-                    ok = np.isfinite(low)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(np.sqrt(low[ok])), pa.array(j[ok])], names=["k", "d", "j"])
-
-    return dealt.mapInArrow(run, "k long, d double, j long")
+            held, n = [*held, b], n + b.num_rows
+            if n >= CHUNK:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return rows.mapInArrow(run, QUERY)
 
 
 def nearest(query: DataFrame, ref: DataFrame, cols: list[str], key: str = "ep", exclude_self: bool = False) -> DataFrame:
@@ -119,9 +220,9 @@ def nearest(query: DataFrame, ref: DataFrame, cols: list[str], key: str = "ep",
 
     Keys are unique; rows with a null or a NaN take no part.  Equal vectors are
     searched once, whatever their number, and a list of over ``BLOCK`` vectors is
-    cut into blocks.  A query is sent to the lists that can hold something nearer only.
+    cut into blocks.  Lists lie in the shared folder while they are searched.
     """
-    width = len(cols)
+    width, spark = len(cols), ref.sparkSession
 
     def cut(df: DataFrame) -> DataFrame:
         fine = F.lit(True)
@@ -130,74 +231,54 @@ def nearest(query: DataFrame, ref: DataFrame, cols: list[str], key: str = "ep",
         return df.where(fine).select(F.col(key).cast("long").alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("x"))
 
     # the two smallest keys of each vector
-    one = cut(ref).groupBy("x").agg(F.min("k").alias("k"), F.count("*").alias("c"), F.max("k").alias("last"))
-    many = one.where("c > 2").select("x", F.col("k").alias("low"))
-    later = cut(ref).join(many, "x").where("k > low").groupBy("x").agg(F.min("k").alias("next"))
-    vectors = cut_lineage(one.join(later, "x", "left").select("k", "x", F.when(F.col("c") == 2, F.col("last")).otherwise(F.col("next")).alias("u")))
-    n = vectors.count()
+    one = cut_lineage(cut(ref).groupBy("x").agg(F.min("k").alias("k"), F.count("*").alias("c"), F.max("k").alias("last")))
+    n, n_many = one.agg(F.count("*"), F.count(F.when(F.col("c") > 2, 1))).first()
     if not n:
         return query.select(key).where("false").select(F.col(key), F.lit(None).cast("long").alias("neighbour"), F.lit(None).cast("double").alias("distance"))
-    asked = cut(query)
+    last = F.when(F.col("c") == 2, F.col("last"))
+    if n_many:
+        many = one.where("c > 2").select("x", F.col("k").alias("low"))
+        later = cut(ref).join(many, "x").where("k > low").groupBy("x").agg(F.min("k").alias("next"))
+        vectors = cut_lineage(one.join(later, "x", "left").select("k", "x", F.coalesce(last, "next").alias("u")))
+    else:
+        vectors = one.select("k", "x", last.alias("u"))
     centres = _centres(vectors, n, width)
 
-    def placed(kind: int):
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    own, far = _owner(_matrix(b.column(1), width), centres)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(b.num_rows, kind)), b.column(0), b.column(1), b.column(2), pa.array(far)], names=["list", "kind", "k", "x", "u", "far"])
-
-        return run
-
-    members = vectors.mapInArrow(placed(0), PLACED + ", far double")
-    if len(centres) > 1:
-        members = cut_lineage(members)
-    sizes = members.groupBy("list").agg(F.count("*").alias("c"), F.max("far").alias("radius")).collect()  # a row a list
-    radius, blocks = np.full(len(centres), -np.inf), np.ones(len(centres), np.int64)
-    for r in sizes:
-        radius[r["list"]], blocks[r["list"]] = r.radius, -(-r.c // BLOCK)
-    first = np.cumsum(blocks) - blocks
-
-    def numbered(df: DataFrame, kind: int) -> DataFrame:
-        """List numbers become those of blocks: a member is in one of its list's, a query goes to all."""
-
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own, k = b.column(0).to_numpy(), b.column(2).to_numpy()
-                if kind == 0:
-                    row, node = np.arange(b.num_rows), first[own] + np.abs(k * np.int64(0x9E3779B97F4A7C1)) % blocks[own]
-                else:
-                    row = np.repeat(np.arange(b.num_rows), blocks[own])
-                    node = np.repeat(first[own], blocks[own]) + np.arange(len(row)) - np.repeat(np.cumsum(blocks[own]) - blocks[own], blocks[own])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *[b.column(i).take(take) for i in (1, 2, 3, 4)]], names=["list", "kind", "k", "x", "u"])
-
-        return df.mapInArrow(run, PLACED)
-
-    held = numbered(members.drop("far"), 0)
-    start = asked.withColumn("u", F.lit(None).cast("long")).mapInArrow(placed(1), PLACED + ", far double").drop("far")
-    if len(centres) > 1:
-        start = cut_lineage(start)
-    found = _search(held.unionByName(numbered(start, 1)), width, exclude_self)
-    best = lambda df: df.groupBy("k").agg(F.min(F.struct("d", "j")).alias("m"))
-    if len(centres) > 1:
-        found = cut_lineage(best(found).select("k", "m.d", "m.j"))
-
-        def others(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _matrix(b.column(2), width)
-                own, bound = b.column(0).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-                bound = np.where(np.isnan(bound), np.inf, bound)
-                for s in range(0, b.num_rows, 512):
-                    far = np.sqrt(_squares(x[s : s + 512], centres))
-                    reach = (bound[s : s + 512, None] + radius[None, :]) * (1 + 1e-12) + 1e-12
-                    i, c = np.nonzero((far <= reach) & (np.arange(len(centres))[None, :] != own[s : s + 512, None]))
-                    for at in range(0, len(i), 5000):
-                        take = pa.array(i[at : at + 5000] + s)
-                        m = len(take)
-                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 5000]), pa.array(np.ones(m, np.int64)), b.column(1).take(take), b.column(2).take(take), pa.nulls(m, pa.int64())], names=["list", "kind", "k", "x", "u"])
-
-        bounded = start.select("list", "k", "x").join(found.select("k", "d"), "k", "left").select("list", "k", "x", "d")
-        more = _search(held.unionByName(numbered(bounded.mapInArrow(others, PLACED), 1)), width, exclude_self)
-        found = found.unionByName(more)
-    return best(found).select(F.col("k").alias(key), F.col("m.j").alias("neighbour"), (F.col("m.d") / F.lit(float(np.sqrt(width)))).alias("distance"))
+    def placed(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own, far = _owner(_matrix(b.column(1), width), centres)
+                yield pa.RecordBatch.from_arrays([pa.array(own), *b.columns, pa.array(far)], names=["list", *b.schema.names, "far"])
+
+    path = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex[:12]}"
+    files, root = filesystem(path)
+    files.create_dir(root)
+    try:
+        blocks = _written(vectors.mapInArrow(placed, "list long, k long, x array<double>, u long, far double"), width, path)
+        radius = np.full(len(centres), -np.inf)
+        for r in blocks:
+            radius[r["list"]] = max(radius[r["list"]], r["radius"])
+        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = cut(query).repartition(n_parts, "k").mapInArrow(placed, "list long, k long, x array<double>, far double")
+        start = asked.select("list", F.lit(1).cast("long").alias("kind"), "k", "x", F.lit(float("inf")).alias("d"), F.lit(int(np.iinfo(np.int64).max)).alias("j"))
+        found = cut_lineage(_search(start, blocks, centres, radius, path, True, exclude_self))
+        best = found.select("k", "d", "j")
+        if len(centres) > 1:
+
+            def open_(batches) -> Iterator[pa.RecordBatch]:
+                """Those whose own list may not hold their nearest."""
+                for b in batches:
+                    lists, x, d = b.column(0).to_numpy(), _matrix(b.column(3), width), b.column(4).to_numpy()
+                    more = np.zeros(b.num_rows, bool)
+                    for s in range(0, b.num_rows, 512):
+                        can = _reach(np.sqrt(_squares(x[s : s + 512], centres)), d[s : s + 512, None], radius[None, :])
+                        can[np.arange(len(can)), lists[s : s + 512]] = False
+                        more[s : s + 512] = can.any(1)
+                    yield b.filter(pa.array(more))
+
+            more = _search(found.mapInArrow(open_, QUERY), blocks, centres, radius, path, False, exclude_self)
+            more = more.select("k", "d", "j")
+            best = cut_lineage(best.unionByName(more).groupBy("k").agg(F.min(F.struct("d", "j")).alias("m")).select("k", "m.d", "m.j"))
+    finally:
+        files.delete_dir(root)
+    return best.where(F.col("d") < float("inf")).select(F.col("k").alias(key), F.col("j").alias("neighbour"), (F.sqrt("d") / F.lit(float(np.sqrt(width)))).alias("distance"))
